@@ -10,7 +10,7 @@ from ..functions.windows import rolling
 from ..sources import adapters as A
 from ..sources import tables as S
 from ..sources.scratch import scratch_dir
-from .base import BARS, MEMBERS, frame, key_sql, lagx, over, query, r6, ret_sql, roll, run, with_
+from .base import BARS, MEMBERS, PRICED, TRADES, frame, key_sql, lagx, over, query, r6, ret_sql, roll, run, with_
 
 COLS = ["ticker", "date", "open", "high", "low", "close", "volume"]
 _CUT = "date '2000-01-01'"
@@ -108,7 +108,9 @@ def _fund(s, d):
 
 def _document(s, d):
     from ..plans.screen import screen_document
-    return screen_document(A.bars(s, d), A.sector_map(s, d), min_turnover=20000.0)
+    from ..schemas import ScreenParams
+    return screen_document(A.bars(s, d), A.sector_map(s, d), min_turnover=20000.0,
+                           params=ScreenParams(bear_momentum=0.0))
 
 
 @query("src06_held_from_signals")
@@ -125,23 +127,8 @@ def _doc(s, d):
     return S.read_signals(s, path)
 
 
-TRADES = f"""trades AS MATERIALIZED (
-  SELECT strategy, symbol, side, qty, price, date, id || sfx AS trade_id FROM (
-    SELECT CASE WHEN l_suppkey % 2 = 0 THEN 'A' ELSE 'B' END AS strategy, {key_sql('S', 'l_suppkey')} AS symbol,
-      'buy' AS side, l_quantity AS qty, px AS price, date, 'B' AS sfx, %(id)s AS id FROM priced
-    UNION ALL
-    SELECT CASE WHEN l_suppkey % 2 = 0 THEN 'A' ELSE 'B' END, {key_sql('S', 'l_suppkey')},
-      'sell', l_quantity, px * (1 + (l_partkey % 21 - 10) / 100.0::double), date + 30, 'S', %(id)s
-    FROM priced WHERE l_returnflag = 'R'))""".replace("% 2", "%% 2").replace("% 21", "%% 21") % {"id": """
-      lpad(cast(l_orderkey AS varchar), 14, '0') || '-' || cast(l_linenumber AS varchar) || '-' ||
-      lpad(cast(l_partkey AS varchar), 12, '0') || '-' ||
-      lpad(cast(cast(round(l_extendedprice * 100) AS bigint) AS varchar), 14, '0') || '-' ||
-      lpad(cast(cast(round(l_discount * 100) AS bigint) AS varchar), 3, '0') || '-' ||
-      lpad(cast(cast(round(l_tax * 100) AS bigint) AS varchar), 3, '0')"""}
-
-
 @query("src08_ledger_tables", with_(
-    *[BARS.split(",\nbars AS")[0], TRADES], body=f"""SELECT strategy, symbol, side, count(*) AS n,
+    PRICED, TRADES, body=f"""SELECT strategy, symbol, side, count(*) AS n,
   {r6('sum(qty)')} AS qty, {r6('sum(qty * price)', 2)} AS notional FROM trades GROUP BY 1, 2, 3"""))
 def _ledger(s, d):
     root = scratch_dir(s, "ledger")
