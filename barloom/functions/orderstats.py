@@ -9,6 +9,9 @@ any share of the table. The helpers here cut each group into value ranges:
    They steer the layout and never the result, any borders give exact ranks;
 3. counts per range give each range its offset, and ranks are counted inside
    the ranges only.
+
+The ranged values are written once to the shared folder, because offsets and
+ranks both read them.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+
 _STEPS = (128, 64, 32, 16, 8, 4, 2, 1)
 RANGES = 256
 SAMPLE_PER_RANGE = 8
@@ -55,9 +60,10 @@ def _ranged_values(df: DataFrame, keys: list[str], col: str) -> DataFrame:
             ).alias("borders"),
         )
     )
-    return values.join(picks, keys).select(
+    ranged = values.join(picks, keys).select(
         *keys, "v", "cnt", _locate(F.col("borders"), F.col("v")).alias("rng")
     )
+    return cut(ranged, "ranges")
 
 
 def _with_offsets(vals: DataFrame, keys: list[str]) -> DataFrame:

@@ -86,9 +86,7 @@ def with_group_stats(df: DataFrame, keys: list[str], **aggs: Column) -> DataFram
 
 
 def with_totals(df: DataFrame, **aggs: Column) -> DataFrame:
-    """Attach whole-table aggregates as scalar subqueries (no cross join)."""
-    out = df
-    totals = df.agg(*[a.alias(n) for n, a in aggs.items()])
-    for name in aggs:
-        out = out.withColumn(name, totals.select(name).scalar())
-    return out
+    """Attach whole-table aggregates through one scalar subquery (no cross join)."""
+    totals = df.agg(F.struct(*[a.alias(n) for n, a in aggs.items()]).alias("t")).scalar()
+    out = df.withColumn("_t", totals)
+    return out.select(*df.columns, *[F.col(f"_t.{n}").alias(n) for n in aggs])

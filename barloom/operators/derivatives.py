@@ -136,7 +136,7 @@ def price_spread(spreads: DataFrame, chain: DataFrame, capital: float = 1_000_00
         legs.withColumn("net_debit", debit)
         .where(F.col("net_debit") > 0)
         .withColumn("width", F.abs(F.col("atm_strike") - F.col("otm_strike")))
-        .withColumn("lots", F.greatest(F.lit(1), (limit / (F.col("net_debit") * F.col("lot_size"))).cast("int")))
+        .withColumn("lots", F.greatest(F.lit(1), div(F.lit(limit), F.col("net_debit") * F.col("lot_size")).cast("int")))
         .withColumn("risk_rs", F.col("lots") * F.col("lot_size") * F.col("net_debit"))
     )
     return priced.where(

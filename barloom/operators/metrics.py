@@ -32,7 +32,7 @@ def cagr(equity: DataFrame, keys=P) -> DataFrame:
 
 def cagr_rows(returns: DataFrame, ann: int = 252, keys=P) -> DataFrame:
     total = F.product(1 + F.col("ret"))
-    return returns.groupBy(*keys).agg((safe_pow(total, F.lit(float(ann)) / F.count("ret")) - 1).alias("cagr"))
+    return returns.groupBy(*keys).agg((safe_pow(total, F.lit(float(ann)) / F.nullif(F.count("ret"), F.lit(0))) - 1).alias("cagr"))
 
 
 def ann_vol(returns: DataFrame, ann: int = 252, keys=P) -> DataFrame:
@@ -208,7 +208,7 @@ def segment_metrics(returns: DataFrame, split, keys=P, ann: int = 252) -> DataFr
     g = g.withColumn("_dd", F.col("_g") / running(F.max, "_g", [*keys, "segment"]) - 1)
     return g.groupBy(*keys, "segment").agg(
         (F.product(1 + F.col("ret")) - 1).alias("total_return"),
-        (safe_pow(F.product(1 + F.col("ret")), F.lit(float(ann)) / F.count("ret")) - 1).alias("cagr"),
+        (safe_pow(F.product(1 + F.col("ret")), F.lit(float(ann)) / F.nullif(F.count("ret"), F.lit(0))) - 1).alias("cagr"),
         sharpe_of("ret", 0.0, 0, ann).alias("sharpe"), F.min("_dd").alias("max_drawdown"),
         F.count(F.lit(1)).alias("rows"),
     )
