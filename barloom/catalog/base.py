@@ -72,17 +72,17 @@ _TRADE_ID = """lpad(cast(l_orderkey AS varchar), 14, '0') || '-' || cast(l_linen
       lpad(cast(cast(round(l_tax * 100) AS bigint) AS varchar), 3, '0')"""
 
 TRADES = f"""trades AS MATERIALIZED (
-  SELECT strategy, symbol, side, qty, price, date, id || sfx AS trade_id FROM (
+  SELECT strategy, symbol, side, qty, price, date, sec, id || sfx AS trade_id FROM (
     SELECT CASE WHEN l_suppkey % 2 = 0 THEN 'A' ELSE 'B' END AS strategy, {key_sql('S', 'l_suppkey')} AS symbol,
-      'buy' AS side, l_quantity AS qty, px AS price, date, 'B' AS sfx, {_TRADE_ID} AS id FROM priced
+      'buy' AS side, l_quantity AS qty, px AS price, date, l_orderkey % 86400 AS sec, 'B' AS sfx, {_TRADE_ID} AS id FROM priced
     UNION ALL
     SELECT CASE WHEN l_suppkey % 2 = 0 THEN 'A' ELSE 'B' END, {key_sql('S', 'l_suppkey')},
-      'sell', l_quantity, px * (1 + (l_partkey % 21 - 10) / 100.0::double), date + 30, 'S', {_TRADE_ID}
+      'sell', l_quantity, px * (1 + (l_partkey % 21 - 10) / 100.0::double), date + 30, l_orderkey % 86400, 'S', {_TRADE_ID}
     FROM priced WHERE l_returnflag = 'R'))"""
 
 ORDER_FLOW = f"""flow AS MATERIALIZED (
   SELECT {key_sql('C', 'o_custkey')} AS account, 'P' || cast(l_partkey % 3 AS varchar) AS symbol,
-    CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, l_quantity - 1.0 AS qty, px AS price, date,
+    CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, l_quantity - 1.0 AS qty, px AS price, date, l_orderkey % 86400 AS sec,
     {_TRADE_ID} AS order_id FROM priced JOIN orders ON l_orderkey = o_orderkey)"""
 
 

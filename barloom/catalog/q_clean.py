@@ -132,7 +132,7 @@ def _doc(s, d):
   {r6('sum(qty)')} AS qty, {r6('sum(qty * price)', 2)} AS notional FROM trades GROUP BY 1, 2, 3"""))
 def _ledger(s, d):
     root = scratch_dir(s, "ledger")
-    S.write_ledger(A.trades(s, d).withColumn("ts", F.col("date").cast("timestamp_ntz")).drop("date"), root, "trades")
+    S.write_ledger(A.trades(s, d), root, "trades")
     return S.read_ledger(s, root, "trades").groupBy("strategy", "symbol", "side").agg(
         F.count(F.lit(1)).alias("n"), rnd(F.sum("qty")).alias("qty"),
         rnd(F.sum(F.col("qty") * F.col("price")), 2).alias("notional"))

@@ -167,6 +167,11 @@ def _trade_id():
     )
 
 
+def _clock(day: str):
+    """Second of the day from the order key."""
+    return F.expr(f"cast({day} AS timestamp_ntz) + make_dt_interval(0, 0, 0, l_orderkey % 86400)")
+
+
 def _strategy():
     return F.when(F.col("l_suppkey") % 2 == 0, "A").otherwise("B")
 
@@ -190,7 +195,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             "strategy", ticker_of("l_suppkey").alias("symbol"), "leg.side",
             F.col("l_quantity").alias("qty"), "leg.price",
-            F.col("leg.d").alias("date"),
+            F.col("leg.d").alias("date"), _clock("leg.d").alias("ts"),
             F.concat("id", "leg.sfx").alias("trade_id"),
         )
     )
@@ -208,7 +213,7 @@ def order_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("P"), (F.col("l_partkey") % 3).cast("string")).alias("symbol"),
         F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"),
         (F.col("l_quantity") - 1.0).alias("qty"),
-        F.col("px").alias("price"), "date", _trade_id().alias("order_id"),
+        F.col("px").alias("price"), "date", _clock("date").alias("ts"), _trade_id().alias("order_id"),
     )
 
 
