@@ -11,6 +11,7 @@ from ..operators import joins as J
 from ..operators import positions as PO
 from ..operators import regime as R
 from ..sources import adapters as A
+from ..sources.scratch import cut
 from . import frames as X
 from .base import BARS, BRAND_BARS, BRAND_SECTORS, INDEX, SECTORS, frame, key_sql, lagx, over, query, r6, ret_sql, roll, with_
 from .q_joins import PAIRS_SQL
@@ -35,7 +36,8 @@ def resid(s, d):
 
 
 def neutral(s, d):
-    return FA.sector_neutral(resid(s, d), A.brand_sectors(s, d))
+    """Sector-neutral residuals, written once: every signal reads them several times."""
+    return cut(FA.sector_neutral(resid(s, d), A.brand_sectors(s, d)), "residuals")
 
 
 RES = (BRAND_BARS, INDEX, BRAND_SECTORS, f"""fj AS MATERIALIZED (SELECT * FROM (SELECT ticker, date, ln(close / {lagx('close')}) AS ret FROM bars)

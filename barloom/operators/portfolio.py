@@ -60,18 +60,20 @@ def _fold_selection(ranked: DataFrame, depth: int, keys: list[str], step) -> Dat
     ).withColumn("slot", F.col("slot") + 1)
 
 
-def hold_buffer(ranked: DataFrame, top_n: int = 5, buffer: int = 15, keys=("config_id",)) -> DataFrame:
+def hold_buffer(ranked: DataFrame, top_n=5, buffer=15, keys=("config_id",), depth: int | None = None) -> DataFrame:
     """Keep held names ranked within the buffer, fill to top_n from the best others.
 
-    ranked: keys, date, ticker, rank. A date without names empties the book.
+    ranked: keys, date, ticker, rank. top_n and buffer are numbers, or key
+    columns that differ by configuration, then with a common `depth`.
     """
+    n, b = (F.lit(x) if isinstance(x, int) else x for x in (top_n, buffer))
 
     def step(held, names):
-        kept = F.array_intersect(F.slice(names, 1, buffer), held)
+        kept = F.array_intersect(F.slice(names, F.lit(1), b), held)
         fresh = F.array_except(names, kept)
-        return F.concat(kept, F.slice(fresh, F.lit(1), F.greatest(F.lit(0), F.lit(top_n) - F.size(kept))))
+        return F.concat(kept, F.slice(fresh, F.lit(1), F.greatest(F.lit(0), n - F.size(kept))))
 
-    return _fold_selection(ranked, top_n + buffer, list(keys), step)
+    return _fold_selection(ranked, depth or top_n + buffer, list(keys), step)
 
 
 def hold_buffer_v1(ranked: DataFrame, top_n: int = 5, buffer: int = 15, keys=("config_id",)) -> DataFrame:

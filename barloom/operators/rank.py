@@ -73,10 +73,10 @@ def with_slot(selection: DataFrame, held: DataFrame, order: str = "rank") -> Dat
 
 
 def best_config(results: DataFrame, metric: str, keys=(), tie: str = "config_id") -> DataFrame:
-    """Row of the best metric; the lowest configuration id wins a tie."""
+    """Row of the best metric; metrics equal to nine places tie, the lowest id wins."""
     rest = [c for c in results.columns if c not in keys]
     best = results.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), F.struct(F.col(metric), -F.col(tie))).alias("_b")
+        F.max_by(F.struct(*rest), F.struct(F.round(metric, 9), -F.col(tie))).alias("_b")
     )
     return best.select(*keys, "_b.*")
 
