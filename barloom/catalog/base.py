@@ -29,7 +29,7 @@ def key_sql(prefix: str, col: str) -> str:
     return f"'{prefix}' || lpad(cast({col} as varchar), 10, '0')"
 
 
-_ORDER = "l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax"
+_ORDER = "l_orderkey, l_linenumber, px"
 
 PRICED = """priced AS MATERIALIZED (
   SELECT l.*, cast(l_shipdate AS date) AS date, p_brand,

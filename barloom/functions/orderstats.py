@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 from ..sources.scratch import cut
 
 _STEPS = (128, 64, 32, 16, 8, 4, 2, 1)
-RANGES = 256
-SAMPLE_PER_RANGE = 8
+RANGES = 240
+# Sample of the borders: the smallest hashes of each of SHARES shares of a group.
+# The per-share limit is pushed below the shuffle (WindowGroupLimit), and the
+# shares spread the sample of one huge group over SHARES tasks.
+SHARES, PER_SHARE = 64, 15
 
 
 def _locate(borders: Column, v: Column) -> Column:
@@ -45,11 +48,11 @@ def _ranged_values(df: DataFrame, keys: list[str], col: str) -> DataFrame:
         .groupBy(*keys, v.alias("v"))
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
-    h = F.xxhash64("v", *keys)
     picks = (
-        values.withColumn("h", h)
-        .withColumn("pick", F.row_number().over(W.partitionBy(*keys).orderBy("h", "v")))
-        .where(F.col("pick") <= RANGES * SAMPLE_PER_RANGE)
+        values.withColumn("h", F.xxhash64("v", *keys))
+        .withColumn("share", F.pmod(F.xxhash64("h"), F.lit(SHARES)))
+        .withColumn("pick", F.row_number().over(W.partitionBy(*keys, "share").orderBy("h", "v")))
+        .where(F.col("pick") <= PER_SHARE)
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list("v")).alias("s"))
         .select(

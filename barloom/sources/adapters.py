@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 from ..operators.regime import synthetic_index
 
 OFF_TICK = 1.000003
-LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice",
-              "l_discount", "l_tax"]
-INITIAL_CASH = 1_000_000.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,14 +44,18 @@ def priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _to_bars(lines: DataFrame, key: str) -> DataFrame:
-    """OHLCV per (key, date). min_by / max_by keep the aggregate partial, so a key
-    with a third of all lines is reduced before the shuffle."""
-    order = F.struct(*LINE_ORDER)
+    """OHLCV per (key, date), lines in order of (order, line number, price).
+
+    Open and close are the price of the smallest and largest (position, price)
+    pair: partial aggregates, so a key with a third of all lines is reduced
+    before the shuffle.
+    """
+    at = F.struct((F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("k"), F.col("px").alias("px"))
     return lines.groupBy(key, "date").agg(
-        F.min_by("px", order).alias("open"),
+        F.min(at)["px"].alias("open"),
         F.max("px").alias("high"),
         F.min("px").alias("low"),
-        F.max_by("px", order).alias("close"),
+        F.max(at)["px"].alias("close"),
         F.sum("l_quantity").alias("volume"),
     )
 

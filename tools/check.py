@@ -82,6 +82,10 @@ def main():
             df = fn(spark, a.sf)
             if a.explain:
                 df.explain("formatted")
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            for bad_op in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+                if bad_op in plan:
+                    print(f"PLAN {name} has {bad_op}")
             cols = sorted(df.columns)
             rows = df.select(*cols).collect()
             t1 = time.time()
