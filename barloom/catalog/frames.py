@@ -8,24 +8,13 @@ from ..operators import indicators as I
 from ..operators import portfolio as P
 from ..operators import rank as K
 from ..operators import regime as R
-from ..operators.calendar import month_end_dates
-from ..plans.screen import screen_indicators
+from ..plans.backtest import month_end_panel
+from ..plans.screen import screen_indicators  # noqa: F401
 from ..sources import adapters as A
 from .base import BARS, BRAND_BARS, INDEX, key_sql, lagx, over, ret_sql, roll
 
-PANEL_COLS = ["close", "mom", "vol60", "ret5", "sma200", "avg_turnover20", "avg_volume5", "volume"]
-
-
-def panel_of(bars):
-    """Every ticker's last row of each month, dated at the market's month end."""
-    ind = screen_indicators(bars)
-    month = F.trunc("date", "month").alias("month")
-    last = ind.groupBy("ticker", month).agg(F.max_by(F.struct(*PANEL_COLS), "date").alias("r"))
-    return last.join(month_end_dates(bars), "month").select("date", "ticker", "r.*")
-
-
 def panel(s, d):
-    return panel_of(A.bars(s, d))
+    return month_end_panel(A.bars(s, d))
 
 
 IND_SQL = f"""ind AS MATERIALIZED (SELECT *, {lagx('close', 21)} / nullif({lagx('close', 252)}, 0) - 1 AS mom,
