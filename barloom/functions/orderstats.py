@@ -40,16 +40,20 @@ def _locate(borders: Column, v: Column) -> Column:
     )
 
 
-def _ranged_values(df: DataFrame, keys: list[str], col: str) -> DataFrame:
-    """keys, v, cnt, rng: distinct values with counts and their value range."""
+def _ranged_values(df: DataFrame, keys: list[str], col: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """keys, by, v, cnt, rng: distinct values with counts and their value range.
+
+    The ranges belong to the keys; `by` only splits the counts further.
+    """
     v = F.col(col).cast("double")
     values = (
         df.where(v.isNotNull())
-        .groupBy(*keys, v.alias("v"))
+        .groupBy(*keys, *by, v.alias("v"))
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
     picks = (
-        values.withColumn("h", F.xxhash64("v", *keys))
+        (values.select(*keys, "v").distinct() if by else values)
+        .withColumn("h", F.xxhash64("v", *keys))
         .withColumn("share", F.pmod(F.xxhash64("h"), F.lit(SHARES)))
         .withColumn("pick", F.row_number().over(W.partitionBy(*keys, "share").orderBy("h", "v")))
         .where(F.col("pick") <= PER_SHARE)
@@ -64,7 +68,7 @@ def _ranged_values(df: DataFrame, keys: list[str], col: str) -> DataFrame:
         )
     )
     ranged = values.join(picks, keys).select(
-        *keys, "v", "cnt", _locate(F.col("borders"), F.col("v")).alias("rng")
+        *keys, *by, "v", "cnt", _locate(F.col("borders"), F.col("v")).alias("rng")
     )
     return cut(ranged, "ranges")
 
@@ -159,3 +163,35 @@ def quantiles(df: DataFrame, keys, col: str, qs: dict[str, float]) -> DataFrame:
         *[F.max(F.when(F.col("name") == n, val)).alias(n) for n in qs]
     )
     return out if had_keys else out.drop("_all")
+
+
+def expanding_quantile(df: DataFrame, keys, date: str, cutoffs: Column, col: str, q: float, out: str) -> DataFrame:
+    """keys, cutoff, out: exact quantile of all rows dated before each cut-off.
+
+    Counts per (date, range) are spread over the later cut-offs; those are at
+    most ranges x dates x dates rows, whatever the data size. They name the one
+    range that holds the wanted position, and only values of that range meet
+    the cut-offs themselves.
+    """
+    keys = list(keys)
+    vals = _ranged_values(df, keys, col, (date,))
+    per = vals.groupBy(*keys, date, "rng").agg(F.sum("cnt").alias("cnt")).withColumn("_cuts", cutoffs)
+    later = per.withColumn("cutoff", F.explode(F.filter("_cuts", lambda c: c > F.col(date))))
+    counts = later.groupBy(*keys, "cutoff", "rng").agg(F.sum("cnt").alias("inside"))
+    group = [*keys, "cutoff"]
+    w = W.partitionBy(*group).orderBy("rng")
+    pos = F.lit(float(q)) * (F.col("total") - 1)
+    spots = (
+        counts.withColumn("before", F.sum("inside").over(w) - F.col("inside"))
+        .withColumn("total", F.sum("inside").over(W.partitionBy(*group)))
+        .withColumn("lo", F.floor(pos)).withColumn("hi", F.ceil(pos)).withColumn("frac", pos - F.floor(pos))
+        .where((F.col("hi") >= F.col("before")) & (F.col("lo") < F.col("before") + F.col("inside")))
+        .select(*group, "rng", "before", "lo", "hi", "frac")
+    )
+    hit = vals.join(spots, [*keys, "rng"]).where(F.col(date) < F.col("cutoff"))
+    hit = hit.groupBy(*group, "rng", "before", "lo", "hi", "frac", "v").agg(F.sum("cnt").alias("cnt"))
+    r = W.partitionBy(*group, "rng").orderBy("v")
+    hit = hit.withColumn("last", F.col("before") + F.sum("cnt").over(r) - 1).withColumn("first", F.col("last") - F.col("cnt") + 1)
+    at = lambda p: F.max(F.when(F.col(p).between(F.col("first"), F.col("last")), F.col("v")))
+    one = hit.groupBy(*group, "frac").agg(at("lo").alias("a"), at("hi").alias("b"))
+    return one.select(*group, (F.col("a") + F.col("frac") * (F.col("b") - F.col("a"))).alias(out))

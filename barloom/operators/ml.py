@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import clean_number, div, finite, truthy
-from ..functions.orderstats import quantiles
+from ..functions.orderstats import expanding_quantile, quantiles
 from ..functions.windows import lag, rolling
 from ..sources.scratch import cut
 from .indicators import ret, return_sequence
@@ -138,16 +138,16 @@ def expanding_ridge(train: DataFrame, dates: DataFrame, cols: list[str], label:
                     alpha: float = 1.0, min_rows: int = 100) -> DataFrame:
     """A ridge model per cut-off, from the rows before it.
 
-    The medians come per cut-off; then every (row, later cut-off) adds its
-    products to the cut-off's moment sums inside the map side of one aggregate,
-    so only one row of sums per task and cut-off is shuffled. Each cut-off's
-    small system is solved on the executors.
+    The medians come from counts per date and value range. Then every
+    (row, later cut-off) adds its products to the cut-off's moment sums inside
+    the map side of one aggregate, so only one row of sums per task and cut-off
+    is shuffled. Each cut-off's small system is solved on the executors.
     """
     cuts = dates.select("date").distinct().agg(F.array_sort(F.collect_list("date")).alias("a")).scalar()
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in cols])
+    med = expanding_quantile(train.select("date", F.inline(cells)), ["feature"], "date", cuts, "x", 0.5, "m")
     rows = train.select("date", *cols, F.col(label).alias("_y")).withColumn("_cuts", cuts)
     later = rows.select(*cols, "_y", F.explode(F.filter("_cuts", lambda c: c > F.col("date"))).alias("cutoff"))
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in cols])
-    med = quantiles(later.select("cutoff", F.inline(cells)), ["cutoff", "feature"], "x", {"m": 0.5})
     wide = med.groupBy("cutoff").agg(*[F.max(F.when(F.col("feature") == c, F.col("m"))).alias(f"_med_{c}") for c in cols])
     filled = later.join(wide, "cutoff").select(
         "cutoff", "_y", *[F.coalesce(c, f"_med_{c}").alias(c) for c in cols], *[f"_med_{c}" for c in cols]

@@ -52,3 +52,21 @@ def test_limit_is_pushed_below_the_shuffle(spark):
     w = W.partitionBy("k").orderBy("id")
     plan = df.withColumn("r", F.row_number().over(w)).where("r <= 15")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_expanding_quantile_equals_pandas(spark):
+    pdf = skewed(6, 3000)
+    pdf["date"] = (pd.to_datetime("2020-01-01") + pd.to_timedelta(pdf.id % 12 * 30, "D")).dt.date
+    df = spark.createDataFrame(pdf)
+    cuts = df.agg(F.array_sort(F.collect_set("date"))).scalar()
+    from barloom.functions.orderstats import expanding_quantile
+    got = {(r.key, r.cutoff): r.m for r in expanding_quantile(df, ["key"], "date", cuts, "x", 0.5, "m").collect()}
+    for d in sorted(set(pdf.date))[1:]:
+        for k, v in pdf[pdf.date < d].groupby("key").x.median().items():
+            assert got[(k, d)] == pytest.approx(v)
+
+
+def test_large_run_settings_follow_the_input():
+    from barloom.session import large_run_conf
+    assert int(large_run_conf(100, 4000)["spark.sql.shuffle.partitions"]) == 819200
+    assert int(large_run_conf(0.001, 16)["spark.sql.shuffle.partitions"]) == 32
