@@ -131,12 +131,12 @@ def _k2(s, d):
     return pct_rank(A.bars(s, d), "volume", ("date",)).select("ticker", "date", rnd("pct_rank").alias("pct_rank"))
 
 
-@query("rnk02_pct_rank_whole_table", f"""SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, {r6('(rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0::double) / count(*) OVER ()')} AS pct_rank FROM lineitem""")
+@query("rnk02_pct_rank_whole_table", f"""SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, (rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0::double) / count(*) OVER () AS pct_rank FROM lineitem""")
 def _k2b(s, d):
     """One group holding every row."""
     li = A.table(s, d, "lineitem")
     return pct_rank(li, "l_extendedprice", ()).select(
-        F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), rnd("pct_rank").alias("pct_rank"))
+        F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), "pct_rank")
 
 
 @query("rnk03_decile_signal", with_(BARS, X.PANEL_SQL, f"pr AS (SELECT date, ticker, {_PR('mom')} AS r FROM panel WHERE mom IS NOT NULL)",

@@ -388,7 +388,7 @@ q AS (SELECT *, revenue * 0.1 - c_acctbal * 5 AS ebit, (revenue * 0.1 - c_acctba
 r AS (SELECT *, lag(revenue, 1) OVER w AS r1, lag(revenue, 2) OVER w AS r2, lag(ni) OVER w AS n1,
   row_number() OVER (PARTITION BY k ORDER BY year DESC) AS rn FROM q WINDOW w AS (PARTITION BY k ORDER BY year))
 SELECT {key_sql('C', 'k')} AS ticker, year, {r6('ebit / nullif(revenue * 0.9 + 5000 - revenue * 0.2, 0) * 100')} AS roce,
-  {r6('ebit / abs(-(1.0 + k % 50) * 100)', 4)} AS icr, coalesce(revenue < r1 AND r1 < r2, false) AS revenue_decline_2yr,
+  {r6('ebit / abs(-(1.0::double + k % 50) * 100.003::double)', 4)} AS icr, coalesce(revenue < r1 AND r1 < r2, false) AS revenue_decline_2yr,
   coalesce(ni < 0, false) OR coalesce(n1 < 0, false) AS loss_either_year FROM r WHERE rn = 1""")
 def _ratios(s, d):
     return C.statement_ratios(A.statements(s, d)).withColumn("roce", rnd("roce")).withColumn("icr", rnd("icr", 4))

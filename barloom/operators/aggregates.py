@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import div
 from ..functions.orderstats import quantiles
+from ..sources.scratch import cut
 
 
 def group_mean(df: DataFrame, keys, col: str) -> DataFrame:
@@ -15,8 +16,12 @@ def group_mean(df: DataFrame, keys, col: str) -> DataFrame:
 
 
 def median_mad(df: DataFrame, keys, col: str) -> DataFrame:
-    """Exact median and median absolute deviation, the sample deviation when the MAD is zero."""
+    """Exact median and median absolute deviation, the sample deviation when the MAD is zero.
+
+    The keys and the one column are written first: three passes read them.
+    """
     keys = list(keys)
+    df = cut(df.select(*keys, col), "mad")
     med = quantiles(df, keys, col, {"median": 0.5})
     dev = df.join(med, keys) if keys else df.withColumn("median", med.select("median").scalar())
     dev = dev.withColumn("_d", F.abs(F.col(col) - F.col("median")))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.orderstats import pct_rank
+from ..sources.scratch import cut
 
 
 def top_n(df: DataFrame, by: str, n: int, part=("date",), tie: str = "ticker",
@@ -28,8 +29,8 @@ def decile_signal(df: DataFrame, rank: str = "pct_rank", hi: float = 0.9, lo: fl
 
 
 def composite_rank(df: DataFrame, weights: dict[str, float], n: int, part=("date",)) -> DataFrame:
-    """Weighted sum of percentile ranks, best n per group."""
-    out = df
+    """Weighted sum of percentile ranks, best n per group. Every rank reads the input, so it is written once."""
+    out = cut(df, "ranked")
     score = F.lit(0.0)
     for c, w in weights.items():
         out = pct_rank(out, c, part, f"rank_{c}")

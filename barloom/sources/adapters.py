@@ -145,7 +145,7 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
         "revenue": F.col("revenue"),
         "ebit": ebit,
         "net_income": ebit * 0.7 - 5000.0,
-        "interest": -(1.0 + F.col("o_custkey") % 50) * 100.0,
+        "interest": -(1.0 + F.col("o_custkey") % 50) * 100.003,
         "total_assets": F.col("revenue") * 0.9 + 5000.0,
         "current_liabilities": F.col("revenue") * 0.2,
     }
