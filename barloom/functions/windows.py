@@ -5,7 +5,7 @@ Catalyst plans a single exchange and a single sort however many indicators are
 stacked on one frame.
 
 Why a partition per ticker is safe: a bar table holds at most one row per
-(ticker, date), and the readers and adapters enforce that with a partial
+(ticker, date): merges, adapters and `unique_bars` enforce that with a partial
 aggregate. A ticker therefore never has more rows than the calendar has days,
 however much raw data sits behind it. Raw rows (trades, ticks, orders) have no
 such bound and are pre-aggregated before they meet one of these windows.

@@ -19,6 +19,11 @@ INDEX_OI_SPIKE, INDEX_PRICE_MOVE = 0.00, 0.001
 INDEX_WIDTHS = {"NIFTY": 150.0, "BANKNIFTY": 300.0}
 UP_STRIKE, DOWN_STRIKE = 1.03, 0.97
 TAKE_PROFIT = 0.50
+# State, action and note texts.
+LONG_BUILDUP, SHORT_BUILDUP = "Long Buildup", "Short Buildup"
+SHORT_COVERING, LONG_UNWINDING, NEUTRAL = "Short Covering", "Long Unwinding", "Neutral"
+BULL_CALL, BEAR_PUT = "Bull Call Spread", "Bear Put Spread"
+EARLY_EXIT, EXPIRY_EXIT = "50% Profit Exit", "Expiry"
 # Index names of the tag, tried in this order.
 INDEX_TAGS = ("BANKNIFTY", "FINNIFTY", "MIDCPNIFTY", "NIFTY")
 
@@ -64,15 +69,15 @@ def oi_state(fut: DataFrame) -> DataFrame:
     up_px, down_px = F.col("px_chg") >= F.col("px_thr"), F.col("px_chg") <= -F.col("px_thr")
     return fut.withColumn(
         "state",
-        F.when(up_oi & up_px, "Long Buildup").when(up_oi & down_px, "Short Buildup")
-        .when(down_oi & up_px, "Short Covering").when(down_oi & down_px, "Long Unwinding")
-        .otherwise("Neutral"),
+        F.when(up_oi & up_px, LONG_BUILDUP).when(up_oi & down_px, SHORT_BUILDUP)
+        .when(down_oi & up_px, SHORT_COVERING).when(down_oi & down_px, LONG_UNWINDING)
+        .otherwise(NEUTRAL),
     )
 
 
 def confirm_n(fut: DataFrame, n: int = 3) -> DataFrame:
     """The same state, not Neutral, on n rows in a row."""
-    same = F.col("state") != "Neutral"
+    same = F.col("state") != NEUTRAL
     for i in range(1, n):
         same = same & truthy(F.col("state") == lag("state", i, "symbol"))
     return fut.withColumn("confirmed", same)
@@ -104,7 +109,7 @@ def instrument_tag(symbol, instrument, index_tags: tuple[str, ...] = INDEX_TAGS)
 
 def build_spread(signals: DataFrame) -> DataFrame:
     """Strikes and type of the debit spread of a Long or Short Buildup."""
-    long_side = F.col("state") == "Long Buildup"
+    long_side = F.col("state") == LONG_BUILDUP
     width = F.lit(None).cast("double")
     for name, w in INDEX_WIDTHS.items():
         width = F.when(F.col("symbol") == name, w).otherwise(width)
@@ -114,9 +119,9 @@ def build_spread(signals: DataFrame) -> DataFrame:
     )
     otm = F.coalesce(F.when(long_side, atm + width).otherwise(atm - width), far)
     return (
-        signals.where(F.col("state").isin("Long Buildup", "Short Buildup"))
+        signals.where(F.col("state").isin(LONG_BUILDUP, SHORT_BUILDUP))
         .withColumn("option_type", F.when(long_side, "CE").otherwise("PE"))
-        .withColumn("action", F.when(long_side, "Bull Call Spread").otherwise("Bear Put Spread"))
+        .withColumn("action", F.when(long_side, BULL_CALL).otherwise(BEAR_PUT))
         .withColumn("atm_strike", atm)
         .withColumn("otm_strike", otm)
     )
@@ -197,7 +202,7 @@ def spread_exits(spreads: DataFrame, chain: DataFrame, fut: DataFrame) -> DataFr
         F.coalesce("exit_date", "settle_date").alias("exit_date"),
         F.coalesce("exit_premium", "settle_premium").alias("exit_premium"),
         F.coalesce("exit_pnl", "settle_pnl").alias("pnl"),
-        F.when(hit, "50% Profit Exit").otherwise("Expiry").alias("note"),
+        F.when(hit, EARLY_EXIT).otherwise(EXPIRY_EXIT).alias("note"),
     )
 
 

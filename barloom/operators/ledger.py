@@ -11,10 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import div, truthy
 from ..functions.windows import keep_last, lag, running
 from ..schemas import BreakerLimits
+from ..sources.scratch import cut
 from .joins import asof_join
 from .metrics import max_drawdown, sharpe_of
 
@@ -229,18 +231,61 @@ def monthly_vs_benchmark(grid: DataFrame, initial: float, keys=("portfolio",)) -
     )
 
 
-def validate_orders(orders: DataFrame, initial: float) -> DataFrame:
-    """Adds `status`: ok, bad_qty, no_cash or no_shares.
+ORDER_COLS = ["account", "symbol", "side", "qty", "price", "ts", "order_id"]
+
+
+def _as_if_accepted(orders: DataFrame, initial: float) -> DataFrame:
+    """Cash and shares before every order if all sound orders were accepted.
+
+    Sums per hour, running sums over hours, and running sums inside the hour.
+    """
+    buy, sound = F.col("side") == "buy", F.col("qty") > 0
+    cost = F.col("qty") * F.col("price")
+    rows = (
+        orders.select(*ORDER_COLS).withColumn("_h", F.date_trunc("hour", F.col("ts")))
+        .withColumn("_dc", F.when(~sound, 0.0).when(buy, -cost).otherwise(cost))
+        .withColumn("_dq", F.when(~sound, 0.0).when(buy, F.col("qty")).otherwise(-F.col("qty")))
+    )
+    for keys, delta, out in ((["account"], "_dc", "_cash"), (["account", "symbol"], "_dq", "_held")):
+        upto = W.partitionBy(*keys).orderBy("_h").rowsBetween(W.unboundedPreceding, -1)
+        hours = rows.groupBy(*keys, "_h").agg(F.sum(delta).alias("_s")).select(
+            *keys, "_h", F.coalesce(F.sum("_s").over(upto), F.lit(0.0)).alias("_s0")
+        )
+        inside = W.partitionBy(*keys, "_h").orderBy("ts", "order_id").rowsBetween(W.unboundedPreceding, -1)
+        rows = rows.join(hours, [*keys, "_h"]).withColumn(
+            out, F.col("_s0") + F.coalesce(F.sum(delta).over(inside), F.lit(0.0))
+        ).drop("_s0")
+    return rows.withColumn("_cash", F.col("_cash") + F.lit(float(initial)))
+
 
-    A rejected order moves neither cash nor shares, so whether an order stands
-    depends on every earlier order of its account: the rule is sequential
-    within an account. Accounts are spread over partitions and sorted; each
-    task walks its rows batch by batch and carries only cash and share counts,
-    so no account is ever collected.
+def validate_orders(orders: DataFrame, initial: float) -> DataFrame:
+    """Adds `status` (ok, bad_qty, no_cash or no_shares) and `cash_after`.
+
+    A rejected order moves neither cash nor shares. An account that never runs
+    short when everything is accepted has no such rejection, so all its orders
+    stand: that is decided with running sums, in parallel even inside one
+    account. Only accounts that run short somewhere (or come within rounding of
+    it) need their orders walked in sequence: they are sorted, and each task
+    carries cash and share counts from batch to batch without collecting an account.
     """
-    cols = ["account", "symbol", "side", "qty", "price", "ts", "order_id"]
-    rows = orders.select(*cols)
-    schema = rows.schema.add("status", "string").add("cash_after", "double")
+    assumed = _as_if_accepted(orders, initial)
+    cost = F.col("qty") * F.col("price")
+    spare = F.col("_held") - F.col("qty")
+    short = (F.col("qty") > 0) & F.when(
+        F.col("side") == "buy", F.col("_cash") < cost + 1e-6 + F.abs(cost) * 1e-9
+    ).otherwise((spare < 0) | ((spare > 0) & (spare < FLAT)))
+    short_accounts = cut(assumed.where(short).select("account").distinct(), "short")
+    clean = assumed.join(short_accounts, "account", "left_anti").select(
+        *ORDER_COLS, F.when(F.col("qty") > 0, "ok").otherwise("bad_qty").alias("status"),
+        (F.col("_cash") + F.col("_dc")).alias("cash_after"),
+    )
+    return clean.unionByName(_walk_orders(orders.join(short_accounts, "account", "left_semi"), initial))
+
+
+def _walk_orders(orders: DataFrame, initial: float) -> DataFrame:
+    rows = orders.select(*ORDER_COLS)
+    schema = T.StructType([*rows.schema.fields, T.StructField("status", T.StringType()),
+                           T.StructField("cash_after", T.DoubleType())])
 
     def walk(batches):
         account, cash, held = None, initial, {}

@@ -19,6 +19,10 @@ IMPACT = 0.0005
 ADV_TIERS = ((0.02, 0.0050), (0.05, 0.0075), (0.10, 0.0100))
 ADV_TOP = 0.0150
 
+# Status texts of the signal document.
+STATUS_NEW, STATUS_KEPT = "NEW ENTRY", "HOLD (Buffer)"
+STATUS_FLUSHED, STATUS_WATCHED = "CASH SECURED", "OBSERVATION ONLY"
+
 # Volatility bands and bounds of the leverage rule.
 VOL_CALM, VOL_STORM, VOL_TARGET = 0.15, 0.35, 0.30
 LEVERAGE_MIN, LEVERAGE_MAX = 0.5, 1.5
@@ -181,8 +185,8 @@ def label_orders(sized: DataFrame, held: DataFrame, flush: bool = False) -> Data
         j.withColumn("signal", F.when(~active, "TRACK").when(truthy("_h"), "HOLD").otherwise("BUY"))
         .withColumn(
             "tech_status",
-            F.when(~selected, "OBSERVATION ONLY").when(~active, "CASH SECURED")
-            .when(truthy("_h"), "HOLD (Buffer)").otherwise("NEW ENTRY"),
+            F.when(~selected, STATUS_WATCHED).when(~active, STATUS_FLUSHED)
+            .when(truthy("_h"), STATUS_KEPT).otherwise(STATUS_NEW),
         )
         .withColumn("allocation_pct", F.when(active, F.round(F.col("weight") * 100, 1)).otherwise(0.0))
         .withColumn("target_shrs", F.when(active, F.col("target_shrs")).otherwise(F.lit(0)))

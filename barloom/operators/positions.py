@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import div, truthy
 from ..schemas import ExitLimits
+from ..sources.scratch import cut
 from .rank import top_n
 
 
@@ -137,19 +138,34 @@ def barrier_exits(entries: DataFrame, bars: DataFrame, stop: float = 1.5, target
     )
 
 
-def trailing_stop(entries: DataFrame, bars: DataFrame, pct: float = 0.10, slip: float = 0.002,
-                  max_rows: int | None = None) -> DataFrame:
-    """First low at or below the running peak times (1 - pct); filled `slip` below the trigger.
-
-    The peak is the entry price and the highs of the rows between entry and the day before.
-    """
+def _first_breach(entries: DataFrame, bars: DataFrame, pct: float, slip: float, max_rows: int | None) -> DataFrame:
     rows = _later_rows(entries, bars, max_rows)
     w = W.partitionBy("ticker", "entry_date").orderBy("step").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("trigger", F.greatest("entry_price", F.max("high").over(w)) * (1 - pct))
-    first = rows.where(F.col("low") <= F.col("trigger")).groupBy("ticker", "entry_date").agg(
+    return rows.where(F.col("low") <= F.col("trigger")).groupBy("ticker", "entry_date").agg(
         F.min("date").alias("exit_date"), (F.min_by("trigger", "date") * (1 - slip)).alias("fill")
     )
-    return entries.join(first, ["ticker", "entry_date"], "left")
+
+
+NEAR_ROWS = 63
+
+
+def trailing_stop(entries: DataFrame, bars: DataFrame, pct: float = 0.10, slip: float = 0.002,
+                  max_rows: int | None = None) -> DataFrame:
+    """First low at or below the running peak times (1 - pct); filled `slip` below the trigger.
+
+    The peak is the entry price and the highs of the rows between entry and the
+    day before. Most stops fall within a quarter, so every entry first meets
+    its next NEAR_ROWS rows; only entries still open meet the rest of their series.
+    """
+    keys = ["ticker", "entry_date"]
+    if max_rows is not None and max_rows <= NEAR_ROWS:
+        first = _first_breach(entries, bars, pct, slip, max_rows)
+    else:
+        near = cut(_first_breach(entries, bars, pct, slip, NEAR_ROWS), "stops")
+        still_open = entries.join(near, keys, "left_anti")
+        first = near.unionByName(_first_breach(still_open, bars, pct, slip, max_rows))
+    return entries.join(first, keys, "left")
 
 
 def cooldown(entries: DataFrame, days: int = 5) -> DataFrame:

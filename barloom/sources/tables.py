@@ -15,6 +15,11 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.BARS).parquet(path)
 
 
+def unique_bars(bars: DataFrame, order: list[str]) -> DataFrame:
+    """One row per (ticker, date) for bars of unknown origin: the bound the windows rest on."""
+    return keep_last(bars, ["ticker", "date"], order)
+
+
 def write_bars(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Parquet partitioned by year; one shuffle clusters a year's tickers into few files.
 

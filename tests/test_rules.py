@@ -218,3 +218,41 @@ def test_gate_reports_the_first_rule(spark):
     df = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)
     got = {r.ticker: r.reason for r in G.fundamental_gate(df).collect()}
     assert got == {"A": "roce_low", "B": "debt_high", "C": "npa_high", "D": None}
+
+
+def test_order_validation_agrees_with_a_plain_walk(spark):
+    import random
+    rnd = random.Random(9)
+    rows, want, clock = [], {}, dt.datetime(2024, 1, 1)
+    for acc, budget in (("rich", 1e9), ("poor", 300.0), ("mid", 5000.0)):
+        cash, held = 5000.0 if acc != "rich" else 5000.0, {}
+        for i in range(400):
+            clock += dt.timedelta(seconds=rnd.randint(1, 900))
+            sym, price = rnd.choice("XY"), float(rnd.randint(1, 5))
+            q = float(rnd.randint(0, 3 if acc == "rich" else 60))
+            side = "sell" if (acc == "rich" and held.get(sym, 0) >= q and i % 2) or (acc != "rich" and rnd.random() < 0.4) else "buy"
+            if not q > 0:
+                s = "bad_qty"
+            elif side == "buy":
+                s = "ok" if cash >= q * price else "no_cash"
+                if s == "ok":
+                    cash, held[sym] = cash - q * price, held.get(sym, 0.0) + q
+            else:
+                s = "ok" if held.get(sym, 0.0) >= q else "no_shares"
+                if s == "ok":
+                    cash, held[sym] = cash + q * price, held[sym] - q
+            oid = f"{acc}{i:04d}"
+            want[oid] = (s, round(cash, 6))
+            rows.append((acc, sym, side, q, price, clock, oid))
+    o = spark.createDataFrame(rows, "account string, symbol string, side string, qty double, price double, ts timestamp_ntz, order_id string")
+    got = {r.order_id: (r.status, round(r.cash_after, 6)) for r in L.validate_orders(o, 5000.0).collect()}
+    assert got == want
+    assert {s for s, _ in want.values()} == {"ok", "bad_qty", "no_cash", "no_shares"}
+
+
+def test_trailing_stop_beyond_the_first_quarter(spark):
+    b = bars(spark, [100.0] * 80 + [120.0, 110.0, 107.0, 100.0])
+    e = spark.createDataFrame([("T", day(0), 100.0), ("T", day(81), 110.0)], "ticker string, entry_date date, entry_price double")
+    out = {r.entry_date: (r.exit_date, r.fill) for r in PO.trailing_stop(e, b, 0.10).collect()}
+    assert out[day(0)] == (day(82), pytest.approx(120.0 * 0.9 * 0.998))
+    assert out[day(81)] == (None, None)
