@@ -7,24 +7,27 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_ROOTS: dict[str, str] = {}
-
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session.
+    """spark.checkpoint.dir of the session; an error where it is unset.
 
-    Where it is unset, a temporary folder stands in on a local master only; on a
-    cluster a machine-local folder would be lost with its machine, so that is an error.
+    There is no fallback: a machine-local folder on a cluster is lost with its machine
+    and invisible to the other ones.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not root:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="barloom-")
-    return _LOCAL_ROOTS[app]
+    return root.rstrip("/")
+
+
+def ensure_local_root(spark: SparkSession) -> None:
+    """For single-machine runs (tests, bench, driver): set a folder of this machine where none is set.
+
+    Only for the masters local and local[...], whose tasks run in the driver's process.
+    """
+    master = spark.sparkContext.master
+    if not spark.conf.get("spark.checkpoint.dir", None) and (master == "local" or master.startswith("local[")):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="barloom-"))
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:

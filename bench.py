@@ -24,6 +24,7 @@ def main() -> None:
     from pyspark.sql import SparkSession
 
     from barloom import catalog
+    from barloom.sources.scratch import ensure_local_root
 
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]").appName("bench")
@@ -33,6 +34,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ensure_local_root(spark)
     queries, _ = catalog.load()
     spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count()
     times = {}

@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -12,14 +11,15 @@ sys.path.insert(0, ROOT)
 def spark():
     from pyspark.sql import SparkSession
 
+    from barloom.sources.scratch import ensure_local_root
+
     s = (
         SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="barloom-tests-"))
+    ensure_local_root(s)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
