@@ -35,3 +35,22 @@ SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first_id THEN first_id END AS refers_to, true AS verified
 FROM d"""
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: All windows of all texts, joined.
+DECONTAMINATE = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+b2 AS (SELECT *, least(10, len(ws)) AS m FROM b WHERE len(ws) > 0),
+bw AS (SELECT DISTINCT item_id, m, array_to_string(list_slice(ws, i, i + m - 1), ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(ws) - m + 2)) AS i FROM b2)),
+dw AS (SELECT doc_id, m, i, array_to_string(list_slice(ws, i, i + m - 1), ' ') AS g
+  FROM (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM b2) WHERE len(ws) >= m)),
+hit AS (SELECT doc_id, item_id, dw.m, i FROM dw JOIN bw ON dw.m = bw.m AND dw.g = bw.g),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hit) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::varchar AS item_id FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(ws)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)"""
