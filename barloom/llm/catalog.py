@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, quality_rules, warc
+from barloom.llm import decontaminate, language_id, line_crf, quality_rules, warc
+from barloom.llm.common import crc_of
 from barloom.llm import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +50,24 @@ def op3(spark, sf):
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
                         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def quality_model(spark: SparkSession, sf: str):
+    """Fitted on the labelled documents whose remainder is not 0."""
+    docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels").select("doc_id", "quality")
+    return line_crf.train(docs.where(crc_of("doc_id") % 5 != 0).join(labels, "doc_id"))
+
+
+@query("op2_quality_classifier")
+def op2(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return line_crf.scored(docs, quality_model(spark, sf)).select(
+        "doc_id", F.coalesce(crc_of("doc_id") % 5 == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op6_language_id")
+def op6(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(crc_of("doc_id") % 4 != 2))
+    return language_id.predicted(docs.drop("lang"), model).select(
+        "doc_id", F.coalesce(crc_of("doc_id") % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -47,3 +47,18 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 def crc_of(col: str):
     """crc32 of a key written as text, as the contracts of held-out rows define it."""
     return F.crc32(F.col(col).cast("string").cast("binary"))
+
+
+def hash_sample(df: DataFrame, group: str, key: str, text: str, per_group: int) -> DataFrame:
+    """About per_group rows of each value of a column with few values, chosen by a hash of key and text.
+
+    Counts come first, then a row decides for itself: nothing is sorted or moved.
+    The number of rows is per_group in expectation, with the spread of a binomial count.
+    """
+    counts = {r[0]: r[1] for r in df.groupBy(group).count().collect()}
+    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit(7)), F.lit(1 << 30))
+    chosen = F.lit(False)
+    for value, n in sorted(counts.items(), key=str):
+        if value is not None:
+            chosen = chosen | ((F.col(group) == value) & (draw < int((1 << 30) * min(1.0, per_group / n))))
+    return df.where(chosen)
