@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, language_id, line_crf, quality_rules, warc
+from barloom.llm import decontaminate, html_text, language_id, line_crf, quality_rules, warc
 from barloom.llm.common import crc_of
 from barloom.llm import sql as S
 
@@ -71,3 +71,9 @@ def op6(spark, sf):
     model = language_id.train(docs.where(crc_of("doc_id") % 4 != 2))
     return language_id.predicted(docs.drop("lang"), model).select(
         "doc_id", F.coalesce(crc_of("doc_id") % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_html_extraction")
+def op8(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    return html_text.extracted(pages).select("page_id", "url", F.col("text_").alias("text"), F.length("text_").cast("long").alias("n_chars"))
