@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, html_text, language_id, line_crf, quality_rules, warc
+from barloom.llm import decontaminate, html_text, language_id, line_crf, quality_rules, sentencepiece_codec, warc
 from barloom.llm.common import crc_of
 from barloom.llm import sql as S
 
@@ -77,3 +77,10 @@ def op6(spark, sf):
 def op8(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "url", "html")
     return html_text.extracted(pages).select("page_id", "url", F.col("text_").alias("text"), F.length("text_").cast("long").alias("n_chars"))
+
+
+@query("op10_sentencepiece")
+def op10(spark, sf):
+    vocabulary = sentencepiece_codec.Vocabulary.load()
+    found = sentencepiece_codec.checked(table(spark, sf, "documents").select("doc_id", "text"), vocabulary)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
