@@ -2,8 +2,9 @@
 
 The automaton over all pieces reads a text once. At each position it reports the
 pieces that end there, following output links, and each one relaxes the best
-score of that position: best[end] = max(best[start] + score). Characters without
-a piece fall back to byte pieces.
+score of that position: best[end] = max(best[start] + score). Characters that
+are in no piece are written as byte pieces; every character of a longer piece is
+a piece of its own (checked when the model is built).
 
 Pieces hold the space mark at their front only (checked when the model is
 built), so no piece crosses the front of a marked word and the best path of a
@@ -15,7 +16,7 @@ mark in the text itself is written as bytes; the reference library would turn it
 into a space.
 
 Defined cases: a null text has no ids (empty array) and decodes to the empty
-text. Ties between paths go to the longer last piece. Repeated rows are encoded
+text. Ties between paths go to the first one found: the longer last piece. Repeated rows are encoded
 each. Columns of the input pass through under any name but the new one.
 """
 
@@ -35,8 +36,7 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose paths a task keeps, and the length up to which it keeps them.
 KEPT_WORDS, KEPT_CHARS = 200_000, 40
 CHUNK = re.compile(rf"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Less than any piece has, per byte.
-BYTE_PENALTY = 10.0
+NEVER = float("-inf")
 
 
 class Vocabulary:
@@ -69,46 +69,50 @@ class Codec:
                     raise ValueError("a piece holds the space mark behind its front")
                 self.automaton.add_word(piece, (len(piece), v.scores[i], i))
         self.automaton.make_automaton()
-        self.low = min(v.scores) - BYTE_PENALTY
-        self.kept: dict[str, list[int]] = {}
-        self.bytes = {i: bytes([b]) for b, i in v.byte_ids.items()}
-        self.out = {i: p.replace(MARK, " ").encode() for i, p in enumerate(v.pieces) if v.normal[i]} | self.bytes
+        self.lengths = [len(p) for p in v.pieces]
+        self.single = {p for i, p in enumerate(v.pieces) if v.normal[i] and len(p) == 1}
+        if any(v.normal[i] and not self.single.issuperset(p) for i, p in enumerate(v.pieces)):
+            raise ValueError("a piece holds a character that is no piece of its own")
+        # Two generations: when the young one is full it becomes the old one, so frequent words stay.
+        self.young: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
+        self.out = {i: p.replace(MARK, " ").encode() for i, p in enumerate(v.pieces) if v.normal[i]} | {i: bytes([b]) for b, i in v.byte_ids.items()}
 
     def viterbi(self, chunk: str) -> list[int]:
         """Best path of a chunk in one pass of the automaton."""
+        if not self.single.issuperset(chunk):
+            return self._with_bytes(chunk)
         n = len(chunk)
-        best = [0.0] + [None] * n
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
-        done = 0
-
-        def fall_back(upto: int) -> None:
-            # Positions that no piece reaches: one character as bytes.
-            for e in range(done + 1, upto + 1):
-                if best[e] is None:
-                    best[e] = best[e - 1] + self.low * len(chunk[e - 1].encode())
-                    back[e] = (e - 1, -1)
-
+        best = [NEVER] * (n + 1)
+        best[0] = 0.0
+        back = [0] * (n + 1)
         for last, (length, score, i) in self.automaton.iter(chunk):
-            end = last + 1
-            if end > done + 1:
-                fall_back(end - 1)
-                done = end - 1
-            total = best[end - length] + score
-            if best[end] is None or total > best[end]:
-                best[end], back[end] = total, (end - length, i)
-        fall_back(n)
+            last += 1
+            total = best[last - length] + score
+            if total > best[last]:
+                best[last] = total
+                back[last] = i
         ids: list[int] = []
-        at = n
-        while at:
-            start, i = back[at]
-            if i >= 0:
-                ids.append(i)
-            else:
-                ids.extend(self.v.byte_ids[b] for b in reversed(chunk[start:at].encode()))
-            at = start
+        lengths = self.lengths
+        while n:
+            ids.append(back[n])
+            n -= lengths[back[n]]
         ids.reverse()
         return ids
 
+    def _with_bytes(self, chunk: str) -> list[int]:
+        """A chunk that holds characters without a piece: these cut it, as no piece crosses them."""
+        ids: list[int] = []
+        run: list[str] = []
+        for c in chunk:
+            if c in self.single:
+                run.append(c)
+                continue
+            ids += self.viterbi("".join(run)) if run else []
+            run.clear()
+            ids += [self.v.byte_ids[b] for b in c.encode()]
+        return ids + (self.viterbi("".join(run)) if run else [])
+
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
@@ -123,15 +127,16 @@ class Codec:
 
     def _marked(self, text: str) -> list[int]:
         ids: list[int] = []
-        kept = self.kept
+        young = self.young.get
         for chunk in CHUNK.findall(text):
-            found = kept.get(chunk)
+            found = young(chunk)
             if found is None:
-                found = self.viterbi(chunk)
+                found = self.old.get(chunk) or self.viterbi(chunk)
                 if len(chunk) <= KEPT_CHARS:
-                    if len(kept) >= KEPT_WORDS:
-                        kept.clear()
-                    kept[chunk] = found
+                    if len(self.young) >= KEPT_WORDS:
+                        self.old, self.young = self.young, {}
+                        young = self.young.get
+                    self.young[chunk] = found
             ids += found
         return ids
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.sources.scratch import scratch_dir
+from barloom.sources.scratch import cut, scratch_dir
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
@@ -43,21 +43,21 @@ def payload_digest(payload: Column) -> Column:
 
 
 def records(pages: DataFrame, record_id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0) -> DataFrame:
-    """record_id, url, payload (binary), payload_key, record_type, refers_to.
+    """record_id, url, payload_key, payload_digest, payload_bytes, record_type, refers_to, first_id.
 
-    Only digests and ids are exchanged to find the first record of each payload.
+    Digests are worked out where the payload is read; only they and ids are exchanged.
     """
-    raw = pages.select(
+    raw = F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary")
+    slim = pages.select(
         F.col(record_id).alias("record_id"), F.coalesce(F.regexp_replace(F.col(url), r"[\r\n]+", "%0A"), F.lit("")).alias("url"),
-        F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary").alias("payload"),
-    ).withColumn("payload_key", F.sha2("payload", 256))
-    first = raw.groupBy("payload_key").agg(F.min("record_id").alias("first_id"))
-    out = raw.join(first, "payload_key")
-    response = (F.length("payload") < min_bytes) | F.col("record_id").eqNullSafe(F.col("first_id"))
-    return out.select(
-        "record_id", "url", "payload", "payload_key",
+        F.sha2(raw, 256).alias("payload_key"), F.sha1(raw).alias("sha1_"), F.length(raw).cast("long").alias("payload_bytes"))
+    slim = cut(slim, "payload-digests")
+    first = slim.groupBy("payload_key").agg(F.min("record_id").alias("first_id"))
+    response = (F.col("payload_bytes") < min_bytes) | F.col("record_id").eqNullSafe(F.col("first_id"))
+    return slim.join(first, "payload_key").select(
+        "record_id", "url", "payload_key", base32_of_hex(F.col("sha1_")).alias("payload_digest"), "payload_bytes",
         F.when(response, F.lit("response")).otherwise(F.lit("revisit")).alias("record_type"),
-        F.when(~response, F.col("first_id")).alias("refers_to"),
+        F.when(~response, F.col("first_id")).alias("refers_to"), "first_id",
     )
 
 
@@ -75,13 +75,13 @@ def header_text(date: str = WARC_DATE) -> Column:
         line("WARC-Record-ID", urn(F.col("record_id"))),
         line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.col("url")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), payload_digest(F.col("payload")))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         F.when(revisit, F.concat(
             line("WARC-Refers-To", urn(F.col("refers_to"))),
             line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         )).otherwise(F.lit("")),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
-        line("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.length("payload")).cast("string")),
+        line("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes")).cast("string")),
         F.lit(CRLF),
     )
 
@@ -95,8 +95,7 @@ def write_archive(pages: DataFrame, path: str, record_id: str = "page_id", url:
     recs = records(pages, record_id, url, payload, min_bytes)
     recs.select("record_id", header_text().cast("binary").alias("header"), "payload_key").write.parquet(f"{path}/headers")
     ids = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    slim = records(pages, record_id, url, payload, 0).where("record_type = 'response'")
-    chosen = slim.select(ids(F.col("record_id")).alias("holder"), "payload_key").distinct()
+    chosen = recs.select(ids(F.col("first_id")).alias("holder"), "payload_key").distinct()
     raw = pages.select(ids(F.col(record_id)).alias("holder"), F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary").alias("payload"))
     raw = raw.withColumn("payload_key", F.sha2("payload", 256))
     kept = raw.join(chosen, ["holder", "payload_key"], "left_semi").dropDuplicates(["holder", "payload_key"])
