@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, html_text, language_id, line_crf, quality_rules, sentencepiece_codec, warc
+from barloom.llm import chosen_path, decontaminate, html_text, language_id, line_crf, quality_rules, sentencepiece_codec, warc
 from barloom.llm.common import crc_of
 from barloom.llm import sql as S
 
@@ -84,3 +84,8 @@ def op10(spark, sf):
     vocabulary = sentencepiece_codec.Vocabulary.load()
     found = sentencepiece_codec.checked(table(spark, sf, "documents").select("doc_id", "text"), vocabulary)
     return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
+
+
+@query("op7_chosen_path_join", S.NEAR_DUPLICATES)
+def op7(spark, sf):
+    return chosen_path.near_duplicates(table(spark, sf, "documents"))

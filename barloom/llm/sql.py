@@ -54,3 +54,18 @@ it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item
 SELECT doc_id, len(ws)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+#: Jaccard similarity of all pairs of distinct shingle sets with a common shingle; classes by a recursive walk.
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')))) AS sh
+  FROM w WHERE len(ws) > 0),
+k AS MATERIALIZED (SELECT min(doc_id) AS rep, count(*) AS copies, sh, len(sh) AS n FROM s GROUP BY sh),
+e AS MATERIALIZED (SELECT rep, n, unnest(sh) AS g FROM k),
+p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.g = b.g AND a.rep <> b.rep GROUP BY a.rep, b.rep),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 5 * c >= 4 * (na + nb - c)),
+walk(a, b) AS (SELECT a, b FROM l UNION SELECT walk.a, l.b FROM walk JOIN l ON walk.b = l.a),
+cls AS (SELECT a, least(a, min(b)) AS root FROM walk GROUP BY a),
+o AS (SELECT l.a, sum(copies) AS others FROM l JOIN k ON l.b = k.rep GROUP BY l.a)
+SELECT w.doc_id, coalesce(cls.root, k.rep, w.doc_id) AS class_id, coalesce(k.copies - 1 + coalesce(others, 0), 0)::bigint AS n_links
+FROM w LEFT JOIN s USING (doc_id) LEFT JOIN k ON s.sh = k.sh LEFT JOIN cls ON cls.a = k.rep LEFT JOIN o ON o.a = k.rep"""
