@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chosen_path, decontaminate, html_text, language_id, line_crf, quality_rules, sentencepiece_codec, warc
+from barloom.llm import chosen_path, decontaminate, html_text, language_id, license_scan, line_crf, quality_rules, sentencepiece_codec, tool_calls, warc
 from barloom.llm.common import crc_of
 from barloom.llm import sql as S
 
@@ -89,3 +89,14 @@ def op10(spark, sf):
 @query("op7_chosen_path_join", S.NEAR_DUPLICATES)
 def op7(spark, sf):
     return chosen_path.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op1_license_scan", S.LICENCES)
+def op1(spark, sf):
+    return license_scan.scan(license_scan.corpus_files(table(spark, sf, "documents")), keep=("doc_id",))
+
+
+@query("op4_tool_calls", S.TOOL_CALLS)
+def op4(spark, sf):
+    found = tool_calls.formatted(*tool_calls.conversation_calls(table(spark, sf, "conversations")))
+    return found.withColumn("errors", F.array_join("errors", ","))

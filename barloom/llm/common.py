@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,3 +62,8 @@ def hash_sample(df: DataFrame, group: str, key: str, text: str, per_group: int)
         if value is not None:
             chosen = chosen | ((F.col(group) == value) & (draw < int((1 << 30) * min(1.0, per_group / n))))
     return df.where(chosen)
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A small frame of literals that needs no Python worker."""
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows])))

@@ -132,8 +132,7 @@ def shared_windows(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", te
         part = extend(aligned, split_near(texts, aligned), own)
         spans = part if spans is None else spans.unionByName(part)
     if spans is None:
-        return docs.sparkSession.createDataFrame([], "doc_id string, item string, item_size int, start int") \
-            .withColumn("doc_id", F.lit(None).cast(docs.schema[doc_id].dataType))
+        return docs.where(F.lit(False)).select(F.col(doc_id).alias("doc_id"), F.lit("").alias("item"), F.lit(0).alias("item_size"), F.lit(0).alias("start"))
     return spans
 
 

@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries, written from their contracts."""
 
+from barloom.llm.license_scan import TEMPLATES
+
 #: Words, lines and 8-word windows of every text; hosts shrunk with the moment estimate of a beta prior.
 QUALITY_RULES = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
@@ -69,3 +71,44 @@ cls AS (SELECT a, least(a, min(b)) AS root FROM walk GROUP BY a),
 o AS (SELECT l.a, sum(copies) AS others FROM l JOIN k ON l.b = k.rep GROUP BY l.a)
 SELECT w.doc_id, coalesce(cls.root, k.rep, w.doc_id) AS class_id, coalesce(k.copies - 1 + coalesce(others, 0), 0)::bigint AS n_links
 FROM w LEFT JOIN s USING (doc_id) LEFT JOIN k ON s.sh = k.sh LEFT JOIN cls ON cls.a = k.rep LEFT JOIN o ON o.a = k.rep"""
+
+_TEMPLATE_ROWS = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
+
+#: Every line of every text against every template.
+LICENCES = rf"""
+WITH tpl(k, licence, text) AS (VALUES {_TEMPLATE_ROWS}),
+tt AS (SELECT k, licence, t, count(*) AS tf FROM (SELECT k, licence, trim(unnest(string_split_regex(lower(text), '[^a-z0-9.]+')), '.') AS t FROM tpl) WHERE t <> '' GROUP BY ALL),
+idf AS (SELECT t, ln((1 + (SELECT count(*) FROM tpl)) / (1 + count(*))) + 1 AS idf FROM tt GROUP BY t),
+tv AS (SELECT k, licence, t, tf * idf AS w, sqrt(sum((tf * idf) ^ 2) OVER (PARTITION BY k)) AS n FROM tt JOIN idf USING (t)),
+f AS (SELECT doc_id, text, '/' || coalesce(source, 'none') || '/p' || lpad((doc_id // 1000)::varchar, 5, '0') AS package, doc_id % 1000 // 50 AS m FROM documents),
+files AS (SELECT doc_id, text, CASE WHEN doc_id % 1000 = 0 THEN package ELSE package || '/m' || lpad(m::varchar, 2, '0') END AS dir,
+  CASE WHEN doc_id % 50 = 0 THEN 'LICENSE' ELSE 'f' || doc_id || '.txt' END AS name, package FROM f),
+ln AS (SELECT DISTINCT dir || '/' || name AS path, i, line FROM (SELECT dir, name, unnest(string_split(lower(text), chr(10))) AS line, generate_subscripts(string_split(lower(text), chr(10)), 1) - 1 AS i FROM files)),
+lt AS (SELECT path, i, t, count(*) AS tf FROM (SELECT path, i, trim(unnest(string_split_regex(line, '[^a-z0-9.]+')), '.') AS t FROM ln) WHERE t <> '' GROUP BY ALL),
+lv AS (SELECT path, i, t, tf * coalesce(idf, ln(1 + (SELECT count(*) FROM tpl)) + 1) AS x FROM lt LEFT JOIN idf USING (t)),
+nn AS (SELECT path, i, sqrt(sum(x * x)) AS n FROM lv GROUP BY ALL),
+cs AS (SELECT lv.path, lv.i, tv.k, tv.licence, round(sum(x * w) / any_value(tv.n) / any_value(nn.n), 9) AS score
+  FROM lv JOIN tv USING (t) JOIN nn ON nn.path = lv.path AND nn.i = lv.i GROUP BY ALL),
+own AS (SELECT path, licence, score FROM cs WHERE score >= 0.8 QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, licence, i) = 1),
+dl AS (SELECT dir, licence FROM (SELECT DISTINCT dir, dir || '/' || name AS path FROM files WHERE name = 'LICENSE') JOIN own USING (path))
+SELECT doc_id, files.dir || '/' || name AS path, own.licence AS stated, own.score AS score,
+  CASE WHEN own.licence IS NULL THEN coalesce(a.licence, b.licence) END AS inherited,
+  CASE WHEN own.licence IS NULL THEN CASE WHEN a.licence IS NOT NULL THEN files.dir WHEN b.licence IS NOT NULL THEN package END END AS from_dir,
+  coalesce(own.licence, a.licence, b.licence) AS in_force
+FROM files LEFT JOIN own ON own.path = files.dir || '/' || name LEFT JOIN dl a ON a.dir = files.dir LEFT JOIN dl b ON b.dir = package"""
+
+#: Calls and results of the turns; levels by a recursive walk.
+TOOL_CALLS = r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, role, text, CASE WHEN turn = 0 THEN NULL WHEN turn < 2 THEN 0 ELSE 2 * (turn // 2 // 2) + turn % 2 END AS dep
+  FROM conversations WHERE role IN ('user', 'system')),
+ok AS (SELECT c.*, EXISTS (SELECT 1 FROM c d WHERE d.conv_id = c.conv_id AND d.turn = c.dep) AS has FROM c),
+lv AS (SELECT conv_id, turn, 0 AS level FROM ok WHERE dep IS NULL OR NOT has
+  UNION ALL SELECT ok.conv_id, ok.turn, lv.level + 1 FROM lv JOIN ok ON ok.conv_id = lv.conv_id AND ok.dep = lv.turn AND ok.has),
+r AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+j AS (SELECT ok.conv_id, ok.turn, 'call_' || ok.turn AS call_id, CASE WHEN role = 'user' THEN 'ask' ELSE 'setup' END AS tool, lv.level,
+    CASE WHEN role = 'user' THEN '{"first":' || (ok.turn = 0)::varchar || ',"query":' || to_json(ok.text) || ',"words":' || len(string_split(ok.text, ' ')) || '}'
+      ELSE '{"prompt":' || to_json(ok.text) || '}' END AS canonical, r.text AS result, r.turn AS result_turn, (r.turn IS NOT NULL)::bigint AS n_results,
+    array_to_string(list_filter([CASE WHEN ok.dep IS NOT NULL AND NOT has THEN 'dependency' END, CASE WHEN role = 'system' THEN 'missing:limit' END,
+      CASE WHEN r.turn IS NULL THEN 'no_result' END], lambda x: x IS NOT NULL), ',') AS errors
+  FROM ok JOIN lv ON lv.conv_id = ok.conv_id AND lv.turn = ok.turn LEFT JOIN r ON r.conv_id = ok.conv_id AND r.turn = ok.turn + 1)
+SELECT *, errors = '' AS valid, CASE WHEN errors = '' THEN '{"arguments":' || canonical || ',"id":"' || call_id || '","name":"' || tool || '","result":' || to_json(result) || '}' END AS message FROM j"""
