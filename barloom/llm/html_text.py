@@ -1,7 +1,7 @@
 """Main text of web pages by consensus paths per host.
 
-Each page proposes its containers with a score (text in blocks, less text in
-links). A container is named by its generalised path: tags and classes from the
+Each page proposes its containers with a score (the share of the text that they
+hold, less for text further in). A container is named by its generalised path: tags and classes from the
 root, digits made equal. Proposals are voted on per host in Spark, then every
 page is extracted again from the containers that lie on its host's winning
 path; a page without such a container uses its own best one.
@@ -178,11 +178,16 @@ def _containers(blocks: list[tuple[Element, str]]) -> dict[int, Element]:
 
 
 def proposals(page: str | None) -> tuple[list[str], list[int]]:
-    """Paths of a page's containers and their scores; a path that occurs twice has the sum."""
+    """Paths of a page's containers and their scores, in thousandths of the page's text.
+
+    A path that occurs twice has the sum. As shares, long pages do not outvote others.
+    """
+    blocks = walk(page)
     scores: dict[str, int] = {}
-    for c in _containers(walk(page)).values():
+    for c in _containers(blocks).values():
         scores[c.path] = scores.get(c.path, 0) + c.score
-    return list(scores), list(scores.values())
+    whole = sum(len(text) for _, text in blocks)
+    return list(scores), [1000 * s // whole for s in scores.values()]
 
 
 def main_text(page: str | None, winner: str | None) -> str:
