@@ -10,11 +10,14 @@ from ..operators import rank as K
 from ..operators import regime as R
 from ..plans.backtest import month_end_panel
 from ..plans.screen import screen_indicators  # noqa: F401
+from ..operators.calendar import month_end_dates
 from ..sources import adapters as A
+from ..sources.scratch import cut
 from .base import BARS, BRAND_BARS, INDEX, key_sql, lagx, over, ret_sql, roll
 
 def panel(s, d):
-    return month_end_panel(A.bars(s, d))
+    """Written once: book and prices read it several times."""
+    return cut(month_end_panel(A.bars(s, d)), "panel")
 
 
 IND_SQL = f"""ind AS MATERIALIZED (SELECT *, {lagx('close', 21)} / nullif({lagx('close', 252)}, 0) - 1 AS mom,
@@ -57,19 +60,26 @@ def _fold_sql(name: str, depth: int, step: str) -> str:
 
 
 _KEPT = "list_filter(NAMES[1:15], lambda x: list_contains(HELD, x))"
-HOLD_SQL = _fold_sql("hold", 20, f"""list_concat({_KEPT},
-    list_filter(NAMES, lambda x: NOT list_contains({_KEPT}, x))[1:greatest(0, 5 - len({_KEPT}))])""")
+HOLD_STEP = f"""list_concat({_KEPT},
+    list_filter(NAMES, lambda x: NOT list_contains({_KEPT}, x))[1:greatest(0, 5 - len({_KEPT}))])"""
+HOLD_SQL = _fold_sql("hold", 20, HOLD_STEP)
 HOLD_V1_SQL = _fold_sql("holdv", 15, f"""CASE WHEN len(NAMES) < 5 THEN NAMES ELSE list_concat({_KEPT},
     list_filter(NAMES[1:5], lambda x: NOT list_contains({_KEPT}, x)))[1:5] END""")
 
 
-def book(s, d):
+def book(s, d, pan=None):
     """Monthly momentum book with capped momentum weights: config_id, date, ticker, weight."""
-    pan = panel(s, d)
-    sel = P.hold_buffer(ranked_of(pan), 5, 15).join(pan.select("date", "ticker", "mom", "close"), ["date", "ticker"])
+    pan = pan or panel(s, d)
+    sel = P.hold_buffer(ranked_of(pan), 5, 15, dates=pan).join(pan.select("date", "ticker", "mom", "close"), ["date", "ticker"])
     return P.cap_weights(P.momentum_weights(sel, keys=("config_id", "date")), 0.30, 5, ("config_id", "date"))
 
 
+def book_and_panel(s, d):
+    """The book, the panel that it is chosen from, and the rebalance dates."""
+    pan = panel(s, d)
+    return cut(book(s, d, pan), "book"), pan, month_end_dates(pan)
+
+
 def cap_sql(src: str, out: str, cap: float = 0.30, rounds: int = 5, key: str = "config_id, date") -> str:
     """Unrolled clipping rounds from src(weight) to out(weight)."""
     parts, prev = [], f"(SELECT *, false AS capped FROM {src})"

@@ -13,7 +13,7 @@ from ..sources.scratch import cut
 from . import frames as X
 from .base import BARS, ORACLES, query, r6, regime_sql, with_
 from .q_joins import PAIRS_SQL  # noqa: F401
-from .q_portfolio import CHANGES, r
+from .q_portfolio import r
 
 SCREEN = f"""lr AS (SELECT * FROM ind QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1),
 now AS (SELECT coalesce(bullish, false) AS bullish, CASE WHEN NOT bullish THEN 0.55::double WHEN streak < 22 THEN 0.55::double ELSE 1.10::double END AS lev
@@ -48,23 +48,43 @@ def _factor(s, d):
     return r(sig.select("ticker", "sector", "position", "z_score", "signal_type", "effective_cost", "vol_ratio", "partner"), "position", "z_score", "vol_ratio")
 
 
-DAILY_NET = """rw AS (SELECT b.date, b.ticker, b.slot, weight * CASE WHEN NOT coalesce(bullish, false) THEN 0 WHEN streak < 22 THEN 0.55 ELSE 1.10 END AS weight
-  FROM book0 b LEFT JOIN regime g ON g.date = b.date),
-book AS MATERIALIZED (SELECT * FROM rw WHERE weight > 0)"""
+# The back-test in SQL, from the rule: every month end is a rebalance; in a bear state the book is empty and the
+# holdings are forgotten; weights carry the exposure; a name's first day in a period and days without its bar count 0.
+_STEP = X.HOLD_STEP
+BACKTEST = f"""cal AS MATERIALIZED (SELECT me.date, row_number() OVER (ORDER BY me.date) AS i, lead(me.date) OVER (ORDER BY me.date) AS nd,
+    CASE WHEN NOT coalesce(g.bullish, false) THEN 0 WHEN g.streak < 22 THEN 0.55::double ELSE 1.10::double END AS ex
+  FROM me LEFT JOIN regime g ON g.date = me.date),
+cn AS MATERIALIZED (SELECT cal.date, i, CASE WHEN ex = 0 THEN cast([] AS varchar[]) ELSE coalesce(list(ticker ORDER BY rank) FILTER (ticker IS NOT NULL), cast([] AS varchar[])) END AS names
+  FROM cal LEFT JOIN ranked r ON r.date = cal.date GROUP BY cal.date, i, ex),
+wk AS (SELECT i, date, {_STEP.replace('HELD', "cast([] AS varchar[])").replace('NAMES', 'names')} AS book FROM cn WHERE i = 1
+  UNION ALL SELECT n.i, n.date, {_STEP.replace('HELD', 'w.book').replace('NAMES', 'n.names')} FROM wk w JOIN cn n ON n.i = w.i + 1),
+held AS (SELECT 1 AS config_id, u.date, u.ticker, p.mom FROM (SELECT date, unnest(book) AS ticker FROM wk) u JOIN panel p ON p.date = u.date AND p.ticker = u.ticker),
+mw AS (SELECT *, {X._MW} AS weight FROM held WINDOW k AS (PARTITION BY config_id, date)),
+{X.cap_sql('mw', 'capped_book')},
+book AS MATERIALIZED (SELECT b.date, b.ticker, weight * ex AS weight FROM capped_book b JOIN cal ON cal.date = b.date),
+bd AS MATERIALIZED (SELECT date, nd FROM cal WHERE date >= (SELECT min(date) FROM book)),
+od AS (SELECT nd AS date, ticker, weight AS w0 FROM book JOIN bd USING (date) WHERE nd IS NOT NULL),
+dr AS (SELECT coalesce(b.date, od.date) AS entry, sum(abs(coalesce(weight, 0) - coalesce(w0, 0))) * 0.0015 AS drag
+  FROM book b FULL JOIN od ON od.date = b.date AND od.ticker = b.ticker GROUP BY 1),
+dz AS (SELECT entry, date, sum(weight * coalesce(close / prev - 1, 0)) AS ret FROM (
+  SELECT b.date AS entry, b.weight, x.date, x.close, lag(x.close) OVER (PARTITION BY b.ticker, b.date ORDER BY x.date) AS prev
+  FROM book b JOIN bd ON bd.date = b.date JOIN bars x ON x.ticker = b.ticker AND x.date > b.date AND x.date <= nd) GROUP BY 1, 2),
+dy AS (SELECT bd.date AS entry, c.date, coalesce(ret, 0) AS ret FROM bd JOIN (SELECT DISTINCT date FROM bars) c ON c.date > bd.date AND c.date <= nd
+  LEFT JOIN dz ON dz.entry = bd.date AND dz.date = c.date),
+nt AS MATERIALIZED (SELECT date, ret - CASE WHEN row_number() OVER (PARTITION BY dy.entry ORDER BY date) = 1 THEN coalesce(drag, 0) ELSE 0 END AS ret FROM dy LEFT JOIN dr ON dr.entry = dy.entry),
+eq AS MATERIALIZED (SELECT date, ret, exp(sum(ln(1 + ret)) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS capital FROM nt)"""
+_BT = (BARS, X.PANEL_SQL, X.RANKED_SQL, regime_sql(), BACKTEST)
 
 
-@query("backtest_momentum_equity", with_(
-    BARS, X.PANEL_SQL, X.RANKED_SQL, X.BOOK_SQL.replace("book AS MATERIALIZED", "book0 AS MATERIALIZED").replace("book_", "bk_"), regime_sql(), DAILY_NET, CHANGES,
-    """dy AS (SELECT entry, date, avg(coalesce(close / prev - 1, 0)) * 1.1 AS ret FROM (
-  SELECT b.date AS entry, x.date, x.close, lag(x.close) OVER (PARTITION BY b.ticker, b.date ORDER BY x.date) AS prev
-  FROM book b JOIN bd ON bd.date = b.date JOIN bars x ON x.ticker = b.ticker AND x.date > b.date AND x.date <= nd) GROUP BY 1, 2),
-dr AS (SELECT date AS entry, sum(abs(w1 - w0)) * 0.0015 * 1.1 AS drag FROM chg GROUP BY date),
-nt AS (SELECT date, ret - CASE WHEN row_number() OVER (PARTITION BY dy.entry ORDER BY date) = 1 THEN coalesce(drag, 0) ELSE 0 END AS ret FROM dy LEFT JOIN dr ON dr.entry = dy.entry)""",
-    recursive=True, body=f"SELECT date, {r6('ret')} AS ret, {r6('exp(sum(ln(1 + ret)) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))')} AS capital FROM nt"))
+@query("backtest_momentum_equity", with_(*_BT, recursive=True, body=f"SELECT date, {r6('ret')} AS ret, {r6('capital')} AS capital FROM eq"))
 def _equity(s, d):
     return r(BT.backtest(A.bars(s, d))[0], "ret", "capital").select("date", "ret", "capital")
 
 
-@query("backtest_momentum_metrics")
+@query("backtest_momentum_metrics", with_(*_BT, recursive=True, body=f"""SELECT
+  {r6('pow(arg_max(capital, date) / arg_min(capital, date), 1 / ((max(date) - min(date)) / 365.25::double)) - 1')} AS cagr,
+  {r6('stddev_samp(ret) * sqrt(252.0::double)')} AS ann_vol, {r6('(avg(ret) - 0.06::double / 252) * sqrt(252.0::double) / stddev_samp(ret)')} AS sharpe,
+  {r6('(avg(ret) - 0.06::double / 252) * sqrt(252.0::double) / stddev_samp(CASE WHEN ret < 0 THEN ret END)')} AS sortino,
+  {r6('min(dd) * 100')} AS max_drawdown FROM (SELECT *, capital / greatest(1.0, max(capital) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) - 1 AS dd FROM eq)"""))
 def _stats(s, d):
-    return BT.backtest(A.bars(s, d))[1].drop("config_id")
+    return r(BT.backtest(A.bars(s, d))[1].drop("config_id"), "cagr", "ann_vol", "sharpe", "sortino", "max_drawdown")

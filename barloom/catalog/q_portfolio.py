@@ -102,7 +102,7 @@ def _p10(s, d):
     return P.flush_list(X.book(s, d).select("date", "ticker"), reg).select("date", "ticker", "action")
 
 
-CHANGES = """bd AS (SELECT date, lead(date) OVER (ORDER BY date) AS nd FROM (SELECT DISTINCT date FROM book)),
+CHANGES = """bd AS (SELECT date, lead(date) OVER (ORDER BY date) AS nd FROM me WHERE date >= (SELECT min(date) FROM book)),
 od AS (SELECT nd AS date, ticker, weight AS w0 FROM book JOIN bd USING (date) WHERE nd IS NOT NULL),
 chg AS MATERIALIZED (SELECT coalesce(b.date, od.date) AS date, coalesce(b.ticker, od.ticker) AS ticker, coalesce(weight, 0) AS w1, coalesce(w0, 0) AS w0
   FROM book b FULL JOIN od ON od.date = b.date AND od.ticker = b.ticker)"""
@@ -110,12 +110,14 @@ chg AS MATERIALIZED (SELECT coalesce(b.date, od.date) AS date, coalesce(b.ticker
 
 @query("prt11_turnover", with_(*X.BOOK, CHANGES, recursive=True, body=f"SELECT date, {r6('sum(abs(w1 - w0))')} AS turnover FROM chg GROUP BY date"))
 def _p11(s, d):
-    return r(P.turnover(X.book(s, d)), "turnover").select("date", "turnover")
+    b, _, dates = X.book_and_panel(s, d)
+    return r(P.turnover(b, dates=dates), "turnover").select("date", "turnover")
 
 
 @query("prt12_cost_drag", with_(*X.BOOK, CHANGES, recursive=True, body=f"SELECT date, {r6('sum(abs(w1 - w0)) * 0.0015 * 1.1', 8)} AS drag FROM chg GROUP BY date"))
 def _p12(s, d):
-    return r(P.cost_drag(P.turnover(X.book(s, d)), 0.0015, 1.1), "drag", places=8).select("date", "drag")
+    b, _, dates = X.book_and_panel(s, d)
+    return r(P.cost_drag(P.turnover(b, dates=dates), 0.0015, 1.1), "drag", places=8).select("date", "drag")
 
 
 _COST = "sum(abs(w1 - w0)) * 0.0003 + sum(greatest(w0 - w1, 0)) * 0.001 + sum(abs(w1 - w0)) * 0.0002 + sum(abs(w1 - w0)) * 0.0005"
@@ -152,7 +154,8 @@ def _p16(s, d):
 @query("prt17_no_trade_band", with_(*X.BOOK, CHANGES, recursive=True, body=f"""SELECT date, ticker, abs(w1 - w0) > 0.02 AS trade,
   {r6('CASE WHEN abs(w1 - w0) > 0.02 THEN w1 ELSE w0 END')} AS new_value FROM chg"""))
 def _p17(s, d):
-    ch = P.weight_changes(X.book(s, d)).withColumnRenamed("weight", "target").withColumnRenamed("old_weight", "current")
+    b, _, dates = X.book_and_panel(s, d)
+    ch = P.weight_changes(b, dates=dates).withColumnRenamed("weight", "target").withColumnRenamed("old_weight", "current")
     return r(P.no_trade_band(ch, 1.0), "new_value").select("date", "ticker", "trade", "new_value")
 
 
@@ -163,46 +166,51 @@ def _t1(s, d):
     return r(labels(s, d, brands=False), "label")
 
 
-BASKET = """br AS MATERIALIZED (SELECT b.date, avg(coalesce(n.close, p.close) / p.close - 1) AS ret, count(*) AS names FROM book b JOIN bd ON bd.date = b.date AND nd IS NOT NULL
-  JOIN panel p ON p.date = b.date AND p.ticker = b.ticker LEFT JOIN panel n ON n.date = nd AND n.ticker = b.ticker GROUP BY b.date)"""
+BASKET = """br AS MATERIALIZED (SELECT bd.date, coalesce(avg(coalesce(n.close, p.close) / p.close - 1), 0) AS ret, count(p.close) AS names FROM bd LEFT JOIN book b ON bd.date = b.date
+  LEFT JOIN panel p ON p.date = b.date AND p.ticker = b.ticker LEFT JOIN panel n ON n.date = nd AND n.ticker = b.ticker WHERE nd IS NOT NULL GROUP BY bd.date)"""
 
 
 @query("att02_basket_return", with_(*X.BOOK, CHANGES, BASKET, recursive=True, body=f"SELECT date, {r6('ret')} AS ret, names FROM br"))
 def _t2(s, d):
-    return r(AT.basket_return(X.book(s, d), X.panel(s, d)), "ret").select("date", "ret", "names")
+    b, pan, dates = X.book_and_panel(s, d)
+    return r(AT.basket_return(b, pan, dates=dates), "ret").select("date", "ret", "names")
 
 
-DAILY = """dy AS MATERIALIZED (SELECT entry, date, avg(coalesce(close / prev - 1, 0)) * 1.1 AS ret FROM (
-  SELECT b.date AS entry, x.date, x.close, lag(x.close) OVER (PARTITION BY b.ticker, b.date ORDER BY x.date) AS prev
-  FROM book b JOIN bd ON bd.date = b.date JOIN bars x ON x.ticker = b.ticker AND x.date > b.date AND x.date <= nd) GROUP BY 1, 2)"""
+DAILY = """dz AS (SELECT entry, date, sum(coalesce(close / prev - 1, 0) / n) AS ret FROM (
+  SELECT b.date AS entry, b.n, x.date, x.close, lag(x.close) OVER (PARTITION BY b.ticker, b.date ORDER BY x.date) AS prev
+  FROM (SELECT *, count(*) OVER (PARTITION BY date) AS n FROM book) b JOIN bd ON bd.date = b.date JOIN bars x ON x.ticker = b.ticker AND x.date > b.date AND x.date <= nd) GROUP BY 1, 2),
+dy AS MATERIALIZED (SELECT bd.date AS entry, c.date, coalesce(ret, 0) * 1.1 AS ret FROM bd JOIN (SELECT DISTINCT date FROM bars) c ON c.date > bd.date AND c.date <= nd
+  LEFT JOIN dz ON dz.entry = bd.date AND dz.date = c.date)"""
 
 
 @query("att03_period_daily_returns", with_(*X.BOOK, CHANGES, DAILY, recursive=True, body=f"SELECT entry, date, {r6('ret')} AS ret FROM dy"))
 def _t3(s, d):
-    return r(AT.period_daily_returns(X.book(s, d), A.bars(s, d), 1.1), "ret").select("entry", "date", "ret")
+    b, _, dates = X.book_and_panel(s, d)
+    return r(AT.period_daily_returns(b, A.bars(s, d), 1.1, dates=dates), "ret").select("entry", "date", "ret")
 
 
 @query("att04_charge_costs", with_(*X.BOOK, CHANGES, DAILY, "dr AS (SELECT date AS entry, sum(abs(w1 - w0)) * 0.0015 AS drag FROM chg GROUP BY date)", recursive=True,
     body=f"""SELECT dy.entry, date, {r6('ret - CASE WHEN row_number() OVER (PARTITION BY dy.entry ORDER BY date) = 1 THEN coalesce(drag, 0) ELSE 0 END')} AS net
   FROM dy LEFT JOIN dr ON dr.entry = dy.entry"""))
 def _t4(s, d):
-    b = X.book(s, d)
-    return r(AT.charge_costs(AT.period_daily_returns(b, A.bars(s, d), 1.1), P.cost_drag(P.turnover(b), 0.0015)), "net").select("entry", "date", "net")
+    b, _, dates = X.book_and_panel(s, d)
+    daily = AT.period_daily_returns(b, A.bars(s, d), 1.1, dates=dates)
+    return r(AT.charge_costs(daily, P.cost_drag(P.turnover(b, dates=dates), 0.0015)), "net").select("entry", "date", "net")
 
 
 SWAPS = "sw AS (SELECT date, count(*) FILTER ((w1 = 0) <> (w0 = 0)) AS k FROM chg GROUP BY date)"
 
 
 @query("att05_chained_equity", with_(*X.BOOK, CHANGES, BASKET, SWAPS, recursive=True, body=f"""SELECT br.date, {r6('''exp(sum(ln((1 - k * 0.0035 / 10.0) * (1 + ret)))
-  OVER (ORDER BY br.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))''')} AS capital FROM br JOIN sw ON sw.date = br.date"""))
+  OVER (ORDER BY br.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))''')} AS capital FROM (SELECT br.*, coalesce(k, 0) AS k FROM br LEFT JOIN sw ON sw.date = br.date) br"""))
 def _t5(s, d):
     return r(equity_of_book(s, d), "capital").select("date", "capital")
 
 
 def equity_of_book(s, d):
-    b = X.book(s, d)
-    per = AT.basket_return(b, X.panel(s, d)).join(AT.swap_counts(b), ["config_id", "date"])
-    return AT.chained_equity(per, 5, 0.0035)
+    b, pan, dates = X.book_and_panel(s, d)
+    per = AT.basket_return(b, pan, dates=dates).join(AT.swap_counts(b, dates=dates), ["config_id", "date"], "left")
+    return AT.chained_equity(per.fillna({"swaps": 0}), 5, 0.0035)
 
 
 FWD = f"""mb AS MATERIALIZED (SELECT date, ticker, close, lead(close) OVER {over()} / close - 1 AS fwd FROM panel),
@@ -232,7 +240,7 @@ def _t6(s, d):
     return r(forward(s, d), "portfolio_return", "net_return", "alpha", "gross").select("date", "portfolio_return", "net_return", "alpha", "gross")
 
 
-SPELLS = """stp AS (SELECT date, row_number() OVER (ORDER BY date) AS i, lead(date) OVER (ORDER BY date) AS nd FROM (SELECT DISTINCT date FROM book)),
+SPELLS = """stp AS (SELECT date, row_number() OVER (ORDER BY date) AS i, lead(date) OVER (ORDER BY date) AS nd FROM me),
 isl AS MATERIALIZED (SELECT b.ticker, b.date, nd, i - row_number() OVER (PARTITION BY b.ticker ORDER BY b.date) AS isl FROM book b JOIN stp ON stp.date = b.date),
 sp AS MATERIALIZED (SELECT ticker, isl, min(date) AS entry_date, max(date) AS last_held, arg_max(coalesce(nd, date '1900-01-01'), date) AS xd FROM isl GROUP BY 1, 2),
 tr AS MATERIALIZED (SELECT sp.ticker, entry_date, CASE WHEN xd > date '1900-01-01' THEN xd END AS exit_date, CASE WHEN xd > date '1900-01-01' THEN 'CLOSED' ELSE 'OPEN' END AS status,
@@ -243,19 +251,22 @@ tr AS MATERIALIZED (SELECT sp.ticker, entry_date, CASE WHEN xd > date '1900-01-0
 @query("att07_round_trips", with_(*X.BOOK, SPELLS, recursive=True, body=f"""SELECT ticker, entry_date, exit_date, status, {r6('entry_price')} AS entry_price,
   {r6('exit_price')} AS exit_price, {r6('(exit_price / entry_price - 1) * 100')} AS pnl_pct FROM tr"""))
 def _t7(s, d):
-    return r(AT.round_trips(X.book(s, d), X.panel(s, d)), "entry_price", "exit_price", "pnl_pct").drop("config_id")
+    b, pan, dates = X.book_and_panel(s, d)
+    return r(AT.round_trips(b, pan, dates=dates), "entry_price", "exit_price", "pnl_pct").drop("config_id")
 
 
 @query("att07_trade_events", with_(*X.BOOK, SPELLS, recursive=True, body="""SELECT isl.date, isl.ticker, CASE WHEN isl.date = entry_date THEN 'BUY' ELSE 'HOLD' END AS action
   FROM isl JOIN sp ON sp.ticker = isl.ticker AND sp.isl = isl.isl UNION ALL SELECT xd, ticker, 'SELL' FROM sp WHERE xd > date '1900-01-01'"""))
 def _t7b(s, d):
-    return AT.trade_events(X.book(s, d)).select("date", "ticker", "action")
+    b, _, dates = X.book_and_panel(s, d)
+    return AT.trade_events(b, dates=dates).select("date", "ticker", "action")
 
 
 @query("att08_holding_stats", with_(*X.BOOK, SPELLS, recursive=True, body=f"""SELECT count(*) AS trades, {r6('avg(exit_date - entry_date)')} AS avg_days,
   {r6("count(*) / ((max(exit_date) - min(entry_date)) / 365.25::double)")} AS trades_per_year FROM tr WHERE status = 'CLOSED'"""))
 def _t8(s, d):
-    return r(AT.holding_stats(AT.round_trips(X.book(s, d), X.panel(s, d))), "avg_days", "trades_per_year").drop("config_id")
+    b, pan, dates = X.book_and_panel(s, d)
+    return r(AT.holding_stats(AT.round_trips(b, pan, dates=dates)), "avg_days", "trades_per_year").drop("config_id")
 
 
 @query("att09_cash_stats", with_(*X.BOOK, "iv AS (SELECT date, sum(weight) AS w FROM book GROUP BY date)", recursive=True, body=f"""SELECT

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import div
 from ..functions.windows import lead, series
-from .calendar import holding_periods
+from .calendar import holding_periods, rebalance_steps
 from .joins import asof_join, range_join
 from .portfolio import itemised_cost
 
@@ -24,18 +24,13 @@ def open_to_open_label(bars: DataFrame, rebalance: DataFrame, cal: DataFrame) ->
     )
 
 
-def _next_dates(weights: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, date, next_date, step: the rebalance calendar of each configuration."""
-    w = W.partitionBy(*keys).orderBy("date")
-    return weights.select(*keys, "date").distinct().select(
-        *keys, "date", F.lead("date").over(w).alias("next_date"), F.row_number().over(w).alias("step")
-    )
-
+def basket_return(weights: DataFrame, prices: DataFrame, keys=("config_id",), dates: DataFrame | None = None) -> DataFrame:
+    """Mean close-to-close return per rebalance; a missing exit price counts as no move.
 
-def basket_return(weights: DataFrame, prices: DataFrame, keys=("config_id",)) -> DataFrame:
-    """Mean close-to-close return per rebalance; a missing exit price counts as no move."""
+    With `dates` a rebalance on which nothing is held has the return 0 of cash.
+    """
     keys = list(keys)
-    per = _next_dates(weights, keys).where(F.col("next_date").isNotNull())
+    per = rebalance_steps(weights, keys, dates).where(F.col("next_date").isNotNull())
     px = prices.select("ticker", "date", "close")
     rows = (
         weights.join(per, [*keys, "date"])
@@ -44,24 +39,35 @@ def basket_return(weights: DataFrame, prices: DataFrame, keys=("config_id",)) ->
               ["ticker", "next_date"], "left")
     )
     r = div(F.coalesce("p1", "p0"), "p0") - 1
-    return rows.groupBy(*keys, "date").agg(F.avg(r).alias("ret"), F.count(F.lit(1)).alias("names"))
+    held = rows.groupBy(*keys, "date").agg(F.avg(r).alias("ret"), F.count(F.lit(1)).alias("names"))
+    if dates is None:
+        return held
+    return per.select(*keys, "date").join(held, [*keys, "date"], "left").fillna({"ret": 0.0, "names": 0})
 
 
-def period_daily_returns(weights: DataFrame, bars: DataFrame, leverage: float = 1.0,
-                         keys=("config_id",)) -> DataFrame:
-    """Daily mean return of the held names inside each holding period.
+def period_daily_returns(weights: DataFrame, bars: DataFrame, leverage: float = 1.0, keys=("config_id",),
+                         dates: DataFrame | None = None, weighted: bool = False) -> DataFrame:
+    """Daily return of the held names inside each holding period.
 
-    The first row of a name in a period has no return and counts as zero.
+    The mean over all names held, or with `weighted` the sum of weight * return. A
+    name without a bar on a day counts as no move, as does its first row in a
+    period. With `dates`, periods in cash have rows of 0.
     """
     keys = list(keys)
-    per = _next_dates(weights, keys).where(F.col("next_date").isNotNull())
-    held = weights.join(per, [*keys, "date"]).select(
-        *keys, "ticker", F.col("date").alias("entry"), "next_date"
+    per = rebalance_steps(weights, keys, dates).where(F.col("next_date").isNotNull())
+    share = F.col("weight") if weighted else 1.0 / F.count(F.lit(1)).over(W.partitionBy(*keys, "date"))
+    held = weights.withColumn("_share", share).join(per, [*keys, "date"]).select(
+        *keys, "ticker", F.col("date").alias("entry"), "next_date", "_share"
     )
     rows = range_join(held, bars.select("ticker", "date", "close"), "entry", "next_date", "ticker")
     prev = F.lag("close").over(W.partitionBy(*keys, "ticker", "entry").orderBy("date"))
-    daily = rows.withColumn("r", F.coalesce(div("close", prev) - 1, F.lit(0.0)))
-    return daily.groupBy(*keys, "entry", "date").agg((F.avg("r") * leverage).alias("ret"))
+    moved = rows.withColumn("r", F.coalesce(div("close", prev) - 1, F.lit(0.0)))
+    daily = moved.groupBy(*keys, "entry", "date").agg((F.sum(F.col("_share") * F.col("r")) * leverage).alias("ret"))
+    if dates is None:
+        return daily
+    periods = per.select(*keys, F.col("date").alias("entry"), "next_date").withColumn("_k", F.lit(0))
+    days = range_join(periods, bars.select("date").distinct().withColumn("_k", F.lit(0)), "entry", "next_date", "_k")
+    return days.select(*keys, "entry", "date").join(daily, [*keys, "entry", "date"], "left").fillna({"ret": 0.0})
 
 
 def charge_costs(daily: DataFrame, drag: DataFrame, keys=("config_id",)) -> DataFrame:
@@ -83,12 +89,12 @@ def chained_equity(period_returns: DataFrame, n: int, cost: float, initial: floa
     return period_returns.withColumn("capital", F.lit(initial) * F.product(step).over(w))
 
 
-def swap_counts(weights: DataFrame, keys=("config_id",)) -> DataFrame:
+def swap_counts(weights: DataFrame, keys=("config_id",), dates: DataFrame | None = None) -> DataFrame:
     """Names that left plus names that came, per rebalance."""
     from .portfolio import weight_changes
 
     moved = (F.col("weight") == 0) != (F.col("old_weight") == 0)
-    return weight_changes(weights, keys).groupBy(*keys, "date").agg(F.count_if(moved).alias("swaps"))
+    return weight_changes(weights, keys, dates).groupBy(*keys, "date").agg(F.count_if(moved).alias("swaps"))
 
 
 def forward_attribution(weights: DataFrame, prices: DataFrame, bench: DataFrame, betas: DataFrame,
@@ -110,18 +116,18 @@ def forward_attribution(weights: DataFrame, prices: DataFrame, bench: DataFrame,
     return out.withColumn("net_return", net).withColumn("alpha", net - F.col("bench_fwd") * F.col("beta"))
 
 
-def _islands(weights: DataFrame, keys: list[str]) -> DataFrame:
+def _islands(weights: DataFrame, keys: list[str], dates: DataFrame | None = None) -> DataFrame:
     """Consecutive rebalances of a name get one island number."""
-    steps = _next_dates(weights, keys)
+    steps = rebalance_steps(weights, keys, dates)
     rn = F.row_number().over(W.partitionBy(*keys, "ticker").orderBy("date"))
     return weights.join(steps, [*keys, "date"]).withColumn("island", F.col("step") - rn)
 
 
-def round_trips(weights: DataFrame, prices: DataFrame, keys=("config_id",)) -> DataFrame:
+def round_trips(weights: DataFrame, prices: DataFrame, keys=("config_id",), dates: DataFrame | None = None) -> DataFrame:
     """One row per holding spell: entry, exit (NULL and status OPEN at the end), prices, P&L."""
     keys = list(keys)
     px = prices.select("ticker", "date", "close")
-    spells = _islands(weights, keys).groupBy(*keys, "ticker", "island").agg(
+    spells = _islands(weights, keys, dates).groupBy(*keys, "ticker", "island").agg(
         F.min("date").alias("entry_date"), F.max_by("next_date", "date").alias("exit_date"),
         F.max("date").alias("last_held"),
     )
@@ -140,10 +146,10 @@ def round_trips(weights: DataFrame, prices: DataFrame, keys=("config_id",)) -> D
     )
 
 
-def trade_events(weights: DataFrame, keys=("config_id",)) -> DataFrame:
+def trade_events(weights: DataFrame, keys=("config_id",), dates: DataFrame | None = None) -> DataFrame:
     """BUY / HOLD per rebalance row and a SELL on the rebalance after a spell."""
     keys = list(keys)
-    rows = _islands(weights, keys)
+    rows = _islands(weights, keys, dates)
     first = F.min("date").over(W.partitionBy(*keys, "ticker", "island"))
     final = F.max("date").over(W.partitionBy(*keys, "ticker", "island"))
     marked = rows.withColumn("_f", first).withColumn("_l", final)

@@ -30,6 +30,29 @@ def month_end_dates(bars: DataFrame) -> DataFrame:
     return bars.groupBy(F.trunc("date", "month").alias("month")).agg(F.max("date").alias("date"))
 
 
+def rebalance_steps(weights: DataFrame, keys: list[str], dates: DataFrame | None = None) -> DataFrame:
+    """keys, date, next_date, step: the rebalance calendar of each configuration.
+
+    dates: the rebalance dates, whatever is held on them; each configuration has
+    those from its first holding on. Without it the dates are those of the weights,
+    which is right only if the book is never empty. The calendar is one row per
+    rebalance, so it travels as one array.
+    """
+    if dates is None:
+        w = W.partitionBy(*keys).orderBy("date")
+        return weights.select(*keys, "date").distinct().select(
+            *keys, "date", F.lead("date").over(w).alias("next_date"), F.row_number().over(w).alias("step")
+        )
+    w = _one_series()
+    cal = dates.select("date").distinct().select(
+        "date", F.lead("date").over(w).alias("next_date"), F.row_number().over(w).alias("step")
+    )
+    every = cal.agg(F.array_sort(F.collect_list(F.struct("date", "next_date", "step")))).scalar()
+    first = weights.groupBy(*keys).agg(F.min("date").alias("_first")).withColumn("_all", every)
+    later = F.filter("_all", lambda x: x["date"] >= F.col("_first"))
+    return first.select(*keys, F.explode(later).alias("c")).select(*keys, "c.date", "c.next_date", "c.step")
+
+
 def week_end_dates(bars: DataFrame) -> DataFrame:
     week = F.to_date(F.date_trunc("week", F.col("date")))
     return bars.groupBy(week.alias("week")).agg(F.max("date").alias("date"))

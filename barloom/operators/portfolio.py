@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import div, finite, truthy
 from ..functions.windows import last_n
+from .calendar import rebalance_steps
 
 # Cost rates of the itemised model.
 BROKERAGE = 0.0003
@@ -50,12 +51,10 @@ def _fold_selection(ranked: DataFrame, depth: int, keys: list[str], step) -> Dat
         F.aggregate(
             "days",
             F.expr(f"cast(named_struct('held', array(), 'out', array()) as {state})"),
-            lambda acc, d: F.struct(
-                step(acc["held"], d["names"]).alias("held"),
-                F.array_append(
-                    acc["out"], F.struct(d["date"].alias("date"), step(acc["held"], d["names"]).alias("names"))
-                ).alias("out"),
-            ).cast(state),
+            lambda acc, d: F.element_at(F.transform(F.array(step(acc["held"], d["names"])), lambda now: F.struct(
+                now.alias("held"),
+                F.array_append(acc["out"], F.struct(d["date"].alias("date"), now.alias("names"))).alias("out"),
+            ).cast(state)), 1),
             lambda a: a["out"],
         ),
     )
@@ -64,11 +63,14 @@ def _fold_selection(ranked: DataFrame, depth: int, keys: list[str], step) -> Dat
     ).withColumn("slot", F.col("slot") + 1)
 
 
-def hold_buffer(ranked: DataFrame, top_n=5, buffer=15, keys=("config_id",), depth: int | None = None) -> DataFrame:
+def hold_buffer(ranked: DataFrame, top_n=5, buffer=15, keys=("config_id",), depth: int | None = None,
+                dates: DataFrame | None = None) -> DataFrame:
     """Keep held names ranked within the buffer, fill to top_n from the best others.
 
     ranked: keys, date, ticker, rank. top_n and buffer are numbers, or key
-    columns that differ by configuration, then with a common `depth`.
+    columns that differ by configuration, then with a common `depth`. With the
+    rebalance `dates`, a date without candidates empties the book, and nothing is
+    remembered beyond it.
     """
     n, b = (F.lit(x) if isinstance(x, int) else x for x in (top_n, buffer))
 
@@ -77,7 +79,14 @@ def hold_buffer(ranked: DataFrame, top_n=5, buffer=15, keys=("config_id",), dept
         fresh = F.array_except(names, kept)
         return F.concat(kept, F.slice(fresh, F.lit(1), F.greatest(F.lit(0), n - F.size(kept))))
 
-    return _fold_selection(ranked, depth or top_n + buffer, list(keys), step)
+    keys, depth = list(keys), depth or top_n + buffer
+    if dates is None:
+        return _fold_selection(ranked, depth, keys, step)
+    # Dates in a row share a spell; each spell is folded by itself.
+    steps = rebalance_steps(ranked, keys, dates).join(ranked.select(*keys, "date").distinct(), [*keys, "date"])
+    spell = F.col("step") - F.row_number().over(W.partitionBy(*keys).orderBy("date"))
+    ranked = ranked.join(steps.select(*keys, "date", spell.alias("_spell")), [*keys, "date"])
+    return _fold_selection(ranked, depth, [*keys, "_spell"], step).drop("_spell")
 
 
 def hold_buffer_v1(ranked: DataFrame, top_n: int = 5, buffer: int = 15, keys=("config_id",)) -> DataFrame:
@@ -200,15 +209,15 @@ def flush_list(held: DataFrame, regime: DataFrame) -> DataFrame:
     return held.join(bear, "date", "left_semi").withColumn("action", F.lit("sell"))
 
 
-def weight_changes(weights: DataFrame, keys=("config_id",)) -> DataFrame:
+def weight_changes(weights: DataFrame, keys=("config_id",), dates: DataFrame | None = None) -> DataFrame:
     """keys, date, ticker, old_weight, weight for every name held now or one rebalance ago.
 
     The previous book is the same table moved to the next rebalance date, so
-    this is one equi join on (keys, date, ticker).
+    this is one equi join on (keys, date, ticker). With `dates` a book that is
+    emptied is sold on the rebalance on which it is.
     """
     keys = list(keys)
-    dates = weights.select(*keys, "date").distinct()
-    nxt = dates.withColumn("_next", F.lead("date").over(W.partitionBy(*keys).orderBy("date")))
+    nxt = rebalance_steps(weights, keys, dates).select(*keys, "date", F.col("next_date").alias("_next"))
     old = weights.select(*keys, "date", "ticker", F.col("weight").alias("old_weight")).join(
         nxt, [*keys, "date"]
     ).where(F.col("_next").isNotNull()).select(*keys, F.col("_next").alias("date"), "ticker", "old_weight")
@@ -216,8 +225,8 @@ def weight_changes(weights: DataFrame, keys=("config_id",)) -> DataFrame:
     return new.join(old, [*keys, "date", "ticker"], "full_outer").fillna({"weight": 0.0, "old_weight": 0.0})
 
 
-def turnover(weights: DataFrame, keys=("config_id",)) -> DataFrame:
-    return weight_changes(weights, keys).groupBy(*keys, "date").agg(
+def turnover(weights: DataFrame, keys=("config_id",), dates: DataFrame | None = None) -> DataFrame:
+    return weight_changes(weights, keys, dates).groupBy(*keys, "date").agg(
         F.sum(F.abs(F.col("weight") - F.col("old_weight"))).alias("turnover")
     )
 

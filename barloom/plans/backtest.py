@@ -26,32 +26,41 @@ def month_end_panel(bars: DataFrame) -> DataFrame:
     return last.join(month_end_dates(bars), "month").select("date", "ticker", "r.*")
 
 
-def monthly_book(panel: DataFrame, regime: DataFrame | None = None, min_turnover: float = 0.0,
+def monthly_book(panel: DataFrame, dates: DataFrame, regime: DataFrame | None = None, min_turnover: float = 0.0,
                  params: ScreenParams = ScreenParams()) -> DataFrame:
-    """config_id, date, ticker, slot, weight; outside the bull state the book is empty."""
+    """config_id, date, ticker, slot, weight; exposure is part of the weight.
+
+    Outside the bull state the book is empty and the buffer remembers nothing.
+    """
     ok = panel.where(
         (F.col("close") > F.col("sma200")) & F.col("mom").isNotNull() & (F.col("avg_turnover20") > min_turnover)
     )
+    if regime is not None:
+        ok = ok.join(regime.where("bullish").select("date"), "date", "left_semi")
     ranked = K.top_n(ok, "mom", params.top_n + params.hold_buffer).withColumn("config_id", F.lit(1))
-    sel = P.hold_buffer(ranked, params.top_n, params.hold_buffer).join(
+    sel = P.hold_buffer(ranked, params.top_n, params.hold_buffer, dates=dates).join(
         panel.select("date", "ticker", "mom", "close"), ["date", "ticker"]
     )
     keys = ("config_id", "date")
     w = P.cap_weights(P.momentum_weights(sel, keys=keys), params.position_cap, params.top_n, keys)
-    if regime is not None:
-        state = R.exposure_scale(regime, params.leverage, params.leverage / 2, params.reentry_streak)
-        w = P.scale_weights(w, state).where(F.col("weight") > 0)
-    return w
+    if regime is None:
+        return w.withColumn("weight", F.col("weight") * params.leverage)
+    return P.scale_weights(w, R.exposure_scale(regime, params.leverage, params.leverage / 2, params.reentry_streak))
 
 
 def backtest(bars: DataFrame, min_turnover: float = 0.0, one_way: float = 0.0015, use_regime: bool = True,
              params: ScreenParams = ScreenParams()) -> tuple[DataFrame, DataFrame]:
-    """(daily net returns and capital, one row of metrics)."""
+    """(daily net returns and capital, one row of metrics).
+
+    Runs from the first holding over every rebalance date: bear periods are cash,
+    entered at the cost of the sale.
+    """
     panel = cut(month_end_panel(bars), "panel")
+    dates = cut(month_end_dates(bars), "rebalances")
     regime = R.market_regime(R.synthetic_index(bars), params.regime_sma, params.confirm_days) if use_regime else None
-    book = cut(monthly_book(panel, regime, min_turnover, params), "book")
-    daily = AT.period_daily_returns(book, bars, params.leverage)
-    net = AT.charge_costs(daily, P.cost_drag(P.turnover(book), one_way, params.leverage))
+    book = cut(monthly_book(panel, dates, regime, min_turnover, params), "book")
+    daily = AT.period_daily_returns(book, bars, 1.0, dates=dates, weighted=True)
+    net = AT.charge_costs(daily, P.cost_drag(P.turnover(book, dates=dates), one_way))
     curve = net.select("config_id", "date", F.col("net").alias("ret"))
     curve = cut(curve, "curve")
     from ..operators.indicators import growth
