@@ -10,55 +10,60 @@ from . import frames as X
 from .base import BARS, BRAND_BARS, lagx, query, r6, with_
 from .q_portfolio import r
 
-NS = 5
+# Paths per test as published.
+NOISE_SIMS = SHUFFLE_SIMS = 200
+CRASH_SIMS, BOOT_SIMS = 100, 2000
 NUM = """nu AS MATERIALIZED (SELECT portfolio, row_number() OVER (PARTITION BY portfolio ORDER BY date) - 1 AS idx, ret, count(*) OVER (PARTITION BY portfolio) AS n FROM equity WHERE ret IS NOT NULL)"""
-SIMS = f"si AS (SELECT unnest(range(0, {NS})) AS sim)"
-BASE = (BRAND_BARS, X.EQUITY_SQL, NUM, SIMS)
 
 
-def _int(df):
-    return df.select("portfolio", F.col("sim").cast("long").alias("sim"), F.col("pos").cast("long").alias("pos"), rnd("ret", 8).alias("ret"))
+def base(n):
+    return BRAND_BARS, X.EQUITY_SQL, NUM, f"si AS (SELECT unnest(range(0, {n})) AS sim)"
 
 
-def noise(s, d):
-    return B.noise_paths(X.brand_equity(s, d), NS)
+def digest_sql(paths):
+    return f"SELECT portfolio, sim, count(*) AS n, {r6('sum(ret)')} AS total, {r6('sum(ret * pos)', 3)} AS placed FROM ({paths}) GROUP BY portfolio, sim"
 
 
-@query("rob01_noise_paths", with_(*BASE, body=f"SELECT portfolio, sim, idx AS pos, {r6('ret + 0.005::double * ' + normal_sql('sim', 'idx'), 8)} AS ret FROM nu, si"))
+def _digest(paths):
+    out = r(r(B.path_digest(paths), "total"), "placed", places=3)
+    return out.withColumn("sim", F.col("sim").cast("long"))
+
+
+@query("rob01_noise_paths", with_(*base(NOISE_SIMS), body=digest_sql(f"SELECT portfolio, sim, idx AS pos, ret + 0.005::double * {normal_sql('sim', 'idx')} AS ret FROM nu, si")))
 def _1(s, d):
-    return _int(noise(s, d))
+    return _digest(B.noise_paths(X.brand_equity(s, d), NOISE_SIMS))
 
 
-@query("rob02_shuffle_paths", with_(*BASE, body=f"""SELECT portfolio, sim, row_number() OVER (PARTITION BY portfolio, sim ORDER BY {lcg_sql('sim', 'idx')}, idx) - 1 AS pos, {r6('ret', 8)} AS ret FROM nu, si"""))
+@query("rob02_shuffle_paths", with_(*base(SHUFFLE_SIMS), body=digest_sql(f"""SELECT portfolio, sim, row_number() OVER (PARTITION BY portfolio, sim ORDER BY {lcg_sql('sim', 'idx')}, idx) - 1 AS pos, ret FROM nu, si""")))
 def _2(s, d):
-    return _int(B.shuffle_paths(X.brand_equity(s, d), NS))
+    return _digest(B.shuffle_paths(X.brand_equity(s, d), SHUFFLE_SIMS))
 
 
-@query("rob03_crash_paths", with_(*BASE, f"cr AS (SELECT *, {lcg_sql('sim')} % greatest(1, n - 5) AS st FROM nu, si)",
-    body=f"SELECT portfolio, sim, idx AS pos, {r6('CASE WHEN idx BETWEEN st AND st + 4 THEN ret - 0.10::double ELSE ret END', 8)} AS ret FROM cr"))
+@query("rob03_crash_paths", with_(*base(CRASH_SIMS), f"cr AS (SELECT *, {lcg_sql('sim')} % greatest(1, n - 5) AS st FROM nu, si)",
+    body=digest_sql("SELECT portfolio, sim, idx AS pos, CASE WHEN idx BETWEEN st AND st + 4 THEN ret - 0.10::double ELSE ret END AS ret FROM cr")))
 def _3(s, d):
-    return _int(B.crash_paths(X.brand_equity(s, d), NS))
+    return _digest(B.crash_paths(X.brand_equity(s, d), CRASH_SIMS))
 
 
 BLOCK = f"""ln AS (SELECT portfolio, any_value(n) AS n FROM nu GROUP BY 1),
 sl AS (SELECT portfolio, n, sim, unnest(range(0, n)) AS pos FROM ln, si),
 sr AS (SELECT *, {lcg_sql('sim', '(pos // 63)')} % greatest(1, n - 63) + pos % 63 AS src FROM sl),
-bp AS MATERIALIZED (SELECT sr.portfolio, sim, pos, ret FROM sr JOIN nu ON nu.portfolio = sr.portfolio AND nu.idx = src)"""
+bp AS (SELECT sr.portfolio, sim, pos, ret FROM sr JOIN nu ON nu.portfolio = sr.portfolio AND nu.idx = src)"""
 
 
-@query("rob04_block_bootstrap", with_(*BASE, BLOCK, body=f"SELECT portfolio, sim, pos, {r6('ret', 8)} AS ret FROM bp"))
+@query("rob04_block_bootstrap", with_(*base(BOOT_SIMS), BLOCK, body=digest_sql("SELECT * FROM bp")))
 def _4(s, d):
-    return _int(B.block_bootstrap(X.brand_equity(s, d), NS))
+    return _digest(B.block_bootstrap(X.brand_equity(s, d), BOOT_SIMS))
 
 
-@query("rob05_var_block_bootstrap", with_(*BASE, f"""ln AS (SELECT portfolio, any_value(n) AS n FROM nu GROUP BY 1),
+@query("rob05_var_block_bootstrap", with_(*base(BOOT_SIMS), f"""ln AS (SELECT portfolio, any_value(n) AS n FROM nu GROUP BY 1),
 b0 AS (SELECT portfolio, n, sim, unnest(range(0, cast(ceil(n / 3.0::double) AS bigint) + 1)) AS b FROM ln, si),
 b1 AS (SELECT *, 3 + {lcg_sql('sim', 'b')} % 4 AS len, {lcg_sql('sim', 'b', seed=49)} AS dr FROM b0),
 b2 AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY portfolio, sim ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM b1),
 b3 AS (SELECT portfolio, n, sim, off, dr % greatest(1, n - len) AS st, unnest(range(0, len)) AS j FROM b2 WHERE off < n)""",
-    body=f"SELECT b3.portfolio, sim, cast(off + j AS bigint) AS pos, {r6('ret', 8)} AS ret FROM b3 JOIN nu ON nu.portfolio = b3.portfolio AND nu.idx = st + j WHERE off + j < b3.n"))
+    body=digest_sql("SELECT b3.portfolio, sim, cast(off + j AS bigint) AS pos, ret FROM b3 JOIN nu ON nu.portfolio = b3.portfolio AND nu.idx = st + j WHERE off + j < b3.n")))
 def _5(s, d):
-    return _int(B.var_block_bootstrap(X.brand_equity(s, d), NS))
+    return _digest(B.var_block_bootstrap(X.brand_equity(s, d), BOOT_SIMS))
 
 
 PM = """pg AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY portfolio, sim ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS g FROM bp),
@@ -67,16 +72,16 @@ pm AS MATERIALIZED (SELECT portfolio, sim, arg_max(g, pos) AS final, pow(arg_max
 
 
 def metrics(s, d):
-    return B.path_metrics(B.block_bootstrap(X.brand_equity(s, d), NS))
+    return B.path_metrics(B.block_bootstrap(X.brand_equity(s, d), BOOT_SIMS))
 
 
-@query("rob06_path_metrics", with_(*BASE, BLOCK, PM, body=f"SELECT portfolio, sim, {r6('cagr')} AS cagr, {r6('mdd')} AS max_drawdown, {r6('sharpe')} AS sharpe FROM pm"))
+@query("rob06_path_metrics", with_(*base(BOOT_SIMS), BLOCK, PM, body=f"SELECT portfolio, sim, {r6('cagr')} AS cagr, {r6('mdd')} AS max_drawdown, {r6('sharpe')} AS sharpe FROM pm"))
 def _6(s, d):
     m = r(metrics(s, d), "cagr", "max_drawdown", "sharpe")
     return m.select("portfolio", F.col("sim").cast("long").alias("sim"), "cagr", "max_drawdown", "sharpe")
 
 
-@query("rob07_path_summary", with_(*BASE, BLOCK, PM, body=f"""SELECT portfolio, count(*) AS sims, {r6('quantile_cont(cagr, 0.5)')} AS cagr_median, {r6('quantile_cont(cagr, 0.05)')} AS cagr_p05,
+@query("rob07_path_summary", with_(*base(BOOT_SIMS), BLOCK, PM, body=f"""SELECT portfolio, count(*) AS sims, {r6('quantile_cont(cagr, 0.5)')} AS cagr_median, {r6('quantile_cont(cagr, 0.05)')} AS cagr_p05,
   {r6('min(cagr)')} AS cagr_worst, {r6('quantile_cont(mdd, 0.5)')} AS dd_median, {r6('quantile_cont(mdd, 0.05)')} AS dd_p05,
   {r6('avg(CASE WHEN mdd <= -0.5 THEN 1.0 ELSE 0.0 END)')} AS ruin_prob, {r6('avg(CASE WHEN final < 1 THEN 1.0 ELSE 0.0 END)')} AS loss_prob,
   quantile_cont(cagr, 0.5) > 0 AND avg(CASE WHEN final < 1 THEN 1.0 ELSE 0.0 END) <= 0.5 AS passed FROM pm GROUP BY 1"""))

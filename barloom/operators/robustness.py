@@ -2,8 +2,8 @@
 
 A returns table is (portfolio, date, ret). Draws are functions of (seed,
 simulation, row), so every task can make its own and a retried task makes the
-same. Simulations are exploded on the row and stay on the partition of the
-portfolio; nothing is collected.
+same. Rows (or simulations) are dealt out before they are multiplied, so a single
+portfolio with thousands of paths fills the cluster; nothing is collected.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from .attribution import basket_return
 from .joins import cross_configs
 from .metrics import safe_pow, sharpe_of
 from .portfolio import hold_buffer
+from ..sources.scratch import cut
 from .rank import best_config, top_n
 
 P = "portfolio"
@@ -41,41 +42,46 @@ def numbered(returns: DataFrame) -> DataFrame:
     )
 
 
+def spread(returns: DataFrame) -> DataFrame:
+    """Numbered rows, dealt out by row."""
+    return numbered(returns).repartition(P, "idx")
+
+
 def _sims(n_sim: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(n_sim - 1))).alias("sim")
 
 
 def noise_paths(returns: DataFrame, n_sim: int, sigma: float = NOISE_SIGMA, seed: int = 42) -> DataFrame:
-    rows = numbered(returns).select("*", _sims(n_sim))
+    rows = spread(returns).select("*", _sims(n_sim))
     return rows.select(*SIM, F.col("idx").alias("pos"), (F.col("ret") + sigma * normal("sim", "idx", seed=seed)).alias("ret"))
 
 
 def shuffle_paths(returns: DataFrame, n_sim: int, seed: int = 42) -> DataFrame:
-    rows = numbered(returns).select("*", _sims(n_sim)).withColumn("_u", lcg("sim", "idx", seed=seed))
+    rows = spread(returns).select("*", _sims(n_sim)).withColumn("_u", lcg("sim", "idx", seed=seed))
     w = W.partitionBy(*SIM).orderBy("_u", "idx")
     return rows.select(*SIM, (F.row_number().over(w) - 1).alias("pos"), "ret")
 
 
 def crash_paths(returns: DataFrame, n_sim: int, seed: int = 42) -> DataFrame:
-    rows = numbered(returns).select("*", _sims(n_sim))
+    rows = spread(returns).select("*", _sims(n_sim))
     start = lcg("sim", seed=seed) % F.greatest(F.lit(1), F.col("n") - CRASH_DAYS)
     hit = F.col("idx").between(start, start + CRASH_DAYS - 1)
     return rows.select(*SIM, F.col("idx").alias("pos"), F.when(hit, F.col("ret") - CRASH_DROP).otherwise(F.col("ret")).alias("ret"))
 
 
 def _lengths(rows: DataFrame, n_sim: int) -> DataFrame:
-    return rows.groupBy(P).agg(F.count(F.lit(1)).alias("n")).select(P, "n", _sims(n_sim))
+    return rows.groupBy(P).agg(F.count(F.lit(1)).alias("n")).select(P, "n", _sims(n_sim)).repartition(P, "sim")
 
 
 def _pick(slots: DataFrame, rows: DataFrame) -> DataFrame:
-    """Fetch the drawn source rows: equality on (portfolio, source row)."""
+    """Fetch the drawn source rows: equality on (portfolio, source row). rows is a written table of known size."""
     src = rows.select(P, F.col("idx").alias("src"), "ret")
     return slots.join(src, [P, "src"]).select(*SIM, "pos", "ret")
 
 
 def block_bootstrap(returns: DataFrame, n_sim: int, block: int = BLOCK_DAYS, seed: int = 42) -> DataFrame:
     """Blocks of fixed length from random starts, cut to the length of the series."""
-    rows = numbered(returns)
+    rows = cut(numbered(returns), "numbered")
     slots = _lengths(rows, n_sim).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos"))
     b = F.floor(F.col("pos") / block).cast("long")
     start = lcg("sim", b, seed=seed) % F.greatest(F.lit(1), F.col("n") - block)
@@ -84,7 +90,7 @@ def block_bootstrap(returns: DataFrame, n_sim: int, block: int = BLOCK_DAYS, see
 
 def var_block_bootstrap(returns: DataFrame, n_sim: int, lo: int = BLOCK_MIN, hi: int = BLOCK_MAX, seed: int = 42) -> DataFrame:
     """Blocks of lo..hi rows; the running sum of the lengths places them."""
-    rows = numbered(returns)
+    rows = cut(numbered(returns), "numbered")
     blocks = _lengths(rows, n_sim).select(
         "*", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / lo).cast("int"))).alias("b")
     )
@@ -100,6 +106,11 @@ def var_block_bootstrap(returns: DataFrame, n_sim: int, lo: int = BLOCK_MIN, hi:
     return _pick(slots, rows)
 
 
+def path_digest(paths: DataFrame) -> DataFrame:
+    """One row per path: its length, the sum of returns, the sum weighted by place."""
+    return paths.groupBy(*SIM).agg(F.count(F.lit(1)).alias("n"), F.sum("ret").alias("total"), F.sum(F.col("ret") * F.col("pos")).alias("placed"))
+
+
 def path_metrics(paths: DataFrame, ann: int = 252, keys=SIM) -> DataFrame:
     """CAGR, deepest fall and Sharpe of every path."""
     keys = list(keys)
