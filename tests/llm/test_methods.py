@@ -138,7 +138,7 @@ def test_winnowing_finds_every_shared_span(spark):
 
 
 def test_chosen_path_finds_planted_pairs(spark, monkeypatch):
-    """Small limits force several levels and the block comparison of what stays large."""
+    """Small limits force several levels, dense nodes, and blocks."""
     monkeypatch.setattr(chosen_path, "LIMIT", 4)
     monkeypatch.setattr(chosen_path, "MAX_LEVELS", 3)
     monkeypatch.setattr(chosen_path, "BLOCK", 5)
