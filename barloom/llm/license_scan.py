@@ -8,8 +8,8 @@ its own inherits that of the nearest directory above it.
 The vectoriser is fitted on the templates: idf(t) = ln((1 + N) / (1 + df)) + 1 with
 N templates; a term of no template has df 0, so foreign words lengthen a line
 and lower its cosine. A line can reach the threshold only if it holds a term of
-the "prefix" of a template: terms are taken by falling weight until those left
-over are too short a vector to reach it. Lines without such a term are passed by
+the "prefix" of a template: terms are taken, long ones first, until those left over
+are too short a vector to reach it. Lines without such a term are passed by
 exactly, not by chance; only the others are split into terms, and these are
 joined to the templates' terms.
 
@@ -81,7 +81,8 @@ def prefix_terms(units: list[dict[str, float]], threshold: float) -> list[str]:
     out = set()
     for unit in units:
         rest = 1.0
-        for t, x in sorted(unit.items(), key=lambda e: (-e[1], e[0])):
+        # Any order is right; long words are rarer in prose than short ones, in any language.
+        for t, x in sorted(unit.items(), key=lambda e: (-len(e[0]), -e[1], e[0])):
             if rest < (threshold - 1e-9) ** 2:
                 break
             out.add(t)
