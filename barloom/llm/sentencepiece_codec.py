@@ -25,16 +25,18 @@ from __future__ import annotations
 import re
 
 import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import append_columns
+from barloom.llm.common import SLICE_ROWS
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose paths a task keeps, and the length up to which it keeps them.
-KEPT_WORDS, KEPT_CHARS = 200_000, 40
+KEPT_WORDS, KEPT_CHARS = 300_000, 40
 CHUNK = re.compile(rf"{MARK}+[^{MARK}]*|[^{MARK}]+")
 NEVER = float("-inf")
 
@@ -73,10 +75,9 @@ class Codec:
         self.single = {p for i, p in enumerate(v.pieces) if v.normal[i] and len(p) == 1}
         if any(v.normal[i] and not self.single.issuperset(p) for i, p in enumerate(v.pieces)):
             raise ValueError("a piece holds a character that is no piece of its own")
-        # Two generations: when the young one is full it becomes the old one, so frequent words stay.
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
-        self.out = {i: p.replace(MARK, " ").encode() for i, p in enumerate(v.pieces) if v.normal[i]} | {i: bytes([b]) for b, i in v.byte_ids.items()}
+        # Ids of a word as int32 bytes. Two generations: when the young one is full it becomes the old one, so frequent words stay.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def viterbi(self, chunk: str) -> list[int]:
         """Best path of a chunk in one pass of the automaton."""
@@ -114,63 +115,105 @@ class Codec:
         return ids + (self.viterbi("".join(run)) if run else [])
 
     def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), np.int32).tolist()
+
+    def encode_bytes(self, text: str | None) -> bytes:
+        """Ids of a text as int32 bytes."""
         if not text:
-            return []
+            return b""
         if MARK in text:
             # Marks of the text itself become bytes, what lies between is encoded on its own.
-            mark = [self.v.byte_ids[b] for b in MARK.encode()]
-            ids: list[int] = []
-            for k, part in enumerate(text.split(MARK)):
-                ids += (mark if k else []) + self._marked(part.replace(" ", MARK) if k else MARK + part.replace(" ", MARK))
-            return ids
+            mark = np.array([self.v.byte_ids[b] for b in MARK.encode()], np.int32).tobytes()
+            first, *rest = text.split(MARK)
+            parts = [self._marked(MARK + first.replace(" ", MARK))]
+            for part in rest:
+                parts += [mark, self._marked(part.replace(" ", MARK))]
+            return b"".join(parts)
         return self._marked(MARK + text.replace(" ", MARK))
 
-    def _marked(self, text: str) -> list[int]:
-        ids: list[int] = []
-        young = self.young.get
+    def _marked(self, text: str) -> bytes:
+        out: list[bytes] = []
         for chunk in CHUNK.findall(text):
-            found = young(chunk)
+            found = self.young.get(chunk)
             if found is None:
-                found = self.old.get(chunk) or self.viterbi(chunk)
+                found = self.old.get(chunk)
+                if found is None:
+                    found = np.array(self.viterbi(chunk), np.int32).tobytes()
                 if len(chunk) <= KEPT_CHARS:
                     if len(self.young) >= KEPT_WORDS:
                         self.old, self.young = self.young, {}
-                        young = self.young.get
                     self.young[chunk] = found
-            ids += found
-        return ids
+            out.append(found)
+        return b"".join(out)
+
 
-    def decode(self, ids: list[int] | None) -> str:
-        """Text of ids; the space that encoding puts in front is taken off. Control ids say nothing."""
-        if not ids:
+class Decoder:
+    """Bytes of every id; control ids say nothing."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        v = vocabulary
+        self.out = np.array([p.replace(MARK, " ").encode() if ok else b"" for p, ok in zip(v.pieces, v.normal)], object)
+        for b, i in v.byte_ids.items():
+            self.out[i] = bytes([b])
+
+    def __call__(self, ids) -> str:
+        """Text of ids; the space that encoding puts in front is taken off."""
+        if ids is None or not len(ids):
             return ""
-        out = self.out
-        text = b"".join([out.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        text = b"".join(self.out[np.asarray(ids)].tolist()).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
-def _codec(spark: SparkSession, vocabulary: Vocabulary):
+def _held(spark: SparkSession, vocabulary: Vocabulary, kind):
+    """A getter that makes one object of the kind per task."""
     shared = spark.sparkContext.broadcast(vocabulary)
-    held: list[Codec] = []
+    held: list = []
 
-    def get() -> Codec:
+    def get():
         if not held:
-            held.append(Codec(shared.value))
+            held.append(kind(shared.value))
         return held[0]
 
     return get
 
 
+def _mapped(df: DataFrame, source: str, name: str, kind: T.DataType, fn) -> DataFrame:
+    """df with one more column; fn makes its Arrow array from that of the source column, a slice of rows at a time."""
+    if name in df.columns:
+        raise ValueError("a new column has the name of one that exists")
+    schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
+    at = df.columns.index(source)
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                yield pa.RecordBatch.from_arrays([*part.columns, fn(part.column(at))], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with the piece ids of every whole text."""
-    get = _codec(docs.sparkSession, vocabulary)
-    return append_columns(docs, lambda texts: [[get().encode(t) for t in texts]], text, [T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    get = _held(docs.sparkSession, vocabulary, Codec)
+
+    def fn(texts: pa.Array) -> pa.Array:
+        rows = [get().encode_bytes(t) for t in texts.to_pylist()]
+        ends = np.cumsum([0] + [len(r) // 4 for r in rows])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+
+    return _mapped(docs, text, ids, T.ArrayType(T.IntegerType()), fn)
 
 
 def decoded(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df with the text of every list of ids."""
-    get = _codec(df.sparkSession, vocabulary)
-    return append_columns(df, lambda rows: [[get().decode(r) for r in rows]], ids, [T.StructField(text, T.StringType())])
+    get = _held(df.sparkSession, vocabulary, Decoder)
+
+    def fn(rows: pa.Array) -> pa.Array:
+        flat, ends = rows.values.to_numpy(zero_copy_only=False), rows.offsets.to_numpy()
+        return pa.array([get()(flat[a:b]) for a, b in zip(ends, ends[1:])], pa.string())
+
+    return _mapped(df, ids, text, T.StringType(), fn)
 
 
 def checked(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
