@@ -354,12 +354,13 @@ def _sanitise(s, d):
     return out.select("ticker", "date", rnd("vol").alias("vol"), rnd("inv", 3).alias("inv"))
 
 
-_BR = ["Brand#1", "Brand#2", "Brand#3", "Brand#4"]
+#: All brands of the tables.
+_BR = [f"Brand#{i}" for i in range(1, 26)]
 
 
 @query("ing18_to_wide", None)
 def _wide(s, d):
-    w = C.to_wide(A.brand_bars(s, d), "close", _BR)
+    w = C.to_wide(A.brand_bars(s, d), _BR)
     return w.select("date", *[rnd(F.col(f"`{b}`")).alias("b" + b[6:]) for b in _BR])
 
 

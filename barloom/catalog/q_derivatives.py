@@ -171,6 +171,6 @@ def _14b(s, d):
     return j.groupBy("month").agg(F.count(F.lit(1)).alias("trades"), rnd(F.count_if(F.col("pnl") > 0) / F.count(F.lit(1)) * 100, 4).alias("win_rate"), rnd(F.sum("pnl"), 2).alias("total"))
 
 
-@query("drv15_order_by_reward", with_(*SP, body=f"SELECT symbol, date, {r6('max_profit_rs / risk_rs')} AS reward_risk FROM pr ORDER BY max_profit_rs / risk_rs DESC, symbol, date LIMIT 25"))
+@query("drv15_order_by_reward", with_(*SP, body=f"SELECT symbol, date, {r6('max_profit_rs / risk_rs')} AS reward_risk FROM pr"))
 def _15(s, d):
-    return r(D.order_by_reward(priced(s, d), 25), "reward_risk").select("symbol", "date", "reward_risk")
+    return r(D.order_by_reward(priced(s, d)), "reward_risk").select("symbol", "date", "reward_risk")

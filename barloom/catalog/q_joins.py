@@ -57,14 +57,15 @@ def _j4(s, d):
 
 
 @query("jn05_asof_join", with_(BARS, """q AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p,
-  'S' || lpad(cast((l_suppkey + 1) % 40 AS varchar), 10, '0') AS ticker, cast(l_shipdate AS date) AS date FROM lineitem)""",
+  'S' || lpad(cast((l_suppkey * 7 + 1) % (SELECT count(*) FROM supplier) AS varchar), 10, '0') AS ticker, cast(l_shipdate AS date) AS date FROM lineitem)""",
     body=f"""SELECT k, n, p, q.ticker, q.date, {r6('coalesce(b.close, 0)')} AS close FROM q ASOF LEFT JOIN bars b
   ON b.ticker = q.ticker AND q.date >= b.date"""))
 def _j5(s, d):
     """Every line asks for another supplier's last close: many questions per ticker and day."""
+    n = A.table(s, d, "supplier").agg(F.count(F.lit(1))).scalar()
     li = A.table(s, d, "lineitem").select(
         F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"),
-        F.concat(F.lit("S"), F.lpad(((F.col("l_suppkey") + 1) % 40).cast("string"), 10, "0")).alias("ticker"),
+        F.concat(F.lit("S"), F.lpad(((F.col("l_suppkey") * 7 + 1) % n).cast("string"), 10, "0")).alias("ticker"),
         F.to_date("l_shipdate").alias("date"))
     b = A.bars(s, d).select("ticker", "date", "close")
     return J.asof_join(li, b, ["ticker"], "date", {"close": 0.0}).select(

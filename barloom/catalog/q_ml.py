@@ -15,6 +15,8 @@ from .q_joins import LABEL_SQL, labels
 from .q_portfolio import r
 
 FT = L.FEATURES
+#: Models are fitted up to the first date and scored from the second on.
+TRAIN_END, TEST_START = "1999-12-31", "2000-02-01"
 RB = "rb AS (SELECT max(date) AS date FROM bars GROUP BY date_trunc('month', date))"
 FEATS = f"""fr0 AS (SELECT *, coalesce({ret_sql()}, 0) AS r FROM bars),
 ft AS MATERIALIZED (SELECT ticker, date, close, {ret_sql(21)} AS ret21, {ret_sql(63)} AS ret63, {ret_sql(126)} AS ret126, {ret_sql(252)} AS ret252,
@@ -39,25 +41,27 @@ def _1(s, d):
     return r(matrix(s, d), *FT)
 
 
-MED = "md AS MATERIALIZED (SELECT " + ", ".join(f"median({c}) AS {c}" for c in FT) + " FROM fm)"
+MED = "md AS MATERIALIZED (SELECT " + ", ".join(f"median({c}) AS {c}" for c in FT) + " FROM fm WHERE date <= date '1999-12-31')"
 
 
 @query("ml02_median_imputation", with_(BARS, RB, FEATS, MED, body="SELECT date, ticker, " + ", ".join(f"{r6(f'coalesce(fm.{c}, md.{c})')} AS {c}" for c in FT) + " FROM fm, md"))
 def _2(s, d):
     from ..sources.scratch import cut
     m = cut(matrix(s, d), "features")
-    return r(L.impute(m, L.fit_medians(m, FT), FT), *FT)
+    return r(L.impute(m, L.fit_medians(L.split_by_date(m, TRAIN_END, TEST_START)[0], FT), FT), *FT)
 
 
 IMP = "im AS MATERIALIZED (SELECT date, ticker, " + ", ".join(f"coalesce(fm.{c}, md.{c}) AS {c}" for c in FT) + " FROM fm, md)"
 
 
-@query("ml03_standard_scaling", with_(BARS, RB, FEATS, MED, IMP, body="SELECT date, ticker, " + ", ".join(f"{r6(f'({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()', 5)} AS {c}" for c in FT) + " FROM im"))
+@query("ml03_standard_scaling", with_(BARS, RB, FEATS, MED, IMP, body="SELECT date, ticker, " + ", ".join(f"{r6(f'(im.{c} - sc_.{c}_m) / sc_.{c}_s', 5)} AS {c}" for c in FT) + " FROM im, (SELECT " + ", ".join(
+    f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s" for c in FT) + " FROM im WHERE date <= date '1999-12-31') sc_"))
 def _3(s, d):
     from ..sources.scratch import cut
     m = cut(matrix(s, d), "features")
-    f = cut(L.impute(m, L.fit_medians(m, FT), FT), "filled")
-    return r(L.scale(f, L.fit_scaler(f, FT), FT), *FT, places=5)
+    early = lambda df: L.split_by_date(df, TRAIN_END, TEST_START)[0]
+    f = cut(L.impute(m, L.fit_medians(early(m), FT), FT), "filled")
+    return r(L.scale(f, L.fit_scaler(early(f), FT), FT), *FT, places=5)
 
 
 def ridge(s, d):
@@ -110,16 +114,22 @@ def _7(s, d):
         "cutoff", "n", F.col("z.features").alias("feature"), rnd("z.coefs").alias("coef"), "intercept")
 
 
+def parts(df):
+    """Rows to fit on and later rows to score; written, as both are read several times."""
+    from ..sources.scratch import cut
+    return L.split_by_date(cut(df, "labelled"), TRAIN_END, TEST_START)
+
+
 @query("ml08_random_forest")
 def _8(s, d):
-    t = train(s, d)
-    return L.fit_rf_regressor(t, FT)(t).select("date", "ticker", rnd("prediction").alias("prediction"))
+    fit, later = parts(train(s, d))
+    return L.fit_rf_regressor(fit, FT)(later).select("date", "ticker", rnd("prediction").alias("prediction"))
 
 
 @query("ml09_gradient_boosting")
 def _9(s, d):
-    t = train(s, d)
-    return L.fit_gbt_regressor(t, FT)(t).select("date", "ticker", rnd("prediction").alias("prediction"))
+    fit, later = parts(train(s, d))
+    return L.fit_gbt_regressor(fit, FT)(later).select("date", "ticker", rnd("prediction").alias("prediction"))
 
 
 def reversal(s, d):
@@ -151,23 +161,22 @@ def _10(s, d):
 
 @query("ml11_balanced_forest")
 def _11(s, d):
-    t = reversal(s, d)
-    return L.fit_balanced_rf(t, L.REVERSAL_FEATURES)(t).select("ticker", "date", "label", rnd("confidence").alias("confidence"))
+    fit, later = parts(reversal(s, d))
+    return L.fit_balanced_rf(fit, L.REVERSAL_FEATURES)(later).select("ticker", "date", "label", rnd("confidence").alias("confidence"))
 
 
 @query("ml12_confidence_gate")
 def _12(s, d):
-    from ..sources.scratch import cut
-    t = cut(reversal(s, d), "reversal")
-    scored = L.fit_balanced_rf(t, L.REVERSAL_FEATURES, trees=50)(t).groupBy("ticker").agg(F.max_by("confidence", "date").alias("confidence"))
-    sig = t.groupBy("ticker").agg(F.max_by("abs_z", "date").alias("z")).select("ticker", (F.col("z") * 0.01).alias("position"), F.lit("mean_reversion").alias("signal_type"))
+    fit, live = parts(reversal(s, d))
+    scored = L.fit_balanced_rf(fit, L.REVERSAL_FEATURES)(live).groupBy("ticker").agg(F.max_by("confidence", "date").alias("confidence"))
+    sig = live.groupBy("ticker").agg(F.max_by("abs_z", "date").alias("z")).select("ticker", (F.col("z") * 0.01).alias("position"), F.lit("mean_reversion").alias("signal_type"))
     return L.confidence_gate(sig, scored)
 
 
 @query("ml13_top_importances")
 def _13(s, d):
-    t = train(s, d)
-    top = L.top_importances(L.fit_rf_regressor(t, FT, trees=30).model, FT)
+    t, _ = parts(train(s, d))
+    top = L.top_importances(L.fit_rf_regressor(t, FT).model, FT)
     cells = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(n).alias("feature"), F.lit(v).alias("importance")) for i, (n, v) in enumerate(top, 1)])
     return t.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.inline(cells))
 
@@ -188,8 +197,9 @@ def _15(s, d):
 
 @query("ml16_compare_models")
 def _16(s, d):
-    from ..sources.scratch import cut
-    t = cut(train(s, d), "train")
+    fit, later = parts(train(s, d))
     basket = lambda scored: L.top_predictions(scored, 5).groupBy("date").agg(F.avg("label").alias("ret"))
-    out = L.compare_models({"ridge": basket(L.score_linear(t, L.fit_ridge(t, FT), FT)), "forest": basket(L.fit_rf_regressor(t, FT, trees=30)(t))})
+    out = L.compare_models({
+        "ridge": basket(L.score_linear(later, L.fit_ridge(fit, FT), FT)), "forest": basket(L.fit_rf_regressor(fit, FT)(later)),
+        "boosting": basket(L.fit_gbt_regressor(fit, FT)(later))})
     return r(out, "final", "cagr", "max_drawdown", "sharpe")

@@ -106,8 +106,9 @@ def _9(s, d):
     t = A.ticks(s, d).withColumn("ts", F.col("ts").cast("timestamp"))
     t.withColumn("part", F.col("event_id") % 5).repartition("part").write.partitionBy("part").parquet(path)
     stream = s.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
-    _, q = J.drain_append(S.stream_bars(stream), "late-bars")
-    return J.progress_table(s, q)
+    with J.logged_progress(s) as log:
+        _, q = J.drain_append(S.stream_bars(stream), "late-bars")
+        return log.table(s, q)
 
 
 @query("st10_daily_pipeline", with_(BARS, DIRTY, SEQ, recursive=True, body=f"""SELECT ticker, count(*) AS accepted, max(date) AS last_date, {r6('arg_max(close, date)')} AS last_close FROM walk JOIN (SELECT ticker, date, close FROM dirty) USING (ticker, date)

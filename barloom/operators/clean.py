@@ -204,8 +204,8 @@ def sanitise(df: DataFrame, defaults: dict[str, float | None], zero_is_missing:
     return df
 
 
-def to_wide(bars: DataFrame, value: str = "close", names: list[str] | None = None) -> DataFrame:
-    """Date by ticker matrix, for reports; `names` fixes the columns."""
+def to_wide(bars: DataFrame, names: list[str], value: str = "close") -> DataFrame:
+    """Date by ticker matrix, for reports. Names are required: columns must not depend on what the driver finds."""
     return bars.groupBy("date").pivot("ticker", names).agg(F.first(value, ignorenulls=True))
 
 

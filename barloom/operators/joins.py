@@ -44,7 +44,9 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], on: str,
     values = [c for c in right.columns if c not in keys and c != on]
     payload = F.struct(*values)
     asks = left.select(*keys, on) if left_unique else left.select(*keys, on).distinct()
-    facts = right.groupBy(*keys, on).agg(F.max(payload).alias("_v"))
+    # One value needs no struct, so the rows are hashed and not sorted.
+    best = F.struct(F.max(values[0]).alias(values[0])) if len(values) == 1 else F.max(payload)
+    facts = right.groupBy(*keys, on).agg(best.alias("_v"))
     both = asks.select(*keys, on, F.lit(None).alias("_v"), F.lit(1).alias("_ask")).unionByName(
         facts.select(*keys, on, "_v", F.lit(0).alias("_ask"))
     )

@@ -244,8 +244,13 @@ def reversal_training_set(resid: DataFrame, betas: DataFrame, bars: DataFrame, z
 
 
 def fit_balanced_rf(train: DataFrame, cols: list[str], label: str = "label", trees: int = 200, depth: int = 5,
-                    min_leaf: int = 10, seed: int = 42):
-    """Random-forest classifier with class weights n / (2 * n_class)."""
+                    min_leaf: int = 10, seed: int = 42, min_rows: int = 100):
+    """Random-forest classifier with class weights n / (2 * n_class).
+
+    Below min_rows rows nothing is fitted and every confidence is null.
+    """
+    if train.limit(min_rows).count() < min_rows:
+        return lambda df: df.withColumn("confidence", F.lit(None).cast("double"))
     counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     n = train.agg(F.count(F.lit(1)).alias("n")).scalar()
     ready = cut(train.join(counts, label).withColumn("_w", n / (2.0 * F.col("_nc"))).fillna(0.0, cols), "train")

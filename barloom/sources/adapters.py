@@ -46,16 +46,19 @@ def priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _to_bars(lines: DataFrame, key: str) -> DataFrame:
     """OHLCV per (key, date), lines in order of (order, line number, price).
 
-    Open and close are the price of the smallest and largest (position, price)
-    pair: partial aggregates, so a key with a third of all lines is reduced
-    before the shuffle.
+    Open and close are the price at the smallest and largest (position, price):
+    partial aggregates, so a key with a third of all lines is reduced before the
+    shuffle. Position and price are one decimal, a fixed-width buffer, so that
+    lines are hashed and never sorted.
     """
-    at = F.struct((F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("k"), F.col("px").alias("px"))
+    place = F.col("l_orderkey") * 16 + F.col("l_linenumber")
+    at = place.cast("decimal(19,0)") * F.lit(10**14).cast("decimal(15,0)") + F.floor(F.col("px") * 1e9).cast("decimal(15,0)")
+    lines = lines.withColumn("_at", at)
     return lines.groupBy(key, "date").agg(
-        F.min(at)["px"].alias("open"),
+        F.min_by("px", "_at").alias("open"),
         F.max("px").alias("high"),
         F.min("px").alias("low"),
-        F.max(at)["px"].alias("close"),
+        F.max_by("px", "_at").alias("close"),
         F.sum("l_quantity").alias("volume"),
     )
 

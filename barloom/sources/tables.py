@@ -75,7 +75,8 @@ FUNDAMENTAL_DEFAULTS = {
 
 
 def read_signals(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.SIGNALS_DOC).option("multiLine", True).json(path)
+    """Documents as write_signals stores them: one per line, any number per file."""
+    return spark.read.schema(S.SIGNALS_DOC).json(path)
 
 
 def held_from_signals(doc: DataFrame, labels: tuple[str, ...] | None = ("BUY", "HOLD")) -> DataFrame:

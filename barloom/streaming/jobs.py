@@ -5,12 +5,14 @@ Sinks are Parquet tables in the shared folder, never the driver's memory.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..functions.windows import keep_last
 from ..sources.scratch import scratch_dir
@@ -79,18 +81,44 @@ def run_daily(stream: DataFrame, stages: list[Callable[[DataFrame], DataFrame]],
     return spark.read.schema(T.StructType([*schema["out"].fields, T.StructField("batch", T.LongType())])).parquet(out)
 
 
-def late_row_count(query: StreamingQuery) -> int:
-    """Rows dropped behind the watermark over the whole run."""
-    return sum(
-        op.get("numRowsDroppedByWatermark", 0)
-        for p in query.recentProgress for op in (p["stateOperators"] if isinstance(p, dict) else p.jsonValue["stateOperators"])
-    )
+class ProgressLog(StreamingQueryListener):
+    """Keeps the counters of every micro-batch of the queries that it hears of.
 
+    A query itself remembers its last batches only. Three numbers per batch are kept, so a run of any length fits.
+    """
 
-def progress_table(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """One row per micro-batch: batch, input rows, late rows."""
-    rows = [
-        (int(p["batchId"]), int(p["numInputRows"]), int(sum(o.get("numRowsDroppedByWatermark", 0) for o in p["stateOperators"])))
-        for p in query.recentProgress
-    ]
-    return spark.createDataFrame(rows, "batch long, input_rows long, late_rows long")
+    def __init__(self):
+        self.rows: dict[tuple[str, int], tuple[int, int]] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        late = sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+        self.rows[(str(p.runId), p.batchId)] = (p.numInputRows, late)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.ended.add(str(event.runId))
+
+    def table(self, spark: SparkSession, query: StreamingQuery, wait_s: float = 30.0) -> DataFrame:
+        """batch, input_rows, late_rows of a query that has ended; its last events are waited for."""
+        run, until = str(query.runId), time.time() + wait_s
+        while run not in self.ended and time.time() < until:
+            time.sleep(0.05)
+        rows = [(batch, n, late) for (r, batch), (n, late) in sorted(self.rows.items()) if r == run]
+        return spark.createDataFrame(rows, "batch long, input_rows long, late_rows long")
+
+
+@contextmanager
+def logged_progress(spark: SparkSession):
+    log = ProgressLog()
+    spark.streams.addListener(log)
+    try:
+        yield log
+    finally:
+        spark.streams.removeListener(log)
