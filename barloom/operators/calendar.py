@@ -35,7 +35,8 @@ def rebalance_steps(weights: DataFrame, keys: list[str], dates: DataFrame | None
 
     dates: the rebalance dates, whatever is held on them; each configuration has
     those from its first holding on. Without it the dates are those of the weights,
-    which is right only if the book is never empty. The calendar is one row per
+    which is right only if the book is never empty. Keys that `dates` has too (a
+    year) have calendars of their own. The calendar is one row per
     rebalance, so it travels as one array.
     """
     if dates is None:
@@ -43,12 +44,14 @@ def rebalance_steps(weights: DataFrame, keys: list[str], dates: DataFrame | None
         return weights.select(*keys, "date").distinct().select(
             *keys, "date", F.lead("date").over(w).alias("next_date"), F.row_number().over(w).alias("step")
         )
-    w = _one_series()
-    cal = dates.select("date").distinct().select(
-        "date", F.lead("date").over(w).alias("next_date"), F.row_number().over(w).alias("step")
+    own = [k for k in keys if k in dates.columns]
+    w = W.partitionBy(*own, F.lit(0)).orderBy("date")
+    cal = dates.select(*own, "date").distinct().select(
+        *own, "date", F.lead("date").over(w).alias("next_date"), F.row_number().over(w).alias("step")
     )
-    every = cal.agg(F.array_sort(F.collect_list(F.struct("date", "next_date", "step")))).scalar()
-    first = weights.groupBy(*keys).agg(F.min("date").alias("_first")).withColumn("_all", every)
+    every = F.array_sort(F.collect_list(F.struct("date", "next_date", "step"))).alias("_all")
+    first = weights.groupBy(*keys).agg(F.min("date").alias("_first"))
+    first = first.join(cal.groupBy(*own).agg(every), own) if own else first.withColumn("_all", cal.agg(every).scalar())
     later = F.filter("_all", lambda x: x["date"] >= F.col("_first"))
     return first.select(*keys, F.explode(later).alias("c")).select(*keys, "c.date", "c.next_date", "c.step")
 

@@ -12,15 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import div
+from ..functions.columns import div, finite, truthy
 from ..functions.draws import lcg, normal
-from ..functions.windows import lag, running
-from .attribution import basket_return
+from ..functions.windows import lag, rolling, running
+from ..sources.scratch import cut
+from .attribution import charge_costs, period_daily_returns
+from .calendar import month_end_dates
 from .joins import cross_configs
 from .metrics import safe_pow, sharpe_of
-from .portfolio import hold_buffer
-from ..sources.scratch import cut
+from .portfolio import cost_drag, hold_buffer, turnover
 from .rank import best_config, top_n
+from .regime import market_regime, synthetic_index
 
 P = "portfolio"
 SIM = (P, "sim")
@@ -31,6 +33,9 @@ CRASH_DROP, CRASH_DAYS = 0.10, 5
 BLOCK_DAYS = 63
 BLOCK_MIN, BLOCK_MAX = 3, 6
 
+# Fixed value: cost of buying and selling again.
+ROUND_TRIP_COST = 0.0035
+
 
 def numbered(returns: DataFrame) -> DataFrame:
     """portfolio, idx (from 0), ret and n, the length of the series."""
@@ -137,45 +142,68 @@ def path_summary(metrics: DataFrame, ruin: float = -0.50, min_cagr: float = 0.0,
 
 # ---- configurations
 
-def sweep_panel(bars: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
-    """Month-end cross-sections with one momentum column per (window, skip).
+def sweep_panel(bars: DataFrame, grid: list[dict]) -> DataFrame:
+    """Month-end cross-sections with what any configuration asks for: close, trend, turnover,
+    volatility, one momentum column per (window, skip), one state column per regime window.
 
-    All indicators share one window, and rows are reduced to months x tickers
-    before any configuration multiplies them.
+    All indicators share one window, and rows are reduced to months x tickers before
+    any configuration multiplies them. Written once.
     """
-    ind = bars
+    ret = F.coalesce(div("close", lag("close")) - 1, F.lit(0.0))
+    ind = bars.withColumn("_r", ret).withColumn("_t", F.col("close") * F.col("volume"))
+    ind = (
+        ind.withColumn("sma200", rolling(F.avg, "close", 200)).withColumn("avg_turnover20", rolling(F.avg, "_t", 20))
+        .withColumn("vol60", F.coalesce(rolling(F.stddev_samp, "_r", 60) * F.sqrt(F.lit(252.0)), F.lit(0.3)))
+    )
+    pairs = grid_pairs(grid)
     for window, skip in pairs:
         recent = lag("close", skip) if skip else F.col("close")
         ind = ind.withColumn(f"mom_{window}_{skip}", div(recent, lag("close", window)) - 1)
-    cols = ["close", *[f"mom_{w}_{s}" for w, s in pairs]]
+    cols = ["close", "sma200", "avg_turnover20", "vol60", *[f"mom_{w}_{s}" for w, s in pairs]]
     last = ind.groupBy("ticker", F.trunc("date", "month").alias("month")).agg(F.max_by(F.struct(*cols), "date").alias("r"))
-    ends = bars.groupBy(F.trunc("date", "month").alias("month")).agg(F.max("date").alias("date"))
-    return last.join(ends, "month").select("date", "ticker", "r.*")
+    panel = last.join(month_end_dates(bars), "month").select("date", "ticker", "r.*")
+    index = cut(synthetic_index(bars), "index")
+    for n in sorted({c["regime_sma"] for c in grid}):
+        state = market_regime(index, n).select("date", F.col("bullish").alias(f"bull_{n}"))
+        panel = panel.join(state, "date", "left")
+    return cut(panel, "sweep-panel")
 
 
 def grid_pairs(grid: list[dict]) -> list[tuple[int, int]]:
     return sorted({(c["window"], c["skip"]) for c in grid})
 
 
-def config_returns(panel: DataFrame, grid: list[dict], extra_keys: tuple[str, ...] = ()) -> DataFrame:
-    """config_id, date, ret: close-to-close return of each configuration's basket.
+def config_returns(panel: DataFrame, bars: DataFrame, grid: list[dict], dates: DataFrame, extra_keys: tuple[str, ...] = (),
+                   min_price: float = 10.0) -> DataFrame:
+    """config_id, date, ret: daily net return of each configuration's book.
 
-    grid: config_id, window, skip, top_n, buffer, leverage. The extra keys restart
-    the holdings (for example per year).
+    grid: config_id, window, skip, top_n, hold_rank (0: none), regime_sma, min_turnover,
+    leverage. In a bull state the book holds the best names by risk-adjusted momentum
+    among those above their trend, the turnover floor and the price floor, in equal
+    parts; else it is cash. Costs are one way on the weights moved. The extra keys
+    restart the holdings (for example per year); dates then has them too.
     """
-    keys = ["config_id", "top_n", "buffer", "leverage", *extra_keys]
-    score = F.lit(None).cast("double")
+    keys = ["config_id", "top_n", "hold_rank", "leverage", *extra_keys]
+    mom, bull = F.lit(None).cast("double"), F.lit(False)
     for w, s in grid_pairs(grid):
-        score = F.when((F.col("window") == w) & (F.col("skip") == s), F.col(f"mom_{w}_{s}")).otherwise(score)
-    cand = cross_configs(panel, grid).withColumn("score", score)
-    depth = max(c["top_n"] + c["buffer"] for c in grid)
-    ranked = top_n(cand, "score", depth, ("config_id", "date")).where(F.col("rank") <= F.col("top_n") + F.col("buffer"))
-    book = hold_buffer(ranked, F.col("top_n"), F.col("buffer"), keys, depth)
-    r = basket_return(book, panel, keys)
-    return r.select("config_id", *extra_keys, "date", (F.col("ret") * F.col("leverage")).alias("ret"))
-
-
-def config_metrics(returns: DataFrame, keys=("config_id",), ann: int = 12) -> DataFrame:
+        mom = F.when((F.col("window") == w) & (F.col("skip") == s), F.col(f"mom_{w}_{s}")).otherwise(mom)
+    for n in sorted({c["regime_sma"] for c in grid}):
+        bull = F.when(F.col("regime_sma") == n, truthy(f"bull_{n}")).otherwise(bull)
+    score = F.coalesce(finite(F.col("_mom") / (F.col("vol60") + 1e-6)), F.col("_mom"))
+    cand = cross_configs(panel, grid).where(
+        bull & (F.col("close") > F.col("sma200")) & (F.col("avg_turnover20") > F.col("min_turnover")) & (F.col("close") > min_price)
+    ).withColumn("_mom", mom).where(F.col("_mom").isNotNull()).withColumn("score", score)
+    depth = max(c["top_n"] + c["hold_rank"] for c in grid)
+    ranked = top_n(cand, "score", depth, ("config_id", "date")).where(F.col("rank") <= F.col("top_n") + F.col("hold_rank"))
+    book = hold_buffer(cut(ranked.select(*keys, "date", "ticker", "rank"), "ranked"), F.col("top_n"), F.col("hold_rank"), keys, depth, dates)
+    size = F.count(F.lit(1)).over(W.partitionBy(*keys, "date"))
+    book = cut(book.withColumn("weight", F.col("leverage") / size), "sweep-book")
+    daily = period_daily_returns(book, bars, 1.0, keys, dates, weighted=True)
+    net = charge_costs(daily, cost_drag(turnover(book, keys, dates), ROUND_TRIP_COST / 2), keys)
+    return cut(net.select("config_id", *extra_keys, "date", F.col("net").alias("ret")), "sweep-returns")
+
+
+def config_metrics(returns: DataFrame, keys=("config_id",), ann: int = 252) -> DataFrame:
     return path_metrics(returns.withColumnRenamed("date", "pos"), ann, keys)
 
 
@@ -202,34 +230,34 @@ def blind_test(returns: DataFrame, split) -> DataFrame:
 
 
 def walk_forward(returns: DataFrame, train_years: int = 5) -> DataFrame:
-    """year, config_id, train_sharpe, ret: each year runs the configuration with the best
-    Sharpe of the years before.
+    """year, config_id, train_sharpe, ret, days: each year runs the configuration with the best
+    Sharpe of the train_years years before; years without as many are left out.
 
-    A month counts for the next `train_years` years: it is spread over them
-    (at most train_years copies of a config-month row) and aggregated once.
+    A day counts for the next `train_years` years: it is spread over them
+    (at most train_years copies of a config-day row) and aggregated once.
     """
     yr = returns.withColumn("y", F.year("date"))
     first = returns.agg(F.min(F.year("date")).alias("m")).scalar()
     last = returns.agg(F.max(F.year("date")).alias("m")).scalar()
     train = yr.select("config_id", "ret", F.explode(F.sequence(F.col("y") + 1, F.col("y") + train_years)).alias("year"))
-    train = train.where((F.col("year") <= last) & (F.col("year") > first))
-    score = train.groupBy("year", "config_id").agg(sharpe_of("ret", 0.0, 1, 12).alias("train_sharpe"))
+    train = train.where((F.col("year") <= last) & (F.col("year") >= first + train_years))
+    score = train.groupBy("year", "config_id").agg(sharpe_of("ret", 0.0, 1, 252).alias("train_sharpe"))
     best = best_config(score.where(F.col("train_sharpe").isNotNull()), "train_sharpe", ("year",))
-    year = yr.groupBy(F.col("y").alias("year"), "config_id").agg((F.product(1 + F.col("ret")) - 1).alias("ret"), F.count(F.lit(1)).alias("months"))
+    year = yr.groupBy(F.col("y").alias("year"), "config_id").agg((F.product(1 + F.col("ret")) - 1).alias("ret"), F.count(F.lit(1)).alias("days"))
     return best.join(year, ["year", "config_id"])
 
 
-def isolated_years(panel: DataFrame, grid: list[dict]) -> DataFrame:
-    """Each year on its own, holdings empty at its start."""
-    rets = config_returns(panel.withColumn("year", F.year("date")), grid, ("year",))
-    return config_metrics(rets, ("config_id", "year"))
+def isolated_years(panel: DataFrame, bars: DataFrame, grid: list[dict], dates: DataFrame) -> DataFrame:
+    """Each year on its own: holdings empty at its start, the last rebalance of the year its end."""
+    year = lambda df: df.withColumn("year", F.year("date"))
+    return config_metrics(config_returns(year(panel), bars, grid, year(dates), ("year",)), ("config_id", "year"))
 
 
 def ab_variants(metrics: DataFrame, baseline: int = 0) -> DataFrame:
-    """Variants that beat the baseline on both Sharpe and drawdown."""
+    """Variants that beat the baseline on both Sharpe and drawdown; equal to nine places is no win."""
     base = metrics.where(F.col("config_id") == baseline).select(F.struct("sharpe", "max_drawdown").alias("b")).scalar()
     return metrics.where(F.col("config_id") != baseline).withColumn("_b", base).withColumn(
-        "wins", (F.col("sharpe") > F.col("_b.sharpe")) & (F.col("max_drawdown") > F.col("_b.max_drawdown"))
+        "wins", (F.round("sharpe", 9) > F.round("_b.sharpe", 9)) & (F.round("max_drawdown", 9) > F.round("_b.max_drawdown", 9))
     ).drop("_b")
 
 
