@@ -9,6 +9,7 @@ from ..operators import derivatives as D
 from ..operators import metrics as M
 from ..operators import regime as R
 from ..sources import adapters as A
+from ..sources.scratch import cut
 from .base import BARS, query, r6, regime_sql, with_
 from .q_derivatives_sql import FUTURES, OPTIONS, round_strike
 from .q_portfolio import r
@@ -116,8 +117,12 @@ SP = (BARS, OPTIONS, STATES, SPREADS, PRICED_SP)
 
 
 def priced(s, d, chain=None):
+    """The chain is cut to the signals' (symbol, date, type) before anything is joined, and written once."""
     chain = A.options(s, d) if chain is None else chain
-    return D.price_spread(spreads(s, d).join(CAL.monthly_expiry(chain), ["symbol", "date", "option_type"]), chain)
+    on = ["symbol", "date", "option_type"]
+    wanted = cut(spreads(s, d), "spreads")
+    near = cut(chain.join(wanted.select(*on).distinct(), on, "left_semi"), "chain-of-signals")
+    return D.price_spread(wanted.join(CAL.monthly_expiry(near), on), near)
 
 
 @query("drv11_price_spread", with_(*SP, body=f"SELECT symbol, date, option_type, expiry_dt, lots, {r6('net_debit')} AS net_debit, {r6('risk_rs', 4)} AS risk_rs, {r6('max_profit_rs', 4)} AS max_profit_rs FROM pr"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean_number, div, finite, truthy
+from ..functions.folds import fold
 from ..functions.windows import keep_last, lag, series
 
 MAX_JUMP = 0.25
@@ -52,22 +53,14 @@ def validate_sequential(new: DataFrame, baseline: DataFrame | None = None,
         rows = rows.withColumn("base", F.lit(None).cast("double"))
     else:
         rows = rows.join(baseline.select("ticker", F.col("close").alias("base")), "ticker", "left")
-    step_t = "struct<base:double,out:array<struct<base:double,jump:boolean>>>"
 
-    def step(acc, r):
-        base = acc["base"]
+    def step(base, r):
         jump = truthy(F.abs(r["close"] / F.when(base > 0, base) - 1) > max_jump)
         kept = r["reason"].isNull() & ~jump
-        return F.struct(
-            F.when(kept, r["close"]).otherwise(base).alias("base"),
-            F.array_append(acc["out"], F.struct(base.alias("base"), jump.alias("jump"))).alias("out"),
-        ).cast(step_t)
-
-    start = F.struct(
-        F.col("base").alias("base"), F.expr("cast(array() as array<struct<base:double,jump:boolean>>)").alias("out")
-    ).cast(step_t)
+        return F.when(kept, r["close"]).otherwise(base), F.struct(base.alias("base"), jump.alias("jump"))
+
     out = (
-        rows.withColumn("out", F.aggregate("rows", start, step, lambda a: a["out"]))
+        rows.withColumn("out", fold(F.col("rows"), F.col("base"), "double", "struct<base:double,jump:boolean>", step))
         .select("ticker", F.explode(F.arrays_zip("rows", "out")).alias("z"))
         .select("ticker", F.col("z.rows.date").alias("date"), F.col("z.out.base").alias("baseline"),
                 F.col("z.out.jump").alias("_jump"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col_of, div, truthy
 from ..functions.windows import lag, rolling, series
+from ..sources.scratch import cut
 from .joins import range_join, two_legs
 
 # Strike steps by price band.
@@ -153,10 +154,12 @@ def take_profit_exit(spreads: DataFrame, chain: DataFrame, share: float = TAKE_P
     """First later date on which the spread has earned `share` of its best case; NULL when never."""
     keys = ["symbol", "entry_date", "option_type", "expiry_dt"]
     s = spreads.withColumnRenamed("date", "entry_date")
-    leg = chain.select("symbol", "date", "option_type", "expiry_dt", "strike", "close")
+    on = ["symbol", "option_type", "expiry_dt"]
+    legs = s.select(*on, F.explode(F.array("atm_strike", "otm_strike")).alias("strike")).distinct()
+    # Only the legs held: the chain is read and moved once.
+    leg = cut(chain.select("symbol", "date", "option_type", "expiry_dt", "strike", "close").join(legs, [*on, "strike"], "left_semi"), "held-legs")
     atm = leg.withColumnRenamed("close", "atm_now").withColumnRenamed("strike", "atm_strike")
     otm = leg.withColumnRenamed("close", "otm_now").withColumnRenamed("strike", "otm_strike")
-    on = ["symbol", "option_type", "expiry_dt"]
     walk = (
         s.join(atm, [*on, "atm_strike"])
         .where((F.col("date") > F.col("entry_date")) & (F.col("date") <= F.col("expiry_dt")))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import col_of, div, finite, truthy
+from ..functions.folds import fold
 from ..functions.windows import lag, last_n, lead, rolling, rolling2, running, series
 
 ANNUAL = 252
@@ -171,18 +172,12 @@ def kama(df: DataFrame, n: int = 10, fast: int = 2, slow: int = 30) -> DataFrame
         .groupBy("ticker")
         .agg(F.array_sort(F.collect_list(F.struct("date", "close", F.col("_c").alias("c")))).alias("rows"))
     )
-    empty = F.expr("cast(array() as array<double>)")
-    folded = F.aggregate(
-        F.col("rows"),
-        empty,
-        lambda acc, r: F.array_append(
-            acc,
-            F.when(r["c"].isNull(), F.lit(None).cast("double"))
-            .when(F.get(acc, F.size(acc) - 1).isNull(), r["close"])
-            .otherwise(F.get(acc, F.size(acc) - 1)
-                       + r["c"] * (r["close"] - F.get(acc, F.size(acc) - 1))),
-        ),
-    )
+
+    def step(k, r):
+        new = F.when(r["c"].isNull(), F.lit(None).cast("double")).when(k.isNull(), r["close"]).otherwise(k + r["c"] * (r["close"] - k))
+        return new, new
+
+    folded = fold(F.col("rows"), F.lit(None).cast("double"), "double", "double", step)
     out = rows.withColumn("k", folded).select(
         "ticker", F.explode(F.arrays_zip("rows", "k")).alias("z")
     ).select("ticker", F.col("z.rows.date").alias("date"), F.col("z.k").alias("kama"))

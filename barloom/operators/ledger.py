@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import div, truthy
+from ..functions.folds import fold
 from ..functions.windows import keep_last, lag, running
 from ..schemas import BreakerLimits
 from ..sources.scratch import cut
@@ -122,11 +123,9 @@ def average_cost(trades: DataFrame) -> DataFrame:
         (F.col("e._m") * F.col("e._d")).alias("b"),
     )
     costs = ends.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("chunk", "a", "b"))).alias("rows")).withColumn(
-        "c", F.aggregate(
-            "rows", F.array(F.lit(0.0)),
-            lambda acc, x: F.array_append(acc, x["a"] * F.get(acc, F.size(acc) - 1) + x["b"]),
-        )
-    ).select(*KEYS, F.explode(F.arrays_zip("rows", F.expr("slice(c, 1, size(rows))").alias("c0"))).alias("z")).select(
+        # The output of an hour is the value before it.
+        "c0", fold(F.col("rows"), F.lit(0.0), "double", "double", lambda c, x: (x["a"] * c + x["b"], c))
+    ).select(*KEYS, F.explode(F.arrays_zip("rows", "c0")).alias("z")).select(
         *KEYS, F.col("z.rows.chunk").alias("chunk"), F.col("z.c0").alias("_c0")
     )
     t = t.join(costs, [*KEYS, "chunk"]).withColumn(
@@ -323,8 +322,7 @@ def breaker_state(equity: DataFrame, limits: BreakerLimits = BreakerLimits(), ke
     The kill switch is a running peak; the month clock of the breaker restarts
     from itself, so it is a fold over the dates of a portfolio.
     """
-    state = ("struct<hwm:double,kill:boolean,trip:date,mdate:date,mcap:double,"
-             "out:array<struct<date:date,status:string>>>")
+    state = "struct<hwm:double,kill:boolean,trip:date,mdate:date,mcap:double>"
     rows = equity.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("date", "capital"))).alias("rows"))
 
     def step(acc, r):
@@ -344,13 +342,13 @@ def breaker_state(equity: DataFrame, limits: BreakerLimits = BreakerLimits(), ke
             hwm.alias("hwm"), kill.alias("kill"), trip.alias("trip"),
             F.when(restart, r["date"]).otherwise(acc["mdate"]).alias("mdate"),
             F.when(restart, r["capital"]).otherwise(acc["mcap"]).alias("mcap"),
-            F.array_append(acc["out"], F.struct(r["date"].alias("date"), status.alias("status"))).alias("out"),
-        ).cast(state)
+        ).cast(state), F.struct(r["date"].alias("date"), status.alias("status"))
 
     start = F.expr(
-        f"cast(named_struct('hwm', null, 'kill', false, 'trip', null, 'mdate', null, 'mcap', null, 'out', array()) as {state})"
+        f"cast(named_struct('hwm', null, 'kill', false, 'trip', null, 'mdate', null, 'mcap', null) as {state})"
     )
-    return rows.select(key, F.explode(F.aggregate("rows", start, step, lambda a: a["out"])).alias("o")).select(
+    out = fold(F.col("rows"), start, state, "struct<date:date,status:string>", step)
+    return rows.select(key, F.explode(out).alias("o")).select(
         key, "o.date", "o.status"
     )
 
