@@ -54,7 +54,7 @@ LIMIT = 16
 MAX_LEVELS = 8
 #: Share of agreeing tokens in a sample of coordinates from which a large node counts as one cluster.
 DENSE = 0.5
-DENSE_SAMPLE = 8
+DENSE_SAMPLE = 4
 #: Sets of a cluster per block; a group compares two blocks.
 BLOCK = 512
 TARGET_RECALL = 0.9999
@@ -193,17 +193,19 @@ def nodes(sets: DataFrame, target: float) -> tuple[DataFrame, DataFrame]:
 def _rated(large: DataFrame) -> DataFrame:
     """Rows with own (share of the node that has the set's token, mean over sampled coordinates) and density (its mean over the node).
 
-    Counts per (node, coordinate, token) are partial sums; they come back to the rows by a join.
+    A token has four bits here, so the counts of a node are a short histogram: partial
+    sums, no row per token. They come back to the rows by a join.
     """
-    tokens = F.array(*[F.lit(k * 16).cast("long") + token_bits(_coordinate(F.col("node"), 100 + k)) for k in range(DENSE_SAMPLE)])
-    rows = large.withColumn("picked", tokens)
-    counts = rows.select("node", "c", F.explode("picked").alias("t")).groupBy("node", "t").agg(F.count(F.lit(1)).alias("m"), F.first("c").alias("c"))
-    # At most 16 tokens per sampled coordinate: a short map per node.
-    maps = counts.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("t", (F.col("m") / F.col("c")).alias("share")))).alias("shares"),
-                                      (F.sum(F.col("m") * F.col("m") / (F.col("c") * F.col("c"))) / DENSE_SAMPLE).alias("density"))
-    rows = rows.join(maps, "node")
-    own = F.aggregate(F.transform("picked", lambda t: F.element_at("shares", t)), F.lit(0.0), lambda s, x: s + x) / DENSE_SAMPLE
-    return rows.withColumn("own", own).drop("picked", "shares", "c")
+    picked = [f"t{k}" for k in range(DENSE_SAMPLE)]
+    rows = large.withColumns({t: token_bits(_coordinate(F.col("node"), 100 + k)) for k, t in enumerate(picked)})
+    cells = [F.count_if(F.col(t) == v) for t in picked for v in range(16)]
+    shares = rows.groupBy("node").agg(F.transform(F.array(*cells), lambda m: m / F.count(F.lit(1))).alias("shares"))
+    square = F.aggregate("shares", F.lit(0.0), lambda s, x: s + x * x) / DENSE_SAMPLE
+    rows = rows.join(shares.select("node", "shares", square.alias("density")), "node")
+    own = F.lit(0.0)
+    for k, t in enumerate(picked):
+        own = own + F.get("shares", (F.lit(16 * k) + F.col(t)).cast("int"))
+    return rows.withColumn("own", own / DENSE_SAMPLE).drop(*picked, "shares", "c")
 
 
 def clusters(dense: DataFrame) -> DataFrame:
