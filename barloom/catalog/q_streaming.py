@@ -28,6 +28,17 @@ def wall(df, *cols):
     return df
 
 
+def staged_in_order(s, df, name, parts=4):
+    """df as files whose dates rise from file to file, read one file per micro-batch."""
+    path = scratch_dir(s, name)
+    lo, hi = df.agg(F.min("date"), F.max("date")).first()
+    days = (hi - lo).days // parts + 1
+    part = F.floor(F.datediff("date", F.lit(lo)) / days)
+    for k in range(parts):
+        df.where(part == k).coalesce(1).write.mode("append").parquet(path)
+    return J.read_stream(s, path, df.schema, files_per_trigger=1)
+
+
 def staged(s, df, name, parts=None):
     """A table written to the shared folder and read back as a file stream."""
     path = scratch_dir(s, name)
@@ -63,7 +74,7 @@ def _3(s, d):
 
 @query("st04_validate", with_(BARS, DIRTY, SEQ, recursive=True, body="SELECT ticker, date, coalesce(reason, CASE WHEN jump THEN 'jump' END) AS reason FROM walk"))
 def _4(s, d):
-    out, _ = J.drain_append(S.stream_validate(staged(s, dirty(s, d), "candles")), "validated")
+    out, _ = J.drain_append(S.stream_validate(staged_in_order(s, dirty(s, d), "candles")), "validated")
     return out.select("ticker", "date", "reason")
 
 
@@ -114,7 +125,10 @@ def _9(s, d):
 @query("st10_daily_pipeline", with_(BARS, DIRTY, SEQ, recursive=True, body=f"""SELECT ticker, count(*) AS accepted, max(date) AS last_date, {r6('arg_max(close, date)')} AS last_close FROM walk JOIN (SELECT ticker, date, close FROM dirty) USING (ticker, date)
   WHERE reason IS NULL AND NOT jump GROUP BY 1"""))
 def _10(s, d):
-    """Ingest of faulty bars: validate, keep the accepted, then the latest state per ticker."""
-    ok = lambda df: C.split_rejects(C.validate_sequential(df))[0]
-    bars = J.run_daily(staged(s, dirty(s, d), "incoming"), [ok])
+    """Ingest of faulty bars in several batches: validate against the stored history, keep the accepted, latest state per ticker."""
+    def accept(batch, stored):
+        base = None if stored is None else stored.groupBy("ticker").agg(F.max_by("close", "date").alias("close"))
+        return C.split_rejects(C.validate_sequential(batch, base))[0]
+
+    bars = J.run_daily(staged_in_order(s, dirty(s, d), "incoming"), [accept])
     return bars.groupBy("ticker").agg(F.count(F.lit(1)).alias("accepted"), F.max("date").alias("last_date"), rnd(F.max_by("close", "date")).alias("last_close"))

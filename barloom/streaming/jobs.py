@@ -29,56 +29,84 @@ def read_stream(spark: SparkSession, folder: str, schema: T.StructType, name: st
     return reader.parquet(folder)
 
 
-def drain_append(stream: DataFrame, name: str) -> tuple[DataFrame, StreamingQuery]:
-    """Append mode into a Parquet table; (table, finished query)."""
+def _paths(spark: SparkSession, name: str, out: str | None, checkpoint: str | None) -> tuple[str, str]:
+    """Output and checkpoint of a job. A job that is to resume gets both; fresh ones are for a run of its own."""
+    if (out is None) != (checkpoint is None):
+        raise ValueError("give both paths, or none for a run that will not be resumed")
+    return out or scratch_dir(spark, name), checkpoint or scratch_dir(spark, f"{name}-ckpt")
+
+
+def drain_append(stream: DataFrame, name: str, out: str | None = None, checkpoint: str | None = None) -> tuple[DataFrame, StreamingQuery]:
+    """Append mode into a Parquet table; (table, finished query). With the same paths the next run goes on where this one ended."""
     spark = stream.sparkSession
-    out = scratch_dir(spark, name)
+    out, checkpoint = _paths(spark, name, out, checkpoint)
     q = (
         stream.writeStream.outputMode("append").format("parquet").trigger(availableNow=True)
-        .option("checkpointLocation", scratch_dir(spark, f"{name}-ckpt")).option("path", out).start()
+        .option("checkpointLocation", checkpoint).option("path", out).start()
     )
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out), q
 
 
-def drain_update(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
+def drain_update(stream: DataFrame, keys: list[str], name: str, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Update mode: every batch is written with its id, the last one per key counts.
 
     A batch that is tried again overwrites its own folder, so replays add nothing.
     """
     spark = stream.sparkSession
-    out = scratch_dir(spark, name)
+    out, checkpoint = _paths(spark, name, out, checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     q = (
         stream.writeStream.outputMode("update").foreachBatch(write).trigger(availableNow=True)
-        .option("checkpointLocation", scratch_dir(spark, f"{name}-ckpt")).start()
+        .option("checkpointLocation", checkpoint).start()
     )
     q.awaitTermination()
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
     return keep_last(spark.read.schema(schema).parquet(out), keys, ["batch"]).drop("batch")
 
 
-def run_daily(stream: DataFrame, stages: list[Callable[[DataFrame], DataFrame]], name: str = "daily") -> DataFrame:
-    """Ingest job: each micro-batch goes through the batch stages and is written under its id."""
+def stored_table(spark: SparkSession, out: str) -> DataFrame | None:
+    """What a job has written so far, with its batch numbers; None before the first batch."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path) or not any(f.isDirectory() and f.getPath().getName().startswith("batch=") for f in fs.listStatus(path)):
+        return None
+    return spark.read.parquet(out).withColumn("batch", F.col("batch").cast("long"))
+
+
+def run_daily(stream: DataFrame, stages: list[Callable[[DataFrame, DataFrame | None], DataFrame]], name: str = "daily",
+              out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Ingest job: each micro-batch goes through the stages and is written under its id.
+
+    A stage takes the batch and what earlier batches have stored (None at first), so
+    rules that look back, like the last accepted close, see the history. A batch
+    that is tried again sees only the batches before it and replaces its own folder.
+    An empty source gives an empty table.
+    """
     spark = stream.sparkSession
-    out = scratch_dir(spark, name)
-    schema: dict[str, T.StructType] = {}
+    out, checkpoint = _paths(spark, name, out, checkpoint)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
+    def staged(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
         for stage in stages:
-            batch = batch.transform(stage)
-        schema["out"] = batch.schema
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            batch = stage(batch, stored)
+        return batch
 
-    q = (
-        stream.writeStream.foreachBatch(write).trigger(availableNow=True)
-        .option("checkpointLocation", scratch_dir(spark, f"{name}-ckpt")).start()
-    )
+    def write(batch: DataFrame, batch_id: int) -> None:
+        stored = stored_table(spark, out)
+        if stored is not None:
+            stored = stored.where(F.col("batch") < batch_id)
+        staged(batch, stored).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    q = stream.writeStream.foreachBatch(write).trigger(availableNow=True).option("checkpointLocation", checkpoint).start()
     q.awaitTermination()
-    return spark.read.schema(T.StructType([*schema["out"].fields, T.StructField("batch", T.LongType())])).parquet(out)
+    stored = stored_table(spark, out)
+    if stored is None:
+        empty = spark.createDataFrame([], stream.schema)
+        return staged(empty, None).withColumn("batch", F.lit(0).cast("long"))
+    return stored
 
 
 class ProgressLog(StreamingQueryListener):

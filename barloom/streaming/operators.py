@@ -75,36 +75,43 @@ def stream_entry_bursts(entries: DataFrame, gap: str = "5 days", delay: str = "1
 def stream_validate(candles: DataFrame, max_jump: float = MAX_JUMP) -> DataFrame:
     """Candle rules in the JVM, then the jump rule against the last accepted close per ticker.
 
-    The state is one number per ticker. Rows of a ticker inside one micro-batch
-    are put in date order before they are judged.
+    The state is two numbers per ticker: that close and its date. Rows of a ticker
+    inside one micro-batch are put in date order before they are judged. Across
+    batches dates must rise: a row on or before the last accepted date of an earlier
+    batch comes too late to be judged against its own past and is rejected as 'stale'.
     """
     rows = candle_reason(candles).select("ticker", "date", "close", "reason")
     schema = "ticker string, date date, close double, reason string"
 
     def judge(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        base = state.get[0] if state.exists else None
+        base, last = state.get if state.exists else (None, None)
+        before = last
         pdf = pd.concat(list(batches)).sort_values("date", kind="stable")
         reasons = []
-        for close, reason in zip(pdf.close, pdf.reason):
+        for day, close, reason in zip(pdf.date, pdf.close, pdf.reason):
             why = reason if isinstance(reason, str) else None
+            at = pd.Timestamp(day).toordinal()
+            if why is None and before is not None and at <= before:
+                why = "stale"
             if why is None and base is not None and base > 0 and abs(close / base - 1) > max_jump:
                 why = "jump"
             if why is None:
-                base = float(close)
+                base, last = float(close), at
             reasons.append(why)
         if base is not None:
-            state.update((base,))
+            state.update((base, last))
         yield pdf.assign(reason=pd.Series(reasons, index=pdf.index, dtype=object))
 
     return rows.groupBy("ticker").applyInPandasWithState(
-        judge, schema, "base double", "append", GroupStateTimeout.NoTimeout
+        judge, schema, "base double, last long", "append", GroupStateTimeout.NoTimeout
     )
 
 
 def stream_positions(trades: DataFrame) -> DataFrame:
     """Quantity and average cost per (strategy, symbol) after each micro-batch.
 
-    The state is two numbers per key; a flat position clears it.
+    The state is three numbers per key that has ever traded: a flat position keeps
+    its count of trades.
     """
     schema = "strategy string, symbol string, qty double, avg_cost double, trades long"
 

@@ -52,3 +52,41 @@ def test_late_rows_are_counted(spark, sf, tmp_path):
     with J.logged_progress(spark) as log:
         _, q = J.drain_append(S.stream_bars(J.read_stream(spark, path, ev.schema, files_per_trigger=1)), "t-late")
     assert log.table(spark, q).agg({"late_rows": "sum"}).first()[0] > 0
+
+
+def _accept(batch, stored):
+    base = None if stored is None else stored.groupBy("ticker").agg(F.max_by("close", "date").alias("close"))
+    return C.split_rejects(C.validate_sequential(batch, base))[0]
+
+
+def _candles(spark, rows):
+    df = spark.createDataFrame(rows, "ticker string, date string, close double").withColumn("date", F.to_date("date"))
+    return df.select("ticker", "date", F.col("close").alias("open"), F.col("close").alias("high"), F.col("close").alias("low"), "close", F.lit(5.0).alias("volume"))
+
+
+def test_daily_job_looks_back_and_resumes(spark, tmp_path):
+    src, out, ckpt = (str(tmp_path / x) for x in ("src", "out", "ckpt"))
+    first = _candles(spark, [("A", "2024-01-01", 10.0), ("B", "2024-01-01", 50.0)])
+    run = lambda: J.run_daily(J.read_stream(spark, src, first.schema), [_accept], out=out, checkpoint=ckpt)
+    first.write.mode("append").parquet(src)
+    assert run().count() == 2
+    assert run().count() == 2
+    # Twice the last accepted close of an earlier run.
+    _candles(spark, [("A", "2024-01-02", 20.0), ("B", "2024-01-02", 51.0)]).write.mode("append").parquet(src)
+    assert sorted((r.ticker, r.close) for r in run().collect()) == [("A", 10.0), ("B", 50.0), ("B", 51.0)]
+
+
+def test_daily_job_on_an_empty_source(spark, tmp_path):
+    src = str(tmp_path / "none")
+    empty = _candles(spark, [("A", "2024-01-01", 10.0)]).where("false")
+    empty.write.parquet(src)
+    assert J.run_daily(J.read_stream(spark, src, empty.schema), [_accept]).count() == 0
+
+
+def test_stale_candles_are_rejected(spark, tmp_path):
+    src = str(tmp_path / "stale")
+    for day, close in (("2024-01-05", 10.0), ("2024-01-03", 10.5), ("2024-01-06", 11.0)):
+        _candles(spark, [("A", day, close)]).coalesce(1).write.mode("append").parquet(src)
+    schema = _candles(spark, [("A", "2024-01-01", 1.0)]).schema
+    out, _ = J.drain_append(S.stream_validate(J.read_stream(spark, src, schema, files_per_trigger=1)), "stale")
+    assert {str(r.date): r.reason for r in out.collect()} == {"2024-01-05": None, "2024-01-03": "stale", "2024-01-06": None}
