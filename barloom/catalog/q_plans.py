@@ -12,7 +12,7 @@ from ..sources import adapters as A
 from ..sources.scratch import cut
 from . import frames as X
 from .base import BARS, ORACLES, query, r6, regime_sql, with_
-from .q_joins import PAIRS_SQL  # noqa: F401
+from .q_joins import PAIR_ROWS
 from .q_portfolio import r
 
 SCREEN = f"""lr AS (SELECT * FROM ind QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1),
@@ -44,7 +44,7 @@ def _factor(s, d):
         bars=bars, index=R.synthetic_index(bars), sectors=A.brand_sectors(s, d), pairs=A.brand_pairs(s, d),
         eligible=A.table(s, d, "part").select(F.col("p_brand").alias("ticker")).distinct(),
     )
-    sig = FM.factor_signals(x, FactorParams(z_entry=0.5))
+    sig = FM.factor_signals(x, FactorParams(z_entry=0.5, pair_rows=PAIR_ROWS))
     return r(sig.select("ticker", "sector", "position", "z_score", "signal_type", "effective_cost", "vol_ratio", "partner"), "position", "z_score", "vol_ratio")
 
 

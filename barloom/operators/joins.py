@@ -86,15 +86,15 @@ def two_legs(signals: DataFrame, chain: DataFrame) -> DataFrame:
 
 
 def pair_series(bars: DataFrame, pairs: DataFrame, min_rows: int = 200, last: int | None = 252) -> DataFrame:
-    """pair_id, leg1, leg2, date, p1, p2 on common dates; short pairs are dropped."""
+    """pair_id, leg1, leg2, date, p1, p2 on the common dates of the last rows of each leg; pairs with fewer are dropped."""
     px = bars.select("ticker", "date", "close")
+    if last is not None:
+        recent = W.partitionBy("ticker").orderBy(F.col("date").desc())
+        px = px.withColumn("_rn", F.row_number().over(recent)).where(F.col("_rn") <= last).drop("_rn")
     a = pairs.join(px.select(F.col("ticker").alias("leg1"), "date", F.col("close").alias("p1")), "leg1")
     both = a.join(px.select(F.col("ticker").alias("leg2"), "date", F.col("close").alias("p2")),
                   ["leg2", "date"])
     w = W.partitionBy("pair_id")
-    if last is not None:
-        both = both.withColumn("_rn", F.row_number().over(w.orderBy(F.col("date").desc())))
-        both = both.where(F.col("_rn") <= last).drop("_rn")
     return (
         both.withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") >= min_rows)
         .select("pair_id", "leg1", "leg2", "date", "p1", "p2")

@@ -132,7 +132,7 @@ def momentum_weights(sel: DataFrame, mom: str = "mom", keys=("date",)) -> DataFr
     ).drop("_m")
 
 
-def cap_weights(weights: DataFrame, cap: float = 0.30, rounds: int = 5, keys=("date",)) -> DataFrame:
+def cap_weights(weights: DataFrame, cap: float, rounds: int, keys=("date",)) -> DataFrame:
     """Clip at the cap and hand the overflow to the names not clipped yet, up to `rounds` times.
 
     Every effective round clips at least one name, so rounds = basket size is exact.

@@ -57,7 +57,7 @@ def factor_signals(x: FactorInputs, params: FactorParams = FactorParams(), long_
     resid = cut(FA.sector_neutral(resid, x.sectors), "residuals")
 
     reversion = FA.mean_reversion(FA.robust_z(resid), resid, params.z_entry)
-    series = J.pair_series(bars, x.pairs, last=params.lookback)
+    series = J.pair_series(bars, x.pairs, params.pair_rows, params.lookback)
     sound = FA.adf_gate(series).where("cointegrated").select("pair_id")
     spreads = FA.pair_spread(J.semi(series, sound))
     pairs = cut(FA.pair_signals(spreads, params.z_entry), "pairs")
@@ -84,11 +84,11 @@ def factor_signals(x: FactorInputs, params: FactorParams = FactorParams(), long_
     )
 
 
-def step_book(x: FactorInputs, signals: DataFrame, date) -> DataFrame:
+def step_book(x: FactorInputs, signals: DataFrame, date, params: FactorParams = FactorParams()) -> DataFrame:
     """Book after one step: exits out, survivors aged, new entries in."""
     prices = x.bars.groupBy("ticker").agg(F.max_by("close", "date").alias("price"))
     z = signals.select("ticker", F.col("z_score").alias("z_now"))
-    spread = FA.pair_spread(J.pair_series(x.bars, x.pairs)).select("leg1", "leg2", "z")
+    spread = FA.pair_spread(J.pair_series(x.bars, x.pairs, params.pair_rows, params.lookback)).select("leg1", "leg2", "z")
     judged = PO.exit_reasons(x.book, prices, z, spread)
     stay = judged.where(F.col("exit_reason").isNull()).withColumn("days_held", F.col("days_held") + 1)
     cols = ["ticker", "signal_type", "direction", "entry_date", "entry_price", "entry_z", "size", "pair_partner", "days_held"]

@@ -121,6 +121,8 @@ class FundamentalLimits:
 @dataclass(frozen=True)
 class FactorParams:
     lookback: int = 252
+    #: Common rows that a pair needs.
+    pair_rows: int = 200
     z_entry: float = 2.0
     max_position: float = 0.03
     cost: float = 0.0010

@@ -92,7 +92,7 @@ def test_hold_buffer_and_empty_months(spark):
 
 def test_capped_weights(spark):
     df = spark.createDataFrame([(day(0), t, m) for t, m in zip("abcde", [10.0, 6.0, 2.0, 1.0, 1.0])], "date date, ticker string, mom double")
-    out = {r.ticker: r.weight for r in P.cap_weights(P.momentum_weights(df), 0.30).collect()}
+    out = {r.ticker: r.weight for r in P.cap_weights(P.momentum_weights(df), 0.30, 5).collect()}
     assert max(out.values()) <= 0.30 + 1e-12
     assert sum(out.values()) == pytest.approx(1.0)
     zero = df.withColumn("mom", F.lit(-1.0))
