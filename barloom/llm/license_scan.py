@@ -1,9 +1,17 @@
 """Licence detection and inheritance along directories.
 
-Every line of a file is a sparse TF-IDF vector. Its cosine to the template
-statements decides which licence the line states. A file has the licence of its
-best line; a licence file gives its licence to its directory; a file without
-its own inherits that of the nearest directory above it.
+Every unit of a file is a sparse TF-IDF vector. Its cosine to the templates decides
+which licence the unit states. Units are lines, and of every paragraph (comment
+marks removed) its clauses and its two and three joined lines, all against the
+one-sentence TEMPLATES; header blocks (the leading comment, paragraphs, up to four
+in a row) against the NOTICES; and whole files against NOTICES and full licence
+texts. A file has the licence of its whole text if that is one, else of its best unit;
+a licence file gives its licence to its directory; a file without its own inherits
+that of the nearest directory above it.
+
+Blocks and whole files have a vectoriser of their own with 1 + ln(tf), so that common
+words of a long text do not decide. They are made of files that hold one of STEMS,
+as every notice and full text does, and whole files also of all that are named as a licence.
 
 The vectoriser is fitted on the templates: idf(t) = ln((1 + N) / (1 + df)) + 1 with
 N templates; a term of no template has df 0, so foreign words lengthen a line
@@ -13,10 +21,12 @@ are too short a vector to reach it. Lines without such a term are passed by
 exactly, not by chance; only the others are split into terms, and these are
 joined to the templates' terms.
 
-Everything is DataFrame functions. Templates are literals of this module.
+Everything is DataFrame functions. Templates are literals of this module and the files in
+`licence_texts`; of the Creative Commons licences there are statements only, no full text.
 
 Defined cases: null and empty texts state no licence. Ties between templates go to
-the first licence by name, between lines to the smallest number. Repeated rows of
+the first licence by name, then to lines before other units, between lines to the smallest
+number; line_no is null for other units. Repeated rows of
 a path state the same licence and are reported each. A null path is a file in
 the directory '' that inherits nothing. Several licence files in a directory: the
 best score decides, then the name. Other columns are not read.
@@ -24,14 +34,16 @@ best score decides, then the name. Other columns are not read.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
+from functools import reduce
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import literal_rows
 from barloom.sources.scratch import cut
 
 # Usual statements of public licences.
@@ -50,7 +62,51 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 ]
+_AS_IS = ("THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+          "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+          "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.")
+_MIT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the "
+        "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
+        "and to permit persons to whom the Software is furnished to do so, subject to the following conditions:")
+_MIT_KEEP = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission.")
+_BSD_AS_IS = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED "
+              "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, "
+              "INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR "
+              "PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+              "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_APACHE = ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+           "http://www.apache.org/licenses/LICENSE-2.0")
+_APACHE_AS_IS = ("Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR "
+                 "CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.")
+_GNU = ("{0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation, "
+        "either version {2} of the License, or (at your option) any later version.")
+_GNU_AS_IS = ("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+              "PARTICULAR PURPOSE. See the GNU {0}General Public License for more details.")
+_MPL = ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+        "You can obtain one at http://mozilla.org/MPL/2.0/.")
+#: Notices as they stand in headers and short licence files, each whole and its first part alone.
+NOTICES = [
+    ("Apache-2.0", _APACHE), ("Apache-2.0", f"{_APACHE} {_APACHE_AS_IS}"), ("BSD-3-Clause", _BSD), ("BSD-3-Clause", f"{_BSD} {_BSD_AS_IS}"),
+    *[(name, text) for name, lesser, version in (("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-3.0", "Lesser ", "3"))
+      for head in [_GNU.format("This program", lesser, version)] for text in (head, f"{head} {_GNU_AS_IS.format(lesser)}")],
+    ("MIT", _MIT), ("MIT", f"{_MIT} {_MIT_KEEP}"), ("MIT", f"{_MIT} {_MIT_KEEP} {_AS_IS}"), ("MPL-2.0", _MPL),
+]
+FULL_TEXTS = [(p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+#: Every notice and full text holds one of these.
+STEMS = ("licen", "redistribut", "permission")
+LICENCE_NAME = r"(?i)^(licen[cs]e|copying|notice)([.].*)?$"
 THRESHOLD = 0.8
+#: Marks at the start of a comment line; a line that holds nothing else is blank.
+COMMENT = r"(?m)^[ \t]*(?:[/*#;%!\"'<>|-]+|(?:dnl|rem|REM|[.][.])(?=\s|$))?[ \t]*"
+PARAGRAPH_END = r"(?:[ \t]*\r?\n){2,}"
+CLAUSE_END = r";\s+|[.:!?][\"')\]]*\s+(?=[^a-z0-9\s])"
+#: The comment that a file begins with, after a "#!" line.
+LEADING = r"^\s*(?:#!.*\n)?\s*((?:(?://|#|--|;|%|dnl\b).*(?:\n[ \t]*|$))+|/\*(?s:.*?)\*/|<!--(?s:.*?)-->|\"\"\"(?s:.*?)\"\"\")"
 SEPARATORS = r"[^a-z0-9.]+"
 EDGE_DOTS = r"^[.]+|[.]+$"
 
@@ -59,7 +115,7 @@ def template_terms(text: str) -> Counter:
     return Counter(t for t in (x.strip(".") for x in re.split(SEPARATORS, text.lower())) if t)
 
 
-def weights(templates=TEMPLATES) -> tuple[dict[str, float], float, list[dict[str, float]]]:
+def weights(templates=TEMPLATES, sublinear: bool = False) -> tuple[dict[str, float], float, list[dict[str, float]]]:
     """idf of the templates' terms, idf of any other term, unit vectors of the templates."""
     counts = [template_terms(t) for _, t in templates]
     df = Counter(t for c in counts for t in c)
@@ -67,7 +123,7 @@ def weights(templates=TEMPLATES) -> tuple[dict[str, float], float, list[dict[str
     other = math.log(1 + len(templates)) + 1
     units = []
     for c in counts:
-        v = {t: n * idf[t] for t, n in c.items()}
+        v = {t: (1 + math.log(n) if sublinear else n) * idf[t] for t, n in c.items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         units.append({t: x / norm for t, x in v.items()})
     return idf, other, units
@@ -95,33 +151,78 @@ def line_terms(line: Column) -> Column:
     return F.filter(F.transform(F.split(line, SEPARATORS), lambda x: F.regexp_replace(x, EDGE_DOTS, "")), lambda x: x != "")
 
 
-def stated(files: DataFrame, path: str = "path", text: str = "text", threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
-    """path, licence, score, line_no of the best line of each file that states a licence."""
-    spark = files.sparkSession
-    idf, other, units = weights(templates)
+def many_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A frame of thousands of literals, as one: an expression per value would take minutes to plan."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([dict(zip(names, r)) for r in rows])), f"array<struct<{schema}>>")))
+
+
+def runs(parts: Column, n: int) -> Column:
+    """Every n neighbours of an array, joined."""
+    some = F.transform(F.sequence(F.lit(1), F.size(parts) - (n - 1)), lambda i: F.concat_ws(" ", F.slice(parts, i, n)))
+    return F.when(F.size(parts) >= n, some).otherwise(F.array().cast("array<string>"))
+
+
+def joined_units(files: DataFrame, some: str) -> DataFrame:
+    """path, kind, no, line of clauses and of two and three joined lines of paragraphs; some: what a unit must hold."""
+    paragraphs = files.where(F.col("low_").rlike(some)) \
+        .select("path", F.explode(F.split(F.regexp_replace("text_", COMMENT, ""), PARAGRAPH_END)).alias("p")).where(F.lower("p").rlike(some))
+    rows = F.split("p", r"\r?\n")
+    clauses = F.split(F.regexp_replace("p", r"\s+", " "), CLAUSE_END)
+    units = paragraphs.select("path", F.explode(F.concat(clauses, runs(rows, 2), runs(rows, 3))).alias("line")).select("path", F.lower("line").alias("line")).where(F.col("line").rlike(some))
+    return units.select("path", F.lit("joined").alias("kind"), F.xxhash64("line").alias("no"), "line")
+
+
+def block_units(files: DataFrame, licence_name: str) -> DataFrame:
+    """path, kind, no, line of header blocks and whole files."""
+    stem = reduce(lambda a, b: a | b, [F.col("low_").contains(x) for x in STEMS])
+    held = files.where(stem | F.regexp_extract("path", r"[^/]*$", 0).rlike(licence_name))
+    found = held.select("path", "low_", F.filter(F.split(F.regexp_replace("text_", COMMENT, ""), PARAGRAPH_END), lambda x: F.trim(x) != "").alias("ps"),
+                        F.regexp_extract("text_", LEADING, 1).alias("head"))
+    blocks = found.select("path", F.explode(F.concat(F.array("head"), *[runs(F.col("ps"), n) for n in (1, 2, 3, 4)])).alias("line")).select("path", F.lit("block").alias("kind"), F.lower("line").alias("line")) \
+        .where(reduce(lambda a, b: a | b, [F.col("line").contains(x) for x in STEMS]))
+    whole = found.select("path", F.lit("file").alias("kind"), F.col("low_").alias("line"))
+    return blocks.unionByName(whole).select("path", "kind", F.xxhash64("line").alias("no"), "line")
+
+
+def scored(held: DataFrame, templates, threshold: float, sublinear: bool = False) -> DataFrame:
+    """path, kind, no, licence, score of the units in held (path, kind, no, terms) that reach the threshold with a template."""
+    spark = held.sparkSession
+    idf, other, units = weights(templates, sublinear)
+    terms = held.select("path", "kind", "no", F.explode("terms").alias("term")).groupBy("path", "kind", "no", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = 1 + F.ln("tf") if sublinear else F.col("tf")
+    known = many_rows(spark, sorted(idf.items()), "term string, idf double")
+    terms = terms.join(known, "term", "left").select("path", "kind", "no", "term", (tf * F.coalesce("idf", F.lit(other))).alias("x"))
+    norms = terms.groupBy("path", "kind", "no").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    sparse = many_rows(spark, [(t, k, templates[k][0], x) for k, unit in enumerate(units) for t, x in sorted(unit.items())],
+                       "term string, template int, licence string, w double")
+    dots = terms.join(sparse, "term").groupBy("path", "kind", "no", "template", "licence").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    both = dots.join(norms.withColumnsRenamed({"path": "path_", "kind": "kind_", "no": "no_"}),
+                     F.col("path").eqNullSafe(F.col("path_")) & (F.col("kind") == F.col("kind_")) & (F.col("no") == F.col("no_")))
+    # Rounded, so that ties do not hang on the order of sums.
+    return both.select("path", "kind", "no", "licence", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= threshold)
+
+
+def stated(files: DataFrame, path: str = "path", text: str = "text", threshold: float = THRESHOLD, templates=TEMPLATES, licence_name: str = LICENCE_NAME,
+           notices=(*NOTICES, *FULL_TEXTS)) -> DataFrame:
+    """path, licence, score, line_no of the whole text or else the best unit of each file that states a licence."""
+    _, _, units = weights(templates)
     prefix = prefix_terms(units, threshold)
     some = "|".join(re.escape(t) for t in prefix)
-    lines = files.select(F.col(path).alias("path"), F.lower(F.col(text)).alias("low_")) \
-        .where(F.col("low_").rlike(some)) \
-        .select("path", F.posexplode_outer(F.split("low_", "\n")).alias("line_no", "line")) \
-        .where(F.col("line").rlike(some))
-    held = lines.select("path", "line_no", line_terms(F.col("line")).alias("terms")) \
+    texts = files.select(F.col(path).alias("path"), F.col(text).alias("text_"), F.lower(F.col(text)).alias("low_"))
+    lines = texts.where(F.col("low_").rlike(some)) \
+        .select("path", F.lit("line").alias("kind"), F.posexplode_outer(F.split("low_", "\n")).alias("no", "line")) \
+        .where(F.col("line").rlike(some)).withColumn("no", F.col("no").cast("long"))
+    held = lines.unionByName(joined_units(texts, some)).select("path", "kind", "no", line_terms(F.col("line")).alias("terms")) \
         .where(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in prefix])))
-    # Equal lines of a path (repeated rows) are one.
+    # Equal units of a path (repeated rows) are one.
     held = cut(held.distinct(), "licence-lines")
-    terms = held.select("path", "line_no", F.explode("terms").alias("term")).groupBy("path", "line_no", "term").agg(F.count(F.lit(1)).alias("tf"))
-    known = literal_rows(spark, sorted(idf.items()), ["term", "idf"])
-    terms = terms.join(known, "term", "left").select("path", "line_no", "term", (F.col("tf") * F.coalesce("idf", F.lit(other))).alias("x"))
-    norms = terms.groupBy("path", "line_no").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    sparse = literal_rows(spark, [(t, k, templates[k][0], x) for k, unit in enumerate(units) for t, x in sorted(unit.items())],
-                          ["term", "template", "licence", "w"])
-    dots = terms.join(sparse, "term").groupBy("path", "line_no", "template", "licence").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
-    both = dots.join(norms.withColumnsRenamed({"path": "path_", "line_no": "line_"}),
-                     F.col("path").eqNullSafe(F.col("path_")) & (F.col("line_no") == F.col("line_")))
-    # Rounded, so that ties do not hang on the order of sums.
-    scored = both.select("path", "line_no", "licence", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= threshold)
-    best = scored.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("m"), "licence", "line_no")).alias("b"))
-    return best.select("path", F.col("b.licence").alias("licence"), (-F.col("b.m")).alias("score"), F.col("b.line_no").alias("line_no"))
+    blocks = cut(block_units(texts, licence_name).select("path", "kind", "no", line_terms(F.col("line")).alias("terms")).distinct(), "licence-blocks")
+    every = scored(held, templates, threshold).unionByName(scored(blocks, notices, threshold, sublinear=True))
+    order = F.struct((F.col("kind") != "file").alias("part"), (-F.col("score")).alias("m"), "licence", (F.col("kind") != "line").alias("other"), "no", "kind")
+    best = every.groupBy("path").agg(F.min(order).alias("b"))
+    return best.select("path", F.col("b.licence").alias("licence"), (-F.col("b.m")).alias("score"),
+                       F.when(F.col("b.kind") == "line", F.col("b.no")).cast("int").alias("line_no"))
 
 
 def directory(path: Column) -> Column:
@@ -149,13 +250,13 @@ def inherited(files: DataFrame, licences: DataFrame, licence_name: str, path: st
     return near.select("dir_", F.col("b.dir_licence").alias("dir_licence"), F.col("b.from_dir").alias("from_dir"))
 
 
-def scan(files: DataFrame, path: str = "path", text: str = "text", licence_name: str = r"(?i)^(licen[cs]e|copying|notice)([.].*)?$",
+def scan(files: DataFrame, path: str = "path", text: str = "text", licence_name: str = LICENCE_NAME,
          threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row of files: path, stated licence and score, inherited licence and the directory it comes from, licence in force.
 
     keep: further columns of files to return.
     """
-    found = cut(stated(files, path, text, threshold), "stated-licences")
+    found = cut(stated(files, path, text, threshold, licence_name=licence_name), "stated-licences")
     above = cut(inherited(files, found, licence_name, path), "directory-licences")
     rows = files.select(F.col(path).alias("path"), *keep).withColumn("dir_", directory(F.col("path")))
     own = found.select(F.col("path").alias("path_"), "licence", "score")

@@ -251,3 +251,19 @@ def decontaminate_words(text):
     import re
 
     return [w for w in re.split(decontaminate.SEPARATORS, lower) if w]
+
+
+WRAPPED = "# This work is licensed under the GNU\n# General Public License, version 3.\nimport x\n"
+APACHE = '/*\n * Copyright 2020 A\n *\n * Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with\n * the License. You may obtain a copy at x.\n */\nint a;\n'
+MIT_NARROW = "Permission is hereby\ngranted, free of charge,\nto any person obtaining\na copy of this software\nand associated documentation\nfiles (the \"Software\"), to\ndeal in the Software without\nrestriction, including\n" \
+    "without limitation the\nrights to use, copy, modify,\nmerge, publish, distribute,\nsublicense, and/or sell\ncopies of the Software, and\nto permit persons to whom\nthe Software is furnished\nto do so, subject to the\nfollowing conditions:\n"
+
+
+def test_wrapped_headers_and_full_licence_texts(spark):
+    files = [("/w/a.py", WRAPPED), ("/h/a.c", APACHE), ("/m/LICENSE", MIT_NARROW), ("/m/sub/x.py", "x = 1"), ("/p/LICENSE", "the permission of the night " * 50)]
+    files += [(f"/full/{name}/COPYING", text) for name, text in license_scan.FULL_TEXTS]
+    files += [(f"/folded/{name}/COPYING", "\n".join(text.split()[10:])) for name, text in license_scan.FULL_TEXTS]
+    files += [(f"/notice/{k}/{name}/a.c", "\n".join(f" * {w}" for w in text.split()) + "\n\nint b;") for k, (name, text) in enumerate(license_scan.NOTICES)]
+    got = {r.path: r.in_force for r in license_scan.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert (got["/w/a.py"], got["/h/a.c"], got["/m/LICENSE"], got["/m/sub/x.py"], got["/p/LICENSE"]) == ("GPL-3.0", "Apache-2.0", "MIT", "MIT", None)
+    assert {p: v for p, v in got.items() if p.count("/") > 2 and p[1] in "fn" and v != p.split("/")[-2]} == {}
