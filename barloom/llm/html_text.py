@@ -11,6 +11,11 @@ hold no text gives an empty text. Ties go to the first path by name. A url
 without host counts for the host ''. Repeated rows vote each and are extracted
 each. Columns of the input pass through `extracted` under any name but `text_`.
 Unclosed and crossed tags are closed where their parents end.
+
+A form or a noise name rejects an element that holds half of the page's text or less, links
+not counted; a larger one is looked into. Advertisements, comments and links to other articles
+are rejected up to nine tenths, and anything of that kind outside of the article and main elements
+of a page that has text in such. If nothing would be left, forms and names reject nothing else.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ RAW = {"script", "style", "textarea", "title", "noscript", "template", "svg", "i
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that are never part of an article; those of the first set break a block.
 OUTSIDE_BLOCK = {"nav", "header", "footer", "aside", "form", "fieldset", "dialog", "menu", "head"}
+#: Of these, those that some pages wrap around everything.
+AROUND = {"form", "fieldset"}
 OUTSIDE = OUTSIDE_BLOCK | {"button", "select", "option", "label"} | RAW
 BLOCK = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3",
          "h4", "h5", "h6", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"} | OUTSIDE_BLOCK
@@ -39,34 +46,42 @@ CONTAINER = {"body", "div", "article", "main", "section", "td", "center", "html"
 #: An opening tag ends an open element of these, as long as no element of the second set lies between.
 CLOSES = {"p": ({"p"}, {"table", "td", "div", "article", "section", "blockquote", "li"}), "li": ({"li"}, {"ul", "ol", "menu"}),
           "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
-          "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+          "th": ({"td", "th"}, {"tr", "table"}), "body": ({"head"}, set()), "option": ({"option"}, {"select"})}
 #: Words of class, id or role that name what is around an article.
 NOISE = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adbox", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation",
          "menu", "breadcrumb", "breadcrumbs", "sidebar", "footer", "header", "masthead", "cookie", "cookies", "consent", "notice", "popup", "modal", "newsletter",
          "subscribe", "subscription", "comment", "comments", "commentlist", "disqus", "reply", "respond", "share", "sharing", "social", "related", "recommended",
          "widget", "pagination", "pager", "toolbar", "skip", "search", "login", "signup", "copyright", "disclaimer", "gdpr", "alert"}
+#: Texts of others, which may well be longer than the article.
+OTHERS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adbox", "sponsor", "sponsored", "comment", "comments", "commentlist", "disqus", "reply", "respond", "related", "recommended"}
 #: Never noise by name.
 KEPT = {"body", "html", "main", "article", "h1", "h2", "b", "i", "em", "strong"}
-#: A name that starts with one of these says what else is on the page.
+#: What follows one of these in a name says what else is on the page.
 ABOUT = {"has", "with", "no", "without", "is", "not"}
 SPLIT = re.compile(r"[^a-z0-9]+")
 HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 DIGITS = re.compile(r"\d+")
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/$""")
+#: These reach to the end of the page if no end tag follows, as their content is no text.
+TO_THE_END = {"script", "style"}
 
 
 class Element:
-    __slots__ = ("tag", "path", "noise", "link", "place", "score", "parent")
+    __slots__ = ("tag", "path", "noise", "named", "link", "place", "score", "parent", "total")
 
-    def __init__(self, tag: str, path: str, noise: bool, link: bool, place: int, parent: Element | None):
+    def __init__(self, tag: str, path: str, noise: bool, link: bool, place: int, parent: Element | None, named: int = 0):
         self.tag, self.path, self.noise, self.link, self.place, self.parent = tag, path, noise, link, place, parent
-        self.score = 0
+        #: Tenths of the page's text up to which the element is rejected.
+        self.named = named
+        self.score = self.total = 0
 
 
-def _attributes(text: str) -> tuple[str, bool]:
-    """Generalised classes, and whether class, id or role name noise."""
+def _attributes(text: str) -> tuple[str, int]:
+    """Generalised classes, and up to how many tenths of the text class, id or role reject the element."""
     if not text or "=" not in text:
-        return "", False
-    classes, noise = "", False
+        return "", 0
+    classes, noise = "", 0
     for m in ATTRIBUTE.finditer(text):
         name, value = m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or "")
         if name == "class":
@@ -74,31 +89,96 @@ def _attributes(text: str) -> tuple[str, bool]:
         if name in ("class", "id", "role"):
             for token in HUMP.sub("-", value).lower().split():
                 words = SPLIT.split(token)
-                noise = noise or (words[0] not in ABOUT and not NOISE.isdisjoint(words))
+                words = words[:next((k for k, w in enumerate(words) if w in ABOUT), None)]
+                if not NOISE.isdisjoint(words):
+                    noise = max(noise, 5 if OTHERS.isdisjoint(words) else 9)
     return classes, noise
 
 
-def walk(page: str | None) -> list[tuple[Element, str]]:
-    """(element, text) for every block of text outside of noise, in page order. Scores of elements are filled in.
+def _ends(tag: str, page: str) -> dict[int, int]:
+    """Where the elements of a tag end, by where they begin; without those that have no end tag."""
+    found, opened = {}, []
+    for m in re.finditer(rf"""<(/?){re.escape(tag)}(?![^\s/>])((?:[^<>"']|"[^"]*"|'[^']*')*)>""", page, re.I):
+        if not m[1]:
+            if not SELF_CLOSED.search(m[2]):
+                opened.append(m.start())
+        elif opened:
+            found[opened.pop()] = m.end()
+    return found
+
+
+def _sound(blocks: list[tuple[Element, str, int]]) -> list[tuple[Element, str, int]]:
+    """Blocks without those in elements that their name or form rejects."""
+    plain = any(w for _, _, w in blocks)
+    whole, named = 0, False
+    for owner, text, w in blocks:
+        gain = w if plain else len(text)
+        whole += gain
+        node = owner
+        while node is not None:
+            node.total += gain
+            named = named or node.named > 0
+            node = node.parent
+    if not named:
+        return blocks
+    around: set[int] = set()  # article and main elements, and what is around them
+    inside: set[int] = set()  # elements in them
+    for owner, _, _ in blocks:
+        path = []
+        node = owner
+        while node is not None:
+            path.append(node)
+            node = node.parent
+        k = max((k for k, e in enumerate(path) if e.tag in ("article", "main")), default=None)
+        if k is not None:
+            around.update(e.place for e in path[k:])
+            inside.update(e.place for e in path[:k])
+    for others in (False, True):
+        kept = []
+        for block in blocks:
+            node = block[0]
+            while node is not None and not (node.named > 5 * others and (
+                    10 * node.total <= node.named * whole or (around and node.place not in around and node.place not in inside))):
+                node = node.parent
+            if node is None:
+                kept.append(block)
+        if kept:
+            break
+    return kept
+
+
+def walk(page: str | None) -> list[tuple[Element, str, int]]:
+    """(element, text, characters that are not in links) for every block of text outside of noise, in page order. Scores of elements are filled in.
 
     The tree is never built: open elements form a stack, and a block ends where a
     block element begins or ends.
     """
     page = page or ""
     stack = [Element("", "", False, False, 0, None)]
-    blocks: list[tuple[Element, str]] = []
+    blocks: list[tuple[Element, str, int]] = []
     parts: list[str] = []
-    place, at = 0, 0
+    ends_of: dict[str, dict[int, int]] = {}
+    place, at, linked, raw = 0, 0, 0, 0
+
+    def add(text: str) -> None:
+        nonlocal linked, raw
+        parts.append(text)
+        raw += len(text)
+        if stack[-1].link:
+            linked += len(text)
 
     def flush() -> None:
+        nonlocal linked, raw
         if parts:
+            share = 1 - linked / raw if raw else 1
+            linked = raw = 0
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
             if text:
                 owner = stack[-1]
                 while owner.parent is not None and owner.tag not in BLOCK:
                     owner = owner.parent
-                blocks.append((owner, text))
+                blocks.append((owner, text, len(text) if owner.tag in HEADINGS else round(len(text) * share)))
 
     def close(k: int) -> None:
         """Pop down to k open elements."""
@@ -110,10 +190,10 @@ def walk(page: str | None) -> list[tuple[Element, str]]:
         if m.start() < at:
             continue
         if m.start() > at and not stack[-1].noise:
-            parts.append(page[at:m.start()])
+            add(page[at:m.start()])
         at = m.end()
         if m[1] is not None and not stack[-1].noise:
-            parts.append(entities.escape(m[1]))
+            add(entities.escape(m[1]))
         if not m[3]:
             continue
         tag = m[3].lower()
@@ -141,21 +221,28 @@ def walk(page: str | None) -> list[tuple[Element, str]]:
             if stack[k].tag in stops:
                 break
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if tag in TO_THE_END:
+                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                at = end.end() if end else len(page)
+            else:
+                if tag not in ends_of:
+                    ends_of[tag] = _ends(tag, page)
+                at = ends_of[tag].get(m.start(), at)
             continue
         if tag in BLOCK:
             flush()
         classes, named = _attributes(m[4])
         parent = stack[-1]
         place += 1
-        noise = parent.noise or tag in OUTSIDE or (named and tag not in KEPT)
+        noise = parent.noise or (tag in OUTSIDE and tag not in AROUND)
+        named = max(named if tag not in KEPT else 0, 5 if tag in AROUND else 0)
         path = f"{parent.path}/{tag}{classes}" if tag in CONTAINER else parent.path
-        stack.append(Element(tag, path, noise, parent.link or tag == "a", place, parent))
+        stack.append(Element(tag, path, noise, parent.link or tag == "a", place, parent, named))
     if at < len(page) and not stack[-1].noise:
-        parts.append(page[at:])
+        add(page[at:])
     flush()
-    for owner, text in blocks:
+    blocks = _sound(blocks)
+    for owner, text, _ in blocks:
         node, gain = owner, len(text)
         # A block counts whole for the nearest container and for less further out.
         while node is not None:
@@ -166,9 +253,9 @@ def walk(page: str | None) -> list[tuple[Element, str]]:
     return blocks
 
 
-def _containers(blocks: list[tuple[Element, str]]) -> dict[int, Element]:
+def _containers(blocks: list[tuple[Element, str, int]]) -> dict[int, Element]:
     found: dict[int, Element] = {}
-    for owner, _ in blocks:
+    for owner, _, _ in blocks:
         node = owner
         while node is not None:
             if node.tag in CONTAINER or node.parent is None:
@@ -186,7 +273,7 @@ def proposals(page: str | None) -> tuple[list[str], list[int]]:
     scores: dict[str, int] = {}
     for c in _containers(blocks).values():
         scores[c.path] = scores.get(c.path, 0) + c.score
-    whole = sum(len(text) for _, text in blocks)
+    whole = sum(len(text) for _, text, _ in blocks)
     return list(scores), [1000 * s // whole for s in scores.values()]
 
 
@@ -204,7 +291,7 @@ def main_text(page: str | None, winner: str | None) -> str:
         best = min(scores, key=lambda x: (-scores[x], x))
         chosen = {k for k, c in found.items() if c.path == best}
     out = []
-    for owner, text in blocks:
+    for owner, text, _ in blocks:
         node = owner
         while node is not None:
             if node.place in chosen:

@@ -267,3 +267,19 @@ def test_wrapped_headers_and_full_licence_texts(spark):
     got = {r.path: r.in_force for r in license_scan.scan(spark.createDataFrame(files, "path string, text string")).collect()}
     assert (got["/w/a.py"], got["/h/a.c"], got["/m/LICENSE"], got["/m/sub/x.py"], got["/p/LICENSE"]) == ("GPL-3.0", "Apache-2.0", "MIT", "MIT", None)
     assert {p: v for p, v in got.items() if p.count("/") > 2 and p[1] in "fn" and v != p.split("/")[-2]} == {}
+
+
+BODY = "<h1>Head</h1><p>An article of some length that has to stay.</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><div class='layout-with-sidebar'>{BODY}<div class=sidebar>s</div></div></body>",
+    f"<body><div class='content-header-visible'>{BODY}<div class='comments'>c</div></div></body>",
+    f"<body><form id='aspnetForm'>{BODY}<form class=search>find</form></form></body>",
+    f"<body><svg viewBox='0 0'/>{BODY}<svg><text>t</text></svg></body>",
+    f"<body><math/><iframe src='x' /><object>{BODY}</body>",
+    f"<body><svg><svg><text>a</text></svg><text>b</text></svg>{BODY}<noscript></body>",
+    f"<head><title>t</title><body>{BODY}<div class=comments>{'<p>long comments of others</p>' * 4}</div>",
+])
+def test_noise_around_the_article_does_not_reject_it(page):
+    assert html_text.main_text(page, None) == "Head\n\nAn article of some length that has to stay."
