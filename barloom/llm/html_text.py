@@ -1,10 +1,13 @@
 """Main text of web pages by consensus paths per host.
 
-Each page proposes its containers with a score (the share of the text that they
-hold, less for text further in). A container is named by its generalised path: tags and classes from the
-root, digits made equal. Proposals are voted on per host in Spark, then every
-page is extracted again from the containers that lie on its host's winning
-path; a page without such a container uses its own best one.
+Each page votes for its article: the innermost container that holds nearly all of its text
+outside of noise and links, or a container further out, as long as it adds such text
+(below the body; the body itself for headings and paragraphs of its own). A container is
+named by its generalised path: tags and classes from the root, digits made equal. Votes
+are counted per host in Spark, with the pages on which each path occurs. A path is contested
+if it is the article on less than half of those pages. Then every page is extracted again:
+from its own article, or, if that path is contested, from the host's winning path. So a
+host may have several layouts, and a page without the winning path uses its own article.
 
 Defined cases: null and empty html give an empty text. A page whose containers
 hold no text gives an empty text. Ties go to the first path by name. A url
@@ -62,19 +65,22 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 DIGITS = re.compile(r"\d+")
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Hundredths of the text that are nearly all, and containers that hold whatever is on a page.
+NEARLY_ALL = 95
+TOP = {"", "html", "body"}
 SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/$""")
 #: These reach to the end of the page if no end tag follows, as their content is no text.
 TO_THE_END = {"script", "style"}
 
 
 class Element:
-    __slots__ = ("tag", "path", "noise", "named", "link", "place", "score", "parent", "total")
+    __slots__ = ("tag", "path", "noise", "named", "link", "place", "parent", "total")
 
     def __init__(self, tag: str, path: str, noise: bool, link: bool, place: int, parent: Element | None, named: int = 0):
         self.tag, self.path, self.noise, self.link, self.place, self.parent = tag, path, noise, link, place, parent
         #: Tenths of the page's text up to which the element is rejected.
         self.named = named
-        self.score = self.total = 0
+        self.total = 0
 
 
 def _attributes(text: str) -> tuple[str, int]:
@@ -148,7 +154,7 @@ def _sound(blocks: list[tuple[Element, str, int]]) -> list[tuple[Element, str, i
 
 
 def walk(page: str | None) -> list[tuple[Element, str, int]]:
-    """(element, text, characters that are not in links) for every block of text outside of noise, in page order. Scores of elements are filled in.
+    """(element, text, characters that are not in links) for every block of text outside of noise, in page order.
 
     The tree is never built: open elements form a stack, and a block ends where a
     block element begins or ends.
@@ -241,16 +247,7 @@ def walk(page: str | None) -> list[tuple[Element, str, int]]:
     if at < len(page) and not stack[-1].noise:
         add(page[at:])
     flush()
-    blocks = _sound(blocks)
-    for owner, text, _ in blocks:
-        node, gain = owner, len(text)
-        # A block counts whole for the nearest container and for less further out.
-        while node is not None:
-            if node.tag in CONTAINER or node.parent is None:
-                node.score += gain
-                gain = gain * 3 // 4
-            node = node.parent
-    return blocks
+    return _sound(blocks)
 
 
 def _containers(blocks: list[tuple[Element, str, int]]) -> dict[int, Element]:
@@ -264,32 +261,59 @@ def _containers(blocks: list[tuple[Element, str, int]]) -> dict[int, Element]:
     return found
 
 
-def proposals(page: str | None) -> tuple[list[str], list[int]]:
-    """Paths of a page's containers and their scores, in thousandths of the page's text.
+def article(blocks: list[tuple[Element, str, int]]) -> Element:
+    """The container that a page votes for."""
+    plain = any(w for _, _, w in blocks)
+    total: dict[int, int] = {}
+    loose: set[int] = set()
+    inner: dict[int, set[int]] = {}
+    found = _containers(blocks)
+    for owner, text, w in blocks:
+        node, below = owner, None
+        while node is not None:
+            if node.place in found:
+                total[node.place] = total.get(node.place, 0) + (w if plain else len(text))
+                if below is not None:
+                    inner.setdefault(node.place, set()).add(below)
+                elif node is not owner and (w or not plain):
+                    loose.add(node.place)
+                below = node.place
+            node = node.parent
+    at = min(found)
+    whole = total[at]
+    while True:
+        full = [k for k in inner.get(at, ()) if 100 * total[k] >= NEARLY_ALL * whole]
+        if not full:
+            break
+        at = min(full)
+    best = node = found[at]
+    while node is not None:
+        if node.place in found and (node.place in loose if node.tag in TOP else total[node.place] > total[best.place]):
+            best = node
+        node = node.parent
+    return best
 
-    A path that occurs twice has the sum. As shares, long pages do not outvote others.
-    """
+
+def proposals(page: str | None) -> tuple[list[str], list[int]]:
+    """Paths of a page's containers, and 1 for the one that it votes for."""
     blocks = walk(page)
-    scores: dict[str, int] = {}
-    for c in _containers(blocks).values():
-        scores[c.path] = scores.get(c.path, 0) + c.score
-    whole = sum(len(text) for _, text, _ in blocks)
-    return list(scores), [1000 * s // whole for s in scores.values()]
+    if not blocks:
+        return [], []
+    own = article(blocks).path
+    paths = sorted({c.path for c in _containers(blocks).values()})
+    return paths, [int(p == own) for p in paths]
 
 
-def main_text(page: str | None, winner: str | None) -> str:
-    """Text of the containers on the winning path, or of the page's best container."""
+def main_text(page: str | None, winner: str | None, contested=None) -> str:
+    """Text of the page's article, or of the winning path if the article's path is contested."""
     blocks = walk(page)
     if not blocks:
         return ""
     found = _containers(blocks)
-    chosen = {k for k, c in found.items() if c.path == winner} if winner is not None else set()
-    if not chosen:
-        scores: dict[str, int] = {}
-        for c in found.values():
-            scores[c.path] = scores.get(c.path, 0) + c.score
-        best = min(scores, key=lambda x: (-scores[x], x))
-        chosen = {k for k, c in found.items() if c.path == best}
+    path = article(blocks).path
+    if winner is not None and path in (contested or ()) and any(c.path == winner for c in found.values()):
+        path = winner
+    chosen = {k for k, c in found.items() if c.path == path}
     out = []
     for owner, text, _ in blocks:
         node = owner
@@ -306,7 +330,7 @@ def host_of(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, path, pages, score: the winning path per host.
+    """host, path, pages, score, contested: the winning path per host, the pages that have it, its votes, and the contested paths.
 
     Votes are added up before they move, so a host with a third of all pages costs no more than any other.
     """
@@ -314,10 +338,12 @@ def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     slim = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html_"))
     found = append_columns(slim, lambda texts: [list(x) for x in zip(*map(proposals, texts))], "html_", fields).drop("html_")
     votes = found.select("host", F.explode(F.arrays_zip("p_", "s_")).alias("v")) \
-        .groupBy("host", F.col("v.p_").alias("path")).agg(F.count(F.lit(1)).alias("pages"), F.sum("v.s_").alias("score"))
-    # The larger score first, then the path by name: negated, the smallest struct wins.
-    best = votes.groupBy("host").agg(F.min(F.struct((-F.col("score")).alias("m"), "path", "pages")).alias("b"))
-    return best.select("host", F.col("b.path").alias("path"), F.col("b.pages").alias("pages"), (-F.col("b.m")).alias("score"))
+        .groupBy("host", F.col("v.p_").alias("path")).agg(F.count(F.lit(1)).alias("pages"), F.sum("v.s_").alias("score")).where("score > 0")
+    contested = 2 * F.col("score") < F.col("pages")
+    # Uncontested paths first, then the larger score, then the path by name: negated, the smallest struct wins.
+    best = votes.groupBy("host").agg(F.min(F.struct(contested.alias("c"), (-F.col("score")).alias("m"), "path", "pages")).alias("b"),
+                                     F.collect_list(F.when(contested, F.col("path"))).alias("contested"))
+    return best.select("host", F.col("b.path").alias("path"), F.col("b.pages").alias("pages"), (-F.col("b.m")).alias("score"), "contested")
 
 
 def extracted(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -327,8 +353,8 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     broadcasts it only if it is small; beyond that, pages are joined by host and
     a hot host is split.
     """
-    winners = cut(host_paths(pages, url, html).select(F.col("host").alias("host_"), F.col("path").alias("path_")), "host-paths")
+    winners = cut(host_paths(pages, url, html).select(F.col("host").alias("host_"), F.struct("path", "contested").alias("path_")), "host-paths")
     joined = pages.withColumn("host_", host_of(F.col(url))).join(winners, "host_", "left").drop("host_")
-    both = joined.withColumn("pair_", F.array(F.col(html), F.col("path_"))).drop("path_")
-    out = append_columns(both, lambda pairs: [[main_text(h, w) for h, w in pairs]], "pair_", [T.StructField("text_", T.StringType())])
+    both = joined.withColumn("pair_", F.concat(F.array(F.col(html), F.col("path_.path")), F.coalesce("path_.contested", F.array().cast("array<string>")))).drop("path_")
+    out = append_columns(both, lambda pairs: [[main_text(h, w, c) for h, w, *c in pairs]], "pair_", [T.StructField("text_", T.StringType())])
     return out.select(*[F.col(f"`{c}`") for c in pages.columns], "text_")

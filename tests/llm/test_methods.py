@@ -283,3 +283,25 @@ BODY = "<h1>Head</h1><p>An article of some length that has to stay.</p>"
 ])
 def test_noise_around_the_article_does_not_reject_it(page):
     assert html_text.main_text(page, None) == "Head\n\nAn article of some length that has to stay."
+
+
+@pytest.mark.parametrize("inner", [
+    "<h1>H</h1><p>lead</p><section><p>{0}</p></section><section><p>{0}</p></section><p>end</p>",
+    "<h1>H</h1><div class=intro><p>lead</p></div><div class=body><p>{0}</p><p>{0}</p></div><div class=last>end</div>",
+    "<h1>H</h1><p>lead</p><table><tr><td>{0}</td><td>{0}</td></tr></table><p>end</p>",
+])
+@pytest.mark.parametrize("outer", ["<article>{0}</article>", "<div class=post>{0}</div>"])
+def test_article_around_sections_and_tables_is_whole(inner, outer):
+    long = ("word " * 80).strip()
+    page = "<body><nav>n</nav>" + outer.format(inner.format(long)) + "<footer>f</footer></body>"
+    assert html_text.main_text(page, None) == "\n\n".join(["H", "lead", long, long, "end"])
+
+
+def test_host_with_two_layouts(spark):
+    long = ("word " * 80).strip()
+    a = f"<body><div class=a><h1>A</h1><p>{long}</p></div></body>"
+    b = f"<body><div class=a><p>teaser</p></div><div class=b><h1>B</h1><p>{long}</p></div></body>"
+    one = f"<body><div class=a><p>teaser</p></div><div class=c><p>{long}</p></div></body>"
+    rows = [(i, "http://h.org/", page) for i, page in enumerate([a] * 7 + [b] * 3 + [one])]
+    got = {r.page_id: r.text_ for r in html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"A\n\n{long}" if i < 7 else f"B\n\n{long}" if i < 10 else long for i in range(11)}
