@@ -58,8 +58,9 @@ DENSE_SAMPLE = 4
 #: Sets of a cluster per block; a group compares two blocks.
 BLOCK = 512
 TARGET_RECALL = 0.9999
-#: Coordinates (of 64, four bits each) that must agree: a pair at the threshold agrees at 52 on average, standard deviation 3.1.
-LEAST_AGREEMENT = 40
+#: Coordinates (of 64, four bits each) that must agree: a pair at the threshold agrees at 52 on average, standard deviation 3.1;
+#: it has fewer than this with a probability of 1e-6, a hundredth of the misses that TARGET_RECALL allows.
+LEAST_AGREEMENT = 36
 #: Eight bytes hold the low four bits of 16 tokens.
 WORDS_OF_BITS = ["b0", "b1", "b2", "b3"]
 KEPT_WORDS = 200_000

@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import math
 import random
 
 import duckdb
@@ -167,6 +168,12 @@ def test_runs_reach_the_target():
     assert chosen_path.runs_for(0.9) < chosen_path.runs_for(0.9999) <= 6
 
 
+def test_sketch_loses_few_pairs_at_the_threshold():
+    n, p = chosen_path.COORDINATES, 0.8 + 0.2 / 16
+    lost = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(chosen_path.LEAST_AGREEMENT))
+    assert lost < (1 - chosen_path.TARGET_RECALL) / 20
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(40)] + [(bytes([100]), bytes([101]))], "a binary, b binary")
     got = {r.key[0]: r.root[0] for r in chosen_path.components(edges).collect()}
