@@ -67,3 +67,14 @@ def hash_sample(df: DataFrame, group: str, key: str, text: str, per_group: int)
 def literal_rows(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
     """A small frame of literals that needs no Python worker."""
     return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows])))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores appended to those that a column of df has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -112,3 +112,15 @@ j AS (SELECT ok.conv_id, ok.turn, 'call_' || ok.turn AS call_id, CASE WHEN role
       CASE WHEN r.turn IS NULL THEN 'no_result' END], lambda x: x IS NOT NULL), ',') AS errors
   FROM ok JOIN lv ON lv.conv_id = ok.conv_id AND lv.turn = ok.turn LEFT JOIN r ON r.conv_id = ok.conv_id AND r.turn = ok.turn + 1)
 SELECT *, errors = '' AS valid, CASE WHEN errors = '' THEN '{"arguments":' || canonical || ',"id":"' || call_id || '","name":"' || tool || '","result":' || to_json(result) || '}' END AS message FROM j"""
+
+
+#: All 50-word windows of all texts with the smallest doc_id in which each starts.
+REPEATED_WINDOWS = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT rid, doc_id, i, array_to_string(list_slice(ws, i, i + 49), ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50)),
+f AS (SELECT g, min(doc_id) AS first FROM w GROUP BY g),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 50)) AS p FROM w JOIN f USING (g) WHERE first < doc_id),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY p) AS kept FROM (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d)
+  ANTI JOIN gone USING (rid, p) GROUP BY rid)
+SELECT doc_id, len(ws)::bigint AS n_words, coalesce(n, 0)::bigint AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN (SELECT rid, count(*) AS n FROM gone GROUP BY rid) USING (rid) LEFT JOIN kept USING (rid)"""
