@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chosen_path, decontaminate, html_text, language_id, license_scan, line_crf, quality_rules, repeated_windows, sentencepiece_codec, tool_calls, warc
+from barloom.llm import chosen_path, decontaminate, html_text, language_id, license_scan, line_crf, phrase_index, quality_rules, repeated_windows, sentencepiece_codec, tool_calls, warc
 from barloom.llm.common import crc_of
 from barloom.llm import sql as S
 
@@ -107,3 +107,9 @@ def op13(spark, sf):
     found = repeated_windows.without_repeats(table(spark, sf, "documents").select("doc_id", "text"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, span: n + span["stop"] - span["start"])
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op11_phrase_collocations", S.COLLOCATIONS)
+def op11(spark, sf):
+    found = phrase_index.collocations(table(spark, sf, "documents"))
+    return found.select(F.col("group").alias("lang"), "rank", "phrase", "a", "l", "r", "n", "score")

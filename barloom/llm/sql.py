@@ -124,3 +124,20 @@ kept AS (SELECT rid, string_agg(word, ' ' ORDER BY p) AS kept FROM (SELECT rid,
   ANTI JOIN gone USING (rid, p) GROUP BY rid)
 SELECT doc_id, len(ws)::bigint AS n_words, coalesce(n, 0)::bigint AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN (SELECT rid, count(*) AS n FROM gone GROUP BY rid) USING (rid) LEFT JOIN kept USING (rid)"""
+
+
+#: All phrases of one to four words; huge integers hold the products.
+COLLOCATIONS = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM d),
+g AS MATERIALIZED (SELECT lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS phrase, count(*) AS a
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM p, range(1, 5) t(k) WHERE len(ws) >= k) GROUP BY ALL),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM g WHERE k >= 2 AND a >= 30),
+t AS (SELECT lang, sum(a)::bigint AS n FROM g WHERE k = 1 GROUP BY lang),
+s AS (SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, (2000000 * c.a::hugeint // (x.a + y.a))::bigint AS score, j
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:j], ' ')
+  JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(w[j + 1:], ' ')),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+held AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN c b ON b.lang = c.lang AND b.k > c.k AND contains(' ' || b.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * b.a::hugeint >= 80 * c.a::hugeint)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM low ANTI JOIN held USING (lang, phrase) JOIN t USING (lang) QUALIFY rank <= 2000"""
