@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chosen_path, decontaminate, html_text, language_id, license_scan, line_crf, phrase_index, quality_rules, repeated_windows, sentencepiece_codec, tool_calls, warc
+from barloom.llm import chosen_path, decontaminate, html_text, language_id, license_scan, line_crf, phrase_index, prefix_trie, quality_rules, repeated_windows, sentencepiece_codec, tool_calls, warc
 from barloom.llm.common import crc_of
 from barloom.llm import sql as S
 
@@ -113,3 +113,8 @@ def op13(spark, sf):
 def op11(spark, sf):
     found = phrase_index.collocations(table(spark, sf, "documents"))
     return found.select(F.col("group").alias("lang"), "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+@query("op12_prefix_trie", S.PREFIX_TRIE)
+def op12(spark, sf):
+    return prefix_trie.trie(table(spark, sf, "conversations"))

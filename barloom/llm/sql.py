@@ -141,3 +141,23 @@ low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORD
 held AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN c b ON b.lang = c.lang AND b.k > c.k AND contains(' ' || b.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * b.a::hugeint >= 80 * c.a::hugeint)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
 FROM low ANTI JOIN held USING (lang, phrase) JOIN t USING (lang) QUALIFY rank <= 2000"""
+
+
+#: crc32 of a decimal number, bit by bit: bytes are xored in, 256 stands for a shift.
+_CRC32 = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(conv_id::varchar, ''), lambda x: list_concat([ord(x)::bigint], [256, 256, 256, 256, 256, 256, 256, 256])))),
+    lambda a, e: CASE WHEN e < 256 THEN xor(a, e) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"""
+
+#: All prefixes of all rebuilt conversations, and all pairs of a prefix and one above it.
+PREFIX_TRIE = rf"""
+WITH o AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, ts, {_CRC32} % 9 AS h FROM o),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.ts[1:h.h], []), h.ts[h.h + 1:]) AS ts FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, d, len(ts) AS m, md5(to_json(ts[1:d])::varchar) AS k, CASE WHEN d > 0 THEN md5(to_json(ts[1:d - 1])::varchar) END AS up, CASE WHEN d > 0 THEN strlen(ts[d].text) ELSE 0 END AS bytes
+  FROM (SELECT *, unnest(range(0, len(ts) + 1)) AS d FROM r)),
+n AS (SELECT d, k, any_value(up) AS up, any_value(bytes) AS bytes, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (m = d), '') AS ends FROM p GROUP BY d, k),
+c AS (SELECT d - 1 AS d, up AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+a AS (SELECT DISTINCT x.d AS ad, x.k AS ak, y.d AS d, y.k AS k FROM p x JOIN p y ON x.conv_id = y.conv_id AND x.d <= y.d),
+s AS (SELECT ad, ak, sum((n_convs - 1) * bytes)::bigint AS saved_tokens, count(*) FILTER (n_children IS NULL) AS n_leaves FROM a JOIN n USING (d, k) LEFT JOIN c USING (d, k) GROUP BY ad, ak)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n LEFT JOIN n u ON u.d = n.d - 1 AND u.k = n.up LEFT JOIN c ON c.d = n.d AND c.k = n.k JOIN s ON s.ad = n.d AND s.ak = n.k"""
