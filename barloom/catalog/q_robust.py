@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rnd
 from ..functions.draws import lcg_sql, normal_sql
+from ..operators import resampling as R
 from ..operators import robustness as B
 from ..sources import adapters as A
 from . import frames as X
@@ -28,25 +29,24 @@ def digest_sql(paths):
     return f"SELECT portfolio, sim, count(*) AS n, {r6('sum(ret)')} AS total, {r6('sum(ret * pos)', 3)} AS placed FROM ({paths}) GROUP BY portfolio, sim"
 
 
-def _digest(paths):
-    out = r(r(B.path_digest(paths), "total"), "placed", places=3)
-    return out.withColumn("sim", F.col("sim").cast("long"))
+def _digest(s, d, n_sim, draw):
+    return r(r(R.path_digest(X.brand_equity(s, d), n_sim, draw), "total"), "placed", places=3)
 
 
 @query("rob01_noise_paths", with_(*base(NOISE_SIMS), body=digest_sql(f"SELECT portfolio, sim, idx AS pos, ret + 0.005::double * {normal_sql('sim', 'idx')} AS ret FROM nu, si")))
 def _1(s, d):
-    return _digest(B.noise_paths(X.brand_equity(s, d), NOISE_SIMS))
+    return _digest(s, d, NOISE_SIMS, R.noise())
 
 
 @query("rob02_shuffle_paths", with_(*base(SHUFFLE_SIMS), body=digest_sql(f"""SELECT portfolio, sim, row_number() OVER (PARTITION BY portfolio, sim ORDER BY {lcg_sql('sim', 'idx')}, idx) - 1 AS pos, ret FROM nu, si""")))
 def _2(s, d):
-    return _digest(B.shuffle_paths(X.brand_equity(s, d), SHUFFLE_SIMS))
+    return _digest(s, d, SHUFFLE_SIMS, R.shuffle())
 
 
 @query("rob03_crash_paths", with_(*base(CRASH_SIMS), f"cr AS (SELECT *, {lcg_sql('sim')} % greatest(1, n - 5) AS st FROM nu, si)",
     body=digest_sql("SELECT portfolio, sim, idx AS pos, CASE WHEN idx BETWEEN st AND st + 4 THEN ret - 0.10::double ELSE ret END AS ret FROM cr")))
 def _3(s, d):
-    return _digest(B.crash_paths(X.brand_equity(s, d), CRASH_SIMS))
+    return _digest(s, d, CRASH_SIMS, R.crash())
 
 
 BLOCK = f"""ln AS (SELECT portfolio, any_value(n) AS n FROM nu GROUP BY 1),
@@ -57,7 +57,7 @@ bp AS (SELECT sr.portfolio, sim, pos, ret FROM sr JOIN nu ON nu.portfolio = sr.p
 
 @query("rob04_block_bootstrap", with_(*base(BOOT_SIMS), BLOCK, body=digest_sql("SELECT * FROM bp")))
 def _4(s, d):
-    return _digest(B.block_bootstrap(X.brand_equity(s, d), BOOT_SIMS))
+    return _digest(s, d, BOOT_SIMS, R.blocks())
 
 
 @query("rob05_var_block_bootstrap", with_(*base(BOOT_SIMS), f"""ln AS (SELECT portfolio, any_value(n) AS n FROM nu GROUP BY 1),
@@ -67,7 +67,7 @@ b2 AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY portfolio, sim ORDER BY b
 b3 AS (SELECT portfolio, n, sim, off, dr % greatest(1, n - len) AS st, unnest(range(0, len)) AS j FROM b2 WHERE off < n)""",
     body=digest_sql("SELECT b3.portfolio, sim, cast(off + j AS bigint) AS pos, ret FROM b3 JOIN nu ON nu.portfolio = b3.portfolio AND nu.idx = st + j WHERE off + j < b3.n")))
 def _5(s, d):
-    return _digest(B.var_block_bootstrap(X.brand_equity(s, d), BOOT_SIMS))
+    return _digest(s, d, BOOT_SIMS, R.variable_blocks())
 
 
 PM = """pg AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY portfolio, sim ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS g FROM bp),
@@ -76,13 +76,13 @@ pm AS MATERIALIZED (SELECT portfolio, sim, arg_max(g, pos) AS final, pow(arg_max
 
 
 def metrics(s, d):
-    return B.path_metrics(B.block_bootstrap(X.brand_equity(s, d), BOOT_SIMS))
+    return R.path_measures(X.brand_equity(s, d), BOOT_SIMS, R.blocks())
 
 
 @query("rob06_path_metrics", with_(*base(BOOT_SIMS), BLOCK, PM, body=f"SELECT portfolio, sim, {r6('cagr')} AS cagr, {r6('mdd')} AS max_drawdown, {r6('sharpe')} AS sharpe FROM pm"))
 def _6(s, d):
     m = r(metrics(s, d), "cagr", "max_drawdown", "sharpe")
-    return m.select("portfolio", F.col("sim").cast("long").alias("sim"), "cagr", "max_drawdown", "sharpe")
+    return m.select("portfolio", "sim", "cagr", "max_drawdown", "sharpe")
 
 
 @query("rob07_path_summary", with_(*base(BOOT_SIMS), BLOCK, PM, body=f"""SELECT portfolio, count(*) AS sims, {r6('quantile_cont(cagr, 0.5)')} AS cagr_median, {r6('quantile_cont(cagr, 0.05)')} AS cagr_p05,

@@ -6,6 +6,7 @@ engine gives the same number.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,3 +54,16 @@ def normal(*parts, seed: int = 42) -> Column:
 def normal_sql(*parts: str, seed: int = 42) -> str:
     u1, u2 = uniform_sql(*parts, seed=seed), uniform_sql(*parts, seed=seed + 1)
     return f"(sqrt(-2.0 * ln({u1})) * cos(2.0 * 3.141592653589793::double * {u2}))"
+
+
+def lcg_array(*parts, seed: int = 42) -> np.ndarray:
+    """lcg of integer arrays, which are broadcast against each other."""
+    x = np.int64(seed)
+    for p in parts:
+        x = ((x + p * np.int64(STRIDE_A) + STRIDE_B) % MODULUS * MULTIPLIER + STRIDE_B) % MODULUS
+    return (x * MULTIPLIER) % MODULUS
+
+
+def normal_array(*parts, seed: int = 42) -> np.ndarray:
+    u1, u2 = ((lcg_array(*parts, seed=s) + 0.5) / float(MODULUS) for s in (seed, seed + 1))
+    return np.sqrt(-2.0 * np.log(u1)) * np.cos(2.0 * np.pi * u2)

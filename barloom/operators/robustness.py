@@ -1,19 +1,16 @@
-"""Resampling, stress and parameter sweeps, spread over simulations and configurations.
+"""Metrics of paths, stress tests and parameter sweeps, spread over configurations.
 
-A returns table is (portfolio, date, ret). Draws are functions of (seed,
-simulation, row), so every task can make its own and a retried task makes the
-same. Rows (or simulations) are dealt out before they are multiplied, so a single
-portfolio with thousands of paths fills the cluster; nothing is collected.
+Resampled paths come from `resampling`. Rows are reduced before configurations
+multiply them; nothing is collected.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import div, finite, truthy
-from ..functions.draws import lcg, normal
 from ..functions.windows import lag, rolling, running
 from ..sources.scratch import cut
 from .attribution import charge_costs, period_daily_returns
@@ -27,95 +24,10 @@ from .regime import market_regime, synthetic_index
 P = "portfolio"
 SIM = (P, "sim")
 
-# Noise deviation, crash size and length, block lengths.
-NOISE_SIGMA = 0.005
-CRASH_DROP, CRASH_DAYS = 0.10, 5
-BLOCK_DAYS = 63
-BLOCK_MIN, BLOCK_MAX = 3, 6
-
 # Fixed value: cost of buying and selling again.
 ROUND_TRIP_COST = 0.0035
 
 
-def numbered(returns: DataFrame) -> DataFrame:
-    """portfolio, idx (from 0), ret and n, the length of the series."""
-    w = W.partitionBy(P)
-    rows = returns.where(F.col("ret").isNotNull())
-    return rows.select(
-        P, (F.row_number().over(w.orderBy("date")) - 1).alias("idx"), "ret",
-        F.count(F.lit(1)).over(w).alias("n"),
-    )
-
-
-def spread(returns: DataFrame) -> DataFrame:
-    """Numbered rows, dealt out by row."""
-    return numbered(returns).repartition(P, "idx")
-
-
-def _sims(n_sim: int) -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(n_sim - 1))).alias("sim")
-
-
-def noise_paths(returns: DataFrame, n_sim: int, sigma: float = NOISE_SIGMA, seed: int = 42) -> DataFrame:
-    rows = spread(returns).select("*", _sims(n_sim))
-    return rows.select(*SIM, F.col("idx").alias("pos"), (F.col("ret") + sigma * normal("sim", "idx", seed=seed)).alias("ret"))
-
-
-def shuffle_paths(returns: DataFrame, n_sim: int, seed: int = 42) -> DataFrame:
-    rows = spread(returns).select("*", _sims(n_sim)).withColumn("_u", lcg("sim", "idx", seed=seed))
-    w = W.partitionBy(*SIM).orderBy("_u", "idx")
-    return rows.select(*SIM, (F.row_number().over(w) - 1).alias("pos"), "ret")
-
-
-def crash_paths(returns: DataFrame, n_sim: int, seed: int = 42) -> DataFrame:
-    rows = spread(returns).select("*", _sims(n_sim))
-    start = lcg("sim", seed=seed) % F.greatest(F.lit(1), F.col("n") - CRASH_DAYS)
-    hit = F.col("idx").between(start, start + CRASH_DAYS - 1)
-    return rows.select(*SIM, F.col("idx").alias("pos"), F.when(hit, F.col("ret") - CRASH_DROP).otherwise(F.col("ret")).alias("ret"))
-
-
-def _lengths(rows: DataFrame, n_sim: int) -> DataFrame:
-    return rows.groupBy(P).agg(F.count(F.lit(1)).alias("n")).select(P, "n", _sims(n_sim)).repartition(P, "sim")
-
-
-def _pick(slots: DataFrame, rows: DataFrame) -> DataFrame:
-    """Fetch the drawn source rows: equality on (portfolio, source row). rows is a written table of known size."""
-    src = rows.select(P, F.col("idx").alias("src"), "ret")
-    return slots.join(src, [P, "src"]).select(*SIM, "pos", "ret")
-
-
-def block_bootstrap(returns: DataFrame, n_sim: int, block: int = BLOCK_DAYS, seed: int = 42) -> DataFrame:
-    """Blocks of fixed length from random starts, cut to the length of the series."""
-    rows = cut(numbered(returns), "numbered")
-    slots = _lengths(rows, n_sim).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos"))
-    b = F.floor(F.col("pos") / block).cast("long")
-    start = lcg("sim", b, seed=seed) % F.greatest(F.lit(1), F.col("n") - block)
-    return _pick(slots.withColumn("src", (start + F.col("pos") % block).cast("int")), rows)
-
-
-def var_block_bootstrap(returns: DataFrame, n_sim: int, lo: int = BLOCK_MIN, hi: int = BLOCK_MAX, seed: int = 42) -> DataFrame:
-    """Blocks of lo..hi rows; the running sum of the lengths places them."""
-    rows = cut(numbered(returns), "numbered")
-    blocks = _lengths(rows, n_sim).select(
-        "*", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / lo).cast("int"))).alias("b")
-    )
-    blocks = blocks.withColumn("len", F.lit(lo) + lcg("sim", "b", seed=seed) % (hi - lo + 1))
-    before = W.partitionBy(*SIM).orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.withColumn("off", F.coalesce(F.sum("len").over(before), F.lit(0))).where(F.col("off") < F.col("n"))
-    start = lcg("sim", "b", seed=seed + 7) % F.greatest(F.lit(1), F.col("n") - F.col("len"))
-    slots = blocks.select(
-        *SIM, "n", "off", start.alias("start"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1)).alias("j")
-    ).select(
-        *SIM, "n", (F.col("off") + F.col("j")).alias("pos"), (F.col("start") + F.col("j")).cast("int").alias("src")
-    ).where(F.col("pos") < F.col("n"))
-    return _pick(slots, rows)
-
-
-def path_digest(paths: DataFrame) -> DataFrame:
-    """One row per path: its length, the sum of returns, the sum weighted by place."""
-    return paths.groupBy(*SIM).agg(F.count(F.lit(1)).alias("n"), F.sum("ret").alias("total"), F.sum(F.col("ret") * F.col("pos")).alias("placed"))
-
-
 def path_metrics(paths: DataFrame, ann: int = 252, keys=SIM) -> DataFrame:
     """CAGR, deepest fall and Sharpe of every path."""
     keys = list(keys)
