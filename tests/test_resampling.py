@@ -44,6 +44,7 @@ def test_loss_of_all_and_no_spread(returns):
 
 
 def test_ranges_of_simulations_do_not_change_a_path(returns, monkeypatch):
-    whole = sorted(map(tuple, R.path_digest(returns, 30, R.blocks()).collect()))
+    near = lambda df: sorted((r.portfolio, r.sim, r.n, round(r.total, 9), round(r.placed, 9)) for r in df.collect())
+    whole = near(R.path_digest(returns, 30, R.blocks()))
     monkeypatch.setattr(R, "TASK_VALUES", 1000)
-    assert sorted(map(tuple, R.path_digest(returns, 30, R.blocks()).collect())) == whole
+    assert near(R.path_digest(returns, 30, R.blocks())) == whole
