@@ -23,6 +23,7 @@ A tie of cuts goes to the shortest first part, a tie of phrases to the first in
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +37,10 @@ from pyspark.sql import functions as F
 from barloom.llm.common import SLICE_ROWS
 from barloom.sources.scratch import cut
 
-#: Words of a shard; its index takes about 100 bytes a word while it is built.
-SHARD_WORDS = 3_000_000
+#: Words of a shard; its index takes about 60 bytes a word while it is built.
+SHARD_WORDS = 1_500_000
+#: Rows of intervals that are extended at a time.
+EXTEND_ROWS = 500_000
 #: Words of the corpus per bucket, an upper bound of the packed rows of a bucket.
 BUCKET_WORDS = 1_000_000
 NO_GROUP = "und"
@@ -114,44 +117,54 @@ class _Transform:
 
     def __init__(self, t: np.ndarray, depth: int):
         rank, sorted_to = t.astype(np.int64), 1
-        while True:
-            if sorted_to >= depth:
-                order = np.argsort(rank, kind="stable")
-                break
+        while sorted_to < depth:
             rank = rank * (int(rank.max()) + 1) + np.roll(rank, -sorted_to)
-            order, sorted_to = np.argsort(rank, kind="stable"), 2 * sorted_to
-            if sorted_to >= depth:
-                break
-            new = np.concatenate([[0], np.cumsum(np.diff(rank[order]) != 0)])
-            rank = np.empty_like(new)
-            rank[order] = new
+            sorted_to *= 2
+            if sorted_to < depth:
+                order = np.argsort(rank, kind="stable")
+                new = np.concatenate([[0], np.cumsum(np.diff(rank[order]) != 0)])
+                rank[order] = new
+                del new
+        order = np.argsort(rank, kind="stable")
+        del rank
         self.before = t[order - 1]
-        by_word = np.argsort(self.before, kind="stable")
-        self.step = np.empty(len(t), np.int64)
-        self.step[by_word] = np.arange(len(t))
-        self.extendable = np.concatenate([[0], np.cumsum(self.before != 0)])
+        del order
+        self.step = np.empty(len(t), np.int32)
+        self.step[np.argsort(self.before, kind="stable")] = np.arange(len(t), dtype=np.int32)
+        self.extendable = np.concatenate([np.zeros(1, np.int32), np.cumsum(self.before != 0, dtype=np.int32)])
 
 
 class BidirectionalIndex:
     """Intervals of phrases in the transforms of a text and of its reverse."""
 
     def __init__(self, ids: np.ndarray, depth: int):
-        self.left, self.right = _Transform(ids, depth), _Transform(ids[::-1], depth)
-        counts = np.bincount(ids)
-        self.counts, self.begin = counts, np.cumsum(counts) - counts
+        self.ids, self.depth = ids, depth
+        self.right = _Transform(ids[::-1], depth)
+        self.counts = np.bincount(ids)
+        self.begin = np.cumsum(self.counts) - self.counts
+
+    @functools.cached_property
+    def left(self) -> _Transform:
+        return _Transform(self.ids, self.depth)
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Phrases of one word: words (n x 1), interval begins left and right, counts."""
         found = np.flatnonzero(self.counts)
         found = found[found > 0]
-        return found[:, None], self.begin[found], self.begin[found], self.counts[found]
+        return found[:, None].astype(np.int32), self.begin[found], self.begin[found], self.counts[found]
 
     def extend(self, phrases, lo_left, lo_right, size):
-        """All phrases with one word more at the right."""
+        """All phrases with one word more at the right; EXTEND_ROWS rows and one interval more at a time."""
+        part = (np.cumsum(size) - size) // EXTEND_ROWS
+        ends = np.append(np.flatnonzero(np.diff(part)) + 1, len(part))
+        found = [self._extend(*(x[a:b] for x in (phrases, lo_left, lo_right, size))) for a, b in zip(np.append(0, ends[:-1]), ends)]
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _extend(self, phrases, lo_left, lo_right, size):
         owner = np.repeat(np.arange(len(size)), size)
         base = np.cumsum(size) - size
         rows = np.arange(len(owner)) + np.repeat(lo_right - base, size)
-        word = self.right.before[rows].astype(np.int64)
+        word = self.right.before[rows]
         key = owner * (len(self.counts) + 1) + word
         order = np.argsort(key, kind="stable")
         key = key[order]
@@ -162,7 +175,7 @@ class BidirectionalIndex:
         at, first, count = at[live], first[live], count[live]
         who = owner[at]
         return (np.concatenate([phrases[who], word[at][:, None]], axis=1), lo_left[who] + first - base[who],
-                self.right.step[rows[at]], count)
+                self.right.step[rows[at]].astype(np.int64), count)
 
     def extendable(self, lo_left, lo_right, size) -> tuple[np.ndarray, np.ndarray]:
         """Occurrences with a word to the left, and to the right, in their piece."""
