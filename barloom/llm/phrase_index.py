@@ -12,9 +12,10 @@ Shards only tell their phrases by name once these are known to be frequent:
 1. every shard sums words and pairs of words, packed by hash into buckets;
 2. a bucket (one task, bounded by its share of the words) adds the shards up and
    tells each shard which of its own are frequent. Equal hashes can only add up, so
-   nothing frequent is lost;
-3. the shards extend through frequent pairs only, and the names and counts of what
-   they find are summed exactly.
+   nothing frequent is lost; a bucket has few words against 2**32 hashes at any size;
+3. the same for three words, grown from frequent pairs;
+4. the shards name what grows from frequent phrases only, and these counts are summed
+   exactly.
 
 Lower case: A-Z. Pieces end at `[.,;:!?\\x0A-\\x0D]`, words are `[^\\x20\\x09]+`. Null text: no
 words. Null group: `und`. Repeated rows count each time. Other columns are not read.
@@ -39,13 +40,15 @@ from barloom.sources.scratch import cut
 
 #: Words of a shard; its index takes about 60 bytes a word while it is built.
 SHARD_WORDS = 1_500_000
+#: Words of the longest phrases whose hashes are summed before any are named.
+FILTERED = 3
 #: Rows of intervals that are extended at a time.
 EXTEND_ROWS = 500_000
-#: Words of the corpus per bucket, an upper bound of the packed rows of a bucket.
+#: Words of the corpus per bucket; a bucket's packed rows are about as many at most.
 BUCKET_WORDS = 1_000_000
 NO_GROUP = "und"
 
-_SHARD = "shard long, groups array<string>, n_words array<long>, words array<string>, owners binary, ids binary"
+_SHARD = "shard long, groups array<string>, n_words array<long>, words array<string>, owners binary, size long, ids binary"
 
 
 def tokens(texts: pa.Array) -> pa.Array:
@@ -85,9 +88,15 @@ class _Shard:
         owners = np.array(self.owners, np.int32)
         counts = np.bincount(ids, minlength=len(self.words) + 1)[1:]
         n_words = np.bincount(owners, counts, minlength=len(self.known)).astype(np.int64)
-        cols = [[shard], [list(self.known)], [n_words.tolist()], [self.words], [owners.tobytes()], [ids.tobytes()]]
-        kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.binary(), pa.binary()]
-        names = ["shard", "groups", "n_words", "words", "owners", "ids"]
+        # Numbers in order of frequency, byte by byte: the high bytes are nearly all zero.
+        order = np.argsort(-counts, kind="stable")
+        rank = np.zeros(len(self.words) + 1, np.int32)
+        rank[order + 1] = np.arange(1, len(order) + 1)
+        packed = pa.compress(rank[ids].view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+        words = [self.words[i] for i in order]
+        cols = [[shard], [list(self.known)], [n_words.tolist()], [words], [owners[order].tobytes()], [len(ids)], [packed]]
+        kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.binary(), pa.int64(), pa.binary()]
+        names = ["shard", "groups", "n_words", "words", "owners", "size", "ids"]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
 
@@ -185,45 +194,52 @@ class BidirectionalIndex:
 
 class _Opened:
     def __init__(self, row: dict, depth: int):
-        self.index = BidirectionalIndex(np.frombuffer(row["ids"], np.int32), depth)
+        planes = np.frombuffer(pa.decompress(row["ids"], 4 * row["size"], codec="zstd"), np.uint8).reshape(4, -1)
+        self.index = BidirectionalIndex(np.ascontiguousarray(planes.T).view(np.int32).ravel(), depth)
         self.owners = np.frombuffer(row["owners"], np.int32)
         self.groups, self.words = row["groups"], row["words"]
         hashes = pd.util.hash_array(np.array(self.words, object), categorize=False)
         of_group = pd.util.hash_array(np.array(self.groups, object), categorize=False)
         self.hash = np.concatenate([np.zeros(1, np.uint64), hashes ^ (of_group[self.owners] * np.uint64(0x9E3779B97F4A7C15))])
 
-    def key(self, phrases: np.ndarray) -> np.ndarray:
-        """Hashes of words, or of the last two words of longer phrases."""
-        if phrases.shape[1] == 1:
-            return self.hash[phrases[:, 0]]
-        x = self.hash[phrases[:, -2]] * np.uint64(0xC2B2AE3D27D4EB4F) + self.hash[phrases[:, -1]]
+    def keys(self, phrases: np.ndarray, n_buckets: int) -> np.ndarray:
+        """Bucket in the high and 32 bits of a hash in the low half; of the last FILTERED words of longer phrases."""
+        x = np.zeros(len(phrases), np.uint64)
+        for j in range(max(0, phrases.shape[1] - FILTERED), phrases.shape[1]):
+            x = (x + self.hash[phrases[:, j]]) * np.uint64(0xC2B2AE3D27D4EB4F)
+            x ^= x >> np.uint64(29)
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
-        return x ^ (x >> np.uint64(29))
+        return ((x % np.uint64(n_buckets)) << np.uint64(32) | x >> np.uint64(32)).view(np.int64)
+
+    def grow(self, known: np.ndarray | None, depth: int, n_buckets: int):
+        """Phrases of 1 to depth words with their keys; where known is given, longer ones grow from known ones only."""
+        state = self.index.words()
+        for d in range(1, depth + 1):
+            if d > 1:
+                state = self.index.extend(*state)
+            keys = self.keys(state[0], n_buckets)
+            if known is not None:
+                # What is still to be summed has no key among the known ones yet, but its end has.
+                summed = d < depth or d > FILTERED
+                keep = np.isin(keys if summed else self.keys(state[0][:, -(depth - 1):], n_buckets), known)
+                state, keys = _only(state, keep), keys[keep]
+            if not len(keys):
+                return
+            yield state, keys
 
 
 def _only(state, keep):
     return tuple(x[keep] for x in state)
 
 
-def _frequent(index: DataFrame, min_count: int, n_buckets: int) -> DataFrame:
-    """(shard, keys): sorted hashes of the frequent words and pairs of every shard."""
+def _opened(batches, depth: int):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            yield row, _Opened(row, depth)
 
-    def packed(batches):
-        for batch in batches:
-            for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
-                shard = _Opened(row, 2)
-                one = shard.index.words()
-                two = shard.index.extend(*one)
-                keys, counts = np.concatenate([shard.key(one[0]), shard.key(two[0])]), np.concatenate([one[3], two[3]])
-                bucket = (keys % np.uint64(n_buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                bucket, keys, counts = bucket[order], keys[order], counts[order]
-                first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-                offsets = pa.array(np.append(first, len(bucket)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[first]), pa.array(np.full(len(first), row["shard"])), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64))),
-                     pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32)))], names=["bucket", "shard", "keys", "counts"])
 
+def _added(min_count: int):
     def added(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         rows = np.repeat(np.arange(group.num_rows), pc.list_value_length(group["keys"]).to_numpy())
@@ -234,41 +250,62 @@ def _frequent(index: DataFrame, min_count: int, n_buckets: int) -> DataFrame:
         total = np.add.reduceat(counts[order], first)
         live = np.zeros(len(keys), bool)
         live[order] = np.repeat(total >= min_count, np.diff(np.append(first, len(keys))))
-        rows, keys = rows[live], keys[live]
+        rows = rows[live]
+        keys = (np.int64(group["bucket"][0].as_py()) << np.int64(32)) | keys[live].view(np.uint32).astype(np.int64)
         offsets = np.searchsorted(rows, np.arange(group.num_rows + 1)).astype(np.int32)
         return pa.table({"shard": group["shard"], "keys": pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))})
 
-    entries = index.mapInArrow(packed, "bucket int, shard long, keys array<long>, counts array<int>")
-    found = entries.groupBy("bucket").applyInArrow(added, "shard long, keys array<long>")
-    return found.groupBy("shard").agg(F.array_sort(F.flatten(F.collect_list("keys"))).alias("keys"))
+    return added
+
+
+def _frequent(index: DataFrame, depths: tuple[int, ...], min_count: int, n_buckets: int) -> DataFrame:
+    """(shard, keys): keys of the frequent phrases of every shard, of the given numbers of words.
 
+    index may have the keys of frequent shorter phrases, from which alone longer ones grow.
+    """
+    filtered = "keys" in index.columns
 
-def _named(index: DataFrame, frequent: DataFrame, max_words: int) -> DataFrame:
-    """(group, phrase, words, n, left, right) of every shard, through frequent words and pairs."""
+    def packed(batches):
+        for row, shard in _opened(batches, max(depths)):
+            known = np.array(row["keys"], np.int64) if filtered else None
+            found = [(keys, state[3]) for state, keys in shard.grow(known, max(depths), n_buckets) if state[0].shape[1] in depths]
+            if not found:
+                continue
+            keys, counts = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(keys, kind="stable")
+            bucket, low, counts = (keys[order] >> np.int64(32)).astype(np.int32), keys[order].astype(np.uint32).view(np.int32), counts[order].astype(np.int32)
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            offsets = pa.array(np.append(first, len(bucket)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket[first]), pa.array(np.full(len(first), row["shard"])), pa.ListArray.from_arrays(offsets, pa.array(low)),
+                 pa.ListArray.from_arrays(offsets, pa.array(counts))], names=["bucket", "shard", "keys", "counts"])
+
+    entries = index.mapInArrow(packed, "bucket int, shard long, keys array<int>, counts array<int>")
+    found = entries.groupBy("bucket").applyInArrow(_added(min_count), "shard long, keys array<long>")
+    return found.groupBy("shard").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+
+
+def _named(index: DataFrame, max_words: int, n_buckets: int) -> DataFrame:
+    """(group, phrase, words, n, left, right) of every shard that has keys of frequent phrases."""
     schema = "group string, phrase string, words int, n long, left long, right long"
 
     def run(batches):
-        for batch in batches:
-            for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
-                shard = _Opened(row, max_words)
-                known = np.array(row["keys"], np.int64)
-                words, groups = pa.array([None, *shard.words], pa.string()), pa.array(shard.groups, pa.string())
-                state = shard.index.words()
-                for depth in range(1, max_words + 1):
-                    if depth > 1:
-                        state = shard.index.extend(*state)
-                    state = _only(state, np.isin(shard.key(state[0]).view(np.int64), known))
-                    if not len(state[0]):
-                        break
-                    phrases, lo_left, lo_right, size = state
-                    left, right = shard.index.extendable(lo_left, lo_right, size)
-                    names = [words.take(pa.array(phrases[:, j])) for j in range(depth)]
-                    yield pa.RecordBatch.from_arrays(
-                        [groups.take(pa.array(shard.owners[phrases[:, 0] - 1])), pc.binary_join_element_wise(*names, " ") if depth > 1 else names[0],
-                         pa.array(np.full(len(size), depth, np.int32)), *[pa.array(x.astype(np.int64)) for x in (size, left, right)]],
-                        names=["group", "phrase", "words", "n", "left", "right"])
-
-    return index.join(frequent, "shard").mapInArrow(run, schema)
+        for row, shard in _opened(batches, max_words):
+            known = np.array(row["keys"], np.int64)
+            words, groups = pa.array([None, *shard.words], pa.string()), pa.array(shard.groups, pa.string())
+            for state, keys in shard.grow(known, max_words, n_buckets):
+                if state[0].shape[1] <= FILTERED:
+                    state = _only(state, np.isin(keys, known))
+                phrases, lo_left, lo_right, size = state
+                depth = phrases.shape[1]
+                left, right = shard.index.extendable(lo_left, lo_right, size)
+                names = [words.take(pa.array(phrases[:, j])) for j in range(depth)]
+                yield pa.RecordBatch.from_arrays(
+                    [groups.take(pa.array(shard.owners[phrases[:, 0] - 1])), pc.binary_join_element_wise(*names, " ") if depth > 1 else names[0],
+                     pa.array(np.full(len(size), depth, np.int32)), *[pa.array(x.astype(np.int64)) for x in (size, left, right)]],
+                    names=["group", "phrase", "words", "n", "left", "right"])
+
+    return index.mapInArrow(run, schema)
 
 
 def phrase_counts(index: DataFrame, min_count: int = 30, max_words: int = 4) -> DataFrame:
@@ -277,9 +314,13 @@ def phrase_counts(index: DataFrame, min_count: int = 30, max_words: int = 4) ->
     left and right: occurrences with another word before and behind, in the same piece.
     """
     total = index.select(F.sum(F.aggregate("n_words", F.lit(0).cast("long"), lambda a, n: a + n))).head()[0] or 0
-    frequent = _frequent(index, min_count, max(1, -(-total // BUCKET_WORDS)))
+    n_buckets = max(1, -(-total // BUCKET_WORDS))
+    frequent = cut(_frequent(index, (1, 2), min_count, n_buckets), "frequent-pairs")
+    if max_words > 2:
+        longer = cut(_frequent(index.join(frequent, "shard"), (3,), min_count, n_buckets), "frequent-triples")
+        frequent = frequent.unionByName(longer).groupBy("shard").agg(F.flatten(F.collect_list("keys")).alias("keys"))
     sums = [F.sum(c).alias(c) for c in ("n", "left", "right")]
-    return _named(index, frequent, max_words).groupBy("group", "phrase", "words").agg(*sums).where(F.col("n") >= min_count)
+    return _named(index.join(frequent, "shard"), max_words, n_buckets).groupBy("group", "phrase", "words").agg(*sums).where(F.col("n") >= min_count)
 
 
 def group_sizes(index: DataFrame) -> DataFrame:
