@@ -15,11 +15,11 @@ as every notice and full text does, and whole files also of all that are named a
 
 The vectoriser is fitted on the templates: idf(t) = ln((1 + N) / (1 + df)) + 1 with
 N templates; a term of no template has df 0, so foreign words lengthen a line
-and lower its cosine. A line can reach the threshold only if it holds a term of
-the "prefix" of a template: terms are taken, long ones first, until those left over
-are too short a vector to reach it. Lines without such a term are passed by
-exactly, not by chance; only the others are split into terms, and these are
-joined to the templates' terms.
+and lower its cosine. A unit can reach the threshold only if it holds one of the
+needed terms of a template: terms are taken, long ones first, until those left over
+are too short a vector to reach it (very short ones count together). Texts, lines and
+units without them are passed by exactly, not by chance, after plain searches; only
+the others are split into terms, and these are joined to the templates' terms.
 
 Everything is DataFrame functions. Templates are literals of this module and the files in
 `licence_texts`; of the Creative Commons licences there are statements only, no full text.
@@ -103,10 +103,12 @@ LICENCE_NAME = r"(?i)^(licen[cs]e|copying|notice)([.].*)?$"
 THRESHOLD = 0.8
 #: Marks at the start of a comment line; a line that holds nothing else is blank.
 COMMENT = r"(?m)^[ \t]*(?:[/*#;%!\"'<>|-]+|(?:dnl|rem|REM|[.][.])(?=\s|$))?[ \t]*"
-PARAGRAPH_END = r"(?:[ \t]*\r?\n){2,}"
+PARAGRAPH_END = r"[ \t]*\r?\n[ \t]*\r?\n[ \t\r\n]*"
 CLAUSE_END = r";\s+|[.:!?][\"')\]]*\s+(?=[^a-z0-9\s])"
-#: The comment that a file begins with, after a "#!" line.
-LEADING = r"^\s*(?:#!.*\n)?\s*((?:(?://|#|--|;|%|dnl\b).*(?:\n[ \t]*|$))+|/\*(?s:.*?)\*/|<!--(?s:.*?)-->|\"\"\"(?s:.*?)\"\"\")"
+#: Pairs of marks around a comment of several lines, and the start of a line that is one. No pattern of this module
+#: repeats a group: the matcher would go one call deeper for every round.
+AROUND = [("/*", "*/"), ("<!--", "-->"), ('"""', '"""')]
+LINE_COMMENT = r"^[ \t]*(?://|#|--|;|%|dnl\b)"
 SEPARATORS = r"[^a-z0-9.]+"
 EDGE_DOTS = r"^[.]+|[.]+$"
 
@@ -129,21 +131,46 @@ def weights(templates=TEMPLATES, sublinear: bool = False) -> tuple[dict[str, flo
     return idf, other, units
 
 
-def prefix_terms(units: list[dict[str, float]], threshold: float) -> list[str]:
-    """Terms of which a line must hold one to reach the threshold with any template.
+def needed_terms(units: list[dict[str, float]], threshold: float, short: int = 2) -> tuple[list[str], list[tuple[str, ...]]]:
+    """Terms of which a unit must hold one, or else all of one of the tuples, to reach the threshold with any template.
 
-    By Cauchy's inequality the cosine is at most the length of the template's part that the line shares.
+    By Cauchy's inequality the cosine is at most the length of the template's part that the unit shares.
+    Terms of at most `short` letters stand in other words of any language; where a template is
+    still reached without its longer terms, those short ones without which it is not go together.
     """
-    out = set()
+    some, together = set(), set()
+    enough = (threshold - 1e-9) ** 2
     for unit in units:
         rest = 1.0
-        # Any order is right; long words are rarer in prose than short ones, in any language.
+        left = dict(unit)
         for t, x in sorted(unit.items(), key=lambda e: (-len(e[0]), -e[1], e[0])):
-            if rest < (threshold - 1e-9) ** 2:
+            if rest < enough or len(t) <= short:
                 break
-            out.add(t)
+            some.add(t)
             rest -= x * x
-    return sorted(out)
+            del left[t]
+        if rest >= enough:
+            must = tuple(sorted(t for t, x in left.items() if rest - x * x < enough))
+            if must:
+                together.add(must)
+            else:
+                some.update(left)
+    return sorted(some), sorted(together)
+
+
+def may_reach(text: Column, needed: tuple[list[str], list[tuple[str, ...]]]) -> Column:
+    """Whether a lower-case text holds what needed_terms asks for, as parts of words: plain searches, no pattern."""
+    some, together = needed
+    parts = [t for t in some if not any(o != t and o in t for o in some)]
+    holds = lambda ts: reduce(lambda a, b: a & b, [text.contains(t) for t in ts])
+    return reduce(lambda a, b: a | b, [text.contains(t) for t in parts] + [holds(ts) for ts in together])
+
+
+def can_reach(terms: Column, needed: tuple[list[str], list[tuple[str, ...]]]) -> Column:
+    """The same of the terms of a unit."""
+    some, together = needed
+    alone = F.arrays_overlap(terms, F.array(*[F.lit(t) for t in some]))
+    return reduce(lambda a, b: a | b, [alone] + [reduce(lambda a, b: a & b, [F.array_contains(terms, t) for t in ts]) for ts in together])
 
 
 def line_terms(line: Column) -> Column:
@@ -159,17 +186,35 @@ def many_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 def runs(parts: Column, n: int) -> Column:
     """Every n neighbours of an array, joined."""
-    some = F.transform(F.sequence(F.lit(1), F.size(parts) - (n - 1)), lambda i: F.concat_ws(" ", F.slice(parts, i, n)))
-    return F.when(F.size(parts) >= n, some).otherwise(F.array().cast("array<string>"))
+
+    def of(ps: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.size(ps) - (n - 1)), lambda i: F.concat_ws(" ", F.slice(ps, i, n)))
+        return F.when(F.size(ps) >= n, some).otherwise(F.array().cast("array<string>"))
+
+    # Bound once: inside the inner lambda the expression of the parts would run again for every element.
+    return F.transform(F.array(parts), of)[0]
+
+
+def leading_comment(text: Column) -> Column:
+    """The comment that a text begins with, after a "#!" line; empty if it begins with none."""
+    body = F.regexp_replace(text, r"^\s+", "")
+    body = F.when(body.startswith("#!"), F.regexp_replace(F.regexp_replace(body, r"^#![^\n]*", ""), r"^\s+", "")).otherwise(body)
+    lines = F.split(body, "\n")
+    first_other = F.array_position(F.transform(lines, lambda x: ~x.rlike(LINE_COMMENT)), True)
+    out = F.array_join(F.when(first_other == 0, lines).otherwise(F.slice(lines, F.lit(1), F.greatest(first_other - 1, F.lit(0)).cast("int"))), "\n")
+    for begin, end in AROUND:
+        stop = F.locate(end, body, len(begin) + 1)
+        out = F.when(body.startswith(begin), F.when(stop > 0, F.substring(body, F.lit(1), stop - 1)).otherwise("")).otherwise(out)
+    return F.coalesce(out, F.lit(""))
 
 
-def joined_units(files: DataFrame, some: str) -> DataFrame:
-    """path, kind, no, line of clauses and of two and three joined lines of paragraphs; some: what a unit must hold."""
-    paragraphs = files.where(F.col("low_").rlike(some)) \
-        .select("path", F.explode(F.split(F.regexp_replace("text_", COMMENT, ""), PARAGRAPH_END)).alias("p")).where(F.lower("p").rlike(some))
+def joined_units(files: DataFrame, needed) -> DataFrame:
+    """path, kind, no, line of clauses and of two and three joined lines of paragraphs; needed: what a unit must hold."""
+    paragraphs = files.where(may_reach(F.col("low_"), needed)) \
+        .select("path", F.explode(F.split(F.regexp_replace("text_", COMMENT, ""), PARAGRAPH_END)).alias("p")).where(may_reach(F.lower("p"), needed))
     rows = F.split("p", r"\r?\n")
     clauses = F.split(F.regexp_replace("p", r"\s+", " "), CLAUSE_END)
-    units = paragraphs.select("path", F.explode(F.concat(clauses, runs(rows, 2), runs(rows, 3))).alias("line")).select("path", F.lower("line").alias("line")).where(F.col("line").rlike(some))
+    units = paragraphs.select("path", F.explode(F.concat(clauses, runs(rows, 2), runs(rows, 3))).alias("line")).select("path", F.lower("line").alias("line")).where(may_reach(F.col("line"), needed))
     return units.select("path", F.lit("joined").alias("kind"), F.xxhash64("line").alias("no"), "line")
 
 
@@ -178,7 +223,7 @@ def block_units(files: DataFrame, licence_name: str) -> DataFrame:
     stem = reduce(lambda a, b: a | b, [F.col("low_").contains(x) for x in STEMS])
     held = files.where(stem | F.regexp_extract("path", r"[^/]*$", 0).rlike(licence_name))
     found = held.select("path", "low_", F.filter(F.split(F.regexp_replace("text_", COMMENT, ""), PARAGRAPH_END), lambda x: F.trim(x) != "").alias("ps"),
-                        F.regexp_extract("text_", LEADING, 1).alias("head"))
+                        leading_comment(F.col("text_")).alias("head"))
     blocks = found.select("path", F.explode(F.concat(F.array("head"), *[runs(F.col("ps"), n) for n in (1, 2, 3, 4)])).alias("line")).select("path", F.lit("block").alias("kind"), F.lower("line").alias("line")) \
         .where(reduce(lambda a, b: a | b, [F.col("line").contains(x) for x in STEMS]))
     whole = found.select("path", F.lit("file").alias("kind"), F.col("low_").alias("line"))
@@ -207,14 +252,13 @@ def stated(files: DataFrame, path: str = "path", text: str = "text", threshold:
            notices=(*NOTICES, *FULL_TEXTS)) -> DataFrame:
     """path, licence, score, line_no of the whole text or else the best unit of each file that states a licence."""
     _, _, units = weights(templates)
-    prefix = prefix_terms(units, threshold)
-    some = "|".join(re.escape(t) for t in prefix)
+    needed = needed_terms(units, threshold)
     texts = files.select(F.col(path).alias("path"), F.col(text).alias("text_"), F.lower(F.col(text)).alias("low_"))
-    lines = texts.where(F.col("low_").rlike(some)) \
+    lines = texts.where(may_reach(F.col("low_"), needed)) \
         .select("path", F.lit("line").alias("kind"), F.posexplode_outer(F.split("low_", "\n")).alias("no", "line")) \
-        .where(F.col("line").rlike(some)).withColumn("no", F.col("no").cast("long"))
-    held = lines.unionByName(joined_units(texts, some)).select("path", "kind", "no", line_terms(F.col("line")).alias("terms")) \
-        .where(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in prefix])))
+        .where(may_reach(F.col("line"), needed)).withColumn("no", F.col("no").cast("long"))
+    held = lines.unionByName(joined_units(texts, needed)).select("path", "kind", "no", line_terms(F.col("line")).alias("terms")) \
+        .where(can_reach(F.col("terms"), needed))
     # Equal units of a path (repeated rows) are one.
     held = cut(held.distinct(), "licence-lines")
     blocks = cut(block_units(texts, licence_name).select("path", "kind", "no", line_terms(F.col("line")).alias("terms")).distinct(), "licence-blocks")

@@ -198,10 +198,12 @@ def test_bad_host_takes_its_documents(spark):
 
 def test_prefix_terms_lose_no_line():
     idf, other, units = license_scan.weights()
-    prefix = set(license_scan.prefix_terms(units, 0.8))
+    some, together = license_scan.needed_terms(units, 0.8)
     for unit in units:
-        rest = {t: x for t, x in unit.items() if t not in prefix}
-        assert sum(x * x for x in rest.values()) < 0.8**2
+        rest = {t: x for t, x in unit.items() if t not in some}
+        if sum(x * x for x in rest.values()) >= 0.8**2:
+            must = [ts for ts in together if set(ts) <= set(rest)]
+            assert must and all(sum(x * x for t, x in rest.items() if t != one) < 0.8**2 for one in must[0])
 
 
 @pytest.mark.parametrize(("page", "want"), [
