@@ -39,7 +39,7 @@ from barloom.llm.common import SLICE_ROWS
 from barloom.sources.scratch import cut
 
 #: Words of a shard; its index takes about 60 bytes a word while it is built.
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 2_200_000
 #: Words of the longest phrases whose hashes are summed before any are named.
 FILTERED = 3
 #: Rows of intervals that are extended at a time.
@@ -48,7 +48,7 @@ EXTEND_ROWS = 500_000
 BUCKET_WORDS = 1_000_000
 NO_GROUP = "und"
 
-_SHARD = "shard long, groups array<string>, n_words array<long>, words array<string>, owners binary, size long, ids binary"
+_SHARD = "shard long, groups array<string>, n_words array<long>, letters long, words binary, distinct long, owners binary, size long, ids binary"
 
 
 def tokens(texts: pa.Array) -> pa.Array:
@@ -59,6 +59,15 @@ def tokens(texts: pa.Array) -> pa.Array:
     return flat.filter(pc.not_equal(flat, ""))
 
 
+def _pack(numbers: np.ndarray) -> bytes:
+    return pa.compress(numbers.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * size, codec="zstd"), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.int32).ravel()
+
+
 class _Shard:
     """Numbers of the words seen so far; 0 ends a piece."""
 
@@ -92,11 +101,12 @@ class _Shard:
         order = np.argsort(-counts, kind="stable")
         rank = np.zeros(len(self.words) + 1, np.int32)
         rank[order + 1] = np.arange(1, len(order) + 1)
-        packed = pa.compress(rank[ids].view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
-        words = [self.words[i] for i in order]
-        cols = [[shard], [list(self.known)], [n_words.tolist()], [words], [owners[order].tobytes()], [len(ids)], [packed]]
-        kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.binary(), pa.int64(), pa.binary()]
-        names = ["shard", "groups", "n_words", "words", "owners", "size", "ids"]
+        packed = _pack(rank[ids])
+        words = "\n".join(self.words[i] for i in order).encode()
+        cols = [[shard], [list(self.known)], [n_words.tolist()], [len(words)], [pa.compress(words, codec="zstd", asbytes=True)], [len(order)], [_pack(owners[order])],
+                [len(ids)], [packed]]
+        kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+        names = ["shard", "groups", "n_words", "letters", "words", "distinct", "owners", "size", "ids"]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
 
@@ -194,10 +204,9 @@ class BidirectionalIndex:
 
 class _Opened:
     def __init__(self, row: dict, depth: int):
-        planes = np.frombuffer(pa.decompress(row["ids"], 4 * row["size"], codec="zstd"), np.uint8).reshape(4, -1)
-        self.index = BidirectionalIndex(np.ascontiguousarray(planes.T).view(np.int32).ravel(), depth)
-        self.owners = np.frombuffer(row["owners"], np.int32)
-        self.groups, self.words = row["groups"], row["words"]
+        self.index = BidirectionalIndex(_unpack(row["ids"], row["size"]), depth)
+        self.owners, self.groups = _unpack(row["owners"], row["distinct"]), row["groups"]
+        self.words = pa.decompress(row["words"], row["letters"], codec="zstd", asbytes=True).decode().split("\n") if row["distinct"] else []
         hashes = pd.util.hash_array(np.array(self.words, object), categorize=False)
         of_group = pd.util.hash_array(np.array(self.groups, object), categorize=False)
         self.hash = np.concatenate([np.zeros(1, np.uint64), hashes ^ (of_group[self.owners] * np.uint64(0x9E3779B97F4A7C15))])
