@@ -14,7 +14,7 @@ from ..sources import adapters as A
 from ..sources.scratch import cut
 from . import frames as X
 from .base import BARS, BRAND_BARS, BRAND_SECTORS, INDEX, SECTORS, frame, key_sql, lagx, over, query, r6, ret_sql, roll, with_
-from .q_joins import PAIR_ROWS, PAIRS_SQL
+from .q_joins import PAIRS_SQL, filled_bars
 from .q_portfolio import r
 from .q_regime import SIGNALS_SQL, STATE_SQL, raw_signals
 
@@ -97,7 +97,7 @@ def _6(s, d):
 
 
 def pairs(s, d):
-    return J.pair_series(A.brand_bars(s, d), A.brand_pairs(s, d), PAIR_ROWS)
+    return J.pair_series(filled_bars(s, d), A.brand_pairs(s, d))
 
 
 SPREAD = """ph AS (SELECT pair_id, regr_slope(p1, p2) AS h FROM ps GROUP BY 1),

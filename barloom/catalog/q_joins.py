@@ -97,16 +97,21 @@ def _j7(s, d):
 PAIRS_SQL = """prs AS (SELECT a AS pair_id, 'Brand#' || a AS leg1, 'Brand#' || (a + 1) AS leg2 FROM (
   SELECT DISTINCT cast(regexp_replace(p_brand, '[^0-9]', '', 'g') AS int) AS a FROM part) WHERE a % 2 = 1
   AND 'Brand#' || (a + 1) IN (SELECT p_brand FROM part)),
-plb AS (SELECT ticker, date, close FROM bars QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) <= 252),
+fl AS MATERIALIZED (SELECT b.ticker, c.date, b.close FROM (SELECT ticker, date, close, lead(date) OVER (PARTITION BY ticker ORDER BY date) AS nx FROM bars) b
+  JOIN (SELECT DISTINCT date FROM bars) c ON c.date >= b.date AND c.date < coalesce(nx, DATE '9999-12-31')),
+plb AS (SELECT ticker, date, close FROM fl QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) <= 252),
 ps AS MATERIALIZED (SELECT * FROM (SELECT pair_id, leg1, leg2, x.date, x.close AS p1, y.close AS p2, count(*) OVER (PARTITION BY pair_id) AS cnt_ FROM (
-  SELECT * FROM prs) JOIN plb x ON x.ticker = leg1 JOIN plb y ON y.ticker = leg2 AND y.date = x.date) WHERE cnt_ >= 100)"""
-#: Brands do not trade every day at the smaller scales: of 252 rows a leg fewer are common than the rule's 200.
-PAIR_ROWS = 100
+  SELECT * FROM prs) JOIN plb x ON x.ticker = leg1 JOIN plb y ON y.ticker = leg2 AND y.date = x.date) WHERE cnt_ >= 200)"""
+
+
+def filled_bars(s, d):
+    """Brand bars on every trading day: prices and volumes stand until the next trade, as the rule of pairs has them."""
+    return C.fill_forward(A.brand_bars(s, d))
 
 
 @query("jn08_pair_series", with_(BRAND_BARS, PAIRS_SQL, body=f"SELECT pair_id, leg1, leg2, date, {r6('p1')} AS p1, {r6('p2')} AS p2 FROM ps"))
 def _j8(s, d):
-    return J.pair_series(A.brand_bars(s, d), A.brand_pairs(s, d), PAIR_ROWS).withColumn("p1", rnd("p1")).withColumn("p2", rnd("p2"))
+    return J.pair_series(filled_bars(s, d), A.brand_pairs(s, d)).withColumn("p1", rnd("p1")).withColumn("p2", rnd("p2"))
 
 
 @query("jn09_semi_anti", with_(BARS, SECTORS, body="""SELECT ticker, date, 'in' AS part FROM bars WHERE ticker IN (SELECT ticker FROM sectors WHERE sector = 'ASIA')

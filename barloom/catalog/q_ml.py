@@ -9,7 +9,7 @@ from ..operators import factors as FA
 from ..operators import ml as L
 from ..sources import adapters as A
 from . import frames as X
-from .base import BARS, frame, lagx, over, query, r6, ret_sql, roll, with_
+from .base import BARS, BRAND_BARS, frame, lagx, over, query, r6, ret_sql, roll, with_
 from .q_factors import RES, alpha_signals, log_frames, neutral, positions
 from .q_joins import LABEL_SQL, labels
 from .q_portfolio import r
@@ -69,7 +69,27 @@ def ridge(s, d):
     return L.fit_ridge(cut(train(s, d), "train"), FT)
 
 
-@query("ml04_ridge_fit")
+def ridge_sql(cutoffs: str) -> str:
+    """Ridge per cut-off by its definition: medians, standardised features, and the normal equations by Gauss steps over a matrix."""
+    each = lambda f, sep=", ": sep.join(f(c) for c in FT)
+    rows = ", ".join("[" + ", ".join([f"sum({a} * {b})" + (" + 1.0" if a == b else "") for b in FT] + [f"sum({a} * y)"]) + "]" for a in FT)
+    return f"""tr AS MATERIALIZED (SELECT fm.*, label FROM fm JOIN labels_ l ON l.date = fm.date AND l.ticker = fm.ticker),
+ct AS ({cutoffs}),
+ex AS MATERIALIZED (SELECT cutoff, tr.* FROM tr JOIN ct ON tr.date < cutoff),
+md AS MATERIALIZED (SELECT cutoff, count(*) AS n, {each(lambda c: f"median({c}) AS {c}")} FROM ex GROUP BY cutoff HAVING count(*) >= 100),
+im AS MATERIALIZED (SELECT cutoff, label, {each(lambda c: f"coalesce(ex.{c}, md.{c}) AS {c}")} FROM ex JOIN md USING (cutoff)),
+sc_ AS MATERIALIZED (SELECT cutoff, avg(label) AS y_m, {each(lambda c: f"avg({c}) AS {c}_m, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END AS {c}_s")} FROM im GROUP BY cutoff),
+zs AS (SELECT cutoff, label - y_m AS y, {each(lambda c: f"({c} - {c}_m) / {c}_s AS {c}")} FROM im JOIN sc_ USING (cutoff)),
+m0 AS (SELECT cutoff, [{rows}] AS m FROM zs GROUP BY cutoff),
+gs AS (SELECT cutoff, 1 AS j, m FROM m0 UNION ALL SELECT cutoff, j + 1, list_transform(m, lambda r, i: CASE WHEN i = j THEN list_transform(r, lambda x: x / r[j])
+  ELSE list_transform(r, lambda x, c: x - r[j] / m[j][j] * m[j][c]) END) FROM gs WHERE j <= {len(FT)}),
+cf AS (SELECT cutoff, unnest([{each(lambda c: f"'{c}'")}]) AS feature, unnest([{", ".join(f"m[{i + 1}][{len(FT) + 1}]" for i in range(len(FT)))}]) AS coef,
+  unnest([{each(lambda c: f"{c}_m")}]) AS mean, unnest([{each(lambda c: f"{c}_s")}]) AS scale, unnest([{each(lambda c: f"md.{c}")}]) AS median, y_m, n
+  FROM gs JOIN sc_ USING (cutoff) JOIN md USING (cutoff) WHERE j = {len(FT) + 1})"""
+
+
+@query("ml04_ridge_fit", with_(BRAND_BARS, LABEL_SQL, FEATS, ridge_sql("SELECT DATE '9999-01-01' AS cutoff"), recursive=True, body=f"""SELECT feature, {r6('coef')} AS coef,
+  {r6('mean')} AS mean, {r6('scale')} AS scale, {r6('median')} AS median, {r6('y_m')} AS intercept FROM cf"""))
 def _4(s, d):
     m = ridge(s, d)
     return m.select(F.explode(F.arrays_zip("features", "coefs", "means", "scales", "medians")).alias("z"), "intercept").select(
@@ -105,7 +125,8 @@ def _6(s, d):
     return r(L.top_predictions(L.score_linear(matrix(s, d), stored_model(s, d), FT), 5), "prediction").select("date", "ticker", "rank", "prediction")
 
 
-@query("ml07_expanding_ridge")
+@query("ml07_expanding_ridge", with_(BRAND_BARS, LABEL_SQL, FEATS, ridge_sql("SELECT DISTINCT date AS cutoff FROM tr"), recursive=True,
+    body=f"SELECT cutoff, n, feature, {r6('coef')} AS coef, {r6('y_m')} AS intercept FROM cf"))
 def _7(s, d):
     from ..sources.scratch import cut
     t = cut(train(s, d), "train")
@@ -203,3 +224,21 @@ def _16(s, d):
         "ridge": basket(L.score_linear(later, L.fit_ridge(fit, FT), FT)), "forest": basket(L.fit_rf_regressor(fit, FT)(later)),
         "boosting": basket(L.fit_gbt_regressor(fit, FT)(later))})
     return r(out, "final", "cagr", "max_drawdown", "sharpe")
+
+
+@query("ml17_model_windows", with_(*RES, REV, """wk AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT max(date) AS date FROM fn GROUP BY date_trunc('week', date))),
+us AS MATERIALIZED (SELECT date, last_value(CASE WHEN i % 52 = 0 THEN date END IGNORE NULLS) OVER (ORDER BY date) AS valid_from FROM wk),
+wd AS (SELECT date AS valid_from, greatest(25, t + 1 - 504) AS b, t - 15 AS e FROM dx WHERE date IN (SELECT valid_from FROM us)),
+tn AS (SELECT valid_from, count(*) AS n_rows, sum(CASE WHEN (z > 0 AND nx < 0) OR (z < 0 AND nx > 0) THEN 1 ELSE 0 END)::bigint AS n_reverted
+  FROM wd JOIN rz ON rz.t >= b AND rz.t < e AND (rz.t - b) % 5 = 0 AND abs(z) >= 2.0 JOIN rb_ ON rb_.ticker = rz.ticker GROUP BY 1)""",
+    body="SELECT us.date, us.valid_from, coalesce(n_rows, 0) AS n_rows, coalesce(n_reverted, 0) AS n_reverted FROM us LEFT JOIN tn USING (valid_from)"))
+def _17(s, d):
+    """Which fit of the reversal classifier each weekly rebalance uses, and the rows that it learns from."""
+    from ..sources.scratch import cut
+    ret, mkt = log_frames(s, d)
+    n = neutral(s, d)
+    rows = cut(L.reversal_rows(n, FA.market_beta(ret, mkt), A.brand_bars(s, d)), "reversal-rows")
+    used = L.model_dates(CAL.week_end_dates(rows))
+    found = L.windowed_training_rows(rows, L.training_windows(used, rows)).groupBy("valid_from").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("label").alias("n_reverted"))
+    return used.join(found, "valid_from", "left").select("date", "valid_from", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_reverted", F.lit(0)).alias("n_reverted"))

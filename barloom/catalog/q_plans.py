@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rnd
 from ..operators import regime as R
+from ..operators.calendar import week_end_dates
 from ..plans import backtest as BT
 from ..plans import factor_model as FM
 from ..plans.screen import momentum_screen
@@ -12,7 +13,7 @@ from ..sources import adapters as A
 from ..sources.scratch import cut
 from . import frames as X
 from .base import BARS, ORACLES, query, r6, regime_sql, with_
-from .q_joins import PAIR_ROWS
+from .q_joins import filled_bars
 from .q_portfolio import r
 
 SCREEN = f"""lr AS (SELECT * FROM ind QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1),
@@ -39,13 +40,14 @@ ORACLES["src06_held_from_signals"] = with_(BARS, regime_sql(), X.IND_SQL, SCREEN
 
 @query("factor_model_signals")
 def _factor(s, d):
-    bars = cut(A.brand_bars(s, d), "bars")
+    bars = cut(filled_bars(s, d), "bars")
     x = FM.FactorInputs(
         bars=bars, index=R.synthetic_index(bars), sectors=A.brand_sectors(s, d), pairs=A.brand_pairs(s, d),
         eligible=A.table(s, d, "part").select(F.col("p_brand").alias("ticker")).distinct(),
+        rebalances=week_end_dates(bars),
     )
-    sig = FM.factor_signals(x, FactorParams(z_entry=0.5, pair_rows=PAIR_ROWS))
-    return r(sig.select("ticker", "sector", "position", "z_score", "signal_type", "effective_cost", "vol_ratio", "partner"), "position", "z_score", "vol_ratio")
+    sig = FM.factor_signals(x, FactorParams())
+    return r(sig.select("ticker", "sector", "position", "z_score", "signal_type", "effective_cost", "vol_ratio", "confidence", "partner"), "position", "z_score", "vol_ratio", "confidence")
 
 
 # The back-test in SQL, from the rule: every month end is a rebalance; in a bear state the book is empty and the

@@ -175,6 +175,22 @@ def ffill(df: DataFrame, cols: list[str], key="ticker", order="date") -> DataFra
     return df
 
 
+def fill_forward(bars: DataFrame, key="ticker", order="date") -> DataFrame:
+    """Each series on every date of the table from its first row on, rows repeated until the next one.
+
+    A row is repeated in place over the dates up to its follower: no key x date grid is joined.
+    The calendar is one array, a few thousand dates at any data size.
+    """
+    dates = bars.select(order).distinct()
+    days = dates.agg(F.array_sort(F.collect_list(order)).alias("a"))
+    place = days.select(F.posexplode("a").alias("_at", order))
+    rows = bars.join(place, order)
+    until = F.lead("_at").over(series(key, "_at"))
+    last = days.select(F.size("a").alias("n")).scalar()
+    filled = rows.withColumn("_to", F.coalesce(until, last) - 1).withColumn("_at", F.explode(F.sequence("_at", "_to")))
+    return filled.drop(order, "_to").join(place, "_at").select(*bars.columns)
+
+
 def ffill_bfill(df: DataFrame, cols: list[str], key="ticker", order="date") -> DataFrame:
     """Last known value, else the first later one.
 

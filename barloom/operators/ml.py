@@ -138,48 +138,53 @@ def expanding_ridge(train: DataFrame, dates: DataFrame, cols: list[str], label:
                     alpha: float = 1.0, min_rows: int = 100) -> DataFrame:
     """A ridge model per cut-off, from the rows before it.
 
-    The medians come from counts per date and value range. Then every
-    (row, later cut-off) adds its products to the cut-off's moment sums inside
-    the map side of one aggregate, so only one row of sums per task and cut-off
-    is shuffled. Each cut-off's small system is solved on the executors.
+    Rows are summed once, per date and set of missing features, into counts, sums and
+    products. Running sums over the calendar give every cut-off its own; the medians (from
+    counts per date and value range) stand in for the missing features algebraically: a
+    filled feature adds median x count and median x sum. No row meets a cut-off, and what
+    is shuffled grows with dates x sets. Each small system is solved on the executors.
     """
+    k = len(cols)
     cuts = dates.select("date").distinct().agg(F.array_sort(F.collect_list("date")).alias("a")).scalar()
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in cols])
     med = expanding_quantile(train.select("date", F.inline(cells)), ["feature"], "date", cuts, "x", 0.5, "m")
-    rows = train.select("date", *cols, F.col(label).alias("_y")).withColumn("_cuts", cuts)
-    later = rows.select(*cols, "_y", F.explode(F.filter("_cuts", lambda c: c > F.col("date"))).alias("cutoff"))
-    wide = med.groupBy("cutoff").agg(*[F.max(F.when(F.col("feature") == c, F.col("m"))).alias(f"_med_{c}") for c in cols])
-    filled = later.join(wide, "cutoff").select(
-        "cutoff", "_y", *[F.coalesce(c, f"_med_{c}").alias(c) for c in cols], *[f"_med_{c}" for c in cols]
-    )
-    k = len(cols)
-    z = [F.lit(1.0), *[F.col(c) for c in cols], F.col("_y")]
-    sums = [F.sum(z[i] * z[j]).alias(f"s_{i}_{j}") for i in range(k + 2) for j in range(i, k + 2)]
-    moments = filled.groupBy("cutoff").agg(
-        F.count(F.lit(1)).alias("n"), *sums, F.array(*[F.first(f"_med_{c}") for c in cols]).alias("medians")
-    ).where(F.col("n") >= min_rows)
+    wide = med.groupBy("cutoff").agg(F.array(*[F.max(F.when(F.col("feature") == c, F.col("m"))) for c in cols]).alias("medians"))
+
+    missing = sum((F.when(F.col(c).isNull(), 1 << i).otherwise(0) for i, c in enumerate(cols)), F.lit(0))
+    z = [F.lit(1.0), *[F.coalesce(F.col(c), F.lit(0.0)) for c in cols], F.col(label)]
+    pairs = [(i, j) for i in range(k + 2) for j in range(i, k + 2)]
+    names = [f"s_{i}_{j}" for i, j in pairs]
+    by_date = train.groupBy("date", missing.alias("missing")).agg(*[F.sum(z[i] * z[j]).alias(n) for (i, j), n in zip(pairs, names)])
+    by_date = cut(by_date, "moments").withColumn("asks", F.lit(False))
+    asked = by_date.select("missing").distinct().select(F.explode(cuts).alias("date"), "missing", *[F.lit(0.0).alias(n) for n in names], F.lit(True).alias("asks"))
+    # A cut-off comes before the rows of its own date.
+    so_far = W.partitionBy("missing").orderBy("date", F.desc("asks")).rowsBetween(W.unboundedPreceding, 0)
+    moments = by_date.unionByName(asked).select(F.col("date").alias("cutoff"), "missing", "asks", *[F.sum(n).over(so_far).alias(n) for n in names]).where("asks")
     schema = T.StructType([T.StructField("cutoff", T.DateType()), T.StructField("n", T.LongType()), *MODEL.fields])
 
-    def solve(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                g = np.zeros((k + 2, k + 2))
-                for i in range(k + 2):
-                    for j in range(i, k + 2):
-                        g[i, j] = g[j, i] = row[f"s_{i}_{j}"]
-                n = g[0, 0]
-                mean, my = g[0, 1:k + 1] / n, g[0, k + 1] / n
-                cov = g[1:k + 1, 1:k + 1] - n * np.outer(mean, mean)
-                sd = np.sqrt(np.maximum(np.diag(cov) / n, 0.0))
-                sd[sd == 0] = 1.0
-                a = cov / np.outer(sd, sd)
-                b = (g[1:k + 1, k + 1] - n * mean * my) / sd
-                w = np.linalg.solve(a + alpha * np.eye(k), b)
-                out.append((row["cutoff"], int(n), cols, w.tolist(), float(my), mean.tolist(), sd.tolist(), list(row["medians"])))
-            yield pd.DataFrame(out, columns=schema.names)
-
-    return moments.mapInPandas(solve, schema)
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        g, medians = np.zeros((k + 2, k + 2)), np.array(pdf["medians"].iloc[0], dtype=float)
+        for row in pdf.to_dict("records"):
+            s = np.zeros((k + 2, k + 2))
+            for (i, j), n in zip(pairs, names):
+                s[i, j] = s[j, i] = row[n]
+            # x = seen + m, where m is the median of a missing feature and 0 else: s + m 1' + 1 m' + n m m' in sums.
+            m = np.zeros(k + 2)
+            gone = [i for i in range(k) if int(row["missing"]) >> i & 1]
+            m[[i + 1 for i in gone]] = medians[gone]
+            g += s + np.outer(m, s[0]) + np.outer(s[0], m) + s[0, 0] * np.outer(m, m)
+        n = g[0, 0]
+        if n < min_rows:
+            return pd.DataFrame([], columns=schema.names)
+        mean, my = g[0, 1:k + 1] / n, g[0, k + 1] / n
+        cov = g[1:k + 1, 1:k + 1] - n * np.outer(mean, mean)
+        sd = np.sqrt(np.maximum(np.diag(cov) / n, 0.0))
+        sd[sd == 0] = 1.0
+        b = (g[1:k + 1, k + 1] - n * mean * my) / sd
+        w = np.linalg.solve(cov / np.outer(sd, sd) + alpha * np.eye(k), b)
+        return pd.DataFrame([(pdf["cutoff"].iloc[0], int(n), cols, w.tolist(), float(my), mean.tolist(), sd.tolist(), medians.tolist())], columns=schema.names)
+
+    return moments.join(wide, "cutoff").groupBy("cutoff").applyInPandas(solve, schema)
 
 
 def fit_rf_regressor(train: DataFrame, cols: list[str], label: str = "label", trees: int = 100, depth: int = 6, seed: int = 42):
@@ -204,13 +209,12 @@ def _fit_trees(estimator, train: DataFrame, cols: list[str]):
     return score
 
 
-def reversal_training_set(resid: DataFrame, betas: DataFrame, bars: DataFrame, z_entry: float = 2.0,
-                          step: int = 5, horizon: int = 15, start: int = 25) -> DataFrame:
-    """Every `step`-th date, stretched names only: eight features and whether the next
-    `horizon` residuals sum to the opposite sign."""
+def reversal_rows(resid: DataFrame, betas: DataFrame, bars: DataFrame, horizon: int = 15) -> DataFrame:
+    """Every residual row: place t of its date among n, score z, the eight features, and whether the
+    next `horizon` residuals sum to the opposite sign."""
     dates = resid.select("date").distinct()
     t = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("date")) - 1
-    idx = dates.select("date", t.alias("t"), F.count(F.lit(1)).over(W.partitionBy(F.lit(0))).alias("_n"))
+    idx = dates.select("date", t.alias("t"), F.count(F.lit(1)).over(W.partitionBy(F.lit(0))).alias("n"))
     rows = resid.join(idx, "date")
     w = W.partitionBy("ticker").orderBy("date")
     diff = F.col("resid") - F.lag("resid").over(w)
@@ -222,7 +226,7 @@ def reversal_training_set(resid: DataFrame, betas: DataFrame, bars: DataFrame, z
         .withColumn("rsi", F.coalesce(100.0 - 100.0 / (1.0 + F.col("_up") / (F.col("_dn") + 1e-10)), F.lit(50.0)))
         .withColumn("_next", F.sum("resid").over(w.rowsBetween(1, horizon)))
     )
-    rows = cut(rows.select("ticker", "date", "t", "_n", "sum5", "rsi", "_next"), "reversal")
+    rows = cut(rows.select("ticker", "date", "t", "n", "sum5", "rsi", "_next"), "reversal")
     from .aggregates import median_mad
 
     mm = median_mad(rows, ["date"], "sum5")
@@ -231,18 +235,79 @@ def reversal_training_set(resid: DataFrame, betas: DataFrame, bars: DataFrame, z
     vol = bars.select(
         "ticker", "date", F.coalesce(div("volume", rolling(F.avg, "volume", 20)), F.lit(1.0)).alias("vol_ratio")
     )
-    picked = z.where(
-        (F.col("t") >= start) & (F.col("t") < F.col("_n") - horizon - 1) & ((F.col("t") - start) % step == 0)
-        & (F.abs("z") >= z_entry)
-    )
     label = truthy((F.col("z") > 0) & (F.col("_next") < 0)) | truthy((F.col("z") < 0) & (F.col("_next") > 0))
-    out = picked.join(betas.select("ticker", "resid_vol", "beta", "r2"), "ticker").join(vol, ["ticker", "date"], "left")
+    out = z.join(betas.select("ticker", "resid_vol", "beta", "r2"), "ticker").join(vol, ["ticker", "date"], "left")
     return out.select(
-        "ticker", "date", F.abs("z").alias("abs_z"), (F.col("z") - F.col("_pz")).alias("z_velocity"), "resid_vol", "beta", "r2",
+        "ticker", "date", "t", "n", "z", F.abs("z").alias("abs_z"), (F.col("z") - F.col("_pz")).alias("z_velocity"), "resid_vol", "beta", "r2",
         "rsi", F.coalesce("vol_ratio", F.lit(1.0)).alias("vol_ratio"), "sum5", label.cast("int").alias("label"),
     )
 
 
+def reversal_training_set(resid: DataFrame, betas: DataFrame, bars: DataFrame, z_entry: float = 2.0,
+                          step: int = 5, horizon: int = 15, start: int = 25, window: int | None = None) -> DataFrame:
+    """Every `step`-th date (of the last `window`), stretched names only: eight features and label."""
+    begin = F.lit(start) if window is None else F.greatest(F.lit(start), F.col("n") - window)
+    picked = reversal_rows(resid, betas, bars, horizon).where(
+        (F.col("t") >= begin) & (F.col("t") < F.col("n") - horizon - 1) & ((F.col("t") - begin) % step == 0) & (F.col("abs_z") >= z_entry)
+    )
+    return picked.select("ticker", "date", *REVERSAL_FEATURES, "label")
+
+
+# How often the reversal classifier is fitted anew, on how many rows, and when it rejects.
+REFIT_EVERY, REFIT_WINDOW, MIN_CONFIDENCE = 52, 504, 0.55
+
+
+def model_dates(rebalances: DataFrame, every: int = REFIT_EVERY) -> DataFrame:
+    """date, valid_from: which fit each rebalance uses. The first rebalance fits, then every `every`-th; a
+    date takes the last fit that is not behind it. A calendar, so one partition is small at any data size."""
+    w = W.partitionBy(F.lit(0)).orderBy("date")
+    numbered = rebalances.select("date").distinct().withColumn("_i", F.row_number().over(w) - 1)
+    return numbered.select("date", F.last(F.when(F.col("_i") % every == 0, F.col("date")), ignorenulls=True).over(w).alias("valid_from"))
+
+
+def training_windows(models: DataFrame, calendar: DataFrame, window: int = REFIT_WINDOW, horizon: int = 15, start: int = 25) -> DataFrame:
+    """valid_from, begin, stop: places in the calendar of the rows that a fit may learn from, stop exclusive.
+
+    A label looks `horizon` rows ahead, so the last rows before a fit carry none.
+    """
+    w = W.partitionBy(F.lit(0)).orderBy("date")
+    place = calendar.select("date").distinct().withColumn("t", F.row_number().over(w) - 1)
+    fits = models.select(F.col("valid_from").alias("date")).distinct().join(place, "date")
+    return fits.select(F.col("date").alias("valid_from"), F.greatest(F.lit(start), F.col("t") + 1 - window).alias("begin"), (F.col("t") - horizon).alias("stop"))
+
+
+def windowed_training_rows(rows: DataFrame, windows: DataFrame, z_entry: float = 2.0, step: int = 5, window: int = REFIT_WINDOW) -> DataFrame:
+    """valid_from and the rows of reversal_rows in its window: stretched names on every `step`-th date.
+
+    Rows meet windows by blocks of `window` dates, of which a window touches two.
+    """
+    blocks = windows.where(F.col("begin") < F.col("stop")).withColumn(
+        "_b", F.explode(F.sequence(F.floor(F.col("begin") / window), F.floor((F.col("stop") - 1) / window))))
+    near = rows.where(F.col("abs_z") >= z_entry).withColumn("_b", F.floor(F.col("t") / window))
+    inside = (F.col("t") >= F.col("begin")) & (F.col("t") < F.col("stop")) & ((F.col("t") - F.col("begin")) % step == 0)
+    return near.join(blocks, "_b").where(inside).drop("_b", "begin", "stop")
+
+
+def walk_forward_confidence(rows: DataFrame, rebalances: DataFrame, live: DataFrame, z_entry: float = 2.0, min_rows: int = 100,
+                            trees: int = 200, depth: int = 5) -> DataFrame:
+    """ticker, date, valid_from, confidence of the live rows of reversal_rows, each by the fit valid at its date.
+
+    Only fits that a live row asks for are made, one after the other: their number is bounded by the
+    calendar, their rows by the window. Null where no fit is valid or its window holds under min_rows rows.
+    """
+    used = model_dates(rebalances)
+    asked = live.join(used, "date", "left")
+    fits = asked.select("valid_from").distinct().where(F.col("valid_from").isNotNull())
+    train = cut(windowed_training_rows(rows, training_windows(fits, rows), z_entry), "windows")
+    asked = cut(asked.select("ticker", "date", "valid_from", *REVERSAL_FEATURES), "live")
+    out = asked.where(F.col("valid_from").isNull()).select("ticker", "date", "valid_from", F.lit(None).cast("double").alias("confidence"))
+    for (day,) in fits.orderBy("valid_from").collect():
+        score = fit_balanced_rf(train.where(F.col("valid_from") == F.lit(day)), REVERSAL_FEATURES, trees=trees, depth=depth, min_rows=min_rows)
+        part = score(asked.where(F.col("valid_from") == F.lit(day)))
+        out = out.unionByName(part.select("ticker", "date", "valid_from", "confidence"))
+    return out
+
+
 def fit_balanced_rf(train: DataFrame, cols: list[str], label: str = "label", trees: int = 200, depth: int = 5,
                     min_leaf: int = 10, seed: int = 42, min_rows: int = 100):
     """Random-forest classifier with class weights n / (2 * n_class).
@@ -267,7 +332,7 @@ def fit_balanced_rf(train: DataFrame, cols: list[str], label: str = "label", tre
     return score
 
 
-def confidence_gate(signals: DataFrame, scored: DataFrame, min_conf: float = 0.55) -> DataFrame:
+def confidence_gate(signals: DataFrame, scored: DataFrame, min_conf: float = MIN_CONFIDENCE) -> DataFrame:
     """Mean-reversion positions below the confidence are zeroed; unscored ones stay."""
     j = signals.join(scored.select("ticker", "confidence"), "ticker", "left")
     weak = (F.col("signal_type") == "mean_reversion") & truthy(F.col("confidence") < min_conf)

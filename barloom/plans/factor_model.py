@@ -13,6 +13,7 @@ from ..operators import factors as FA
 from ..operators import gates as G
 from ..operators import indicators as I
 from ..operators import joins as J
+from ..operators import ml as L
 from ..operators import positions as PO
 from ..operators import rank as K
 from ..schemas import FactorParams
@@ -22,7 +23,10 @@ from ..sources.scratch import cut
 @dataclass(frozen=True)
 class FactorInputs:
     """bars; index (index_id, date, close); sectors (ticker, sector); pairs (pair_id, leg1, leg2);
-    futures-eligible names (ticker); optional fundamentals and open book."""
+    futures-eligible names (ticker); optional fundamentals, open book and past rebalance dates.
+
+    bars stand on every trading day from a name's first one on (`clean.fill_forward`).
+    """
 
     bars: DataFrame
     index: DataFrame
@@ -31,16 +35,19 @@ class FactorInputs:
     eligible: DataFrame
     fundamentals: DataFrame | None = None
     book: DataFrame | None = None
+    rebalances: DataFrame | None = None
 
 
 def liquid_universe(x: FactorInputs, params: FactorParams) -> DataFrame:
-    """Bars of the most liquid names that pass the fundamental gate."""
+    """Bars of the most liquid names that pass the fundamental gate and have a close on every date of the last rows."""
     bars = x.bars
     if x.fundamentals is not None:
         bad = G.fundamental_gate(x.fundamentals).where(F.col("reason").isNotNull()).select("ticker")
         bars = J.anti(bars, bad)
     best = K.n_largest(FA.rupee_liquidity(bars), "liquidity", params.liquidity_rank)
-    return J.semi(bars, best.select("ticker"))
+    recent = x.bars.select("date").distinct().orderBy(F.desc("date")).limit(params.history_rows)
+    whole = G.complete_history(J.semi(J.semi(bars, best.select("ticker")), recent))
+    return J.semi(bars, whole.select("ticker").distinct())
 
 
 def factor_signals(x: FactorInputs, params: FactorParams = FactorParams(), long_only: bool = False) -> DataFrame:
@@ -79,11 +86,23 @@ def factor_signals(x: FactorInputs, params: FactorParams = FactorParams(), long_
     if x.fundamentals is not None:
         fund = G.fundamental_gate(x.fundamentals).where(F.col("reason").isNotNull()).select("ticker")
     sig = G.apply_block(sig, blocked, fund, x.book if x.book is not None else nobody)
-    return G.volume_confirm(sig, bars).join(
+    sig = G.volume_confirm(sig, bars)
+    sig = L.confidence_gate(sig, reversal_confidence(x, resid, betas, bars, params), params.min_confidence)
+    return sig.join(
         pairs.select("ticker", "partner"), "ticker", "left"
     )
 
 
+def reversal_confidence(x: FactorInputs, resid: DataFrame, betas: DataFrame, bars: DataFrame, params: FactorParams) -> DataFrame:
+    """ticker, confidence on the latest date, by the classifier fitted at the last refit date; without rebalances it is fitted now."""
+    rows = cut(L.reversal_rows(resid, betas, bars), "reversal-rows")
+    live = rows.where(F.col("t") == F.col("n") - 1)
+    dates = live.select("date").distinct()
+    if x.rebalances is not None:
+        dates = dates.unionByName(x.rebalances.select("date").join(dates.agg(F.max("date").alias("_last")), F.col("date") < F.col("_last")).select("date"))
+    return L.walk_forward_confidence(rows, dates, live, params.z_entry).select("ticker", "confidence")
+
+
 def step_book(x: FactorInputs, signals: DataFrame, date, params: FactorParams = FactorParams()) -> DataFrame:
     """Book after one step: exits out, survivors aged, new entries in."""
     prices = x.bars.groupBy("ticker").agg(F.max_by("close", "date").alias("price"))

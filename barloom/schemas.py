@@ -128,4 +128,7 @@ class FactorParams:
     cost: float = 0.0010
     roll_daily: float = 0.003 / 21
     liquidity_rank: int = 200
+    #: Last dates on which a name needs a close, one and a half times the lookback.
+    history_rows: int = 378
+    min_confidence: float = 0.55
     weights: tuple[float, float, float] = (0.40, 0.35, 0.25)
