@@ -158,12 +158,17 @@ def needed_terms(units: list[dict[str, float]], threshold: float, short: int = 2
     return sorted(some), sorted(together)
 
 
+def once(text: Column, holds) -> Column:
+    """holds(text) with the expression of the text worked out once, not again for every search in it."""
+    return F.exists(F.array(text), holds)
+
+
 def may_reach(text: Column, needed: tuple[list[str], list[tuple[str, ...]]]) -> Column:
     """Whether a lower-case text holds what needed_terms asks for, as parts of words: plain searches, no pattern."""
     some, together = needed
     parts = [t for t in some if not any(o != t and o in t for o in some)]
-    holds = lambda ts: reduce(lambda a, b: a & b, [text.contains(t) for t in ts])
-    return reduce(lambda a, b: a | b, [text.contains(t) for t in parts] + [holds(ts) for ts in together])
+    holds = lambda x, ts: reduce(lambda a, b: a & b, [x.contains(t) for t in ts])
+    return once(text, lambda x: reduce(lambda a, b: a | b, [holds(x, (t,)) for t in parts] + [holds(x, ts) for ts in together]))
 
 
 def can_reach(terms: Column, needed: tuple[list[str], list[tuple[str, ...]]]) -> Column:
@@ -220,12 +225,12 @@ def joined_units(files: DataFrame, needed) -> DataFrame:
 
 def block_units(files: DataFrame, licence_name: str) -> DataFrame:
     """path, kind, no, line of header blocks and whole files."""
-    stem = reduce(lambda a, b: a | b, [F.col("low_").contains(x) for x in STEMS])
-    held = files.where(stem | F.regexp_extract("path", r"[^/]*$", 0).rlike(licence_name))
+    stem = lambda t: once(t, lambda x: reduce(lambda a, b: a | b, [x.contains(s) for s in STEMS]))
+    held = files.where(stem(F.col("low_")) | F.regexp_extract("path", r"[^/]*$", 0).rlike(licence_name))
     found = held.select("path", "low_", F.filter(F.split(F.regexp_replace("text_", COMMENT, ""), PARAGRAPH_END), lambda x: F.trim(x) != "").alias("ps"),
                         leading_comment(F.col("text_")).alias("head"))
     blocks = found.select("path", F.explode(F.concat(F.array("head"), *[runs(F.col("ps"), n) for n in (1, 2, 3, 4)])).alias("line")).select("path", F.lit("block").alias("kind"), F.lower("line").alias("line")) \
-        .where(reduce(lambda a, b: a | b, [F.col("line").contains(x) for x in STEMS]))
+        .where(stem(F.col("line")))
     whole = found.select("path", F.lit("file").alias("kind"), F.col("low_").alias("line"))
     return blocks.unionByName(whole).select("path", "kind", F.xxhash64("line").alias("no"), "line")
 
@@ -234,7 +239,9 @@ def scored(held: DataFrame, templates, threshold: float, sublinear: bool = False
     """path, kind, no, licence, score of the units in held (path, kind, no, terms) that reach the threshold with a template."""
     spark = held.sparkSession
     idf, other, units = weights(templates, sublinear)
-    terms = held.select("path", "kind", "no", F.explode("terms").alias("term")).groupBy("path", "kind", "no", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # One exchange of the units; terms, norms and products are summed where a unit lies.
+    placed = held.repartition("path", "kind", "no")
+    terms = placed.select("path", "kind", "no", F.explode("terms").alias("term")).groupBy("path", "kind", "no", "term").agg(F.count(F.lit(1)).alias("tf"))
     tf = 1 + F.ln("tf") if sublinear else F.col("tf")
     known = many_rows(spark, sorted(idf.items()), "term string, idf double")
     terms = terms.join(known, "term", "left").select("path", "kind", "no", "term", (tf * F.coalesce("idf", F.lit(other))).alias("x"))
