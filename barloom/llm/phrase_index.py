@@ -13,9 +13,8 @@ Shards only tell their phrases by name once these are known to be frequent:
 2. a bucket (one task, bounded by its share of the words) adds the shards up and
    tells each shard which of its own are frequent. Equal hashes can only add up, so
    nothing frequent is lost; a bucket has few words against 2**32 hashes at any size;
-3. the same for three words, grown from frequent pairs;
-4. the shards name what grows from frequent phrases only, and these counts are summed
-   exactly.
+3. the same for longer phrases, grown from frequent pairs;
+4. the shards name what is frequent, and these counts are summed exactly.
 
 Lower case: A-Z. Pieces end at `[.,;:!?\\x0A-\\x0D]`, words are `[^\\x20\\x09]+`. Null text: no
 words. Null group: `und`. Repeated rows count each time. Other columns are not read.
@@ -40,8 +39,6 @@ from barloom.sources.scratch import cut
 
 #: Words of a shard; its index takes about 60 bytes a word while it is built.
 SHARD_WORDS = 2_200_000
-#: Words of the longest phrases whose hashes are summed before any are named.
-FILTERED = 3
 #: Rows of intervals that are extended at a time.
 EXTEND_ROWS = 500_000
 #: Words of the corpus per bucket; a bucket's packed rows are about as many at most.
@@ -212,29 +209,29 @@ class _Opened:
         self.hash = np.concatenate([np.zeros(1, np.uint64), hashes ^ (of_group[self.owners] * np.uint64(0x9E3779B97F4A7C15))])
 
     def keys(self, phrases: np.ndarray, n_buckets: int) -> np.ndarray:
-        """Bucket in the high and 32 bits of a hash in the low half; of the last FILTERED words of longer phrases."""
+        """Bucket in the high and 32 bits of a hash in the low half."""
         x = np.zeros(len(phrases), np.uint64)
-        for j in range(max(0, phrases.shape[1] - FILTERED), phrases.shape[1]):
+        for j in range(phrases.shape[1]):
             x = (x + self.hash[phrases[:, j]]) * np.uint64(0xC2B2AE3D27D4EB4F)
             x ^= x >> np.uint64(29)
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
         return ((x % np.uint64(n_buckets)) << np.uint64(32) | x >> np.uint64(32)).view(np.int64)
 
-    def grow(self, known: np.ndarray | None, depth: int, n_buckets: int):
-        """Phrases of 1 to depth words with their keys; where known is given, longer ones grow from known ones only."""
+    def grow(self, depth: int, n_buckets: int, known: np.ndarray | None = None, known_words: int = 0):
+        """Phrases of 1 to depth words with their keys.
+
+        known: keys of the frequent phrases of up to known_words words. Only these are kept, and of
+        longer ones those that end in one.
+        """
         state = self.index.words()
         for d in range(1, depth + 1):
             if d > 1:
                 state = self.index.extend(*state)
-            keys = self.keys(state[0], n_buckets)
             if known is not None:
-                # What is still to be summed has no key among the known ones yet, but its end has.
-                summed = d < depth or d > FILTERED
-                keep = np.isin(keys if summed else self.keys(state[0][:, -(depth - 1):], n_buckets), known)
-                state, keys = _only(state, keep), keys[keep]
-            if not len(keys):
+                state = _only(state, np.isin(self.keys(state[0][:, -known_words:], n_buckets), known))
+            if not len(state[0]):
                 return
-            yield state, keys
+            yield state, self.keys(state[0], n_buckets)
 
 
 def _only(state, keep):
@@ -267,17 +264,17 @@ def _added(min_count: int):
     return added
 
 
-def _frequent(index: DataFrame, depths: tuple[int, ...], min_count: int, n_buckets: int) -> DataFrame:
+def _frequent(index: DataFrame, depths: range, min_count: int, n_buckets: int) -> DataFrame:
     """(shard, keys): keys of the frequent phrases of every shard, of the given numbers of words.
 
-    index may have the keys of frequent shorter phrases, from which alone longer ones grow.
+    index may have the keys of all frequent shorter phrases, from which alone longer ones grow.
     """
     filtered = "keys" in index.columns
 
     def packed(batches):
         for row, shard in _opened(batches, max(depths)):
             known = np.array(row["keys"], np.int64) if filtered else None
-            found = [(keys, state[3]) for state, keys in shard.grow(known, max(depths), n_buckets) if state[0].shape[1] in depths]
+            found = [(keys, state[3]) for state, keys in shard.grow(max(depths), n_buckets, known, min(depths) - 1) if state[0].shape[1] in depths]
             if not found:
                 continue
             keys, counts = (np.concatenate(x) for x in zip(*found))
@@ -302,10 +299,7 @@ def _named(index: DataFrame, max_words: int, n_buckets: int) -> DataFrame:
         for row, shard in _opened(batches, max_words):
             known = np.array(row["keys"], np.int64)
             words, groups = pa.array([None, *shard.words], pa.string()), pa.array(shard.groups, pa.string())
-            for state, keys in shard.grow(known, max_words, n_buckets):
-                if state[0].shape[1] <= FILTERED:
-                    state = _only(state, np.isin(keys, known))
-                phrases, lo_left, lo_right, size = state
+            for (phrases, lo_left, lo_right, size), _ in shard.grow(max_words, n_buckets, known, max_words):
                 depth = phrases.shape[1]
                 left, right = shard.index.extendable(lo_left, lo_right, size)
                 names = [words.take(pa.array(phrases[:, j])) for j in range(depth)]
@@ -324,9 +318,9 @@ def phrase_counts(index: DataFrame, min_count: int = 30, max_words: int = 4) ->
     """
     total = index.select(F.sum(F.aggregate("n_words", F.lit(0).cast("long"), lambda a, n: a + n))).head()[0] or 0
     n_buckets = max(1, -(-total // BUCKET_WORDS))
-    frequent = cut(_frequent(index, (1, 2), min_count, n_buckets), "frequent-pairs")
+    frequent = cut(_frequent(index, range(1, min(max_words, 2) + 1), min_count, n_buckets), "frequent-pairs")
     if max_words > 2:
-        longer = cut(_frequent(index.join(frequent, "shard"), (3,), min_count, n_buckets), "frequent-triples")
+        longer = cut(_frequent(index.join(frequent, "shard"), range(3, max_words + 1), min_count, n_buckets), "frequent-longer")
         frequent = frequent.unionByName(longer).groupBy("shard").agg(F.flatten(F.collect_list("keys")).alias("keys"))
     sums = [F.sum(c).alias(c) for c in ("n", "left", "right")]
     return _named(index.join(frequent, "shard"), max_words, n_buckets).groupBy("group", "phrase", "words").agg(*sums).where(F.col("n") >= min_count)
