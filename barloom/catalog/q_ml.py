@@ -7,6 +7,7 @@ from ..operators import attribution as AT
 from ..operators import calendar as CAL
 from ..operators import factors as FA
 from ..operators import ml as L
+from ..operators import trees as T
 from ..sources import adapters as A
 from . import frames as X
 from .base import BARS, BRAND_BARS, frame, lagx, over, query, r6, ret_sql, roll, with_
@@ -242,3 +243,37 @@ def _17(s, d):
     found = L.windowed_training_rows(rows, L.training_windows(used, rows)).groupBy("valid_from").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("label").alias("n_reverted"))
     return used.join(found, "valid_from", "left").select("date", "valid_from", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_reverted", F.lit(0)).alias("n_reverted"))
+
+
+def agreeing(s, scored, by_nodes, value):
+    """Rows of a model's own scores, and whether the node table gives the same to nine places."""
+    both = scored.select("date", "ticker", F.col(value).alias("own")).join(by_nodes, ["date", "ticker"])
+    return both.select("date", "ticker", (F.abs(F.col("own") - F.col(value)) < 1e-9).alias("agrees"))
+
+
+LATER = f"SELECT fm.date, fm.ticker, true AS agrees FROM fm JOIN labels_ l ON l.date = fm.date AND l.ticker = fm.ticker WHERE fm.date >= DATE '{TEST_START}'"
+
+
+@query("ml18_forest_as_table", with_(BRAND_BARS, LABEL_SQL, FEATS, body=LATER))
+def _18(s, d):
+    fit, later = parts(train(s, d))
+    forest = L.fit_rf_regressor(fit, FT)
+    return agreeing(s, forest(later), T.score_mean(forest.ready(later), T.node_table(s, forest.model), FT, ["date", "ticker"], 6), "prediction")
+
+
+@query("ml19_boosting_as_table", with_(BRAND_BARS, LABEL_SQL, FEATS, body=LATER))
+def _19(s, d):
+    fit, later = parts(train(s, d))
+    boosted = L.fit_gbt_regressor(fit, FT)
+    return agreeing(s, boosted(later), T.score_sum(boosted.ready(later), T.node_table(s, boosted.model), FT, ["date", "ticker"], 4), "prediction")
+
+
+@query("ml20_classifier_as_table", with_(*RES, REV, body="""SELECT rp.date, rp.ticker, true AS agrees FROM rp JOIN rb_ ON rb_.ticker = rp.ticker
+  WHERE t >= 25 AND t < nn - 16 AND (t - 25) % 5 = 0 AND abs(z) >= 1.0"""))
+def _20(s, d):
+    """Fitted on all rows and scored on them: what is checked is the table, not the forecast."""
+    from ..sources.scratch import cut
+    rows = cut(reversal(s, d), "labelled")
+    judge = L.fit_balanced_rf(rows, L.REVERSAL_FEATURES)
+    filled = rows.fillna(0.0, L.REVERSAL_FEATURES)
+    return agreeing(s, judge(rows), T.score_share(filled, T.node_table(s, judge.model), L.REVERSAL_FEATURES, ["date", "ticker"], 5), "confidence")

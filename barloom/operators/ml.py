@@ -199,13 +199,15 @@ def fit_gbt_regressor(train: DataFrame, cols: list[str], label: str = "label", t
 
 def _fit_trees(estimator, train: DataFrame, cols: list[str]):
     medians = cut(fit_medians(train, cols), "medians")
-    ready = cut(impute(train, medians, cols), "train")
-    model = estimator.fit(_vector(ready, cols))
+    model = estimator.fit(_vector(cut(impute(train, medians, cols), "train"), cols))
+
+    def ready(df: DataFrame) -> DataFrame:
+        return impute(df, medians, cols)
 
     def score(df: DataFrame) -> DataFrame:
-        return model.transform(_vector(impute(df, medians, cols), cols)).drop("_x")
+        return model.transform(_vector(ready(df), cols)).drop("_x")
 
-    score.model = model
+    score.model, score.ready = model, ready
     return score
 
 
@@ -315,7 +317,11 @@ def fit_balanced_rf(train: DataFrame, cols: list[str], label: str = "label", tre
     Below min_rows rows nothing is fitted and every confidence is null.
     """
     if train.limit(min_rows).count() < min_rows:
-        return lambda df: df.withColumn("confidence", F.lit(None).cast("double"))
+        def none(df: DataFrame) -> DataFrame:
+            return df.withColumn("confidence", F.lit(None).cast("double"))
+
+        none.model = None
+        return none
     counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     n = train.agg(F.count(F.lit(1)).alias("n")).scalar()
     ready = cut(train.join(counts, label).withColumn("_w", n / (2.0 * F.col("_nc"))).fillna(0.0, cols), "train")
