@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import div, truthy
 from ..schemas import ExitLimits
-from ..sources.scratch import cut
 from .rank import top_n
 
 
@@ -98,7 +100,7 @@ def fill_slots(candidates: DataFrame, book: DataFrame, max_positions: int = 10,
     return top_n(fresh, by, max_positions, ("_g",)).where(F.col("rank") <= free).drop("_g")
 
 
-def _later_rows(entries: DataFrame, bars: DataFrame, max_rows: int | None) -> DataFrame:
+def _later_rows(entries: DataFrame, bars: DataFrame, max_rows: int) -> DataFrame:
     """Rows of each entry's ticker after the entry date, numbered from 1.
 
     Row positions are numbered once on the bars; an entry then matches the
@@ -109,8 +111,6 @@ def _later_rows(entries: DataFrame, bars: DataFrame, max_rows: int | None) -> Da
     at = entries.join(
         numbered.select("ticker", F.col("date").alias("entry_date"), F.col("_pos").alias("_at")), ["ticker", "entry_date"]
     )
-    if max_rows is None:
-        return at.join(numbered, "ticker").where(F.col("_pos") > F.col("_at")).withColumn("step", F.col("_pos") - F.col("_at"))
     spread = at.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(max_rows)))).withColumn("_pos", F.col("_at") + F.col("step"))
     return spread.join(numbered, ["ticker", "_pos"])
 
@@ -138,34 +138,94 @@ def barrier_exits(entries: DataFrame, bars: DataFrame, stop: float = 1.5, target
     )
 
 
-def _first_breach(entries: DataFrame, bars: DataFrame, pct: float, slip: float, max_rows: int | None) -> DataFrame:
-    rows = _later_rows(entries, bars, max_rows)
-    w = W.partitionBy("ticker", "entry_date").orderBy("step").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("trigger", F.greatest("entry_price", F.max("high").over(w)) * (1 - pct))
-    return rows.where(F.col("low") <= F.col("trigger")).groupBy("ticker", "entry_date").agg(
-        F.min("date").alias("exit_date"), (F.min_by("trigger", "date") * (1 - slip)).alias("fill")
-    )
+#: Entries of one ticker that a task takes up at a time, about.
+ENTRY_CHUNK = 2048
+
 
+class FirstPassage:
+    """Blocks of 1, 2, 4, ... rows of a series, to find where a stop below the running peak is first met.
+
+    A block knows its highest high, its lowest low, and whether a low in it meets the stop of a high
+    before it in the block. With the peak up to the block that is all there is to ask, so a search
+    skips whole blocks and reads a logarithmic number of them.
+    """
 
-NEAR_ROWS = 63
+    def __init__(self, high: np.ndarray, low: np.ndarray, keep: float):
+        size = 1 << max(0, len(high) - 1).bit_length()
+        self.keep, self.top = keep, size.bit_length() - 1
+        h, lo = np.full(size, -np.inf), np.full(size, np.inf)
+        h[:len(high)], lo[:len(low)] = np.where(np.isnan(high), -np.inf, high), np.where(np.isnan(low), np.inf, low)
+        hit, levels = np.zeros(size, bool), []
+        while True:
+            levels.append((h, lo, hit))
+            if len(h) == 1:
+                break
+            hit = hit[::2] | hit[1::2] | (lo[1::2] <= h[::2] * keep)
+            h, lo = np.maximum(h[::2], h[1::2]), np.minimum(lo[::2], lo[1::2])
+        self.start = np.cumsum([0] + [len(x[0]) for x in levels])
+        self.high, self.low, self.hit = (np.concatenate([x[i] for x in levels]) for i in range(3))
+
+    def search(self, first: np.ndarray, peak: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """First row from `first` on that meets the stop (past the end: none), the peak before it, and the blocks read at most."""
+        at, peak = first.astype(np.int64), peak.astype(float)
+        level, size, rounds = np.zeros(len(at), np.int64), 1 << self.top, 0
+        rising = np.ones(len(at), bool)
+        while True:
+            live = np.flatnonzero((at < size) & (rising | (level > 0)))
+            if not len(live):
+                return at, peak, rounds
+            rounds += 1
+            # Going down, the left half of a block that is met is asked; the right half is met if that is not.
+            ask = np.where(rising[live], level[live], level[live] - 1)
+            block = self.start[ask] + (at[live] >> ask)
+            met = self.hit[block] | (self.low[block] <= peak[live] * self.keep)
+            peak[live] = np.where(met, peak[live], np.maximum(peak[live], self.high[block]))
+            at[live] += np.where(met, 0, 1 << ask)
+            up = rising[live] & ~met & (at[live] % (1 << (ask + 1)) == 0) & (ask < self.top)
+            level[live] = np.where(up, ask + 1, ask)
+            rising[live] &= ~met
 
 
 def trailing_stop(entries: DataFrame, bars: DataFrame, pct: float = 0.10, slip: float = 0.002,
                   max_rows: int | None = None) -> DataFrame:
     """First low at or below the running peak times (1 - pct); filled `slip` below the trigger.
 
-    The peak is the entry price and the highs of the rows between entry and the
-    day before. Most stops fall within a quarter, so every entry first meets
-    its next NEAR_ROWS rows; only entries still open meet the rest of their series.
+    The peak is the entry price and the highs of the rows between entry and the day before. A ticker's
+    series is one array, bounded by the calendar; it goes to its entries in chunks, so a ticker with a
+    third of all entries is spread, and every entry reads a logarithmic number of blocks of its series.
     """
-    keys = ["ticker", "entry_date"]
-    if max_rows is not None and max_rows <= NEAR_ROWS:
-        first = _first_breach(entries, bars, pct, slip, max_rows)
-    else:
-        near = cut(_first_breach(entries, bars, pct, slip, NEAR_ROWS), "stops")
-        still_open = entries.join(near, keys, "left_anti")
-        first = near.unionByName(_first_breach(still_open, bars, pct, slip, max_rows))
-    return entries.join(first, keys, "left")
+    series = bars.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("date", "high", "low"))).alias("_s"))
+    series = series.select("ticker", *[F.col(f"_s.{c}").alias(f"_{c}") for c in ("date", "high", "low")])
+    chunks = entries.groupBy("ticker").agg(F.ceil(F.count(F.lit(1)) / ENTRY_CHUNK).alias("_n"))
+    dealt = entries.join(chunks, "ticker").withColumn("_c", F.pmod(F.xxhash64("entry_date", "entry_price"), F.col("_n")))
+    packed = dealt.groupBy("ticker", "_c").agg(F.collect_list(F.struct(*entries.columns)).alias("_e")).join(series, "ticker", "left")
+    inner = packed.schema["_e"].dataType.elementType
+    schema = T.StructType([*inner.fields, T.StructField("exit_date", bars.schema["date"].dataType), T.StructField("fill", T.DoubleType())])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows = batch.column(2)[i].values
+                cols = [rows.field(k) for k in range(rows.type.num_fields)]
+                names = [f.name for f in rows.type]
+                price = cols[names.index("entry_price")].cast(pa.float64()).to_numpy(zero_copy_only=False)
+                exit_at, fill = np.full(len(rows), -1), np.full(len(rows), np.nan)
+                dates = batch.column(3)[i].values
+                if dates is not None:
+                    day, asked = dates.to_numpy(zero_copy_only=False), cols[names.index("entry_date")].to_numpy(zero_copy_only=False)
+                    high, low = (batch.column(k)[i].values.cast(pa.float64()).to_numpy(zero_copy_only=False) for k in (4, 5))
+                    at = np.minimum(np.searchsorted(day, asked), len(day) - 1)
+                    found, peak, _ = FirstPassage(high, low, 1 - pct).search(at + 1, np.where(np.isnan(price), -np.inf, price))
+                    good = (day[at] == asked) & (found < len(day))
+                    if max_rows is not None:
+                        good &= found - at <= max_rows
+                    exit_at, fill = np.where(good, found, -1), np.where(good, peak * (1 - pct) * (1 - slip), np.nan)
+                    exits = dates.take(pa.array(exit_at, mask=exit_at < 0))
+                else:
+                    exits = pa.nulls(len(rows), batch.schema.field(3).type.value_type)
+                yield pa.RecordBatch.from_arrays([*cols, exits, pa.array(fill, mask=exit_at < 0)], names=schema.names)
+
+    return packed.select("ticker", "_c", "_e", "_date", "_high", "_low").mapInArrow(run, schema).select(*entries.columns, "exit_date", "fill")
 
 
 def cooldown(entries: DataFrame, days: int = 5) -> DataFrame:

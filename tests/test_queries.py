@@ -14,8 +14,8 @@ from tools.check import TABLES, norm
 
 QUERIES, ORACLES = catalog.load()
 SOME = ["src01", "src10", "ing04", "ing11", "ing16", "ing21", "fil05", "gate01", "gate04", "cal04", "cal08", "ind02", "ind13", "ind18", "ind23",
-        "reg05", "jn05", "jn06", "jn08", "set02", "agg02", "agg10", "rnk02", "rnk07", "fac03", "fac08", "pos01", "pos07", "prt01", "prt06", "prt11",
-        "att03", "att07", "met04", "met09", "led02", "led06", "led12", "led13", "drv03", "drv14", "rob02", "rob05", "rob07", "rob11", "ml03", "st01", "st06"]
+        "reg05", "jn05", "jn06", "jn08", "set02", "agg02", "agg10", "rnk02", "rnk07", "fac03", "fac08", "pos01", "pos07", "pos08", "prt01", "prt06", "prt11",
+        "att03", "att07", "met04", "met09", "led02", "led06", "led12", "led13", "drv03", "drv14", "rob02", "rob05", "rob07", "rob11", "ml03", "ml07", "ml17", "st01", "st06"]
 NAMES = sorted(n for n in ORACLES if os.environ.get("BARLOOM_ALL") or n.split("_")[0] in SOME)
 
 

@@ -256,3 +256,30 @@ def test_trailing_stop_beyond_the_first_quarter(spark):
     out = {r.entry_date: (r.exit_date, r.fill) for r in PO.trailing_stop(e, b, 0.10).collect()}
     assert out[day(0)] == (day(82), pytest.approx(120.0 * 0.9 * 0.998))
     assert out[day(81)] == (None, None)
+
+
+def test_first_passage_reads_few_blocks():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 3, 64, 100, 5000):
+        low = np.exp(np.cumsum(rng.normal(size=n) * 0.02))
+        high = low * (1 + rng.random(n) * 0.02)
+        low[rng.random(n) < 0.05] = np.nan
+        found = PO.FirstPassage(high, low, 0.9)
+        first, price = rng.integers(0, n + 1, 200), np.exp(rng.normal(size=200) * 0.3)
+        at, peak, rounds = found.search(first, price)
+        assert rounds <= 2 * (n.bit_length() + 1) + 1
+        for f, p, a, q in zip(first, price, at, peak):
+            while f < n and not low[f] <= p * 0.9:
+                p, f = max(p, high[f]), f + 1
+            assert (min(a, n), q if a < n else 0) == (f, p if f < n else 0)
+
+
+def test_trailing_stop_of_unknown_tickers_dates_and_repeated_entries(spark):
+    b = spark.createDataFrame([("A", 1, 10.0, 10.0), ("A", 2, 11.0, 10.5), ("A", 3, 10.0, 9.0)], "ticker string, date int, high double, low double")
+    e = spark.createDataFrame([("A", 1, 10.0, "x"), ("A", 1, 10.0, "x"), ("A", 1, 20.0, "y"), ("A", 9, 10.0, "z"), ("B", 1, 10.0, "w"), ("A", 3, 1.0, "v")],
+                              "ticker string, entry_date int, entry_price double, note string")
+    got = sorted((r.note, r.exit_date, r.fill and round(r.fill, 9)) for r in PO.trailing_stop(e, b, 0.10, 0.0).collect())
+    assert got == [("v", None, None), ("w", None, None), ("x", 3, 9.9), ("x", 3, 9.9), ("y", 2, 18.0), ("z", None, None)]
+    assert {r.exit_date for r in PO.trailing_stop(e, b, 0.10, 0.0, max_rows=1).collect()} == {None, 2}
