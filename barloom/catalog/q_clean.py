@@ -124,7 +124,9 @@ def _held(s, d):
 def _doc(s, d):
     path = scratch_dir(s, "signals")
     S.write_signals(_document(s, d), path)
-    return S.read_signals(s, path)
+    doc = S.read_signals(s, path)
+    rows = doc.select("regime", "portfolio_value", F.size("sector_stats").cast("long").alias("n_sectors"), F.posexplode("signals").alias("place", "x"))
+    return rows.select("regime", "portfolio_value", "n_sectors", (F.col("place") + 1).cast("long").alias("slot"), "x.ticker", "x.sector", "x.signal", rnd("x.price").alias("price"))
 
 
 @query("src08_ledger_tables", with_(

@@ -12,7 +12,7 @@ from ..schemas import FactorParams, ScreenParams
 from ..sources import adapters as A
 from ..sources.scratch import cut
 from . import frames as X
-from .base import BARS, ORACLES, query, r6, regime_sql, with_
+from .base import BARS, ORACLES, SECTORS, query, r6, regime_sql, with_
 from .q_joins import filled_bars
 from .q_portfolio import r
 
@@ -35,6 +35,8 @@ def _screen(s, d):
     return r(screen(s, d), "close", "mom", "weight").select(F.col("slot").cast("long").alias("slot"), "ticker", "close", "mom", "weight")
 
 
+ORACLES["src07_signals_document"] = with_(BARS, regime_sql(), X.IND_SQL, SCREEN, SECTORS, body=f"""SELECT 'screen' AS regime, 1000000.0::double AS portfolio_value,
+  (SELECT count(DISTINCT sector) FROM book JOIN sectors USING (ticker)) AS n_sectors, slot, ticker, sector, 'BUY' AS signal, {r6('close')} AS price FROM book JOIN sectors USING (ticker)""")
 ORACLES["src06_held_from_signals"] = with_(BARS, regime_sql(), X.IND_SQL, SCREEN, body="SELECT ticker FROM book")
 
 
