@@ -231,7 +231,7 @@ def _16(s, d):
 us AS MATERIALIZED (SELECT date, last_value(CASE WHEN i % 52 = 0 THEN date END IGNORE NULLS) OVER (ORDER BY date) AS valid_from FROM wk),
 wd AS (SELECT date AS valid_from, greatest(25, t + 1 - 504) AS b, t - 15 AS e FROM dx WHERE date IN (SELECT valid_from FROM us)),
 tn AS (SELECT valid_from, count(*) AS n_rows, sum(CASE WHEN (z > 0 AND nx < 0) OR (z < 0 AND nx > 0) THEN 1 ELSE 0 END)::bigint AS n_reverted
-  FROM wd JOIN rz ON rz.t >= b AND rz.t < e AND (rz.t - b) % 5 = 0 AND abs(z) >= 2.0 JOIN rb_ ON rb_.ticker = rz.ticker GROUP BY 1)""",
+  FROM wd JOIN rz ON rz.t >= b AND rz.t < e AND (rz.t - b) % 5 = 0 AND isfinite(z) AND abs(z) >= 2.0 JOIN rb_ ON rb_.ticker = rz.ticker GROUP BY 1)""",
     body="SELECT us.date, us.valid_from, coalesce(n_rows, 0) AS n_rows, coalesce(n_reverted, 0) AS n_reverted FROM us LEFT JOIN tn USING (valid_from)"))
 def _17(s, d):
     """Which fit of the reversal classifier each weekly rebalance uses, and the rows that it learns from."""
