@@ -2,8 +2,8 @@
 
 A known word scores its log frequency in every language. An unseen word backs
 off to its character n-grams: at every place the longest known n-gram counts,
-and progressively shorter ones where longer ones are unknown. The language with
-the largest sum wins.
+and progressively shorter ones where longer ones are unknown. The word scores their
+mean, so it weighs as much as a known one. The language with the largest sum wins.
 
 The model is fitted on a bounded sample (`LidParams`: documents, words and
 n-grams per language); every text is scored whole.
@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from barloom.llm.common import append_columns, hash_sample
 from barloom.sources.scratch import cut
 
+#: Letters, and numerals such as ½ that are no digits; `tokens` splits at those.
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN_KEPT = 100_000
 
@@ -45,7 +46,14 @@ class LidParams:
 
 
 def tokens(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    """Runs of letters, in lower case."""
+    out = []
+    for word in WORD.findall((text or "").lower()):
+        if word.isalpha():
+            out.append(word)
+        else:
+            out += "".join(c if c.isalpha() else " " for c in word).split()
+    return out
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -102,7 +110,7 @@ class Scorer:
         self.unseen: dict[str, np.ndarray] = {}
 
     def backed_off(self, word: str) -> np.ndarray:
-        """Sum over the places of a word of the longest known n-gram's scores, per n-gram of a usual word."""
+        """Mean over the places of a word of the longest known n-gram's scores; zeros if it has none."""
         if word in self.unseen:
             return self.unseen[word]
         marked = f"<{word}>"
@@ -118,8 +126,8 @@ class Scorer:
             i += 1
         if len(self.unseen) >= UNKNOWN_KEPT:
             self.unseen.clear()
-        self.unseen[word] = total
-        return total
+        self.unseen[word] = mean = total / max(hits, 1)
+        return mean
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         found = Counter(tokens(text))

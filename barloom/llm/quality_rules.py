@@ -38,8 +38,12 @@ class RuleParams:
     max_same_next_pct: int = 20
     min_word_chars: int = 2
     max_word_chars: int = 15
-    #: A host goes when its shrunk failure rate is above this.
-    max_host_rate: float = 0.9
+    #: A host goes when its failure rate surely exceeds this multiple of the rate of all other hosts,
+    max_host_excess: float = 2.0
+    #: a multiple that counts as at least the first and at most the second of these,
+    host_bounds: tuple[float, float] = (0.3, 0.9)
+    #: by so many standard deviations of its posterior (1.645: about 95 %).
+    host_deviations: float = 1.645
     #: Weight of the prior, in documents, where hosts do not differ or there is one host only.
     flat_strength: float = 1e6
 
@@ -118,7 +122,10 @@ def host_rates(found: DataFrame, p: RuleParams, host: str = "_q_host") -> DataFr
 
     The prior is a beta distribution with the overall rate as mean. Its strength
     comes from the spread of host rates by the moment estimator for
-    beta-binomial counts (weights: documents per host).
+    beta-binomial counts (weights: documents per host). A host is rejected where its
+    posterior, taken as normal, lies with the stated certainty above `max_host_excess` times
+    the rate of all other hosts, between `host_bounds`. The others, as one host may hold most
+    failures of a table; a table's only host has to exceed the upper bound.
     """
     fails = _failures(p)
     any_rule = F.lit(False)
@@ -135,7 +142,10 @@ def host_rates(found: DataFrame, p: RuleParams, host: str = "_q_host") -> DataFr
                   F.sum(F.col("n_failed").cast("double") * F.col("n_failed") / F.col("n")).alias("f2n")).first()
     alpha, beta = beta_prior(t["h"], t["n"] or 0, t["f"] or 0, t["n2"] or 0.0, t["f2n"] or 0.0, p.flat_strength)
     shrunk = (F.col("n_failed") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta))
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_rejected", F.col("host_rate") > p.max_host_rate)
+    spread = F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (F.col("n") + F.lit(alpha + beta + 1)))
+    others = F.coalesce((F.lit(t["f"] or 0) - F.col("n_failed")) / F.nullif(F.lit(t["n"] or 0) - F.col("n"), F.lit(0)), F.lit(1.0))
+    bound = F.least(F.lit(p.host_bounds[1]), F.greatest(F.lit(p.host_bounds[0]), p.max_host_excess * others))
+    return hosts.withColumn("host_rate", shrunk).withColumn("host_rejected", F.col("host_rate") - p.host_deviations * spread > bound)
 
 
 def beta_prior(h: int, n: int, f: int, n2: float, f2n: float, flat: float) -> tuple[float, float]:

@@ -24,9 +24,11 @@ t AS (SELECT count(*) AS h, sum(n) AS n, sum(f) / sum(n) AS m, sum(n * n) AS n2,
 e AS (SELECT *, CASE WHEN m IN (0, 1) THEN 0 WHEN n - n2 / n - (h - 1) <= 0 THEN 0
     ELSE ((f2n - n * m * m) / (m * (1 - m)) - (h - 1)) / (n - n2 / n - (h - 1)) END AS rho FROM t),
 s AS (SELECT m, CASE WHEN rho <= 1 / (1 + 1e6) THEN 1e6 ELSE 1 / least(rho, 1) - 1 END AS strength FROM e),
-v AS (SELECT host, (f + strength * m) / (n + strength) AS rate FROM h, s)
+u AS (SELECT host, h.n, strength, (h.f + strength * m) / (h.n + strength) AS rate,
+    coalesce((sum(h.f) OVER () - h.f) / nullif(sum(h.n) OVER () - h.n, 0), 1) AS others FROM h, s),
+v AS (SELECT host, rate, rate - 1.645 * sqrt(rate * (1 - rate) / (n + strength + 1)) > least(0.9, greatest(0.3, 2 * others)) AS rejected FROM u)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT own_failed AND NOT rate > 0.9 AS kept, round(rate, 9) AS host_rate
+  NOT base_failed AND NOT own_failed AND NOT rejected AS kept, round(rate, 9) AS host_rate
 FROM r JOIN v USING (host)"""
 
 WARC = r"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from barloom.llm import catalog, chosen_path, decontaminate, html_text, license_scan, line_crf, quality_rules, sentencepiece_codec
+from barloom.llm import catalog, chosen_path, decontaminate, html_text, language_id, license_scan, line_crf, quality_rules, sentencepiece_codec
 from tools.check import TABLES, norm
 
 SF = "/root/testdata/sf0.01"
@@ -189,6 +189,57 @@ def test_repeated_words_by_brute_force():
         assert quality_rules.repeated_words(ws) == len(want)
 
 
+@pytest.mark.parametrize(("failing", "goes"), [(10, False), (25, False), (50, True), (70, True), (90, True)])
+def test_host_verdict_follows_the_prior(spark, failing, goes):
+    """Twelve hosts of 200 documents, ten of a hundred failing, beside one with other shares."""
+    good = "a short but sound text of some twenty words and more that says what it has to say about rain wind and sun today"
+    shares = {f"h{i}": 10 for i in range(12)} | {"other": failing}
+    rows = [(200 * k + i, "junk" if i < 2 * share else good, host) for k, (host, share) in enumerate(shares.items()) for i in range(200)]
+    kept = {r.doc_id for r in quality_rules.filter_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert kept == {d for d, text, host in rows if text == good and not (goes and host == "other")}
+
+
+def test_few_documents_reject_no_host(spark):
+    good = "a short but sound text of some twenty words and more that says what it has to say about rain wind and sun today"
+    rows = [(i, good if i % 10 else "junk", f"h{i % 7}") for i in range(1400)] + [(9000, "junk", "new"), (9001, good, "new")]
+    kept = {r.doc_id for r in quality_rules.filter_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert 9001 in kept and len(kept) == 1261
+
+
+def plain_language(model, text):
+    """The dealt rule with dictionaries only: no arrays, no caches."""
+    langs, known = model["langs"], [{g: table[i].tolist() for g, i in at.items()} for at, table in model["tables"]]
+    words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    if not words:
+        return "und", 0.0
+    total = [0.0] * len(langs)
+    for word in words:
+        if word in known[0]:
+            scores = [known[0][word]]
+        else:
+            marked, scores = f"<{word}>", []
+            for i in range(len(marked)):
+                hit = next((known[n][marked[i:i + n]] for n in range(model["max_gram"], 0, -1) if len(marked[i:i + n]) == n and marked[i:i + n] in known[n]), None)
+                scores += [hit] if hit else []
+        for k in range(len(langs)):
+            total[k] += sum(s[k] for s in scores) / max(len(scores), 1)
+    best = max(range(len(langs)), key=lambda k: (total[k], -k))
+    return langs[best], 1 / sum(math.exp(max(t - total[best], -700)) for t in total)
+
+
+def test_language_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.train(docs.where("doc_id % 3 = 0"))
+    rows = language_id.predicted(docs, model).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        lang, score = plain_language(model, r.text)
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-6
+    scorer = language_id.Scorer(model)
+    assert {scorer(t) for t in ("\u00bd \u00b2 \u2460", "12 _ 3", "", None, "\u2167!")} == {("und", 0.0)}
+    assert language_id.tokens("a\u00bdb \u00c9t\u00e9") == ["a", "b", "\u00e9t\u00e9"]
+
+
 def test_bad_host_takes_its_documents(spark):
     good = "a short but sound text of some twenty words and more that says what it has to say about rain wind and sun today"
     rows = [(i, "junk", "bad") for i in range(400)] + [(1000, good, "bad")] + [(2000 + i, good, f"h{i % 9}") for i in range(400)]
