@@ -76,7 +76,8 @@ def op6(spark, sf):
 @query("op8_html_extraction")
 def op8(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "url", "html")
-    return html_text.extracted(pages).select("page_id", "url", F.col("text_").alias("text"), F.length("text_").cast("long").alias("n_chars"))
+    found = html_text.extracted(pages, path="path_")
+    return found.select("page_id", "url", F.col("text_").alias("text"), F.length("text_").cast("long").alias("n_chars"), F.col("path_").alias("path"))
 
 
 @query("op10_sentencepiece")

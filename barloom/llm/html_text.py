@@ -4,21 +4,23 @@ Each page votes for its article: the innermost container that holds nearly all o
 outside of noise and links, or a container further out, as long as it adds such text
 (below the body; the body itself for headings and paragraphs of its own). A container is
 named by its generalised path: tags and classes from the root, digits made equal. Votes
-are counted per host in Spark, with the pages on which each path occurs. A path is contested
-if it is the article on less than half of those pages. Then every page is extracted again:
-from its own article, or, if that path is contested, from the host's winning path. So a
-host may have several layouts, and a page without the winning path uses its own article.
+are counted per host in Spark, with the pages on which each path occurs. A path wins on its host,
+for one of the host's layouts, if two pages or more vote for it and no less than half of those
+that have it. Then every page is extracted again by a winning path: its own, if that wins; if other
+pages have its own path and most vote otherwise, the winning path on the page with most votes; if no
+other page votes as it does, the first of these that holds nine tenths of its article.
+A page without such a path uses its own article.
 
 Defined cases: null and empty html give an empty text. A page whose containers
 hold no text gives an empty text. Ties go to the first path by name. A url
 without host counts for the host ''. Repeated rows vote each and are extracted
-each. Columns of the input pass through `extracted` under any name but `text_`.
+each. Columns of the input pass through `extracted` under any name but the two new ones.
 Unclosed and crossed tags are closed where their parents end.
 
-A form or a noise name rejects an element that holds half of the page's text or less, links
-not counted; a larger one is looked into. Advertisements, comments and links to other articles
-are rejected up to nine tenths, and anything of that kind outside of the article and main elements
-of a page that has text in such. If nothing would be left, forms and names reject nothing else.
+Forms, and elements that a class, id or role names as noise, are rejected however long they are. Looked
+into are those, advertisements, comments and links to other articles apart, that hold the only article
+or main element of a page; on a page without such, those that hold its only first-level heading and more text
+than what is outside of them all; and, where nothing else would be left, the largest one.
 """
 
 from __future__ import annotations
@@ -78,13 +80,13 @@ class Element:
 
     def __init__(self, tag: str, path: str, noise: bool, link: bool, place: int, parent: Element | None, named: int = 0):
         self.tag, self.path, self.noise, self.link, self.place, self.parent = tag, path, noise, link, place, parent
-        #: Tenths of the page's text up to which the element is rejected.
+        #: 1: rejected unless it stands around the article, 2: rejected.
         self.named = named
         self.total = 0
 
 
 def _attributes(text: str) -> tuple[str, int]:
-    """Generalised classes, and up to how many tenths of the text class, id or role reject the element."""
+    """Generalised classes, and whether class, id or role name noise (1) or texts of others (2)."""
     if not text or "=" not in text:
         return "", 0
     classes, noise = "", 0
@@ -97,7 +99,7 @@ def _attributes(text: str) -> tuple[str, int]:
                 words = SPLIT.split(token)
                 words = words[:next((k for k, w in enumerate(words) if w in ABOUT), None)]
                 if not NOISE.isdisjoint(words):
-                    noise = max(noise, 5 if OTHERS.isdisjoint(words) else 9)
+                    noise = max(noise, 1 if OTHERS.isdisjoint(words) else 2)
     return classes, noise
 
 
@@ -113,44 +115,64 @@ def _ends(tag: str, page: str) -> dict[int, int]:
     return found
 
 
+def _chain(node: Element | None) -> list[Element]:
+    """An element and all around it, from the inside."""
+    out = []
+    while node is not None:
+        out.append(node)
+        node = node.parent
+    return out
+
+
 def _sound(blocks: list[tuple[Element, str, int]]) -> list[tuple[Element, str, int]]:
     """Blocks without those in elements that their name or form rejects."""
     plain = any(w for _, _, w in blocks)
-    whole, named = 0, False
-    for owner, text, w in blocks:
-        gain = w if plain else len(text)
-        whole += gain
-        node = owner
-        while node is not None:
-            node.total += gain
-            named = named or node.named > 0
-            node = node.parent
-    if not named:
+    chains = [_chain(owner) for owner, _, _ in blocks]
+    gains = [w if plain else len(text) for _, text, w in blocks]
+    if not any(e.named for chain in chains for e in chain):
         return blocks
-    around: set[int] = set()  # article and main elements, and what is around them
-    inside: set[int] = set()  # elements in them
-    for owner, _, _ in blocks:
-        path = []
-        node = owner
-        while node is not None:
-            path.append(node)
-            node = node.parent
-        k = max((k for k, e in enumerate(path) if e.tag in ("article", "main")), default=None)
-        if k is not None:
-            around.update(e.place for e in path[k:])
-            inside.update(e.place for e in path[:k])
-    for others in (False, True):
-        kept = []
-        for block in blocks:
-            node = block[0]
-            while node is not None and not (node.named > 5 * others and (
-                    10 * node.total <= node.named * whole or (around and node.place not in around and node.place not in inside))):
-                node = node.parent
-            if node is None:
-                kept.append(block)
-        if kept:
+    #: Elements that reject a block, from the inside; and those outside of its outermost article or main element.
+    rejecting = [[e for e in chain if e.named] for chain in chains]
+    outside = []
+    for chain in chains:
+        k = max((k for k, e in enumerate(chain) if e.tag in ("article", "main")), default=None)
+        outside.append(None if k is None else [e for e in chain[k:] if e.named])
+    exempt: set[int] = set()
+    if not any(around == [] and gain for around, gain in zip(outside, gains)):
+        for around, own in zip(outside, rejecting):
+            if around and all(e.named == 1 for e in own):
+                exempt.update(e.place for e in around)
+        if not exempt:
+            exempt = _around_heading(blocks, rejecting, gains)
+    while True:
+        kept = [i for i, own in enumerate(rejecting) if all(e.place in exempt for e in own)]
+        if any(gains[i] for i in kept):
+            break
+        totals: dict[int, int] = {}
+        for own, gain in zip(rejecting, gains):
+            outer = next((e for e in reversed(own) if e.place not in exempt), None)
+            if outer is not None and outer.named == 1:
+                totals[outer.place] = totals.get(outer.place, 0) + gain
+        if not totals:
             break
-    return kept
+        exempt.add(max(totals, key=lambda place: (totals[place], -place)))
+    return [blocks[i] for i in kept]
+
+
+def _around_heading(blocks: list, rejecting: list[list[Element]], gains: list[int]) -> set[int]:
+    """Named elements around the only first-level heading, if the text outside of all named elements is less than theirs."""
+    free, total, heads = 0, {}, []
+    for (owner, _, _), own, gain in zip(blocks, rejecting, gains):
+        head = owner.tag == "h1"
+        if not own:
+            free += gain
+            if head:
+                return set()
+        for e in own:
+            total[e.place] = total.get(e.place, 0) + gain
+        if head and all(e.named == 1 for e in own):
+            heads.append(own)
+    return {e.place for own in heads[:1] if len(heads) == 1 for e in own if total[e.place] > free}
 
 
 def walk(page: str | None) -> list[tuple[Element, str, int]]:
@@ -241,7 +263,7 @@ def walk(page: str | None) -> list[tuple[Element, str, int]]:
         parent = stack[-1]
         place += 1
         noise = parent.noise or (tag in OUTSIDE and tag not in AROUND)
-        named = max(named if tag not in KEPT else 0, 5 if tag in AROUND else 0)
+        named = max(named if tag not in KEPT else 0, 1 if tag in AROUND else 0)
         path = f"{parent.path}/{tag}{classes}" if tag in CONTAINER else parent.path
         stack.append(Element(tag, path, noise, parent.link or tag == "a", place, parent, named))
     if at < len(page) and not stack[-1].noise:
@@ -294,67 +316,106 @@ def article(blocks: list[tuple[Element, str, int]]) -> Element:
     return best
 
 
-def proposals(page: str | None) -> tuple[list[str], list[int]]:
-    """Paths of a page's containers, and 1 for the one that it votes for."""
+def proposals(page: str | None) -> tuple[str | None, list[str]]:
+    """The path that a page votes for, and the paths of all its containers."""
     blocks = walk(page)
     if not blocks:
-        return [], []
-    own = article(blocks).path
-    paths = sorted({c.path for c in _containers(blocks).values()})
-    return paths, [int(p == own) for p in paths]
+        return None, []
+    return article(blocks).path, sorted({c.path for c in _containers(blocks).values()})
 
 
-def main_text(page: str | None, winner: str | None, contested=None) -> str:
-    """Text of the page's article, or of the winning path if the article's path is contested."""
+def _under(blocks: list, found: dict[int, Element], path: str) -> list[tuple[Element, str, int]]:
+    chosen = {k for k, c in found.items() if c.path == path}
+    return [block for block in blocks if any(e.place in chosen for e in _chain(block[0]))]
+
+
+def extract(page: str | None, winners: list[str] | None = None, contested: bool = False) -> tuple[str, str]:
+    """Text of the page and the path it was taken from.
+
+    winners: paths to try instead of the page's own article, best first. They must hold
+    nine tenths of that article, unless it is contested.
+    """
     blocks = walk(page)
     if not blocks:
-        return ""
+        return "", ""
     found = _containers(blocks)
     path = article(blocks).path
-    if winner is not None and path in (contested or ()) and any(c.path == winner for c in found.values()):
-        path = winner
-    chosen = {k for k, c in found.items() if c.path == path}
-    out = []
-    for owner, text, _ in blocks:
-        node = owner
-        while node is not None:
-            if node.place in chosen:
-                out.append(text)
-                break
-            node = node.parent
-    return "\n\n".join(out)
+    paths = {c.path for c in found.values()}
+    own = _under(blocks, found, path)
+    plain = any(w for _, _, w in blocks)
+    whole, mine = 0, set()
+    for owner, text, w in own:
+        whole += w if plain else len(text)
+        mine.add(id(text))
+    for winner in winners or ():
+        if winner not in paths:
+            continue
+        part = _under(blocks, found, winner)
+        if contested or 10 * sum(w if plain else len(text) for _, text, w in part if id(text) in mine) >= 9 * whole:
+            path, own = winner, part
+            break
+    if plain and path.rsplit("/", 1)[-1].split(".")[0] in TOP:
+        # Menus beside the article: list items that are links only.
+        own = [block for block in own if block[2] or block[0].tag != "li"]
+    return "\n\n".join(text for _, text, _ in own), path
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, path, pages, score, contested: the winning path per host, the pages that have it, its votes, and the contested paths.
+def main_text(page: str | None, winners: list[str] | None = None, contested: bool = False) -> str:
+    return extract(page, winners, contested)[0]
+
+
+def votes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """host, key (hash of the html), own (the path voted for), paths: one row per page, written to the shared folder."""
+    fields = [T.StructField("own", T.StringType()), T.StructField("paths", T.ArrayType(T.StringType()))]
+    slim = pages.select(host_of(F.col(url)).alias("host"), F.sha2(F.col(html).cast("binary"), 256).alias("key"), F.col(html).alias("html_"))
+    found = append_columns(slim, lambda texts: [list(x) for x in zip(*map(proposals, texts))], "html_", fields)
+    return cut(found.drop("html_").where(F.col("own").isNotNull()), "page-votes")
+
+
+def host_paths(voted: DataFrame) -> DataFrame:
+    """host, path, pages, score, wins: the paths voted for, the pages that have them, their votes.
 
     Votes are added up before they move, so a host with a third of all pages costs no more than any other.
     """
-    fields = [T.StructField("p_", T.ArrayType(T.StringType())), T.StructField("s_", T.ArrayType(T.LongType()))]
-    slim = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html_"))
-    found = append_columns(slim, lambda texts: [list(x) for x in zip(*map(proposals, texts))], "html_", fields).drop("html_")
-    votes = found.select("host", F.explode(F.arrays_zip("p_", "s_")).alias("v")) \
-        .groupBy("host", F.col("v.p_").alias("path")).agg(F.count(F.lit(1)).alias("pages"), F.sum("v.s_").alias("score")).where("score > 0")
-    contested = 2 * F.col("score") < F.col("pages")
-    # Uncontested paths first, then the larger score, then the path by name: negated, the smallest struct wins.
-    best = votes.groupBy("host").agg(F.min(F.struct(contested.alias("c"), (-F.col("score")).alias("m"), "path", "pages")).alias("b"),
-                                     F.collect_list(F.when(contested, F.col("path"))).alias("contested"))
-    return best.select("host", F.col("b.path").alias("path"), F.col("b.pages").alias("pages"), (-F.col("b.m")).alias("score"), "contested")
-
-
-def extracted(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """pages with the main text as text_.
-
-    Winning paths are written first: Spark then knows the size of that table and
-    broadcasts it only if it is small; beyond that, pages are joined by host and
-    a hot host is split.
+    found = voted.select("host", "own", F.explode("paths").alias("path")).groupBy("host", "path").agg(
+        F.count(F.lit(1)).alias("pages"), F.count_if(F.col("own") == F.col("path")).alias("score"))
+    return found.where("score > 0").withColumn("wins", (F.col("score") > 1) & (2 * F.col("score") >= F.col("pages")))
+
+
+def _choices(voted: DataFrame, paths: DataFrame) -> DataFrame:
+    """host, key, winners, contested for the pages whose own path does not win: the winning paths on them, best first.
+
+    Joined by path, so that no host's paths ever meet in one row; a row has the paths of one page at most.
+    """
+    own = paths.where("not wins").select("host", F.col("path").alias("own"), (2 * F.col("score") < F.col("pages")).alias("contested"))
+    lost = voted.join(own, ["host", "own"]).select("host", "key", "contested", "paths").dropDuplicates(["host", "key"])
+    there = lost.select("host", "key", "contested", F.explode("paths").alias("path")).join(paths.where("wins").select("host", "path", "score"), ["host", "path"])
+    best = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("m"), "path")))
+    return there.groupBy("host", "key").agg(F.transform(best, lambda v: v["path"]).alias("winners"), F.first("contested").alias("contested"))
+
+
+def extracted(pages: DataFrame, url: str = "url", html: str = "html", text: str = "text_", path: str | None = None) -> DataFrame:
+    """pages with the main text and, if `path` names a column for it, the path that it was taken from.
+
+    Votes, paths and choices are written first: Spark then knows the size of these tables and
+    broadcasts them only if they are small; beyond that, pages are joined by host and hash of
+    the page, and a hot page is split.
     """
-    winners = cut(host_paths(pages, url, html).select(F.col("host").alias("host_"), F.struct("path", "contested").alias("path_")), "host-paths")
-    joined = pages.withColumn("host_", host_of(F.col(url))).join(winners, "host_", "left").drop("host_")
-    both = joined.withColumn("pair_", F.concat(F.array(F.col(html), F.col("path_.path")), F.coalesce("path_.contested", F.array().cast("array<string>")))).drop("path_")
-    out = append_columns(both, lambda pairs: [[main_text(h, w, c) for h, w, *c in pairs]], "pair_", [T.StructField("text_", T.StringType())])
-    return out.select(*[F.col(f"`{c}`") for c in pages.columns], "text_")
+    voted = votes(pages, url, html)
+    paths = cut(host_paths(voted), "host-paths")
+    chosen = cut(_choices(voted, paths), "page-paths")
+    new = [F.col("text").alias(text), *([F.col("path").alias(path)] if path else [])]
+    if {n.lower() for n in (text, path) if n} & {c.lower() for c in pages.columns}:
+        raise ValueError("a new column has the name of one that exists")
+    whole = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("page"), host_of(F.col(url)).alias("host"),
+                         F.sha2(F.col(html).cast("binary"), 256).alias("key"), F.col(html).alias("html"))
+    joined = whole.join(chosen, ["host", "key"], "left")
+    # One array per page: html, 1 if its own path is contested, winning paths.
+    args = joined.select("page", F.concat(F.array("html", F.when(F.col("contested"), F.lit("1"))), F.coalesce("winners", F.array().cast("array<string>"))).alias("args"))
+    fields = [T.StructField("text", T.StringType()), T.StructField("path", T.StringType())]
+    out = append_columns(args, lambda rows: [list(x) for x in zip(*[extract(h, w, c is not None) for h, c, *w in rows])], "args", fields)
+    return out.select("page.*", *new)

@@ -345,6 +345,34 @@ def test_noise_around_the_article_does_not_reject_it(page):
     assert html_text.main_text(page, None) == "Head\n\nAn article of some length that has to stay."
 
 
+@pytest.mark.parametrize("noise", ["comments", "sidebar", "cookie-notice", "newsletter", "related-posts", "ad"])
+@pytest.mark.parametrize("outer", ["<article>{0}</article>{1}", "<article>{0}{1}</article>", "<div class=post>{0}</div>{1}", "{1}<main>{0}</main>", "<form id=aspnetForm>{0}{1}</form>"])
+def test_noise_goes_however_long_it_is(noise, outer):
+    much = f"<div class='{noise}'>" + "<p>words of somebody else that are not part of it</p>" * 60 + "</div>"
+    page = "<body>" + outer.format("<h1>Head</h1><p>A short article.</p>", much) + "</body>"
+    assert html_text.main_text(page, None) == "Head\n\nA short article."
+
+
+def test_menu_of_links_beside_loose_text():
+    page = "<body><ul><li><a href=/>Home</a><li><a href=/about>About</a></ul><h1>Head</h1><p>Text of its own.</p></body>"
+    assert html_text.main_text(page, None) == "Head\n\nText of its own."
+
+
+def test_pages_are_extracted_by_winning_paths(spark):
+    """A page whose own pick is too wide is corrected by the host's path; names of columns do not matter."""
+    long = ("word " * 80).strip()
+    page = "<body><div class=wrap><div class=post{2}><h1>{0}</h1><p>%s</p></div>{1}</div></body>" % long
+    rows = [(i, "http://h.org/", page.format(i, "", i)) for i in range(6)] + [(6, "http://h.org/", page.format(6, "<p>Imprint text</p>", 6))]
+    rows += [(7, "http://other.org/", page.format(7, "<p>Imprint text</p>", 7)), (8, None, None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(c) for c in ("host", "key", "page", "path", "text", "args", "winners", "host_", "pair_")})
+    out = html_text.extracted(frame, path="path_")
+    assert out.columns == [*frame.columns, "text_", "path_"]
+    got = {r.page_id: r for r in out.collect()}
+    assert {i: got[i].text_ for i in range(7)} == {i: f"{i}\n\n{long}" for i in range(7)}
+    assert {got[i].path_ for i in range(7)} == {"/body/div.wrap/div.post0"}
+    assert got[7].text_.endswith("Imprint text") and got[8].text_ == "" and got[7].pair_ == "pair_"
+
+
 @pytest.mark.parametrize("inner", [
     "<h1>H</h1><p>lead</p><section><p>{0}</p></section><section><p>{0}</p></section><p>end</p>",
     "<h1>H</h1><div class=intro><p>lead</p></div><div class=body><p>{0}</p><p>{0}</p></div><div class=last>end</div>",
