@@ -260,39 +260,70 @@ def _as_if_accepted(orders: DataFrame, initial: float) -> DataFrame:
 def validate_orders(orders: DataFrame, initial: float) -> DataFrame:
     """Adds `status` (ok, bad_qty, no_cash or no_shares) and `cash_after`.
 
-    A rejected order moves neither cash nor shares. An account that never runs
-    short when everything is accepted has no such rejection, so all its orders
-    stand: that is decided with running sums, in parallel even inside one
-    account. Only accounts that run short somewhere (or come within rounding of
-    it) need their orders walked in sequence: they are sorted, and each task
-    carries cash and share counts from batch to batch without collecting an account.
+    A rejected order moves neither cash nor shares. Up to the first order that would run an
+    account short (or come within rounding of it) all sound orders stand: that part is
+    settled with running sums, in parallel even inside one account. From there on the fate of an
+    order depends on that of the ones before, so the rest of such an account is walked in
+    sequence, from its cash and holdings at that point: each task carries cash and share
+    counts from batch to batch without collecting an account.
     """
-    assumed = _as_if_accepted(orders, initial)
+    settled, rest = settled_orders(orders, initial)
+    return settled.unionByName(_walk_orders(rest))
+
+
+def settled_orders(orders: DataFrame, initial: float) -> tuple[DataFrame, DataFrame]:
+    """Orders settled in parallel, and rows to walk: those from an account's first short order on.
+
+    The latter begin with one row per symbol that the account holds at that point (side 'state',
+    qty the shares) and one for its cash (symbol null, price the cash); `opening` marks both.
+    """
+    assumed = cut(_as_if_accepted(orders, initial), "assumed")
     cost = F.col("qty") * F.col("price")
     spare = F.col("_held") - F.col("qty")
     short = (F.col("qty") > 0) & F.when(
         F.col("side") == "buy", F.col("_cash") < cost + 1e-6 + F.abs(cost) * 1e-9
     ).otherwise((spare < 0) | ((spare > 0) & (spare < FLAT)))
-    short_accounts = cut(assumed.where(short).select("account").distinct(), "short")
-    clean = assumed.join(short_accounts, "account", "left_anti").select(
+    first = cut(assumed.where(short).groupBy("account").agg(F.min(F.struct("ts", "order_id")).alias("_first")), "short")
+    marked = assumed.join(first, "account", "left").withColumn(
+        "_rest", F.coalesce(F.struct("ts", "order_id") >= F.col("_first"), F.lit(False))
+    )
+    settled = marked.where(~F.col("_rest")).select(
         *ORDER_COLS, F.when(F.col("qty") > 0, "ok").otherwise("bad_qty").alias("status"),
         (F.col("_cash") + F.col("_dc")).alias("cash_after"),
     )
-    return clean.unionByName(_walk_orders(orders.join(short_accounts, "account", "left_semi"), initial))
+    types = {f.name: f.dataType for f in orders.schema.fields}
+    before = marked.where(~F.col("_rest") & F.col("_first").isNotNull())
+    shares = before.groupBy("account", "symbol").agg(F.sum("_dq").alias("_q")).where(F.col("_q") >= FLAT)
+    cash = first.join(before.groupBy("account").agg(F.sum("_dc").alias("_c")), "account", "left")
+    start = {"side": F.lit("state"), "qty": F.col("_q"), "symbol": F.lit(None), "price": F.lit(None), "ts": F.lit(None), "order_id": F.lit(None)}
+
+    def opening(df: DataFrame, **known) -> DataFrame:
+        values = {"account": F.col("account")} | start | known
+        return df.select(*[values[c].cast(types[c]).alias(c) for c in ORDER_COLS], F.lit(True).alias("opening"))
+
+    rest = marked.where("_rest").select(*ORDER_COLS, F.lit(False).alias("opening"))
+    rest = rest.unionByName(opening(shares, symbol=F.col("symbol")))
+    return settled, rest.unionByName(opening(cash, qty=F.lit(None), price=F.coalesce("_c", F.lit(0.0)) + float(initial)))
 
 
-def _walk_orders(orders: DataFrame, initial: float) -> DataFrame:
-    rows = orders.select(*ORDER_COLS)
-    schema = T.StructType([*rows.schema.fields, T.StructField("status", T.StringType()),
-                           T.StructField("cash_after", T.DoubleType())])
+def _walk_orders(rows: DataFrame) -> DataFrame:
+    rows = rows.select(*ORDER_COLS, "opening")
+    fields = [f for f in rows.schema.fields if f.name != "opening"]
+    schema = T.StructType([*fields, T.StructField("status", T.StringType()), T.StructField("cash_after", T.DoubleType())])
 
     def walk(batches):
-        account, cash, held = None, initial, {}
+        account, cash, held = None, 0.0, {}
         for pdf in batches:
             status, left = [], []
-            for a, sym, side, qty, price in zip(pdf.account, pdf.symbol, pdf.side, pdf.qty, pdf.price):
+            for a, sym, side, qty, price, opening in zip(pdf.account, pdf.symbol, pdf.side, pdf.qty, pdf.price, pdf.opening):
                 if a != account:
-                    account, cash, held = a, initial, {}
+                    account, cash, held = a, 0.0, {}
+                if opening:
+                    if pd.notna(qty):
+                        held[sym] = float(qty)
+                    else:
+                        cash = float(price)
+                    continue
                 cost = qty * price
                 if not qty > 0:
                     s = "bad_qty"
@@ -310,9 +341,10 @@ def _walk_orders(orders: DataFrame, initial: float) -> DataFrame:
                             del held[sym]
                 status.append(s)
                 left.append(cash)
-            yield pdf.assign(status=pd.Series(status, index=pdf.index, dtype=object), cash_after=left)
+            done = pdf[~pdf.opening].drop(columns="opening")
+            yield done.assign(status=pd.Series(status, index=done.index, dtype=object), cash_after=pd.Series(left, index=done.index, dtype=float))
 
-    ordered = rows.repartition("account").sortWithinPartitions("account", "ts", "order_id")
+    ordered = rows.repartition("account").sortWithinPartitions("account", F.desc("opening"), "ts", "order_id")
     return ordered.mapInPandas(walk, schema)
 
 

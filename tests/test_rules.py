@@ -250,6 +250,29 @@ def test_order_validation_agrees_with_a_plain_walk(spark):
     assert {s for s, _ in want.values()} == {"ok", "bad_qty", "no_cash", "no_shares"}
 
 
+def test_only_the_rest_behind_a_short_order_is_walked(spark):
+    """One short sale at the end of an account of 3000 orders; the walk starts from its cash and holdings."""
+    ts = lambda i: dt.datetime(2020, 1, 1) + dt.timedelta(minutes=7 * i)
+    rows = [("big", f"S{i % 3}", "buy" if i % 4 else "sell", 0.0 if i % 50 == 0 else 2.0, 1.0 + i % 5, ts(i), f"{i:05d}") for i in range(12, 3012)]
+    rows = [r if r[2] == "buy" or r[3] == 0 else (*r[:3], 1.0, *r[4:]) for r in rows if r[2] == "buy" or r[6] > "00100"]
+    rows += [("big", "S1", "sell", 1e6, 2.0, ts(3020), "90000"), ("big", "S2", "sell", 5.0, 2.0, ts(3021), "90001"), ("big", "S0", "buy", 1.0, 3.0, ts(3022), "90002"),
+             ("none", "X", "sell", 1.0, 1.0, ts(0), "90003"), ("none", "X", "buy", 1.0, 1.0, ts(1), "90004")]
+    o = spark.createDataFrame(rows, "account string, symbol string, side string, qty double, price double, ts timestamp_ntz, order_id string").repartition(5)
+    settled, rest = L.settled_orders(o, 1e5)
+    assert settled.count() == len(rows) - 5 and rest.count() < len(rows) // 100
+    cash, held, want = {"big": 1e5, "none": 1e5}, {}, {}
+    for account, symbol, side, qty, price, _, oid in rows:
+        have = held.get((account, symbol), 0.0)
+        status = "bad_qty" if qty <= 0 else "ok" if (cash[account] >= qty * price if side == "buy" else have >= qty) else "no_cash" if side == "buy" else "no_shares"
+        if status == "ok":
+            sign = 1 if side == "buy" else -1
+            cash[account] -= sign * qty * price
+            held[account, symbol] = have + sign * qty
+        want[oid] = (status, round(cash[account], 6))
+    assert {r.order_id: (r.status, round(r.cash_after, 6)) for r in L.validate_orders(o, 1e5).collect()} == want
+    assert want["90000"][0] == want["90003"][0] == "no_shares" and want["90001"][0] == want["90004"][0] == "ok"
+
+
 def test_trailing_stop_beyond_the_first_quarter(spark):
     b = bars(spark, [100.0] * 80 + [120.0, 110.0, 107.0, 100.0])
     e = spark.createDataFrame([("T", day(0), 100.0), ("T", day(81), 110.0)], "ticker string, entry_date date, entry_price double")
