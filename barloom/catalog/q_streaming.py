@@ -4,6 +4,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rnd
 from ..operators import clean as C
+from ..operators import indicators as I
+from ..operators import positions as PO
+from ..operators import rank as K
+from ..plans.screen import latest_rows
 from ..sources import adapters as A
 from ..sources.scratch import scratch_dir
 from ..streaming import jobs as J
@@ -132,3 +136,56 @@ def _10(s, d):
 
     bars = J.run_daily(staged_in_order(s, dirty(s, d), "incoming"), [accept])
     return bars.groupBy("ticker").agg(F.count(F.lit(1)).alias("accepted"), F.max("date").alias("last_date"), rnd(F.max_by("close", "date")).alias("last_close"))
+
+
+def daily_stages():
+    """Ingest, rejects, exits, and two screens."""
+    def judged(day):
+        old = day.before("accepted")
+        return C.split_rejects(C.validate_sequential(day["incoming"], None if old is None else old.groupBy("ticker").agg(F.max_by("close", "date").alias("close"))))
+
+    def exits(day):
+        """Every ticker is bought at its first accepted close and left once, at 10 % either way."""
+        book = day.so_far("accepted").groupBy("ticker").agg(F.min("date").alias("entry_date"), F.min_by("close", "date").alias("entry_price"))
+        book = book.withColumn("stop_loss", F.col("entry_price") * 0.9).withColumn("target", F.col("entry_price") * 1.1)
+        gone = day.before("exits")
+        if gone is not None:
+            book = book.join(gone.select("ticker"), "ticker", "left_anti")
+        latest = day["accepted"].groupBy("ticker").agg(F.max("date").alias("date"), F.max_by("close", "date").alias("close"))
+        return PO.stop_target_exits(book, latest).where("exit_reason IS NOT NULL").select("ticker", F.col("as_of").alias("date"), "exit_reason", "pnl_pct")
+
+    def screen(n):
+        def stage(day):
+            now = latest_rows(I.ret_n(day.so_far("accepted"), n))
+            return K.top_n(now, f"ret{n}", 10, part=()).select("ticker", "date", "rank", F.col(f"ret{n}").alias("ret"))
+
+        return stage
+
+    return {"accepted": lambda day: judged(day)[0], "rejects": lambda day: judged(day)[1], "exits": exits, "screen_month": screen(21), "screen_quarter": screen(63)}
+
+
+@query("st11_daily_tables", with_(BARS, DIRTY, SEQ, f"""part AS (SELECT w.ticker, w.date, w.close, w.reason, w.jump, (w.date - lo) // ((hi - lo) // 4 + 1) AS batch
+  FROM (SELECT ticker, date, reason, jump, (SELECT any_value(close) FROM dirty d WHERE d.ticker = walk.ticker AND d.date = walk.date) AS close FROM walk) w, (SELECT min(date) AS lo, max(date) AS hi FROM dirty)),
+ab AS (SELECT *, close / lag(close, 21) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r21, close / lag(close, 63) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r63,
+  first_value(close) OVER (PARTITION BY ticker ORDER BY date) AS e, first_value(date) OVER (PARTITION BY ticker ORDER BY date) AS ed FROM part WHERE reason IS NULL AND NOT jump),
+la AS (SELECT batch, ticker, max(date) AS date, arg_max(close, date) AS close, any_value(e) AS e, any_value(ed) AS ed FROM ab GROUP BY ALL),
+ex AS (SELECT *, CASE WHEN close <= e * 0.9::double THEN 'stop_loss' WHEN close >= e * 1.1::double THEN 'target' WHEN date - ed >= 60 THEN 'max_hold' END AS why FROM la),
+nb AS (SELECT DISTINCT batch AS b FROM part),
+sc AS (SELECT b, ticker, max(date) AS date, arg_max({{r21: r21, r63: r63}}, date) AS v FROM ab JOIN nb ON batch <= b GROUP BY ALL)""", recursive=True,
+    body=f"""SELECT 'accepted' AS stage, batch::bigint AS batch, ticker, date, 'close' AS what, {r6('close')} AS value FROM ab
+UNION ALL SELECT 'rejects', batch::bigint, ticker, date, coalesce(reason, 'jump'), NULL FROM part WHERE reason IS NOT NULL OR jump
+UNION ALL SELECT 'exits', batch::bigint, ticker, date, why, {r6('(close / e - 1) * 100')} FROM (SELECT * FROM ex WHERE why IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY batch) = 1)
+UNION ALL SELECT 'screen_month', b::bigint, ticker, date, rk::varchar, {r6('v.r21')} FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY v.r21 DESC, ticker) AS rk FROM sc WHERE v.r21 IS NOT NULL) WHERE rk <= 10
+UNION ALL SELECT 'screen_quarter', b::bigint, ticker, date, rk::varchar, {r6('v.r63')} FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY v.r63 DESC, ticker) AS rk FROM sc WHERE v.r63 IS NOT NULL) WHERE rk <= 10"""))
+def _11(s, d):
+    """The daily job over faulty bars in four batches; the rows of all its tables."""
+    out = scratch_dir(s, "daily-tables")
+    J.run_daily_tables(staged_in_order(s, dirty(s, d), "incoming"), daily_stages(), out, scratch_dir(s, "daily-ckpt"))
+    shown = {"accepted": (F.lit("close"), "close"), "rejects": (F.col("reason"), None), "exits": (F.col("exit_reason"), "pnl_pct"),
+             "screen_month": (F.col("rank").cast("string"), "ret"), "screen_quarter": (F.col("rank").cast("string"), "ret")}
+    rows = None
+    for name, (what, value) in shown.items():
+        part = J.committed_table(s, out, name).select(F.lit(name).alias("stage"), "batch", "ticker", "date", what.alias("what"),
+                                                       (rnd(F.col(value)) if value else F.lit(None).cast("double")).alias("value"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows

@@ -109,6 +109,70 @@ def run_daily(stream: DataFrame, stages: list[Callable[[DataFrame, DataFrame | N
     return stored
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def committed_batches(spark: SparkSession, out: str) -> list[int]:
+    """Numbers of the batches of which all tables are written."""
+    fs, path = _hadoop(spark, f"{out}/_commits")
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def committed_table(spark: SparkSession, out: str, name: str, before: int | None = None) -> DataFrame | None:
+    """One table of a daily job with its batch numbers: whole batches only, all or those before one; None if there are none."""
+    ids = [i for i in committed_batches(spark, out) if before is None or i < before]
+    if not ids:
+        return None
+    found = spark.read.option("basePath", f"{out}/{name}").parquet(*[f"{out}/{name}/batch={i}" for i in ids])
+    return found.withColumn("batch", F.col("batch").cast("long"))
+
+
+class Day:
+    """What a stage of a daily job sees: the tables of its batch so far, and those of earlier batches."""
+
+    def __init__(self, spark: SparkSession, out: str, batch_id: int, incoming: DataFrame):
+        self.spark, self.out, self.batch_id, self.tables = spark, out, batch_id, {"incoming": incoming}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self.tables[name]
+
+    def before(self, name: str) -> DataFrame | None:
+        return committed_table(self.spark, self.out, name, self.batch_id)
+
+    def so_far(self, name: str) -> DataFrame:
+        """Earlier batches and this one."""
+        old = self.before(name)
+        return self[name] if old is None else old.drop("batch").unionByName(self[name])
+
+
+def run_daily_tables(stream: DataFrame, stages: dict[str, Callable[[Day], DataFrame]], out: str, checkpoint: str) -> list[int]:
+    """Daily job of several stages, each with a table of its own at `out`/name; the committed batches.
+
+    Stages run in order; one reads the batch, the tables of the stages before it and those of
+    earlier batches. The tables of a batch become visible together, when a marker with its number is
+    written last. A batch that is tried again goes on behind the last stage whose table is
+    whole, and a table that was broken off is written anew, so no row is repeated.
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        day = Day(batch.sparkSession, out, batch_id, batch)
+        for name, stage in stages.items():
+            path = f"{out}/{name}/batch={batch_id}"
+            fs, whole = _hadoop(spark, f"{path}/_SUCCESS")
+            if not fs.exists(whole):
+                stage(day).write.mode("overwrite").parquet(path)
+            day.tables[name] = batch.sparkSession.read.parquet(path)
+        fs, marker = _hadoop(spark, f"{out}/_commits/{batch_id}")
+        fs.create(marker, True).close()
+
+    q = stream.writeStream.foreachBatch(write).trigger(availableNow=True).option("checkpointLocation", checkpoint).start()
+    q.awaitTermination()
+    return committed_batches(spark, out)
+
+
 class ProgressLog(StreamingQueryListener):
     """Keeps the counters of every micro-batch of the queries that it hears of.
 

@@ -1,5 +1,6 @@
 """Streams over several micro-batches against the batch operators."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import clean as C
@@ -90,3 +91,31 @@ def test_stale_candles_are_rejected(spark, tmp_path):
     schema = _candles(spark, [("A", "2024-01-01", 1.0)]).schema
     out, _ = J.drain_append(S.stream_validate(J.read_stream(spark, src, schema, files_per_trigger=1)), "stale")
     assert {str(r.date): r.reason for r in out.collect()} == {"2024-01-05": None, "2024-01-03": "stale", "2024-01-06": None}
+
+
+def test_daily_tables_resume_between_two_stages(spark, tmp_path):
+    src, out, ckpt = (str(tmp_path / x) for x in ("src", "out", "ckpt"))
+    first = _candles(spark, [("A", "2024-01-01", 10.0), ("B", "2024-01-01", 50.0)])
+    broken, runs = [True], []
+
+    def second(day):
+        if broken[0]:
+            raise RuntimeError("stopped between two stages")
+        runs.append("second")
+        return day.so_far("one").groupBy("ticker").count()
+
+    def one(day):
+        runs.append("one")
+        return day["incoming"].select("ticker", "close")
+
+    run = lambda: J.run_daily_tables(J.read_stream(spark, src, first.schema), {"one": one, "two": second}, out, ckpt)
+    first.write.mode("append").parquet(src)
+    with pytest.raises(Exception, match="stopped between two stages"):
+        run()
+    assert J.committed_table(spark, out, "one") is None
+    broken[0] = False
+    assert run() == [0] and runs == ["one", "second"]
+    assert run() == [0]
+    _candles(spark, [("A", "2024-01-02", 11.0)]).write.mode("append").parquet(src)
+    assert run() == [0, 1] and J.committed_table(spark, out, "one").count() == 3
+    assert sorted((r.batch, r.ticker, r["count"]) for r in J.committed_table(spark, out, "two").collect()) == [(0, "A", 1), (0, "B", 1), (1, "A", 2), (1, "B", 1)]
