@@ -6,6 +6,7 @@ from ..functions.columns import rnd
 from ..operators import aggregates as AG
 from ..operators import calendar as CAL
 from ..operators import derivatives as D
+from ..operators.joins import alike
 from ..operators import metrics as M
 from ..operators import regime as R
 from ..sources import adapters as A
@@ -117,11 +118,13 @@ SP = (BARS, OPTIONS, STATES, SPREADS, PRICED_SP)
 
 
 def priced(s, d, chain=None):
-    """The chain is cut to the signals' (symbol, date, type) before anything is joined, and written once."""
+    """The chain is cut to the signals' (symbol, date, type) where it lies, and written once; the signals come to it."""
     chain = A.options(s, d) if chain is None else chain
     on = ["symbol", "date", "option_type"]
     wanted = cut(spreads(s, d), "spreads")
-    near = cut(chain.join(wanted.select(*on).distinct(), on, "left_semi"), "chain-of-signals")
+    asked = wanted.select(*on).repartition(A.chain_parts(s, d), "symbol", "date").distinct().alias("a")
+    met = (F.col("c.symbol") == F.col("a.symbol")) & (F.col("c.date") == F.col("a.date")) & alike(F.col("c.option_type"), F.col("a.option_type"))
+    near = cut(chain.alias("c").join(asked.hint("shuffle_hash"), met, "left_semi"), "chain-of-signals")
     return D.price_spread(wanted.join(CAL.monthly_expiry(near), on), near)
 
 
@@ -141,7 +144,7 @@ tp AS MATERIALIZED (SELECT symbol, entry_date, option_type, expiry_dt, min(date)
   ON tp.symbol = pr.symbol AND tp.entry_date = pr.date AND tp.option_type = pr.option_type AND tp.expiry_dt = pr.expiry_dt"""))
 def _12(s, d):
     chain = A.options(s, d)
-    return r(D.take_profit_exit(priced(s, d, chain), chain), "exit_pnl", places=4).select("symbol", "entry_date", "option_type", "exit_date", "exit_pnl")
+    return r(D.take_profit_exit(priced(s, d, chain), chain, parts=A.chain_parts(s, d)), "exit_pnl", places=4).select("symbol", "entry_date", "option_type", "exit_date", "exit_pnl")
 
 
 SETTLE = """sl AS (SELECT pr.symbol, pr.date, pr.option_type, max(f.date) AS settle_date, arg_max(f.close, f.date) AS spot FROM pr JOIN fut f ON f.symbol = pr.symbol AND f.date > pr.date AND f.date <= pr.expiry_dt GROUP BY 1, 2, 3),
@@ -161,7 +164,7 @@ JOURNAL = """jr AS MATERIALIZED (SELECT se.symbol, se.date AS entry_date, se.opt
 
 def journal(s, d):
     chain = A.options(s, d)
-    return D.spread_exits(priced(s, d, chain), chain, A.futures(s, d))
+    return D.spread_exits(priced(s, d, chain), chain, A.futures(s, d), A.chain_parts(s, d))
 
 
 @query("drv14_spread_journal", with_(*SP, TAKE, SETTLE, JOURNAL, body=f"SELECT symbol, entry_date, option_type, exit_date, note, {r6('pnl', 4)} AS pnl FROM jr"))

@@ -150,21 +150,24 @@ def price_spread(spreads: DataFrame, chain: DataFrame, capital: float = 1_000_00
     ).withColumn("max_profit_rs", (F.col("width") - F.col("net_debit")) * F.col("lot_size") * F.col("lots"))
 
 
-def take_profit_exit(spreads: DataFrame, chain: DataFrame, share: float = TAKE_PROFIT) -> DataFrame:
-    """First later date on which the spread has earned `share` of its best case; NULL when never."""
+def take_profit_exit(spreads: DataFrame, chain: DataFrame, share: float = TAKE_PROFIT, parts: int | None = None) -> DataFrame:
+    """First later date on which the spread has earned `share` of its best case; NULL when never.
+
+    A spread goes to each day that it may be held, so days meet quotes by equality. `parts` is the number of
+    partitions by (symbol, date) in which the chain lies: then the chain, the larger side, is not moved.
+    """
     keys = ["symbol", "entry_date", "option_type", "expiry_dt"]
-    s = spreads.withColumnRenamed("date", "entry_date")
-    on = ["symbol", "option_type", "expiry_dt"]
-    legs = s.select(*on, F.explode(F.array("atm_strike", "otm_strike")).alias("strike")).distinct()
-    # Only the legs held: the chain is read and moved once.
-    leg = cut(chain.select("symbol", "date", "option_type", "expiry_dt", "strike", "close").join(legs, [*on, "strike"], "left_semi"), "held-legs")
-    atm = leg.withColumnRenamed("close", "atm_now").withColumnRenamed("strike", "atm_strike")
-    otm = leg.withColumnRenamed("close", "otm_now").withColumnRenamed("strike", "otm_strike")
+    s = cut(spreads.withColumnRenamed("date", "entry_date"), "spreads-held")
+    days = (
+        s.where(F.col("entry_date") < F.col("expiry_dt"))
+        .select(*keys, "atm_strike", "otm_strike", "net_debit", "lot_size", "lots", "max_profit_rs",
+                F.explode(F.sequence(F.date_add("entry_date", 1), F.col("expiry_dt"))).alias("date"))
+    )
+    if parts is not None:
+        days = days.repartition(parts, "symbol", "date")
     walk = (
-        s.join(atm, [*on, "atm_strike"])
-        .where((F.col("date") > F.col("entry_date")) & (F.col("date") <= F.col("expiry_dt")))
-        .join(otm, [*on, "otm_strike", "date"])
-        .withColumn("debit_now", F.col("atm_now") - F.col("otm_now"))
+        two_legs(days, chain, lot=False)
+        .withColumn("debit_now", F.col("atm_close") - F.col("otm_close"))
         .withColumn("pnl", (F.col("debit_now") - F.col("net_debit")) * F.col("lot_size") * F.col("lots"))
         .where(F.col("pnl") >= F.col("max_profit_rs") * share)
         .groupBy(*keys)
@@ -180,6 +183,7 @@ def expiry_payoff(spreads: DataFrame, fut: DataFrame) -> DataFrame:
     `spreads` has entry_date. A spread without a later underlying row is dropped.
     """
     keys = ["symbol", "entry_date", "option_type", "expiry_dt"]
+    spreads = cut(spreads, "spreads-settled")
     last = (
         range_join(spreads.select(*keys), fut.select("symbol", "date", F.col("close").alias("spot")),
                    "entry_date", "expiry_dt")
@@ -195,9 +199,9 @@ def expiry_payoff(spreads: DataFrame, fut: DataFrame) -> DataFrame:
     )
 
 
-def spread_exits(spreads: DataFrame, chain: DataFrame, fut: DataFrame) -> DataFrame:
-    """Journal rows: early exit when there is one, settlement otherwise."""
-    early = take_profit_exit(spreads, chain)
+def spread_exits(spreads: DataFrame, chain: DataFrame, fut: DataFrame, parts: int | None = None) -> DataFrame:
+    """Journal rows: early exit when there is one, settlement otherwise. `parts` as in take_profit_exit."""
+    early = take_profit_exit(spreads, chain, parts=parts)
     out = expiry_payoff(early, fut)
     hit = F.col("exit_date").isNotNull()
     return out.select(

@@ -76,13 +76,25 @@ def range_join(events: DataFrame, bars: DataFrame, lo: str, hi: str, key: str =
     ).drop("_m")
 
 
-def two_legs(signals: DataFrame, chain: DataFrame) -> DataFrame:
-    """Both option legs of a spread on the signal date: atm_close, otm_close, lot_size."""
-    on = ["symbol", "date", "option_type", "expiry_dt"]
-    atm = chain.select(*on, F.col("strike").alias("atm_strike"),
-                       F.col("close").alias("atm_close"), "lot_size")
-    otm = chain.select(*on, F.col("strike").alias("otm_strike"), F.col("close").alias("otm_close"))
-    return signals.join(atm, [*on, "atm_strike"]).join(otm, [*on, "otm_strike"])
+def alike(one: Column, two: Column) -> Column:
+    """Equality that is tested on joined rows and is no key of the join, so it does not decide where rows lie."""
+    return one.between(two, two)
+
+
+def two_legs(signals: DataFrame, chain: DataFrame, lot: bool = True) -> DataFrame:
+    """Both option legs of a spread on the signal date: atm_close, otm_close and, unless the signals have it, lot_size.
+
+    Rows meet by (symbol, date): a chain that is dealt by these is not moved, and it streams past
+    the hashed signals, so the larger side is never sorted either. A day of a symbol has few signals.
+    """
+    for leg, more in (("atm", ["lot_size"] if lot else []), ("otm", [])):
+        c = chain.select("symbol", "date", F.col("option_type").alias("_type"), F.col("expiry_dt").alias("_expiry"),
+                         F.col("strike").alias("_strike"), F.col("close").alias(f"{leg}_close"), *more)
+        met = signals.hint("shuffle_hash").join(c, ["symbol", "date"]).where(
+            alike(F.col("_type"), F.col("option_type")) & alike(F.col("_expiry"), F.col("expiry_dt"))
+            & alike(F.col("_strike"), F.col(f"{leg}_strike")))
+        signals = met.drop("_type", "_expiry", "_strike")
+    return signals
 
 
 def pair_series(bars: DataFrame, pairs: DataFrame, min_rows: int = 200, last: int | None = 252) -> DataFrame:
