@@ -153,6 +153,12 @@ def token_bits(at):
     return F.call_function("shiftrightunsigned", word, (at % 16 * 4).cast("int")).bitwiseAND(F.lit(15).cast("long"))
 
 
+def met(one: DataFrame, two: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join of two tables that both grow with the documents: sorted and merged, as a copy of one for every
+    executor would first be gathered and hashed in the driver, and a copy for each such join stays there for a while."""
+    return one.join(two.hint("merge"), on, how)
+
+
 def _coordinate(node, salt: int):
     return F.pmod(F.xxhash64(node, F.lit(salt)), F.lit(COORDINATES))
 
@@ -172,7 +178,7 @@ def nodes(sets: DataFrame, target: float) -> tuple[DataFrame, DataFrame]:
     while True:
         level = cut(level, f"paths-{depth}")
         counts = level.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
-        sized = cut(level.join(counts, "node"), f"nodes-{depth}")
+        sized = cut(met(level, counts, "node"), f"nodes-{depth}")
         few = sized.where(F.col("c") <= LIMIT).drop("c")
         small = few if small is None else small.unionByName(few)
         large = sized.where(F.col("c") > LIMIT)
@@ -202,7 +208,7 @@ def _rated(large: DataFrame) -> DataFrame:
     cells = [F.count_if(F.col(t) == v) for t in picked for v in range(16)]
     shares = rows.groupBy("node").agg(F.transform(F.array(*cells), lambda m: m / F.count(F.lit(1))).alias("shares"))
     square = F.aggregate("shares", F.lit(0.0), lambda s, x: s + x * x) / DENSE_SAMPLE
-    rows = rows.join(shares.select("node", "shares", square.alias("density")), "node")
+    rows = met(rows, shares.select("node", "shares", square.alias("density")), "node")
     own = F.lit(0.0)
     for k, t in enumerate(picked):
         own = own + F.get("shares", (F.lit(16 * k) + F.col(t)).cast("int"))
@@ -212,9 +218,9 @@ def _rated(large: DataFrame) -> DataFrame:
 def clusters(dense: DataFrame) -> DataFrame:
     """cluster, key: dense nodes that share core members are one cluster; all their sets belong to it."""
     spine = dense.where("core").groupBy("key").agg(F.min("node").alias("first"))
-    links = dense.where("core").join(spine, "key").where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    links = met(dense.where("core"), spine, "key").where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     roots = components(links).withColumnsRenamed({"key": "node", "root": "cluster"})
-    return cut(dense.join(roots, "node", "left").select(F.coalesce("cluster", "node").alias("cluster"), "key").distinct(), "clusters")
+    return cut(met(dense, roots, "node", "left").select(F.coalesce("cluster", "node").alias("cluster"), "key").distinct(), "clusters")
 
 
 def candidates(small: DataFrame) -> DataFrame:
@@ -222,7 +228,7 @@ def candidates(small: DataFrame) -> DataFrame:
     one = small.select("node", F.col("key").alias("a"), F.col("n").alias("na"), *[F.col(b).alias(f"{b}_a") for b in WORDS_OF_BITS])
     two = small.select("node", F.col("key").alias("b"), F.col("n").alias("nb"), *[F.col(b).alias(f"{b}_b") for b in WORDS_OF_BITS])
     fits = (F.col("a") < F.col("b")) & (DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb"))
-    pairs = one.join(two, "node").where(fits & (agreement() >= LEAST_AGREEMENT)).select("a", "b")
+    pairs = met(one, two, "node").where(fits & (agreement() >= LEAST_AGREEMENT)).select("a", "b")
     return cut(pairs.distinct(), "candidates")
 
 
@@ -240,7 +246,7 @@ def agreement():
 
 def shingle_sets(docs: DataFrame, keys: DataFrame, sets: DataFrame, doc_id: str, text: str) -> DataFrame:
     """key, s (sorted hashes) of the keys asked for, from the text of one document each."""
-    ids = cut(sets.join(keys, "key", "left_semi").select(F.col("low").alias("id_")).distinct(), "needed-ids")
+    ids = cut(met(sets, keys, "key", "left_semi").select(F.col("low").alias("id_")).distinct(), "needed-ids")
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text_"))
     texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["id_"]), "left_semi").select("text_")
     whole = append_columns(texts, _sets, "text_", [T.StructField("key", T.BinaryType()), T.StructField("s", T.ArrayType(T.LongType()))])
@@ -254,8 +260,8 @@ def _sets(texts: list) -> list[list]:
 
 def checked(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     """The pairs whose sets have a Jaccard similarity of the threshold or more."""
-    both = pairs.join(whole.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a") \
-        .join(whole.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
+    both = met(pairs, whole.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
+    both = met(both, whole.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     both = both.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("total"))
     return both.where(DEN * F.col("common") >= NUM * (F.col("total") - F.col("common"))).select("a", "b").distinct()
@@ -327,10 +333,11 @@ def cluster_links(members: DataFrame, whole: DataFrame, sets: DataFrame) -> Data
     """key, others (documents linked, from one group), to (a set of the same component). members: cluster, key."""
     lists = members.groupBy("key").agg(F.collect_set("cluster").alias("all_clusters"))
     blocks = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("key", "cluster"), F.col("blocks")).cast("int"))
+    rows = met(members, blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("key", "cluster"), F.col("blocks")).cast("int"))
     rows = rows.select("cluster", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("cluster", "key", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    rows = rows.join(lists, "key").join(sets.select("key", "copies"), "key").join(whole.join(lists.select("key"), "key", "left_semi").dropDuplicates(["key"]), "key")
+    rows = met(met(rows, lists, "key"), sets.select("key", "copies"), "key")
+    rows = met(rows, met(whole, lists.select("key"), "key", "left_semi").dropDuplicates(["key"]), "key")
     return rows.groupBy("cluster", "low", "high").applyInPandas(_compare, "key binary, others long, to binary")
 
 
@@ -345,10 +352,10 @@ def components(edges: DataFrame) -> DataFrame:
     step = 0
     while True:
         step += 1
-        around = both.join(labels.select(F.col("key").alias("to"), F.col("root").alias("near")), "to").groupBy("key").agg(F.min("near").alias("near"))
-        moved = labels.join(around, "key").select("key", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        around = met(both, labels.select(F.col("key").alias("to"), F.col("root").alias("near")), "to").groupBy("key").agg(F.min("near").alias("near"))
+        moved = met(labels, around, "key").select("key", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = labels.select(F.col("key").alias("root"), F.col("root").alias("far"))
-        moved = cut(moved.join(jump, "root", "left").select("key", "old", F.coalesce(F.least("far", "root"), "root").alias("root")), f"labels-{step}")
+        moved = cut(met(moved, jump, "root", "left").select("key", "old", F.coalesce(F.least("far", "root"), "root").alias("root")), f"labels-{step}")
         labels = moved.select("key", "root")
         if moved.where(F.col("old") != F.col("root")).isEmpty():
             return labels
@@ -371,24 +378,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         keys = keys.unionByName(members.select("key"))
         lists = members.groupBy("key").agg(F.collect_set("cluster").alias("cs"))
         # Pairs of one cluster are counted there.
-        pairs = pairs.join(lists.select(F.col("key").alias("a"), F.col("cs").alias("ca")), "a", "left").join(lists.select(F.col("key").alias("b"), F.col("cs").alias("cb")), "b", "left") \
+        pairs = met(pairs, lists.select(F.col("key").alias("a"), F.col("cs").alias("ca")), "a", "left")
+        pairs = met(pairs, lists.select(F.col("key").alias("b"), F.col("cs").alias("cb")), "b", "left") \
             .where(~F.coalesce(F.arrays_overlap("ca", "cb"), F.lit(False))).select("a", "b")
     whole = shingle_sets(docs, keys.distinct(), sets, doc_id, text)
     edges = cut(checked(pairs, whole), "links")
     copies = sets.select("key", "copies", "low")
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counted = both.join(copies.select(F.col("key").alias("b"), "copies"), "b").select(F.col("a").alias("key"), F.col("copies").alias("others"))
+    counted = met(both, copies.select(F.col("key").alias("b"), "copies"), "b").select(F.col("a").alias("key"), F.col("copies").alias("others"))
     if dense is not None:
         grouped = cut(cluster_links(members, whole, sets), "cluster-links")
         counted = counted.unionByName(grouped.select("key", "others"))
         edges = edges.unionByName(grouped.where(F.col("key") != F.col("to")).select(F.col("key").alias("a"), F.col("to").alias("b")).distinct())
     roots = components(edges)
     linked = counted.groupBy("key").agg(F.sum("others").alias("others"))
-    classes = roots.join(copies, "key").groupBy("root").agg(F.min("low").alias("class_low"))
-    per_set = copies.join(roots, "key", "left").join(classes, "root", "left").join(linked, "key", "left") \
+    classes = met(roots, copies, "key").groupBy("root").agg(F.min("low").alias("class_low"))
+    per_set = met(met(met(copies, roots, "key", "left"), classes, "root", "left"), linked, "key", "left") \
         .select("key", F.coalesce("class_low", "low").alias("class_id"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     per_set = cut(per_set, "classes")
-    out = found.select("doc_id", "key").join(per_set, "key", "left")
+    out = met(found.select("doc_id", "key"), per_set, "key", "left")
     return out.select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
