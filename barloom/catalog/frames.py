@@ -15,9 +15,10 @@ from ..sources import adapters as A
 from ..sources.scratch import cut
 from .base import BARS, BRAND_BARS, INDEX, key_sql, lagx, over, ret_sql, roll
 
-def panel(s, d):
-    """Written once: book and prices read it several times."""
-    return cut(month_end_panel(A.bars(s, d)), "panel")
+def panel(s, d, bars=None):
+    """Written once: book and prices read it several times. Month ends are read off the lines, or off bars that are written already."""
+    dates = month_end_dates(A.priced_lines(s, d) if bars is None else bars)
+    return cut(month_end_panel(A.bars(s, d) if bars is None else bars, dates), "panel")
 
 
 IND_SQL = f"""ind AS MATERIALIZED (SELECT *, {lagx('close', 21)} / nullif({lagx('close', 252)}, 0) - 1 AS mom,
@@ -74,9 +75,9 @@ def book(s, d, pan=None):
     return P.cap_weights(P.momentum_weights(sel, keys=("config_id", "date")), 0.30, 5, ("config_id", "date"))
 
 
-def book_and_panel(s, d):
+def book_and_panel(s, d, bars=None):
     """The book, the panel that it is chosen from, and the rebalance dates."""
-    pan = panel(s, d)
+    pan = panel(s, d, bars)
     return cut(book(s, d, pan), "book"), pan, month_end_dates(pan)
 
 

@@ -27,8 +27,8 @@ fm AS MATERIALIZED (SELECT *, ret252 / vol60 AS risk_adj_mom FROM ft WHERE date
 
 
 def matrix(s, d):
-    b = A.bars(s, d)
-    return L.feature_matrix(b, CAL.month_end_dates(b))
+    """Month ends are read off the lines, which a bar's date is one of."""
+    return L.feature_matrix(A.bars(s, d), CAL.month_end_dates(A.priced_lines(s, d)))
 
 
 def train(s, d):

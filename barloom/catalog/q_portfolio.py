@@ -11,6 +11,7 @@ from ..operators import metrics as M
 from ..operators import portfolio as P
 from ..operators import regime as R
 from ..sources import adapters as A
+from ..sources.scratch import cut
 from . import frames as X
 from .base import BARS, BRAND_BARS, INDEX, PRICED, TRADES, over, query, r6, regime_sql, ret_sql, run, with_
 from .q_aggregates import PNL_SQL, sell_pnl
@@ -185,16 +186,18 @@ dy AS MATERIALIZED (SELECT bd.date AS entry, c.date, coalesce(ret, 0) * 1.1 AS r
 
 @query("att03_period_daily_returns", with_(*X.BOOK, CHANGES, DAILY, recursive=True, body=f"SELECT entry, date, {r6('ret')} AS ret FROM dy"))
 def _t3(s, d):
-    b, _, dates = X.book_and_panel(s, d)
-    return r(AT.period_daily_returns(b, A.bars(s, d), 1.1, dates=dates), "ret").select("entry", "date", "ret")
+    bars = cut(A.bars(s, d), "bars")
+    b, _, dates = X.book_and_panel(s, d, bars)
+    return r(AT.period_daily_returns(b, bars, 1.1, dates=dates), "ret").select("entry", "date", "ret")
 
 
 @query("att04_charge_costs", with_(*X.BOOK, CHANGES, DAILY, "dr AS (SELECT date AS entry, sum(abs(w1 - w0)) * 0.0015 AS drag FROM chg GROUP BY date)", recursive=True,
     body=f"""SELECT dy.entry, date, {r6('ret - CASE WHEN row_number() OVER (PARTITION BY dy.entry ORDER BY date) = 1 THEN coalesce(drag, 0) ELSE 0 END')} AS net
   FROM dy LEFT JOIN dr ON dr.entry = dy.entry"""))
 def _t4(s, d):
-    b, _, dates = X.book_and_panel(s, d)
-    daily = AT.period_daily_returns(b, A.bars(s, d), 1.1, dates=dates)
+    bars = cut(A.bars(s, d), "bars")
+    b, _, dates = X.book_and_panel(s, d, bars)
+    daily = AT.period_daily_returns(b, bars, 1.1, dates=dates)
     return r(AT.charge_costs(daily, P.cost_drag(P.turnover(b, dates=dates), 0.0015)), "net").select("entry", "date", "net")
 
 
@@ -227,9 +230,8 @@ fa AS MATERIALIZED (SELECT po.date, pr, beta, gross, cost, bf, pr - cost AS net,
 
 
 def forward(s, d):
-    w = X.book(s, d).withColumn("weight", F.when(F.col("slot") == 5, -F.col("weight")).otherwise(F.col("weight"))).select("config_id", "date", "ticker", "weight")
     pan = X.panel(s, d)
-    k = F.substring("ticker", 2, 10).cast("long")
+    w = X.book(s, d, pan).withColumn("weight", F.when(F.col("slot") == 5, -F.col("weight")).otherwise(F.col("weight"))).select("config_id", "date", "ticker", "weight")
     betas = A.table(s, d, "supplier").select(A.ticker_of("s_suppkey").alias("ticker"), ((F.col("s_suppkey") % 5) / F.lit(4.0)).alias("beta"))
     return AT.forward_attribution(w, pan, R.synthetic_index(pan), betas)
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import clean_number, div, finite, truthy
 from ..functions.orderstats import expanding_quantile, quantiles
-from ..functions.windows import lag, rolling
+from ..functions.windows import lag, rolling, rolling_at
 from ..sources.scratch import cut
 from .indicators import ret, return_sequence
 from .rank import top_n
@@ -33,27 +33,48 @@ MODEL = T.StructType([
 ])
 
 
+RETURNS = (21, 63, 126, 252)
+
+
+def _yearly(deviation):
+    return clean_number(deviation * F.sqrt(F.lit(252.0)), 0.20, True)
+
+
+def _turnover_ratio(turnover, mean):
+    return turnover / F.coalesce(F.nullif(mean, F.lit(0.0)), F.lit(1e6))
+
+
 def features(bars: DataFrame) -> DataFrame:
     """Bars with the ten features; one exchange for all windows."""
     df = bars
-    for n in (21, 63, 126, 252):
+    for n in RETURNS:
         df = df.withColumn(f"ret{n}", finite(ret(n)))
     df = df.withColumn("_r", F.coalesce(finite(ret(1)), F.lit(0.0)))
-    ann = F.sqrt(F.lit(252.0))
     for n in (20, 60):
-        df = df.withColumn(f"vol{n}", clean_number(rolling(F.stddev_samp, "_r", n) * ann, 0.20, True))
+        df = df.withColumn(f"vol{n}", _yearly(rolling(F.stddev_samp, "_r", n)))
     turnover = F.col("close") * F.col("volume")
-    df = df.withColumn(
-        "turnover_ratio20", turnover / F.coalesce(F.nullif(rolling(F.avg, turnover, 20), F.lit(0.0)), F.lit(1e6))
-    )
+    df = df.withColumn("turnover_ratio20", _turnover_ratio(turnover, rolling(F.avg, turnover, 20)))
     for n in (50, 200):
         df = df.withColumn(f"price_to_sma{n}", div("close", rolling(F.avg, "close", n)))
     return df.withColumn("risk_adj_mom", div("ret252", "vol60")).drop("_r")
 
 
 def feature_matrix(bars: DataFrame, rebalance: DataFrame) -> DataFrame:
-    """Features on rebalance dates."""
-    return features(bars).join(rebalance.select("date").distinct(), "date", "left_semi").select("date", "ticker", *FEATURES)
+    """Features on rebalance dates. Moving frames are worked out on those dates only; the dates are a calendar's, so they travel."""
+    due = rebalance.select("date").distinct().withColumn("_due", F.lit(True))
+    df = bars.withColumn("_turnover", F.col("close") * F.col("volume")).withColumn("_r", F.coalesce(finite(ret(1)), F.lit(0.0)))
+    for n in RETURNS:
+        df = df.withColumn(f"ret{n}", finite(ret(n)))
+    df = df.join(F.broadcast(due), "date", "left").withColumn("_due", truthy("_due"))
+    stats = {f"_sd{n}": ("stddev_samp", "_r", n) for n in (20, 60)}
+    stats |= {"_turnover20": ("avg", "_turnover", 20)} | {f"_sma{n}": ("avg", "close", n) for n in (50, 200)}
+    df = rolling_at(df, "_due", stats, ["date", "ticker", "close", "_turnover", *[f"ret{n}" for n in RETURNS]])
+    for n in (20, 60):
+        df = df.withColumn(f"vol{n}", _yearly(F.col(f"_sd{n}")))
+    df = df.withColumn("turnover_ratio20", _turnover_ratio(F.col("_turnover"), F.col("_turnover20")))
+    for n in (50, 200):
+        df = df.withColumn(f"price_to_sma{n}", div("close", f"_sma{n}"))
+    return df.withColumn("risk_adj_mom", div("ret252", "vol60")).select("date", "ticker", *FEATURES)
 
 
 def fit_medians(train: DataFrame, cols: list[str]) -> DataFrame:

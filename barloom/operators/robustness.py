@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import div, finite, truthy
-from ..functions.windows import lag, rolling, running
+from ..functions.windows import lag, lead, rolling_at, running
 from ..sources.scratch import cut
 from .attribution import charge_costs, period_daily_returns
 from .calendar import month_end_dates
@@ -58,22 +58,22 @@ def sweep_panel(bars: DataFrame, grid: list[dict]) -> DataFrame:
     """Month-end cross-sections with what any configuration asks for: close, trend, turnover,
     volatility, one momentum column per (window, skip), one state column per regime window.
 
-    All indicators share one window, and rows are reduced to months x tickers before
-    any configuration multiplies them. Written once.
+    Moving frames are worked out on the month ends only, and rows are reduced to months x tickers
+    before any configuration multiplies them. Written once.
     """
+    month = lambda c: F.trunc(c, "month")
     ret = F.coalesce(div("close", lag("close")) - 1, F.lit(0.0))
     ind = bars.withColumn("_r", ret).withColumn("_t", F.col("close") * F.col("volume"))
-    ind = (
-        ind.withColumn("sma200", rolling(F.avg, "close", 200)).withColumn("avg_turnover20", rolling(F.avg, "_t", 20))
-        .withColumn("vol60", F.coalesce(rolling(F.stddev_samp, "_r", 60) * F.sqrt(F.lit(252.0)), F.lit(0.3)))
-    )
+    ind = ind.withColumn("month", month("date")).withColumn("_last", ~month(lead("date")).eqNullSafe(month("date")))
     pairs = grid_pairs(grid)
     for window, skip in pairs:
         recent = lag("close", skip) if skip else F.col("close")
         ind = ind.withColumn(f"mom_{window}_{skip}", div(recent, lag("close", window)) - 1)
+    stats = {"sma200": ("avg", "close", 200), "avg_turnover20": ("avg", "_t", 20), "_sd60": ("stddev_samp", "_r", 60)}
+    last = rolling_at(ind, "_last", stats, ["ticker", "month", "close", *[f"mom_{w}_{s}" for w, s in pairs]])
+    last = last.withColumn("vol60", F.coalesce(F.col("_sd60") * F.sqrt(F.lit(252.0)), F.lit(0.3)))
     cols = ["close", "sma200", "avg_turnover20", "vol60", *[f"mom_{w}_{s}" for w, s in pairs]]
-    last = ind.groupBy("ticker", F.trunc("date", "month").alias("month")).agg(F.max_by(F.struct(*cols), "date").alias("r"))
-    panel = last.join(month_end_dates(bars), "month").select("date", "ticker", "r.*")
+    panel = last.join(F.broadcast(month_end_dates(bars)), "month").select("date", "ticker", *cols)
     index = cut(synthetic_index(bars), "index")
     for n in sorted({c["regime_sma"] for c in grid}):
         state = market_regime(index, n).select("date", F.col("bullish").alias(f"bull_{n}"))
