@@ -66,8 +66,7 @@ mk AS MATERIALIZED (SELECT ps.*, price, qty * price AS mv, (price - avg_cost) *
 
 def marked(s, d):
     t = A.trades(s, d)
-    px = t.groupBy("symbol").agg(F.max_by("price", F.struct("ts", "trade_id")).alias("price"))
-    return L.mark_to_market(L.open_positions(t), px)
+    return L.mark_to_market(L.open_positions(t), L.last_prices(t))
 
 
 @query("led04_mark_to_market", with_(*T, AVG, MARK, recursive=True, body=f"SELECT strategy, symbol, {r6('mv', 2)} AS market_value, {r6('un', 2)} AS unrealised, {r6('(price / avg_cost - 1) * 100')} AS unrealised_pct FROM mk"))

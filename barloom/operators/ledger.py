@@ -2,12 +2,14 @@
 
 A strategy or a symbol may hold any share of all trades. Trades are therefore
 first reduced per hour or day, running sums run over those (bounded by the
-calendar), and single trades are only ordered inside one hour.
+calendar), and single trades are only ordered inside one hour. Average cost walks
+the trades of a symbol in order, and takes that road for symbols with many trades only.
 """
 
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -87,14 +89,142 @@ def portfolio_values(trades: DataFrame, prices: DataFrame, initial: float) -> Da
     ).withColumn("portfolio_value", F.col("cash") + F.col("holdings"))
 
 
-def average_cost(trades: DataFrame) -> DataFrame:
+#: Trades of a symbol up to which they are walked in one go; a symbol with more is settled by hours, in parallel.
+WALKED_TRADES = 1_000_000
+
+
+def average_cost(trades: DataFrame, walked: int = WALKED_TRADES) -> DataFrame:
     """Adds qty_after, avg_cost (NULL once flat) and realised to every accepted trade.
 
     A buy re-averages, a sale keeps the average, and a flat position starts
     anew. The cost value c follows c' = a * c + b with a = 1, b = qty * price
-    for a buy and a = qty_after / qty_before, b = 0 for a sale. Such maps
-    compose, so each hour is reduced to one (a, b), the hours of a symbol are
-    folded in order, and every trade is then finished inside its own hour.
+    for a buy and a = qty_after / qty_before, b = 0 for a sale. Trades move once:
+    a symbol's trades are walked in order, from batch to batch, without collecting
+    them. Only symbols of more than `walked` trades are settled by hours. Trades
+    without strategy, symbol or time are dropped.
+    """
+    return _settled(trades, walked, _cost_walked, _cost_by_hours)
+
+
+def _settled(trades: DataFrame, walked: int, few, many) -> DataFrame:
+    """few(trades) of the symbols of up to `walked` trades, and many(trades) of the others."""
+    large = trades.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > walked).select(*KEYS)
+    large = cut(large, "large-symbols")
+    if large.isEmpty():
+        return few(trades)
+    return few(trades.join(large, KEYS, "left_anti")).unionByName(many(trades.join(large, KEYS, "left_semi")))
+
+
+class _Position:
+    """Quantity and cost of one symbol, trade by trade: per hour and spell between flat positions, as `_cost_by_hours` sums them."""
+
+    def __init__(self):
+        self.held, self.cost, self.hour = 0.0, 0.0, None
+        self._open()
+
+    def _open(self) -> None:
+        self.known, self.flats, self.flat, self.factor, self.bought, self.last = False, 0, False, None, 0.0, None
+
+    def _close(self) -> None:
+        a, c, m = (0.0 if self.flats else self.factor), self.cost, self.factor
+        self.cost = None if a is None or c is None or m is None else a * c + m * self.bought
+        self._open()
+
+    def trade(self, hour, side, qty, price) -> tuple[float | None, float | None, float | None]:
+        """qty_after, avg_cost and realised; a trade without time only counts for the quantity."""
+        if hour != self.hour:
+            if self.hour is not None:
+                self._close()
+            self.hour = hour
+        buy = side == "buy"
+        signed = None if qty is None else qty if buy else -qty
+        if signed is not None:
+            self.held, self.known = self.held + signed, True
+        if hour is None:
+            self.known = False
+            return None, None, None
+        after = self.held if self.known else None
+        before = None if after is None or signed is None else after - signed
+        if self.flat:
+            self.flats, self.factor, self.bought = self.flats + 1, None, 0.0
+        self.flat = after is not None and after < FLAT
+        a = 1.0 if buy else 0.0 if self.flat else after / before if after is not None and before else None
+        if a is not None:
+            self.factor = a if self.factor is None else self.factor * a
+        if buy and self.factor and qty is not None and price is not None:
+            self.bought += qty * price / self.factor
+        prior = self.cost if self.last is None else self.last
+        start = 0.0 if self.flats else self.cost
+        self.last = None if self.factor is None or start is None else self.factor * (start + self.bought)
+        average = self.last / after if after and not self.flat and self.last is not None else None
+        realised = None
+        if side is not None and not buy and before and None not in (prior, price):
+            realised = (price - prior / before) * qty
+        return after, average, realised
+
+
+_WALK = T.StructType([T.StructField(c, T.DoubleType()) for c in ("qty_after", "avg_cost", "realised")])
+
+
+def _in_order(trades: DataFrame, columns: list[str]) -> DataFrame:
+    """The trades of a symbol in one partition and in order: `columns`, and the six that a position reads."""
+    known = trades.where(F.col("strategy").isNotNull() & F.col("symbol").isNotNull())
+    number = lambda c: F.col(c).cast("double").alias(f"_{c}")
+    return known.repartition(*KEYS).sortWithinPartitions(*KEYS, "ts", "trade_id").select(
+        *columns, F.col("strategy").alias("_strategy"), F.col("symbol").alias("_symbol"),
+        F.date_trunc("hour", "ts").cast("long").alias("_hour"), F.col("side").alias("_side"), number("qty"), number("price"))
+
+
+def _cost_walked(trades: DataFrame) -> DataFrame:
+    schema = T.StructType([*trades.schema.fields, *_WALK.fields])
+
+    def walk(batches):
+        key, at = None, None
+        for batch in batches:
+            kept, done = [], []
+            for i, (*k, hour, side, qty, price) in enumerate(zip(*(x.to_pylist() for x in batch.columns[-6:]))):
+                if k != key:
+                    key, at = k, _Position()
+                value = at.trade(hour, side, qty, price)
+                if hour is not None:
+                    kept.append(i)
+                    done.append(value)
+            if kept:
+                out = [x.take(pa.array(kept)) for x in batch.columns[:-6]]
+                yield pa.RecordBatch.from_arrays([*out, *(pa.array(v, pa.float64()) for v in zip(*done))], names=schema.names)
+
+    return _in_order(trades, trades.columns).mapInArrow(walk, schema)
+
+
+def _last_walked(trades: DataFrame) -> DataFrame:
+    schema = T.StructType([*trades.select(*KEYS).schema.fields, *_WALK.fields[:2]])
+    kinds = [pa.string(), pa.string(), pa.float64(), pa.float64()]
+
+    def walk(batches):
+        key, at, ended, done = None, None, None, []
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*done), kinds)], names=schema.names)
+        for batch in batches:
+            done = []
+            for *k, hour, side, qty, price in zip(*(x.to_pylist() for x in batch.columns)):
+                if k != key:
+                    if ended is not None:
+                        done.append(ended)
+                    key, at, ended = k, _Position(), None
+                value = at.trade(hour, side, qty, price)
+                if hour is not None:
+                    ended = (*k, *value[:2])
+            if done:
+                yield rows()
+        if ended is not None:
+            done = [ended]
+            yield rows()
+
+    return _in_order(trades, []).mapInArrow(walk, schema)
+
+
+def _cost_by_hours(trades: DataFrame) -> DataFrame:
+    """Maps of cost value compose, so each hour is reduced to one (a, b), the hours of a
+    symbol are folded in order, and every trade is then finished inside its own hour.
     """
     t = trades.withColumn("chunk", F.date_trunc("hour", F.col("ts"))).withColumn("_sq", _signed(F.col("qty")))
     chunks = t.groupBy(*KEYS, "chunk").agg(F.sum("_sq").alias("_net"))
@@ -142,14 +272,23 @@ def realised_pnl(trades: DataFrame) -> DataFrame:
     return average_cost(trades).where(F.col("side") == "sell").select(*trades.columns, "realised")
 
 
-def open_positions(trades: DataFrame) -> DataFrame:
+def _last_by_hours(trades: DataFrame) -> DataFrame:
+    last = _cost_by_hours(trades).groupBy(*KEYS).agg(F.max_by(F.struct("qty_after", "avg_cost"), F.struct("ts", "trade_id")).alias("p"))
+    return last.select(*KEYS, "p.qty_after", "p.avg_cost")
+
+
+def open_positions(trades: DataFrame, walked: int = WALKED_TRADES) -> DataFrame:
     """strategy, symbol, qty, avg_cost after the last trade; flat ones are gone."""
-    last = average_cost(trades).groupBy(*KEYS).agg(
-        F.max_by(F.struct("qty_after", "avg_cost"), F.struct("ts", "trade_id")).alias("p")
-    )
-    return last.select(*KEYS, F.col("p.qty_after").alias("qty"), F.col("p.avg_cost").alias("avg_cost")).where(
-        F.col("qty") >= FLAT
-    )
+    trades = trades.select(*KEYS, "side", "qty", "price", "ts", "trade_id")
+    last = _settled(trades, walked, _last_walked, _last_by_hours)
+    return last.select(*KEYS, F.col("qty_after").alias("qty"), "avg_cost").where(F.col("qty") >= FLAT)
+
+
+def last_prices(trades: DataFrame) -> DataFrame:
+    """symbol, price of its last trade. Only trades of a symbol's last moment are compared by id, so no trade is moved or sorted."""
+    newest = cut(trades.groupBy("symbol").agg(F.max("ts").alias("ts")), "last-moments")
+    last = trades.join(newest, ["symbol", "ts"], "left_semi")
+    return last.groupBy("symbol").agg(F.max_by("price", F.struct("ts", "trade_id")).alias("price"))
 
 
 def mark_to_market(positions: DataFrame, prices: DataFrame) -> DataFrame:
