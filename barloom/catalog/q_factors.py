@@ -335,8 +335,9 @@ fx AS (SELECT * FROM hx WHERE reason IS NOT NULL QUALIFY row_number() OVER (PART
     body=f"SELECT en.ticker, en.entry_date, fx.date AS exit_date, reason, {r6('fx.close')} AS exit_close, step AS rows_held FROM en LEFT JOIN fx ON fx.ticker = en.ticker AND fx.entry_date = en.entry_date"))
 def _q7(s, d):
     ind = I.atr(A.bars(s, d), 14).withColumn("kama", rolling(F.avg, "close", 10))
+    ind = cut(ind.select("ticker", "date", "close", "low", "high", "kama", "atr14"), "series")
     e = monthly_entries(s, d, ind)
-    x = PO.barrier_exits(e, ind.select("ticker", "date", "close", "low", "high", "kama", F.col("atr14").alias("atr_now")))
+    x = PO.barrier_exits(e, ind.withColumnRenamed("atr14", "atr_now"))
     return r(x, "exit_close").select("ticker", "entry_date", "exit_date", "reason", "exit_close", F.col("rows_held").cast("long").alias("rows_held"))
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import div, truthy
 from ..schemas import ExitLimits
+from ..sources.scratch import cut
 from .rank import top_n
 
 
@@ -100,19 +101,14 @@ def fill_slots(candidates: DataFrame, book: DataFrame, max_positions: int = 10,
     return top_n(fresh, by, max_positions, ("_g",)).where(F.col("rank") <= free).drop("_g")
 
 
-def _later_rows(entries: DataFrame, bars: DataFrame, max_rows: int) -> DataFrame:
-    """Rows of each entry's ticker after the entry date, numbered from 1.
+#: Rows after entries that are judged at a time.
+JUDGED_ROWS = 1_000_000
 
-    Row positions are numbered once on the bars; an entry then matches the
-    positions pos + 1 .. pos + max_rows by equality, never the whole series.
-    """
-    pos = F.row_number().over(W.partitionBy("ticker").orderBy("date"))
-    numbered = bars.withColumn("_pos", pos)
-    at = entries.join(
-        numbered.select("ticker", F.col("date").alias("entry_date"), F.col("_pos").alias("_at")), ["ticker", "entry_date"]
-    )
-    spread = at.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(max_rows)))).withColumn("_pos", F.col("_at") + F.col("step"))
-    return spread.join(numbered, ["ticker", "_pos"])
+
+def _as_spark_orders(x: pa.ChunkedArray) -> np.ndarray:
+    """Missing becomes NaN, which meets no bound; a NaN lies above every number."""
+    values = x.to_numpy()
+    return np.where(np.isnan(values) & x.is_valid().to_numpy(), np.inf, values)
 
 
 def barrier_exits(entries: DataFrame, bars: DataFrame, stop: float = 1.5, target: float = 2.5,
@@ -120,15 +116,48 @@ def barrier_exits(entries: DataFrame, bars: DataFrame, stop: float = 1.5, target
     """First of stop, target, trend death or timeout after each entry.
 
     entries: ticker, entry_date, entry_price, atr; bars carry close, low, high and kama, atr_now.
+    Entries of a day are reduced to their tightest bounds. These and the bars of a ticker, a row
+    per day at most, meet in one group: bars move once, and no row after an entry is copied.
     """
-    rows = _later_rows(entries, bars, max_rows)
-    reason = (
-        F.when(F.col("low") <= F.col("entry_price") - stop * F.col("atr"), "Stop Loss")
-        .when(F.col("high") >= F.col("entry_price") + target * F.col("atr"), "Target")
-        .when(truthy(F.col("close") < F.col("kama") - 0.5 * F.col("atr_now")), "Trend Death")
-        .when(F.col("step") == max_rows, "Timeout")
-    )
-    hits = rows.withColumn("reason", reason).where(F.col("reason").isNotNull())
+    entries = cut(entries, "entries")
+    bounds = entries.where(F.col("ticker").isNotNull() & F.col("entry_date").isNotNull()).groupBy("ticker", "entry_date").agg(
+        F.max(F.col("entry_price") - stop * F.col("atr")).cast("double").alias("_stop"),
+        F.min(F.col("entry_price") + target * F.col("atr")).cast("double").alias("_target"))
+    rows = bars.where(F.col("ticker").isNotNull()).select(
+        "ticker", "date", "close", F.col("low").cast("double").alias("_low"), F.col("high").cast("double").alias("_high"),
+        truthy(F.col("close") < F.col("kama") - 0.5 * F.col("atr_now")).alias("_dead"))
+    kinds = {f.name: f.dataType for f in [*entries.schema.fields, *bars.schema.fields]}
+    schema = T.StructType([T.StructField("ticker", kinds["ticker"]), T.StructField("entry_date", kinds["entry_date"]), T.StructField("date", kinds["date"]),
+                           T.StructField("reason", T.StringType()), T.StructField("close", kinds["close"]), T.StructField("step", T.IntegerType())])
+    reasons = pa.array(["Stop Loss", "Target", "Trend Death", "Timeout"])
+
+    def judged(asked: pa.Table, series: pa.Table) -> pa.Table:
+        series = series.take(pc.sort_indices(series, sort_keys=[("date", "ascending")], null_placement="at_start")).combine_chunks()
+        asked = asked.sort_by("entry_date").combine_chunks()
+        # The rows of the series on which an entry is made, and its bounds.
+        mine = pc.fill_null(pc.index_in(series["date"], asked["entry_date"].combine_chunks()), -1).to_numpy()
+        at, n = np.flatnonzero(mine >= 0), series.num_rows
+        low, high, dead = _as_spark_orders(series["_low"]), _as_spark_orders(series["_high"]), series["_dead"].to_numpy()
+        floor, ceiling = _as_spark_orders(asked["_stop"])[mine[at]], _as_spark_orders(asked["_target"])[mine[at]]
+        width = max(1, min(max_rows, n))
+        steps = np.arange(1, width + 1)
+        found, code = np.full(len(at), -1), np.zeros(len(at), np.int64)
+        for i in range(0, len(at), size := max(1, JUDGED_ROWS // width)):
+            part = slice(i, i + size)
+            row = at[part, None] + steps
+            there, row = row < n, np.minimum(row, n - 1)
+            hits = [low[row] <= floor[part, None], high[row] >= ceiling[part, None], dead[row], np.broadcast_to(steps == max_rows, row.shape)]
+            hit = there & np.logical_or.reduce(hits)
+            first = hit.argmax(axis=1)
+            pick = np.arange(len(first)), first
+            found[part] = np.where(hit[pick], first + 1, -1)
+            code[part] = np.stack([h[pick] for h in hits]).argmax(axis=0)
+        live = found > 0
+        exits = series.take(pa.array(at[live] + found[live]))
+        return pa.table([exits["ticker"], asked["entry_date"].take(pa.array(mine[at[live]])), exits["date"], reasons.take(pa.array(code[live])), exits["close"],
+                         pa.array(found[live].astype(np.int32))], names=schema.names)
+
+    hits = bounds.groupBy("ticker").cogroup(rows.groupBy("ticker")).applyInArrow(judged, schema)
     first = hits.groupBy("ticker", "entry_date").agg(
         F.min_by(F.struct("date", "reason", "close", "step"), "step").alias("_x")
     )
