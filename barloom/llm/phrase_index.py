@@ -7,15 +7,17 @@ reverse, sorted to the depth of the longest phrase. An interval in each stands f
 phrase; one step extends all intervals of a depth by every word that follows, and
 gives counts and the number of occurrences with a word to the left and to the right.
 
-Shards only tell their phrases by name once these are known to be frequent:
-
-1. every shard sums words and pairs of words, packed by hash into buckets;
-2. a bucket (one task, bounded by its share of the words) adds the shards up and
-   tells each shard which of its own are frequent. Equal hashes can only add up, so
-   nothing frequent is lost; a bucket has few words against 2**32 hashes at any size;
-3. the same for three words, grown from frequent pairs;
-4. the shards name what grows from frequent phrases only, and these counts are summed
-   exactly.
+Every phrase is summed whole in one bucket, a task whose share of the words is bounded:
+
+1. a shard deals its phrases of 1 to max_words words to buckets, by a hash of the word or
+   of the first two words; longer phrases go along, so a shard sends each bucket tries
+   whose words stand once per branch. What is sent follows the words of the corpus, not
+   how many phrases are frequent;
+2. branches that are a large part of the corpus are dealt one word further down. Which
+   ones they are is told by every SAMPLED-th place of all shards and changes where a phrase
+   is summed only. There the words above are sent along with no occurrences;
+3. a bucket adds up the shards, level by level below frequent phrases, and names what is
+   frequent.
 
 Lower case: A-Z. Pieces end at `[.,;:!?\\x0A-\\x0D]`, words are `[^\\x20\\x09]+`. Null text: no
 words. Null group: `und`. Repeated rows count each time. Other columns are not read.
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -40,15 +43,19 @@ from barloom.sources.scratch import cut
 
 #: Words of a shard; its index takes about 60 bytes a word while it is built.
 SHARD_WORDS = 1_000_000
-#: Words of the longest phrases whose hashes are summed before any are named.
-FILTERED = 3
+#: Every so many places of a shard tell which branches are large; words of the longest of these.
+SAMPLED, SPLIT_WORDS = 8, 3
+#: Large branches are at most about so many of each number of words.
+SPLIT = 40_000
 #: Rows of intervals that are extended at a time.
 EXTEND_ROWS = 500_000
-#: Words of the corpus per bucket; a bucket's packed rows are about as many at most.
+#: Words a shard puts into messages at a time.
+DEAL_WORDS = 500_000
+#: Words of the corpus per bucket; each is there as the first of one phrase of every length at most.
 BUCKET_WORDS = 1_000_000
 NO_GROUP = "und"
 
-_SHARD = "shard long, groups array<string>, n_words array<long>, letters long, words binary, distinct long, owners binary, size long, ids binary"
+_SHARD = "shard long, groups array<string>, n_words array<long>, letters long, words binary, distinct long, owners binary, size long, ids binary, large array<long>, seen array<int>"
 
 
 def tokens(texts: pa.Array) -> pa.Array:
@@ -68,6 +75,40 @@ def _unpack(data: bytes, size: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.int32).ravel()
 
 
+def _hashes(words: list[str], groups: list[str], owners: np.ndarray) -> np.ndarray:
+    """A hash of each word and its group, 0 for number 0."""
+    hashes = pd.util.hash_array(np.array(words, object), categorize=False)
+    of_group = pd.util.hash_array(np.array(groups, object), categorize=False)
+    return np.concatenate([np.zeros(1, np.uint64), hashes ^ (of_group[owners] * np.uint64(0x9E3779B97F4A7C15))])
+
+
+def _longer(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of phrases with a word more, whose own hashes are given."""
+    x = (hashes + words) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return x ^ (x >> np.uint64(29))
+
+
+def _bucket(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
+    x = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+    return ((x >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
+
+
+def _large(ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of phrases that are a large part of the places looked at, and how often they were seen."""
+    at = np.arange(0, len(ids), SAMPLED)
+    found, x, live = [], np.zeros(len(at), np.uint64), np.ones(len(at), bool)
+    for d in range(SPLIT_WORDS):
+        word = ids[(at + d) % len(ids)]
+        live &= word > 0
+        x = _longer(x, hashes[word])
+        if d:
+            phrase, seen = np.unique(x[live], return_counts=True)
+            many = (seen > 1) & (seen * SPLIT >= len(at))
+            found.append((phrase[many], seen[many]))
+    phrase, seen = (np.concatenate(x) for x in zip(*found))
+    return phrase.view(np.int64), seen.astype(np.int32)
+
+
 class _Shard:
     """Numbers of the words seen so far; 0 ends a piece."""
 
@@ -101,12 +142,14 @@ class _Shard:
         order = np.argsort(-counts, kind="stable")
         rank = np.zeros(len(self.words) + 1, np.int32)
         rank[order + 1] = np.arange(1, len(order) + 1)
-        packed = _pack(rank[ids])
-        words = "\n".join(self.words[i] for i in order).encode()
+        ids, ordered = rank[ids], [self.words[i] for i in order]
+        packed = _pack(ids)
+        large, seen = _large(ids, _hashes(ordered, list(self.known), owners[order]))
+        words = "\n".join(ordered).encode()
         cols = [[shard], [list(self.known)], [n_words.tolist()], [len(words)], [pa.compress(words, codec="zstd", asbytes=True)], [len(order)], [_pack(owners[order])],
-                [len(ids)], [packed]]
-        kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
-        names = ["shard", "groups", "n_words", "letters", "words", "distinct", "owners", "size", "ids"]
+                [len(ids)], [packed], [large], [seen]]
+        kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        names = ["shard", "groups", "n_words", "letters", "words", "distinct", "owners", "size", "ids", "large", "seen"]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
 
@@ -167,19 +210,22 @@ class BidirectionalIndex:
         return _Transform(self.ids, self.depth)
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Phrases of one word: words (n x 1), interval begins left and right, counts."""
+        """Phrases of one word: words, interval begins left and right, counts."""
         found = np.flatnonzero(self.counts)
         found = found[found > 0]
-        return found[:, None].astype(np.int32), self.begin[found], self.begin[found], self.counts[found]
+        return found.astype(np.int32), self.begin[found], self.begin[found], self.counts[found]
 
-    def extend(self, phrases, lo_left, lo_right, size):
-        """All phrases with one word more at the right; EXTEND_ROWS rows and one interval more at a time."""
+    def extend(self, lo_left, lo_right, size):
+        """All phrases with one word more at the right: numbers of the phrases given, words, interval begins left and right, counts.
+
+        EXTEND_ROWS rows and one interval more at a time.
+        """
         part = (np.cumsum(size) - size) // EXTEND_ROWS
         ends = np.append(np.flatnonzero(np.diff(part)) + 1, len(part))
-        found = [self._extend(*(x[a:b] for x in (phrases, lo_left, lo_right, size))) for a, b in zip(np.append(0, ends[:-1]), ends)]
+        found = [self._extend(a, *(x[a:b] for x in (lo_left, lo_right, size))) for a, b in zip(np.append(0, ends[:-1]), ends)]
         return tuple(np.concatenate(x) for x in zip(*found))
 
-    def _extend(self, phrases, lo_left, lo_right, size):
+    def _extend(self, begin, lo_left, lo_right, size):
         owner = np.repeat(np.arange(len(size)), size)
         base = np.cumsum(size) - size
         rows = np.arange(len(owner)) + np.repeat(lo_right - base, size)
@@ -193,8 +239,7 @@ class BidirectionalIndex:
         live = word[at] > 0
         at, first, count = at[live], first[live], count[live]
         who = owner[at]
-        return (np.concatenate([phrases[who], word[at][:, None]], axis=1), lo_left[who] + first - base[who],
-                self.right.step[rows[at]].astype(np.int64), count)
+        return who + begin, word[at], lo_left[who] + first - base[who], self.right.step[rows[at]].astype(np.int64), count
 
     def extendable(self, lo_left, lo_right, size) -> tuple[np.ndarray, np.ndarray]:
         """Occurrences with a word to the left, and to the right, in their piece."""
@@ -202,119 +247,191 @@ class BidirectionalIndex:
         return a[lo_left + size] - a[lo_left], b[lo_right + size] - b[lo_right]
 
 
+class _Level(NamedTuple):
+    """Phrases of a number of words in order: the phrase without the last word, the last word, counts, a hash."""
+
+    parent: np.ndarray
+    word: np.ndarray
+    n: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    hash: np.ndarray
+
+
 class _Opened:
-    def __init__(self, row: dict, depth: int):
-        self.index = BidirectionalIndex(_unpack(row["ids"], row["size"]), depth)
+    def __init__(self, row: dict):
+        self.ids = _unpack(row["ids"], row["size"])
         self.owners, self.groups = _unpack(row["owners"], row["distinct"]), row["groups"]
         self.words = pa.decompress(row["words"], row["letters"], codec="zstd", asbytes=True).decode().split("\n") if row["distinct"] else []
-        hashes = pd.util.hash_array(np.array(self.words, object), categorize=False)
-        of_group = pd.util.hash_array(np.array(self.groups, object), categorize=False)
-        self.hash = np.concatenate([np.zeros(1, np.uint64), hashes ^ (of_group[self.owners] * np.uint64(0x9E3779B97F4A7C15))])
-
-    def keys(self, phrases: np.ndarray, n_buckets: int) -> np.ndarray:
-        """Bucket in the high and 32 bits of a hash in the low half; of the last FILTERED words of longer phrases."""
-        x = np.zeros(len(phrases), np.uint64)
-        for j in range(max(0, phrases.shape[1] - FILTERED), phrases.shape[1]):
-            x = (x + self.hash[phrases[:, j]]) * np.uint64(0xC2B2AE3D27D4EB4F)
-            x ^= x >> np.uint64(29)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
-        return ((x % np.uint64(n_buckets)) << np.uint64(32) | x >> np.uint64(32)).view(np.int64)
-
-    def grow(self, known: np.ndarray | None, depth: int, n_buckets: int):
-        """Phrases of 1 to depth words with their keys; where known is given, longer ones grow from known ones only."""
-        state = self.index.words()
-        for d in range(1, depth + 1):
-            if d > 1:
-                state = self.index.extend(*state)
-            keys = self.keys(state[0], n_buckets)
-            if known is not None:
-                # What is still to be summed has no key among the known ones yet, but its end has.
-                summed = d < depth or d > FILTERED
-                keep = np.isin(keys if summed else self.keys(state[0][:, -(depth - 1):], n_buckets), known)
-                state, keys = _only(state, keep), keys[keep]
-            if not len(keys):
-                return
-            yield state, keys
-
-
-def _only(state, keep):
-    return tuple(x[keep] for x in state)
-
-
-def _opened(batches, depth: int):
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
-            yield row, _Opened(row, depth)
-
-
-def _added(min_count: int):
-    def added(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        rows = np.repeat(np.arange(group.num_rows), pc.list_value_length(group["keys"]).to_numpy())
-        keys = pc.list_flatten(group["keys"]).to_numpy()
-        counts = pc.list_flatten(group["counts"]).to_numpy().astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
-        total = np.add.reduceat(counts[order], first)
-        live = np.zeros(len(keys), bool)
-        live[order] = np.repeat(total >= min_count, np.diff(np.append(first, len(keys))))
-        rows = rows[live]
-        keys = (np.int64(group["bucket"][0].as_py()) << np.int64(32)) | keys[live].view(np.uint32).astype(np.int64)
-        offsets = np.searchsorted(rows, np.arange(group.num_rows + 1)).astype(np.int32)
-        return pa.table({"shard": group["shard"], "keys": pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))})
-
-    return added
-
-
-def _frequent(index: DataFrame, depths: tuple[int, ...], min_count: int, n_buckets: int) -> DataFrame:
-    """(shard, keys): keys of the frequent phrases of every shard, of the given numbers of words.
-
-    index may have the keys of frequent shorter phrases, from which alone longer ones grow.
+
+    def levels(self, depth: int) -> list[_Level]:
+        """All phrases of 1 to depth words."""
+        index, hashes = BidirectionalIndex(self.ids, depth), _hashes(self.words, self.groups, self.owners)
+        out, (word, *interval) = [], index.words()
+        parent, above = np.zeros(len(word), np.int64), np.zeros(1, np.uint64)
+        for d in range(depth):
+            if d:
+                parent, word, *interval = index.extend(*interval)
+            left, right = index.extendable(*interval)
+            above = _longer(above[parent], hashes[word])
+            out.append(_Level(parent.astype(np.int32), word, interval[2].astype(np.int32), left, right, above))
+        return out
+
+
+class _Dealt(NamedTuple):
+    """Phrases of a level in order of their buckets: bucket, number in the level, whether only longer ones are summed there, longer ones."""
+
+    bucket: np.ndarray
+    at: np.ndarray
+    carried: np.ndarray
+    kids: np.ndarray
+
+
+def _deal(levels: list[_Level], n_buckets: int, large: np.ndarray) -> list[_Dealt]:
+    buckets = [_bucket(level.hash, n_buckets) for level in levels[:2]]
+    for above, level in zip(levels[1:], levels[2:]):
+        buckets.append(np.where(np.isin(above.hash, large)[level.parent], _bucket(level.hash, n_buckets), buckets[-1][level.parent]))
+    out, below, parent = [], None, None
+    for level, bucket in zip(levels[:0:-1], buckets[:0:-1]):
+        size = len(bucket)
+        keys, longer = bucket * size + np.arange(size), np.zeros(0, np.int64)
+        if below is not None:
+            longer = below.bucket * size + parent
+            keys = np.concatenate([keys, np.unique(longer[below.bucket != bucket[parent]])])
+        keys = np.sort(keys, kind="stable")
+        kids = np.bincount(np.searchsorted(keys, longer), minlength=len(keys))
+        found, at = np.divmod(keys, max(1, size))
+        below = _Dealt(found, at, found != bucket[at], kids)
+        parent = level.parent[at]
+        out.append(below)
+    order = np.argsort(buckets[0], kind="stable")
+    none = np.zeros(len(order), np.int64)
+    return [_Dealt(buckets[0][order], order, none > 0, none), *out[::-1]]
+
+
+_MESSAGE = "bucket int, groups array<string>, sizes array<int>, letters long, words binary, size long, numbers binary"
+
+
+def _messages(shard: _Opened, depth: int, n_buckets: int, large: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What a shard sends to each bucket.
+
+    words: the single words, then the first words of pairs and the last words of every level. numbers: groups of words
+    and pairs, then how many longer phrases follow each phrase of a level, then counts, left and right of every level.
     """
-    filtered = "keys" in index.columns
-
-    def packed(batches):
-        for row, shard in _opened(batches, max(depths)):
-            known = np.array(row["keys"], np.int64) if filtered else None
-            found = [(keys, state[3]) for state, keys in shard.grow(known, max(depths), n_buckets) if state[0].shape[1] in depths]
-            if not found:
-                continue
-            keys, counts = (np.concatenate(x) for x in zip(*found))
-            order = np.argsort(keys, kind="stable")
-            bucket, low, counts = (keys[order] >> np.int64(32)).astype(np.int32), keys[order].astype(np.uint32).view(np.int32), counts[order].astype(np.int32)
-            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            offsets = pa.array(np.append(first, len(bucket)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[first]), pa.array(np.full(len(first), row["shard"])), pa.ListArray.from_arrays(offsets, pa.array(low)),
-                 pa.ListArray.from_arrays(offsets, pa.array(counts))], names=["bucket", "shard", "keys", "counts"])
-
-    entries = index.mapInArrow(packed, "bucket int, shard long, keys array<int>, counts array<int>")
-    found = entries.groupBy("bucket").applyInArrow(_added(min_count), "shard long, keys array<long>")
-    return found.groupBy("shard").agg(F.flatten(F.collect_list("keys")).alias("keys"))
-
-
-def _named(index: DataFrame, max_words: int, n_buckets: int) -> DataFrame:
-    """(group, phrase, words, n, left, right) of every shard that has keys of frequent phrases."""
-    schema = "group string, phrase string, words int, n long, left long, right long"
-
-    def run(batches):
-        for row, shard in _opened(batches, max_words):
-            known = np.array(row["keys"], np.int64)
-            words, groups = pa.array([None, *shard.words], pa.string()), pa.array(shard.groups, pa.string())
-            for state, keys in shard.grow(known, max_words, n_buckets):
-                if state[0].shape[1] <= FILTERED:
-                    state = _only(state, np.isin(keys, known))
-                phrases, lo_left, lo_right, size = state
-                depth = phrases.shape[1]
-                left, right = shard.index.extendable(lo_left, lo_right, size)
-                names = [words.take(pa.array(phrases[:, j])) for j in range(depth)]
-                yield pa.RecordBatch.from_arrays(
-                    [groups.take(pa.array(shard.owners[phrases[:, 0] - 1])), pc.binary_join_element_wise(*names, " ") if depth > 1 else names[0],
-                     pa.array(np.full(len(size), depth, np.int32)), *[pa.array(x.astype(np.int64)) for x in (size, left, right)]],
-                    names=["group", "phrase", "words", "n", "left", "right"])
-
-    return index.mapInArrow(run, schema)
+    levels = shard.levels(depth)
+    dealt = _deal(levels, n_buckets, large)
+    bounds = np.array([np.searchsorted(x.bucket, np.arange(n_buckets + 1)) for x in dealt])
+    words = [level.word[x.at] for level, x in zip(levels, dealt)]
+    if depth > 1:
+        words.insert(1, levels[0].word[levels[1].parent[dealt[1].at]])
+    owners = [shard.owners[x - 1] for x in words[:2]]
+    numbers = [x.kids.astype(np.int32) for x in dealt[1:-1]]
+    numbers += [np.where(x.carried, 0, y[x.at]).astype(np.int32) for name in ("n", "left", "right") for y, x in ((getattr(level, name), x) for level, x in zip(levels, dealt))]
+    of_word, of_owner, of_number = _places(depth)
+    del levels, dealt
+    names = pa.array([None, *shard.words], pa.large_string())
+    rows, ids, size = [], [], 0
+    for bucket in range(n_buckets):
+        lo, hi = bounds[:, bucket], bounds[:, bucket + 1]
+        if (lo == hi).all():
+            continue
+        used, owner = np.unique(np.concatenate([x[lo[i]:hi[i]] for x, i in zip(owners, of_owner)]), return_inverse=True)
+        packed = np.concatenate([owner, *(x[lo[i]:hi[i]] for x, i in zip(numbers, of_number))])
+        ids.append(np.concatenate([x[lo[i]:hi[i]] for x, i in zip(words, of_word)]))
+        rows.append((bucket, [shard.groups[i] for i in used], (hi - lo).tolist(), len(packed), _pack(packed)))
+        size += len(ids[-1])
+        if size >= DEAL_WORDS:
+            yield _batch(rows, ids, names)
+            rows, ids, size = [], [], 0
+    if rows:
+        yield _batch(rows, ids, names)
+
+
+def _places(depth: int) -> tuple[list[int], list[int], list[int]]:
+    """Levels, from 0, of the words, groups and other numbers of a message."""
+    each = list(range(depth))
+    return [*each[:1], *each[1:2], *each[1:]], each[:2], [*each[1:-1], *each * 3]
+
+
+def _batch(rows: list[tuple], ids: list[np.ndarray], names: pa.Array) -> pa.RecordBatch:
+    offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), names.take(pa.array(np.concatenate(ids)))), pa.scalar("\n", pa.large_string()))
+    raw = [x.as_buffer() for x in texts]
+    bucket, groups, sizes, size, numbers = zip(*rows)
+    kinds = {"bucket": pa.int32(), "groups": pa.list_(pa.string()), "sizes": pa.list_(pa.int32()), "letters": pa.int64(), "words": pa.binary(), "size": pa.int64(), "numbers": pa.binary()}
+    cols = [bucket, groups, sizes, [x.size for x in raw], [pa.compress(x, codec="zstd", asbytes=True) for x in raw], size, numbers]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values())], names=list(kinds))
+
+
+def _alike(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """First place of every key in order, the number of each place's key, sums per key."""
+    order = np.argsort(keys, kind="stable")
+    sorted_keys = keys[order]
+    new = np.concatenate([np.ones(min(1, len(keys)), bool), sorted_keys[1:] != sorted_keys[:-1]])
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return order[first], number, [np.add.reduceat(x[order], first) if len(first) else x for x in counts]
+
+
+_COUNTED = "group string, phrase string, words int, n long, left long, right long"
+
+
+def _summed(min_count: int, depth: int):
+    """The frequent phrases of a bucket, by name."""
+    of_word, of_owner, of_number = _places(depth)
+
+    def received(table: pa.Table):
+        groups, texts, words, numbers = {}, [], [], []
+        for row in table.to_pylist():
+            size = row["sizes"]
+            texts.append(pa.decompress(row["words"], row["letters"], codec="zstd", asbytes=True))
+            words.append([size[i] for i in of_word])
+            found = np.split(_unpack(row["numbers"], row["size"]), np.cumsum([size[i] for i in (*of_owner, *of_number)])[:-1])
+            own = np.array([groups.setdefault(g, len(groups)) for g in row["groups"]], np.int64)
+            numbers.append([*(own[x] for x in found[:len(of_owner)]), *found[len(of_owner):]])
+        numbers = [np.concatenate(x) for x in zip(*numbers)]
+        text = pa.array([b"\n".join(texts)], pa.large_binary()).cast(pa.large_string())
+        del texts
+        coded = pc.split_pattern(text, "\n").flatten().dictionary_encode()
+        parts = np.split(coded.indices.to_numpy(), np.cumsum(np.concatenate(words))[:-1])
+        return list(groups), coded.dictionary, [np.concatenate(parts[i::len(of_word)]) for i in range(len(of_word))], numbers
+
+    def summed(table: pa.Table) -> pa.Table:
+        groups, names, words, numbers = received(table)
+        owners, kids = numbers[:len(of_owner)], numbers[len(of_owner):-3 * depth]
+        counts = [[x.astype(np.int64) for x in numbers[len(numbers) - 3 * depth + d::depth]] for d in range(depth)]
+        size, out = len(names), []
+
+        def tell(columns: list[np.ndarray], owner: np.ndarray, sums: list[np.ndarray]) -> None:
+            frequent = sums[0] >= min_count
+            texts = [names.take(pa.array(x[frequent])) for x in columns]
+            phrase = (pc.binary_join_element_wise(*texts, pa.scalar(" ", pa.large_string())) if len(texts) > 1 else texts[0]).cast(pa.string())
+            out.append(pa.table({"group": pa.array(groups, pa.string()).take(pa.array(owner[frequent])), "phrase": phrase,
+                                 "words": pa.array(np.full(len(phrase), len(columns), np.int32)),
+                                 **{name: pa.array(x[frequent]) for name, x in zip(("n", "left", "right"), sums)}}))
+
+        first, _, sums = _alike(owners[0] * size + words[0], *counts[0])
+        tell([words[0][first]], owners[0][first], sums)
+        if depth == 1:
+            return out[0]
+        # live: phrases of a level that are still looked at; columns: their words; above: alike ones share all words but the last.
+        live, above, columns, owner = np.arange(len(words[1])), _alike(owners[1] * size + words[1])[1], [words[1]], owners[1]
+        for d in range(1, depth):
+            columns, level = [*columns, words[d + 1][live]], [x[live] for x in counts[d]]
+            first, number, (*sums, carried) = _alike(above * size + columns[-1], *level, (level[0] == 0).astype(np.int64))
+            tell([x[first] for x in columns], owner[first], sums)
+            if d + 1 < depth:
+                grows = ((sums[0] >= min_count) | (carried > 0))[number]
+                place = np.full(len(kids[d - 1]), -1, np.int64)
+                place[live[grows]] = np.flatnonzero(grows)
+                parent = np.repeat(place, kids[d - 1])
+                live = np.flatnonzero(parent >= 0)
+                parent = parent[live]
+                above, columns, owner = number[parent], [x[parent] for x in columns], owner[parent]
+        return pa.concat_tables(out)
+
+    return summed
 
 
 def phrase_counts(index: DataFrame, min_count: int = 30, max_words: int = 4) -> DataFrame:
@@ -322,14 +439,19 @@ def phrase_counts(index: DataFrame, min_count: int = 30, max_words: int = 4) ->
 
     left and right: occurrences with another word before and behind, in the same piece.
     """
-    total = index.select(F.sum(F.aggregate("n_words", F.lit(0).cast("long"), lambda a, n: a + n))).head()[0] or 0
-    n_buckets = max(1, -(-total // BUCKET_WORDS))
-    frequent = cut(_frequent(index, (1, 2), min_count, n_buckets), "frequent-pairs")
-    if max_words > 2:
-        longer = cut(_frequent(index.join(frequent, "shard"), (3,), min_count, n_buckets), "frequent-triples")
-        frequent = frequent.unionByName(longer).groupBy("shard").agg(F.flatten(F.collect_list("keys")).alias("keys"))
-    sums = [F.sum(c).alias(c) for c in ("n", "left", "right")]
-    return _named(index.join(frequent, "shard"), max_words, n_buckets).groupBy("group", "phrase", "words").agg(*sums).where(F.col("n") >= min_count)
+    total, places = index.select(F.sum(F.aggregate("n_words", F.lit(0).cast("long"), lambda a, n: a + n)), F.sum("size")).head()
+    n_buckets = max(1, -(-(total or 0) // BUCKET_WORDS))
+    seen = index.select(F.inline(F.arrays_zip("large", "seen"))).groupBy("large").agg(F.sum("seen").alias("seen"))
+    large = seen.where(F.col("seen") * min(SPLIT, 16 * n_buckets) * SAMPLED >= (places or 0)).select("large")
+    split = np.array([r[0] for r in large.collect()], np.int64).view(np.uint64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from _messages(_Opened(batch.slice(i, 1).to_pylist()[0]), max_words, n_buckets, split)
+
+    sent = index.select("groups", "letters", "words", "distinct", "owners", "size", "ids").mapInArrow(deal, _MESSAGE)
+    return sent.groupBy("bucket").applyInArrow(_summed(min_count, max_words), _COUNTED)
 
 
 def group_sizes(index: DataFrame) -> DataFrame:

@@ -132,6 +132,43 @@ def test_phrase_extensions(spark):
                      "a b c": (5, 0, 0), "x a b": (5, 0, 0)}
 
 
+@pytest.mark.parametrize("bucket_words", [7, 400, 3000])
+def test_phrases_are_summed_once(spark, monkeypatch, bucket_words):
+    """Each phrase is summed in one bucket, also below branches that are split; the shards and the frequent phrases of a shard stay where they are."""
+    monkeypatch.setattr(phrase_index, "BUCKET_WORDS", bucket_words)
+    rng = random.Random(5)
+    rows = [(rng.choice(["en", "de", None]), " ".join(rng.choice(["of", "of", "the", "a", "New", "york", "x.", "é", "city"]) for _ in range(rng.randrange(60)))) for _ in range(250)]
+    rows += [("en", "of the new york city of the new york"), ("fr", "of the, of the. of")] * 20 + [("fr", f"of the new {w} {w}") for w in "abcdefghij" * 8]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    got = phrase_index.collocations(docs, min_count=5, top=60, shard_words=200)
+    assert {(r.group, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got.collect()} == plain_phrases(rows, 5, 60)
+    index = phrase_index.shards(docs, "text", "lang", 200)
+    counts = phrase_index.phrase_counts(index, 5)
+    assert counts.groupBy("group", "phrase").count().where("count > 1").isEmpty()
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    for depth in (1, 2, 3, 5):
+        want, n, left, right = plain_counts(rows, depth)
+        assert {(r.group, r.phrase): (r.n, r.left, r.right) for r in phrase_index.phrase_counts(index, 5, depth).collect()} == \
+            {k: (n[k], left[k], right[k]) for k in want if n[k] >= 5}
+
+
+def plain_counts(rows, depth):
+    n, left, right = collections.Counter(), collections.Counter(), collections.Counter()
+    for lang, text in rows:
+        for piece in text.lower().split("."):
+            w = piece.replace(",", " , ").split()
+            for part in " ".join(w).split(" , "):
+                v = part.replace(",", "").split()
+                for k in range(1, depth + 1):
+                    for i in range(len(v) - k + 1):
+                        key = (lang or "und", " ".join(v[i:i + k]))
+                        n[key] += 1
+                        left[key] += i > 0
+                        right[key] += i + k < len(v)
+    return set(n), n, left, right
+
+
 def plain_trie(turns):
     convs = collections.defaultdict(list)
     for c, turn, role, text in turns:
