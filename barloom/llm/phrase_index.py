@@ -27,7 +27,7 @@ A tie of cuts goes to the shortest first part, a tie of phrases to the first in
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -51,8 +51,10 @@ SPLIT = 40_000
 EXTEND_ROWS = 500_000
 #: Words a shard puts into messages at a time.
 DEAL_WORDS = 500_000
+#: Bytes of words a bucket reads at a time.
+READ_LETTERS = 4_000_000
 #: Words of the corpus per bucket; each is there as the first of one phrase of every length at most.
-BUCKET_WORDS = 1_000_000
+BUCKET_WORDS = 2_000_000
 NO_GROUP = "und"
 
 _SHARD = "shard long, groups array<string>, n_words array<long>, letters long, words binary, distinct long, owners binary, size long, ids binary, large array<long>, seen array<int>"
@@ -371,36 +373,63 @@ def _alike(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     number = np.empty(len(keys), np.int64)
     number[order] = np.cumsum(new) - 1
     first = np.flatnonzero(new)
-    return order[first], number, [np.add.reduceat(x[order], first) if len(first) else x for x in counts]
+    return order[first], number, [np.add.reduceat(x[order], first, dtype=np.int64) if len(first) else x.astype(np.int64) for x in counts]
 
 
 _COUNTED = "group string, phrase string, words int, n long, left long, right long"
 
 
+def _sizes(table: pa.Table) -> np.ndarray:
+    return np.array(table["sizes"].to_pylist(), np.int64)
+
+
+def _sections(table: pa.Table, levels: Sequence[int], values: Iterable[np.ndarray]) -> list[np.ndarray]:
+    """The sections of all messages one behind the other; values: those of all messages in one or in several arrays, one each."""
+    sizes = _sizes(table)[:, list(levels)]
+    ends = np.cumsum(sizes, axis=0)
+    out = [np.empty(n, np.int32) for n in ends[-1]]
+    values, at, numbers = iter(values), 0, np.zeros(0, np.int32)
+    for size, end in zip(sizes.tolist(), ends.tolist()):
+        if at == len(numbers):
+            numbers, at = next(values), 0
+        for x, n, to in zip(out, size, end):
+            x[to - n:to] = numbers[at:at + n]
+            at += n
+    return out
+
+
 def _summed(min_count: int, depth: int):
     """The frequent phrases of a bucket, by name."""
     of_word, of_owner, of_number = _places(depth)
 
-    def received(table: pa.Table):
-        groups, texts, words, numbers = {}, [], [], []
-        for row in table.to_pylist():
-            size = row["sizes"]
-            texts.append(pa.decompress(row["words"], row["letters"], codec="zstd", asbytes=True))
-            words.append([size[i] for i in of_word])
-            found = np.split(_unpack(row["numbers"], row["size"]), np.cumsum([size[i] for i in (*of_owner, *of_number)])[:-1])
-            own = np.array([groups.setdefault(g, len(groups)) for g in row["groups"]], np.int64)
-            numbers.append([*(own[x] for x in found[:len(of_owner)]), *found[len(of_owner):]])
-        numbers = [np.concatenate(x) for x in zip(*numbers)]
-        text = pa.array([b"\n".join(texts)], pa.large_binary()).cast(pa.large_string())
-        del texts
-        coded = pc.split_pattern(text, "\n").flatten().dictionary_encode()
-        parts = np.split(coded.indices.to_numpy(), np.cumsum(np.concatenate(words))[:-1])
-        return list(groups), coded.dictionary, [np.concatenate(parts[i::len(of_word)]) for i in range(len(of_word))], numbers
+    def texts(table: pa.Table) -> tuple[pa.Array, list[np.ndarray]]:
+        coded, raw, size = [], [], 0
+        for i, (x, n) in enumerate(zip(table["words"], table["letters"].to_pylist()), 1):
+            raw.append(pa.decompress(x.as_buffer(), n, codec="zstd", asbytes=True))
+            size += n
+            if size >= READ_LETTERS or i == table.num_rows:
+                text = pa.array([b"\n".join(raw)], pa.large_binary()).cast(pa.large_string())
+                coded.append(pc.split_pattern(text, "\n").flatten().dictionary_encode())
+                raw, size = [], 0
+        coded = pa.chunked_array(coded).unify_dictionaries().chunks
+        return coded[0].dictionary, _sections(table, of_word, (x.indices.to_numpy() for x in coded))
+
+    def received(table: pa.Table) -> tuple[list[str], list[np.ndarray]]:
+        groups: dict[str, int] = {}
+        own = [np.array([groups.setdefault(g, len(groups)) for g in row], np.int64) for row in table["groups"].to_pylist()]
+        packed = (_unpack(x.as_buffer(), n.as_py()) for x, n in zip(table["numbers"], table["size"]))
+        found = _sections(table, (*of_owner, *of_number), packed)
+        base = np.cumsum([0, *map(len, own)])[:-1]
+        sizes = _sizes(table)
+        for i, level in enumerate(of_owner):
+            found[i] = np.concatenate(own)[found[i] + np.repeat(base, sizes[:, level])]
+        return list(groups), found
 
     def summed(table: pa.Table) -> pa.Table:
-        groups, names, words, numbers = received(table)
+        names, words = texts(table)
+        groups, numbers = received(table)
         owners, kids = numbers[:len(of_owner)], numbers[len(of_owner):-3 * depth]
-        counts = [[x.astype(np.int64) for x in numbers[len(numbers) - 3 * depth + d::depth]] for d in range(depth)]
+        counts = [numbers[len(numbers) - 3 * depth + d::depth] for d in range(depth)]
         size, out = len(names), []
 
         def tell(columns: list[np.ndarray], owner: np.ndarray, sums: list[np.ndarray]) -> None:
@@ -419,7 +448,7 @@ def _summed(min_count: int, depth: int):
         live, above, columns, owner = np.arange(len(words[1])), _alike(owners[1] * size + words[1])[1], [words[1]], owners[1]
         for d in range(1, depth):
             columns, level = [*columns, words[d + 1][live]], [x[live] for x in counts[d]]
-            first, number, (*sums, carried) = _alike(above * size + columns[-1], *level, (level[0] == 0).astype(np.int64))
+            first, number, (*sums, carried) = _alike(above * size + columns[-1], *level, level[0] == 0)
             tell([x[first] for x in columns], owner[first], sums)
             if d + 1 < depth:
                 grows = ((sums[0] >= min_count) | (carried > 0))[number]
