@@ -178,6 +178,25 @@ def can_reach(terms: Column, needed: tuple[list[str], list[tuple[str, ...]]]) ->
     return reduce(lambda a, b: a | b, [alone] + [reduce(lambda a, b: a & b, [F.array_contains(terms, t) for t in ts]) for ts in together])
 
 
+def reaching_terms(line: Column, needed) -> Column:
+    """Rows of the terms of a lower-case line, none where the line cannot reach: they are split once, and not again for every term that is asked for."""
+    return F.explode(F.filter(F.array(line_terms(line)), lambda terms: can_reach(terms, needed)))
+
+
+def has_stem(text: Column) -> Column:
+    """Whether a lower-case text holds one of STEMS."""
+    return once(text, lambda x: reduce(lambda a, b: a | b, [x.contains(s) for s in STEMS]))
+
+
+def candidates(texts: DataFrame, needed, licence_name: str) -> DataFrame:
+    """path, text_ and the marks lines_ and blocks_ of the texts that have units of either sort: every text is searched once."""
+    named = F.coalesce(F.regexp_extract("path", r"[^/]*$", 0).rlike(licence_name), F.lit(False))
+    marks = F.transform(F.array(F.lower("text_")), lambda x: F.struct(F.coalesce(may_reach(x, needed), F.lit(False)).alias("lines_"),
+                                                                     (F.coalesce(has_stem(x), F.lit(False)) | named).alias("blocks_")))
+    held = texts.select("path", "text_", F.explode(F.filter(marks, lambda m: m["lines_"] | m["blocks_"])).alias("m"))
+    return held.select("path", "text_", "m.lines_", "m.blocks_")
+
+
 def line_terms(line: Column) -> Column:
     """Terms of a lower-case line."""
     return F.filter(F.transform(F.split(line, SEPARATORS), lambda x: F.regexp_replace(x, EDGE_DOTS, "")), lambda x: x != "")
@@ -215,7 +234,7 @@ def leading_comment(text: Column) -> Column:
 
 def joined_units(files: DataFrame, needed) -> DataFrame:
     """path, kind, no, line of clauses and of two and three joined lines of paragraphs; needed: what a unit must hold."""
-    paragraphs = files.where(may_reach(F.col("low_"), needed)) \
+    paragraphs = files.where("lines_") \
         .select("path", F.explode(F.split(F.regexp_replace("text_", COMMENT, ""), PARAGRAPH_END)).alias("p")).where(may_reach(F.lower("p"), needed))
     rows = F.split("p", r"\r?\n")
     clauses = F.split(F.regexp_replace("p", r"\s+", " "), CLAUSE_END)
@@ -223,14 +242,12 @@ def joined_units(files: DataFrame, needed) -> DataFrame:
     return units.select("path", F.lit("joined").alias("kind"), F.xxhash64("line").alias("no"), "line")
 
 
-def block_units(files: DataFrame, licence_name: str) -> DataFrame:
+def block_units(files: DataFrame) -> DataFrame:
     """path, kind, no, line of header blocks and whole files."""
-    stem = lambda t: once(t, lambda x: reduce(lambda a, b: a | b, [x.contains(s) for s in STEMS]))
-    held = files.where(stem(F.col("low_")) | F.regexp_extract("path", r"[^/]*$", 0).rlike(licence_name))
-    found = held.select("path", "low_", F.filter(F.split(F.regexp_replace("text_", COMMENT, ""), PARAGRAPH_END), lambda x: F.trim(x) != "").alias("ps"),
+    found = files.where("blocks_").select("path", F.lower("text_").alias("low_"), F.filter(F.split(F.regexp_replace("text_", COMMENT, ""), PARAGRAPH_END), lambda x: F.trim(x) != "").alias("ps"),
                         leading_comment(F.col("text_")).alias("head"))
     blocks = found.select("path", F.explode(F.concat(F.array("head"), *[runs(F.col("ps"), n) for n in (1, 2, 3, 4)])).alias("line")).select("path", F.lit("block").alias("kind"), F.lower("line").alias("line")) \
-        .where(stem(F.col("line")))
+        .where(has_stem(F.col("line")))
     whole = found.select("path", F.lit("file").alias("kind"), F.col("low_").alias("line"))
     return blocks.unionByName(whole).select("path", "kind", F.xxhash64("line").alias("no"), "line")
 
@@ -260,15 +277,15 @@ def stated(files: DataFrame, path: str = "path", text: str = "text", threshold:
     """path, licence, score, line_no of the whole text or else the best unit of each file that states a licence."""
     _, _, units = weights(templates)
     needed = needed_terms(units, threshold)
-    texts = files.select(F.col(path).alias("path"), F.col(text).alias("text_"), F.lower(F.col(text)).alias("low_"))
-    lines = texts.where(may_reach(F.col("low_"), needed)) \
-        .select("path", F.lit("line").alias("kind"), F.posexplode_outer(F.split("low_", "\n")).alias("no", "line")) \
+    # Texts with units are few and read three times; the others are searched once and read no more.
+    texts = cut(candidates(files.select(F.col(path).alias("path"), F.col(text).alias("text_")), needed, licence_name), "licence-texts")
+    lines = texts.where("lines_") \
+        .select("path", F.lit("line").alias("kind"), F.posexplode_outer(F.split(F.lower("text_"), "\n")).alias("no", "line")) \
         .where(may_reach(F.col("line"), needed)).withColumn("no", F.col("no").cast("long"))
-    held = lines.unionByName(joined_units(texts, needed)).select("path", "kind", "no", line_terms(F.col("line")).alias("terms")) \
-        .where(can_reach(F.col("terms"), needed))
+    held = lines.unionByName(joined_units(texts, needed)).select("path", "kind", "no", reaching_terms(F.col("line"), needed).alias("terms"))
     # Equal units of a path (repeated rows) are one.
     held = cut(held.distinct(), "licence-lines")
-    blocks = cut(block_units(texts, licence_name).select("path", "kind", "no", line_terms(F.col("line")).alias("terms")).distinct(), "licence-blocks")
+    blocks = cut(block_units(texts).select("path", "kind", "no", line_terms(F.col("line")).alias("terms")).distinct(), "licence-blocks")
     every = scored(held, templates, threshold).unionByName(scored(blocks, notices, threshold, sublinear=True))
     order = F.struct((F.col("kind") != "file").alias("part"), (-F.col("score")).alias("m"), "licence", (F.col("kind") != "line").alias("other"), "no", "kind")
     best = every.groupBy("path").agg(F.min(order).alias("b"))
