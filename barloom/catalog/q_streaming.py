@@ -107,9 +107,8 @@ def _6(s, d):
 @query("st07_sliding_mean", with_(BARS, body=f"""SELECT ticker AS symbol, e AS "end", {r6('avg(close * volume)', 4)} AS mean, count(*) AS n FROM (
   SELECT *, unnest(range(1, 21)) AS k FROM bars) b, LATERAL (SELECT date::timestamp + k * interval 1 day AS e) GROUP BY 1, 2"""))
 def _7(s, d):
-    # A symbol's days lie together, so a window is summed up before the exchange: rows there are windows, not days times twenty.
-    m = S.stream_sliding_mean(staged(s, bar_ticks(s, d).repartition("symbol").sortWithinPartitions("symbol", "ts"), "ticks"), "turnover")
-    return wall(r(J.drain_update(m, ["symbol", "end"], "sliding"), "mean", places=4), "end")
+    m = S.stream_sliding_mean(staged(s, bar_ticks(s, d).select("symbol", "ts", "turnover"), "ticks"), "turnover")
+    return wall(r(J.drain_update(m, ["symbol", "end"], "sliding", once=True), "mean", places=4), "end")
 
 
 @query("st08_entry_bursts", with_(BARS, """en AS (SELECT ticker, date FROM bars WHERE close > open),

@@ -48,10 +48,12 @@ def drain_append(stream: DataFrame, name: str, out: str | None = None, checkpoin
     return spark.read.schema(stream.schema).parquet(out), q
 
 
-def drain_update(stream: DataFrame, keys: list[str], name: str, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+def drain_update(stream: DataFrame, keys: list[str], name: str, out: str | None = None, checkpoint: str | None = None,
+                 once: bool = False) -> DataFrame:
     """Update mode: every batch is written with its id, the last one per key counts.
 
-    A batch that is tried again overwrites its own folder, so replays add nothing.
+    A batch that is tried again overwrites its own folder, so replays add nothing. once: a batch has a key
+    once, so that nothing is to be chosen where there is one batch.
     """
     spark = stream.sparkSession
     out, checkpoint = _paths(spark, name, out, checkpoint)
@@ -65,7 +67,12 @@ def drain_update(stream: DataFrame, keys: list[str], name: str, out: str | None
     )
     q.awaitTermination()
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
-    return keep_last(spark.read.schema(schema).parquet(out), keys, ["batch"]).drop("batch")
+    rows = spark.read.schema(schema).parquet(out)
+    if once:
+        fs, path = _hadoop(spark, out)
+        if sum(f.getPath().getName().startswith("batch=") for f in fs.listStatus(path)) == 1:
+            return rows.drop("batch")
+    return keep_last(rows, keys, ["batch"]).drop("batch")
 
 
 def stored_table(spark: SparkSession, out: str) -> DataFrame | None:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -53,13 +55,60 @@ def stream_dedup(df: DataFrame, keys: list[str], delay: str = "1 day", ts: str =
 
 def stream_sliding_mean(ticks: DataFrame, value: str, width: str = "20 days", slide: str = "1 day",
                         delay: str = "1 day") -> DataFrame:
-    """Time-based mean, the event-time relative of the n-row mean."""
-    return (
-        ticks.withWatermark("ts", delay)
-        .groupBy("symbol", F.window("ts", width, slide).alias("w"))
-        .agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
-        .select("symbol", F.col("w.end").alias("end"), "mean", "n")
+    """Time-based mean, the event-time relative of the n-row mean. Run in update mode.
+
+    The state of a symbol is the sums of the steps that lie in windows still open, not a row per window:
+    a tick moves and is stored once, not once for each of its windows. A window ends when the watermark had
+    passed its end as its symbol came last; later ticks leave it as it is.
+    """
+    wide, step = (_micros(ticks.sparkSession, x) for x in (width, slide))
+    unit = math.gcd(wide, step)
+    at = F.unix_micros("ts")
+    rows = ticks.withWatermark("ts", delay).where(F.col("ts").isNotNull()).select(
+        "symbol", "ts", (at - F.pmod(at, F.lit(unit))).alias("at"), F.col(value).cast("double").alias("value"),
+        F.col(value).isNotNull().cast("long").alias("valid"), F.lit(1).cast("long").alias("n"),
     )
+    state_schema = "at array<long>, total array<double>, valid array<long>, n array<long>, ended long"
+
+    def summed(at, total, valid, n):
+        days, of = np.unique(at, return_inverse=True)
+        add = lambda x: np.bincount(of, weights=x, minlength=len(days))
+        return days, add(total), add(valid), add(n)
+
+    def slid(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        *kept, ended = state.get if state.exists else ([], [], [], [], 0)
+        kept = [np.array(x, t) for x, t in zip(kept, (np.int64, float, float, float))]
+        new = np.empty(0, np.int64)
+        for pdf in batches:
+            valid = pdf.valid.to_numpy()
+            more = summed(pdf["at"].to_numpy(), np.where(valid > 0, pdf.value.to_numpy(), 0.0), valid, pdf.n.to_numpy())
+            new = np.union1d(new, more[0])
+            kept = summed(*(np.concatenate(x) for x in zip(kept, more)))
+        days, total, valid, n = kept
+        first = days - days % step + wide
+        # Every window of a new step: its last one, and those before it that reach up to the step.
+        ends = (new - new % step + wide)[:, None] - np.arange(-(-wide // step)) * step
+        ends = np.unique(ends[(ends > new[:, None]) & (ends > ended)])
+        if len(ends):
+            spans = np.column_stack([np.searchsorted(days, ends - wide), np.searchsorted(days, ends)]).ravel()
+            over = lambda x: np.add.reduceat(np.append(x, 0.0), spans)[::2]
+            yield pd.DataFrame({"symbol": pd.Series([key[0]] * len(ends), dtype=object), "end": ends, "total": over(total),
+                                "valid": over(valid).astype(np.int64), "n": over(n).astype(np.int64)})
+        ended = max(ended, state.getCurrentWatermarkMs() * 1000)
+        still = first > ended
+        state.update((days[still].tolist(), total[still].tolist(), valid[still].astype(np.int64).tolist(), n[still].astype(np.int64).tolist(), int(ended)))
+
+    out = rows.groupBy("symbol").applyInPandasWithState(
+        slid, "symbol string, end long, total double, valid long, n long", state_schema, "update", GroupStateTimeout.NoTimeout
+    )
+    # Pandas hands a sum that is not a number back as null.
+    mean = F.when(F.col("valid") > 0, F.coalesce("total", F.lit(float("nan"))) / F.col("valid"))
+    return out.select("symbol", F.timestamp_micros("end").alias("end"), mean.alias("mean"), "n")
+
+
+def _micros(spark: SparkSession, span: str) -> int:
+    """Microseconds of a span of days, hours and less."""
+    return spark.range(1).select(F.expr(f"unix_micros(timestamp'1970-01-01 00:00:00 UTC' + interval {span})")).first()[0]
 
 
 def stream_entry_bursts(entries: DataFrame, gap: str = "5 days", delay: str = "1 day") -> DataFrame:
