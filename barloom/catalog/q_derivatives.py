@@ -16,8 +16,8 @@ from .q_derivatives_sql import FUTURES, OPTIONS, round_strike
 from .q_portfolio import r
 
 
-def states(s, d):
-    f = D.oi_changes(D.oi_baseline(A.futures(s, d)))
+def states(s, d, bars=None):
+    f = D.oi_changes(D.oi_baseline(A.futures(s, d, bars)))
     return D.confirm_n(D.oi_state(D.dynamic_thresholds(f, A.INDEX_TICKERS)))
 
 
@@ -97,8 +97,8 @@ SPREADS = f"""sp AS MATERIALIZED (SELECT symbol, date, state, close, CASE WHEN s
   FROM fs WHERE state IN ('Long Buildup', 'Short Buildup'))"""
 
 
-def spreads(s, d):
-    return D.build_spread(states(s, d).select("symbol", "date", "close", "state"))
+def spreads(s, d, bars=None):
+    return D.build_spread(states(s, d, bars).select("symbol", "date", "close", "state"))
 
 
 @query("drv10_build_spread", with_(BARS, STATES, SPREADS, body="SELECT symbol, date, action, option_type, atm_strike, otm_strike FROM sp"))
@@ -117,15 +117,23 @@ pr AS MATERIALIZED (SELECT *, lots * lot_size * net_debit AS risk_rs, (width - n
 SP = (BARS, OPTIONS, STATES, SPREADS, PRICED_SP)
 
 
-def priced(s, d, chain=None):
-    """The chain is cut to the signals' (symbol, date, type) where it lies, and written once; the signals come to it."""
-    chain = A.options(s, d) if chain is None else chain
+def written_bars(s, d):
+    """What futures and chain read of the bars, written once: lines are joined and summed up for it once."""
+    return cut(A.bars(s, d).select("ticker", "date", "close", "volume"), "bars")
+
+
+def priced(s, d, bars=None):
+    """The chain is cut to the signals' (symbol, date, type) where it lies, and written once, an expiry with the quotes of the signals' strikes."""
+    bars = written_bars(s, d) if bars is None else bars
     on = ["symbol", "date", "option_type"]
-    wanted = cut(spreads(s, d), "spreads")
-    asked = wanted.select(*on).repartition(A.chain_parts(s, d), "symbol", "date").distinct().alias("a")
+    wanted = cut(spreads(s, d, bars), "spreads")
+    strikes = F.flatten(F.collect_list(F.array("atm_strike", "otm_strike"))).alias("strikes")
+    asked = wanted.repartition(A.chain_parts(s, d), "symbol", "date").groupBy(*on).agg(strikes).alias("a")
     met = (F.col("c.symbol") == F.col("a.symbol")) & (F.col("c.date") == F.col("a.date")) & alike(F.col("c.option_type"), F.col("a.option_type"))
-    near = cut(chain.alias("c").join(asked.hint("shuffle_hash"), met, "left_semi"), "chain-of-signals")
-    return D.price_spread(wanted.join(CAL.monthly_expiry(near), on), near)
+    near = A.options(s, d, bars).alias("c").join(asked.hint("shuffle_hash"), met).select("c.*", "a.strikes")
+    of_leg = F.when(F.array_contains("strikes", F.col("strike")), F.struct("strike", "close", "lot_size"))
+    near = cut(near.groupBy(*on, "expiry_dt").agg(F.collect_list(of_leg).alias("quotes")), "chain-of-signals")
+    return D.price_spread(wanted.join(CAL.monthly_expiry(near), on), near.select(*on, "expiry_dt", F.inline("quotes")))
 
 
 @query("drv11_price_spread", with_(*SP, body=f"SELECT symbol, date, option_type, expiry_dt, lots, {r6('net_debit')} AS net_debit, {r6('risk_rs', 4)} AS risk_rs, {r6('max_profit_rs', 4)} AS max_profit_rs FROM pr"))
@@ -143,8 +151,8 @@ tp AS MATERIALIZED (SELECT symbol, entry_date, option_type, expiry_dt, min(date)
 @query("drv12_take_profit_exit", with_(*SP, TAKE, body=f"""SELECT pr.symbol, pr.date AS entry_date, pr.option_type, tp.exit_date, {r6('exit_pnl', 4)} AS exit_pnl FROM pr LEFT JOIN tp
   ON tp.symbol = pr.symbol AND tp.entry_date = pr.date AND tp.option_type = pr.option_type AND tp.expiry_dt = pr.expiry_dt"""))
 def _12(s, d):
-    chain = A.options(s, d)
-    return r(D.take_profit_exit(priced(s, d, chain), chain, parts=A.chain_parts(s, d)), "exit_pnl", places=4).select("symbol", "entry_date", "option_type", "exit_date", "exit_pnl")
+    bars = written_bars(s, d)
+    return r(D.take_profit_exit(priced(s, d, bars), A.options(s, d, bars, "month"), parts=A.chain_parts(s, d)), "exit_pnl", places=4).select("symbol", "entry_date", "option_type", "exit_date", "exit_pnl")
 
 
 SETTLE = """sl AS (SELECT pr.symbol, pr.date, pr.option_type, max(f.date) AS settle_date, arg_max(f.close, f.date) AS spot FROM pr JOIN fut f ON f.symbol = pr.symbol AND f.date > pr.date AND f.date <= pr.expiry_dt GROUP BY 1, 2, 3),
@@ -154,7 +162,8 @@ se AS MATERIALIZED (SELECT *, CASE WHEN gain >= width THEN width WHEN gain <= 0
 
 @query("drv13_expiry_payoff", with_(*SP, SETTLE, body=f"SELECT symbol, date AS entry_date, option_type, settle_date, {r6('prem')} AS settle_premium, {r6('pnl', 4)} AS settle_pnl FROM se"))
 def _13(s, d):
-    e = D.expiry_payoff(priced(s, d).withColumnRenamed("date", "entry_date"), A.futures(s, d))
+    bars = written_bars(s, d)
+    e = D.expiry_payoff(priced(s, d, bars).withColumnRenamed("date", "entry_date"), A.futures(s, d, bars))
     return r(r(e, "settle_premium"), "settle_pnl", places=4).select("symbol", "entry_date", "option_type", "settle_date", "settle_premium", "settle_pnl")
 
 
@@ -163,8 +172,8 @@ JOURNAL = """jr AS MATERIALIZED (SELECT se.symbol, se.date AS entry_date, se.opt
 
 
 def journal(s, d):
-    chain = A.options(s, d)
-    return D.spread_exits(priced(s, d, chain), chain, A.futures(s, d), A.chain_parts(s, d))
+    bars = written_bars(s, d)
+    return D.spread_exits(priced(s, d, bars), A.options(s, d, bars, "month"), A.futures(s, d, bars), A.chain_parts(s, d))
 
 
 @query("drv14_spread_journal", with_(*SP, TAKE, SETTLE, JOURNAL, body=f"SELECT symbol, entry_date, option_type, exit_date, note, {r6('pnl', 4)} AS pnl FROM jr"))

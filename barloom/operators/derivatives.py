@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import col_of, div, truthy
 from ..functions.windows import lag, rolling, series
 from ..sources.scratch import cut
-from .joins import range_join, two_legs
+from .joins import alike, range_join, two_legs
 
 # Strike steps by price band.
 STRIKE_BANDS = ((10000, 100), (1000, 50), (500, 10))
@@ -150,23 +150,42 @@ def price_spread(spreads: DataFrame, chain: DataFrame, capital: float = 1_000_00
     ).withColumn("max_profit_rs", (F.col("width") - F.col("net_debit")) * F.col("lot_size") * F.col("lots"))
 
 
+def legs_held(months: DataFrame, chain: DataFrame) -> DataFrame:
+    """date, atm_close and otm_close of every day in (entry, expiry] on which both legs of a spread are quoted.
+
+    months has a row per spread and month. Rows meet by (symbol, month) and the chain streams past them, as in two_legs.
+    """
+    if "month" not in chain.columns:
+        chain = chain.withColumn("month", F.trunc("date", "month"))
+    for leg in ("atm", "otm"):
+        c = chain.select("symbol", "month", F.col("date").alias("_date"), F.col("option_type").alias("_type"), F.col("expiry_dt").alias("_expiry"),
+                         F.col("strike").alias("_strike"), F.col("close").alias(f"{leg}_close"))
+        day = alike(F.col("_date"), F.col("date")) if leg == "otm" else (F.col("_date") > F.col("entry_date")) & (F.col("_date") <= F.col("expiry_dt"))
+        met = months.hint("shuffle_hash").join(c, ["symbol", "month"]).where(
+            alike(F.col("_type"), F.col("option_type")) & alike(F.col("_expiry"), F.col("expiry_dt"))
+            & alike(F.col("_strike"), F.col(f"{leg}_strike")) & day)
+        months = (met.withColumnRenamed("_date", "date") if leg == "atm" else met.drop("_date")).drop("_type", "_expiry", "_strike")
+    return months
+
+
 def take_profit_exit(spreads: DataFrame, chain: DataFrame, share: float = TAKE_PROFIT, parts: int | None = None) -> DataFrame:
     """First later date on which the spread has earned `share` of its best case; NULL when never.
 
-    A spread goes to each day that it may be held, so days meet quotes by equality. `parts` is the number of
-    partitions by (symbol, date) in which the chain lies: then the chain, the larger side, is not moved.
+    A spread goes to each month in which it may be held, and meets the quotes of its legs there. `parts` is the number of
+    partitions by (symbol, month) in which a chain with a column month lies: then the chain, the larger side, is not moved.
     """
     keys = ["symbol", "entry_date", "option_type", "expiry_dt"]
     s = cut(spreads.withColumnRenamed("date", "entry_date"), "spreads-held")
-    days = (
+    first, last = (F.trunc(d, "month") for d in (F.date_add("entry_date", 1), F.col("expiry_dt")))
+    months = (
         s.where(F.col("entry_date") < F.col("expiry_dt"))
         .select(*keys, "atm_strike", "otm_strike", "net_debit", "lot_size", "lots", "max_profit_rs",
-                F.explode(F.sequence(F.date_add("entry_date", 1), F.col("expiry_dt"))).alias("date"))
+                F.explode(F.sequence(first, last, F.expr("interval 1 month"))).alias("month"))
     )
     if parts is not None:
-        days = days.repartition(parts, "symbol", "date")
+        months = months.repartition(parts, "symbol", "month")
     walk = (
-        two_legs(days, chain, lot=False)
+        legs_held(months, chain)
         .withColumn("debit_now", F.col("atm_close") - F.col("otm_close"))
         .withColumn("pnl", (F.col("debit_now") - F.col("net_debit")) * F.col("lot_size") * F.col("lots"))
         .where(F.col("pnl") >= F.col("max_profit_rs") * share)
