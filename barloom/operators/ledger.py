@@ -414,67 +414,68 @@ def validate_orders(orders: DataFrame, initial: float, walked: int = WALKED_ORDE
     account is walked in sequence, from its cash and holdings at that point. Orders without account, symbol or
     time are dropped, but count in the cash up to the short order, those without time as the first ones.
     """
-    orders = cut(orders.select(*ORDER_COLS), "orders")
+    orders = orders.select(*ORDER_COLS)
     large = orders.groupBy("account").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > walked).select("account")
     large = cut(large, "large-accounts")
     if large.isEmpty():
         return _walk_accounts(orders, initial)
+    orders = cut(orders, "orders")
     settled, rest = settled_orders(orders.join(large, "account", "left_semi"), initial)
     few = _walk_accounts(orders.join(large, "account", "left_anti"), initial)
     # Written before it is dealt: the parts of a union may be taken for dealt alike when their shuffles are merged apart.
     return few.unionByName(settled).unionByName(_walk_orders(cut(rest, "rest")))
 
 
-class _Account:
-    """Cash and shares, order by order: as `settled_orders` sums them up to the first short order, as `_walk_orders` decides from there on."""
-
-    def __init__(self, initial: float):
-        # Cash over all orders, and over those that are kept, from which an account goes on once it is short.
-        self.cash, self.kept_cash, self.held, self.short = float(initial), float(initial), {}, False
-
-    def _is_short(self, symbol, buy, qty, cost) -> bool:
-        if buy:
-            return cost is not None and self.cash < cost + 1e-6 + abs(cost) * 1e-9
-        spare = self.held.get(symbol, 0.0) - qty
-        return spare < 0 or 0 < spare < FLAT
-
-    def order(self, kept, symbol, side, qty, price) -> tuple[str, float | None]:
-        """status and cash_after; an order that is not kept only counts in the cash."""
-        buy, sound = side == "buy", qty is not None and qty > 0
-        cost = None if qty is None or price is None else qty * price
-        if kept and not self.short and sound and self._is_short(symbol, buy, qty, cost):
-            self.short, self.cash, self.held = True, self.kept_cash, {s: q for s, q in self.held.items() if q >= FLAT}
-        if self.short:
-            return self._decide(symbol, buy, sound, qty, math.nan if cost is None else cost) if kept else ("", None)
-        if qty is not None and not sound:
-            return "bad_qty", self.cash
-        if kept and qty is not None:
-            self.held[symbol] = self.held.get(symbol, 0.0) + (qty if buy else -qty)
-        if cost is not None:
-            self.cash += -cost if buy else cost
-            self.kept_cash += (-cost if buy else cost) if kept else 0.0
-        return "ok" if sound else "bad_qty", None if cost is None else self.cash
-
-    def _decide(self, symbol, buy, sound, qty, cost) -> tuple[str, float | None]:
-        status = "bad_qty"
-        if sound and buy:
-            status = "ok" if self.cash >= cost else "no_cash"
-            if status == "ok":
-                self.cash -= cost
-                self.held[symbol] = self.held.get(symbol, 0.0) + qty
-        elif sound:
-            status = "ok" if self.held.get(symbol, 0.0) >= qty else "no_shares"
-            if status == "ok":
-                self.cash += cost
-                self.held[symbol] -= qty
-                if self.held[symbol] < FLAT:
-                    del self.held[symbol]
-        return status, None if math.isnan(self.cash) else self.cash
-
-
 def _walk_accounts(orders: DataFrame, initial: float) -> DataFrame:
     schema = T.StructType([*orders.select(*ORDER_COLS).schema.fields, T.StructField("status", T.StringType()), T.StructField("cash_after", T.DoubleType())])
 
+    # In here, so that it travels with the walk and no worker has to find this package.
+    class Account:
+        """Cash and shares, order by order: as `settled_orders` sums them up to the first short order, as `_walk_orders` decides from there on."""
+
+        def __init__(self, initial: float):
+            # Cash over all orders, and over those that are kept, from which an account goes on once it is short.
+            self.cash, self.kept_cash, self.held, self.short = float(initial), float(initial), {}, False
+
+        def _is_short(self, symbol, buy, qty, cost) -> bool:
+            if buy:
+                return cost is not None and self.cash < cost + 1e-6 + abs(cost) * 1e-9
+            spare = self.held.get(symbol, 0.0) - qty
+            return spare < 0 or 0 < spare < FLAT
+
+        def order(self, kept, symbol, side, qty, price) -> tuple[str, float | None]:
+            """status and cash_after; an order that is not kept only counts in the cash."""
+            buy, sound = side == "buy", qty is not None and qty > 0
+            cost = None if qty is None or price is None else qty * price
+            if kept and not self.short and sound and self._is_short(symbol, buy, qty, cost):
+                self.short, self.cash, self.held = True, self.kept_cash, {s: q for s, q in self.held.items() if q >= FLAT}
+            if self.short:
+                return self._decide(symbol, buy, sound, qty, math.nan if cost is None else cost) if kept else ("", None)
+            if qty is not None and not sound:
+                return "bad_qty", self.cash
+            if kept and qty is not None:
+                self.held[symbol] = self.held.get(symbol, 0.0) + (qty if buy else -qty)
+            if cost is not None:
+                self.cash += -cost if buy else cost
+                self.kept_cash += (-cost if buy else cost) if kept else 0.0
+            return "ok" if sound else "bad_qty", None if cost is None else self.cash
+
+        def _decide(self, symbol, buy, sound, qty, cost) -> tuple[str, float | None]:
+            status = "bad_qty"
+            if sound and buy:
+                status = "ok" if self.cash >= cost else "no_cash"
+                if status == "ok":
+                    self.cash -= cost
+                    self.held[symbol] = self.held.get(symbol, 0.0) + qty
+            elif sound:
+                status = "ok" if self.held.get(symbol, 0.0) >= qty else "no_shares"
+                if status == "ok":
+                    self.cash += cost
+                    self.held[symbol] -= qty
+                    if self.held[symbol] < FLAT:
+                        del self.held[symbol]
+            return status, None if math.isnan(self.cash) else self.cash
+
     def walk(batches):
         account, at = None, None
         for batch in batches:
@@ -484,7 +485,7 @@ def _walk_accounts(orders: DataFrame, initial: float) -> DataFrame:
             done = []
             for a, *order in zip(names, kept.to_pylist(), symbols, sides, *amounts):
                 if a != account:
-                    account, at = a, _Account(initial)
+                    account, at = a, Account(initial)
                 done.append(at.order(*order))
             new = [pa.array([x[i] for x in done], kind) for i, kind in enumerate((pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names).filter(kept)
